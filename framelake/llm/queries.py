@@ -4,23 +4,132 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing
+from . import decontaminate, embedding_dedup, langid, line_dedup, lm_score, minhash, mixing, pii, suffix_dedup, url_filter
 from .common import read_table
 
+#: The tables hold no list and no fetch times: both follow from host and page_id by these rules.
+_DAY_ZERO = "2024-01-01"
+
+
+def _spread(host: Column) -> Column:
+    return F.conv(F.substring(F.md5(host), 1, 6), 16, 10).cast("int")
+
+
+def list_entries(hosts: DataFrame) -> DataFrame:
+    """Dated entries of three lists for hosts chosen by their md5."""
+    h = hosts.select("host", _spread(F.col("host")).alias("b"))
+
+    def entry(where: str, name: str, scope: str, key: Column, action: str, day: Column) -> DataFrame:
+        at = F.date_add(F.lit(_DAY_ZERO).cast("date"), day.cast("int")).cast("timestamp")
+        return h.where(where).select(F.lit(name).alias("list_name"), F.lit(scope).alias("scope"), key.alias("key"), F.lit(action).alias("action"), at.alias("listed_at"))
+
+    host, b = F.col("host"), F.col("b")
+    out = entry("b % 4 = 0", "abuse", "host", host, "block", b % 300)
+    out = out.union(entry("b % 4 = 0", "abuse", "host", host, "remove", b % 300 + 60))
+    out = out.union(entry("b % 3 = 0", "farms", "domain", F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+)$", 1), "block", b % 200 + 90))
+    return out.union(entry("b % 5 = 0", "trusted", "prefix", F.concat(host, F.lit("/en")), "allow", b % 250))
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    at = F.date_add(F.lit(_DAY_ZERO).cast("date"), (F.col("page_id") % 366).cast("int")).cast("timestamp")
+    captures = pages.withColumn("fetched_at", at)
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    done = url_filter.filter_urls(captures, list_entries(hosts))
+    return done.select("page_id", "url", "decision", "list_name", "scope", "key", F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), keep_bytes=False)
+
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read_table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(read_table(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_language_id, op6_source_mixing, op7_minhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(read_table(spark, sf_dir, "documents")))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.remove_common_blocks(read_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("n_lines_in_").alias("n_lines"), (F.col("n_lines_in_") - F.col("n_lines_out_")).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+_OPS = (op1_url_filter, op2_decontamination, op3_suffix_dedup, op4_language_id, op5_lm_score, op6_source_mixing, op7_minhash_near_dedup, op8_personal_data, op9_embedding_near_dedup, op10_line_dedup)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPS}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": r"""
+with p as (
+  select page_id, url, date '2024-01-01' + cast(page_id % 366 as integer) as at,
+    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') as host,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), x -> x <> '') as parts
+  from pages),
+h as (select host, cast(('0x' || substr(md5(host), 1, 6)) as integer) as b from (select distinct host from p where host is not null)),
+e as (
+  select 'abuse' as list_name, 'host' as scope, host as key, 'block' as action, date '2024-01-01' + b % 300 as day from h where b % 4 = 0
+  union select 'abuse', 'host', host, 'remove', date '2024-01-01' + b % 300 + 60 from h where b % 4 = 0
+  union select 'farms', 'domain', regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1), 'block', date '2024-01-01' + b % 200 + 90 from h where b % 3 = 0
+  union select 'trusted', 'prefix', host || '/en', 'allow', date '2024-01-01' + b % 250 from h where b % 5 = 0),
+v as (select *, lead(day) over (partition by list_name, scope, key order by day) as until from e),
+k as (
+  select page_id, url, at, 'host' as scope, host as key, 2 as rank from p
+  union select page_id, url, at, 'domain', array_to_string(string_split(host, '.')[i:], '.'), 1 from p, unnest(range(1, 1 + len(string_split(host, '.')))) t(i)
+  union select page_id, url, at, 'prefix', lower(host || '/' || array_to_string(parts[:i], '/')), 3 from p, unnest(range(1, 1 + len(parts))) t(i)),
+m as (
+  select k.page_id, k.url, v.action, v.list_name, v.scope, v.key, v.day,
+    row_number() over (partition by k.page_id, k.url order by k.rank desc, length(v.key) desc, v.action = 'allow' desc, v.list_name desc) as n
+  from k join v on k.scope = v.scope and k.key = v.key and k.at >= v.day and (v.until is null or k.at < v.until)
+  where v.action <> 'remove')
+select p.page_id, p.url, coalesce(m.action, 'keep') as decision, m.list_name, m.scope, m.key, strftime(m.day, '%Y-%m-%d') as valid_from
+from p left join m on p.page_id = m.page_id and p.url = m.url and m.n = 1""",
+    "op2_decontamination": r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where doc_id is not null),
+b as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from benchmark where item_id is not null),
+bs as (select distinct item_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) as s from b where len(w) >= 5),
+n as (select item_id, count(*) as n_shingles from bs group by item_id),
+ds as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) as s from d where len(w) >= 5)
+select doc_id, item_id, n_shingles, count(*) as n_found, count(*) / n_shingles as containment
+from ds join bs using (s) join n using (item_id) group by doc_id, item_id, n_shingles having count(*) >= 0.75 * n_shingles""",
+    "op7_minhash_near_dedup": rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), i -> array_to_string(w[i:i + 4], ' '))) as s from w where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as i from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id),
+e as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * i >= 75 * (na.n + nb.n - i)),
+r(v, c) as (select doc_id, doc_id from documents union select e.b, r.c from r join e on r.v = e.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, r.c as component_id, d.doc_id = r.c as kept
+from documents d left join n on n.doc_id = d.doc_id join (select v, min(c) as c from r group by v) r on r.v = d.doc_id""",
+    "op9_embedding_near_dedup": r"""
+with recursive g as (select vec_id, cast(embedding as double[]) as x from embeddings),
+e as (select a.vec_id as a, b.vec_id as b from g a join g b on a.vec_id <> b.vec_id where list_cosine_similarity(a.x, b.x) >= 0.9),
+r(v, c) as (select vec_id, vec_id from g union select e.b, r.c from r join e on r.v = e.a)
+select g.vec_id, coalesce(k.n, 0) as n_links, r.c as component_id, g.vec_id = r.c as kept
+from g left join (select a, count(*) as n from e group by a) k on k.a = g.vec_id join (select v, min(c) as c from r group by v) r on r.v = g.vec_id""",
+}
