@@ -38,6 +38,10 @@ def shingles(w: Column, size: int) -> Column:
     return F.when(F.size(w) >= size, _runs(w, size, F.size(w) - size + 1)).otherwise(F.array().cast("array<string>"))
 
 
+def _hashes(w: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, F.lit(size)))))
+
+
 def small(df: DataFrame, most: int = BROADCAST) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows, as counted."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -59,8 +63,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     found = None
     for n in sorted(r["words"] for r in probes.select("words").distinct().collect()):
         sketches[n] = probes.where(F.col("words") == n).select("item_id", "hash")
-        run = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.xxhash64(F.concat_ws(" ", F.slice("w", i, F.lit(n)))))
-        seen = texts.where(F.size("w") >= n).select("doc_id", F.explode(run).alias("hash"))
+        seen = texts.where(F.size("w") >= n).select("doc_id", F.explode(_hashes(F.col("w"), n)).alias("hash"))
         hit = seen.join(small(sketches[n]), "hash").select("doc_id", "item_id")
         found = hit if found is None else found.union(hit)
     if found is None:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tiles
 from .common import tune, write_table
 from .graph import connected_components
 
@@ -79,27 +80,6 @@ def _coder(projection: np.ndarray, bits: int, tables: int) -> Callable:
     return run
 
 
-def _buckets(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(table number, rows of one side, rows of the other or the same) of every bucket or pair of tiles."""
-    keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("t", "code", "i", "j")])
-    side = table.column("own").to_numpy()
-    order = np.lexsort(keys[::-1])
-    sorted_keys = keys[:, order]
-    begin = np.flatnonzero(np.append(True, (sorted_keys[:, 1:] != sorted_keys[:, :-1]).any(axis=0)))
-    out = []
-    for b, e in zip(begin, np.append(begin[1:], len(order)), strict=True):
-        rows = order[b:e]
-        t, _, i, j = keys[:, rows[0]]
-        if i == j:
-            if len(rows) > 1:
-                out.append((int(t), rows, rows))
-        else:
-            one, two = rows[side[rows] == i], rows[side[rows] == j]
-            if len(one) and len(two):
-                out.append((int(t), one, two))
-    return out
-
-
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -110,7 +90,7 @@ def _near(radius: int) -> Callable[[pa.Table], pa.Table]:
         rep = table.column("rep").to_numpy()
         packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint8).reshape(len(rep), -1)
         good = np.zeros(len(rep), bool)
-        for _, one, two in _buckets(table):
+        for _, one, two in tiles.pairs_of_tiles(table, ["t", "code"]):
             for at in range(0, len(one), 256):
                 part = one[at : at + 256]
                 distance = _ONES[packed[part][:, None, :] ^ packed[two][None, :, :]].sum(axis=2, dtype=np.int32)
@@ -131,24 +111,15 @@ def _links(least: float) -> Callable[[pa.Table], pa.Table]:
         vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         codes = table.column("codes").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1)
         reps, counts, roots = [], [], []
-        for t, one, two in _buckets(table):
+        for key, one, two in tiles.pairs_of_tiles(table, ["t", "code"]):
             near = vectors[one] @ vectors[two].T >= least
             near &= rep[one][:, None] != rep[two][None, :]
             if not near.any():
                 continue
             fresh = near.copy()
-            for earlier in range(t):
+            for earlier in range(key["t"]):
                 fresh &= codes[one, earlier][:, None] != codes[two, earlier][None, :]
-            root_one, root_two = rep[one].copy(), rep[two].copy()
-            while True:
-                big = np.iinfo(np.int64).max
-                new_two = np.minimum(root_two, np.where(near, root_one[:, None], big).min(axis=0))
-                new_one = np.minimum(root_one, np.where(near, new_two[None, :], big).min(axis=1))
-                if one is two:
-                    new_two = new_one = np.minimum(new_one, new_two)
-                if (new_one == root_one).all() and (new_two == root_two).all():
-                    break
-                root_one, root_two = new_one, new_two
+            root_one, root_two = tiles.roots(near, rep[one], rep[two], one is two)
             touched = near.any(axis=1)
             reps.append(rep[one][touched])
             counts.append((fresh * m[two][None, :]).sum(axis=1)[touched])
@@ -166,12 +137,8 @@ def _links(least: float) -> Callable[[pa.Table], pa.Table]:
 
 def _deal(placed: DataFrame, hot: DataFrame, rows: int) -> DataFrame:
     """Rows of (t, code, ...) dealt to groups ``g`` of whole buckets; large buckets go in pairs of tiles."""
-    groups = max(1, -(-rows // GROUP_ROWS))
-    named = placed.join(hot, ["t", "code"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    named = named.withColumn("own", F.pmod(F.xxhash64(F.lit("tile"), "rep"), F.col("tiles")).cast("int"))
-    spread = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1)))
-    spread = spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "tiles")
-    return spread.withColumn("g", F.pmod(F.xxhash64("t", "code", "i", "j"), F.lit(groups)))
+    named = placed.join(hot, ["t", "code"], "left")
+    return tiles.deal(named, ["t", "code"], "rep", F.coalesce("tiles", F.lit(1)), max(1, -(-rows // GROUP_ROWS))).drop("tiles")
 
 
 def near_vectors(table: DataFrame, least: float = LEAST, miss: float = MISS) -> DataFrame:

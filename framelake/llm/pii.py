@@ -13,6 +13,8 @@ only. Equal scores count alike; an empty table gives an empty table. Everything
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ KINDS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TOKEN = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 CONFIDENCE, SUPPORT, ROUNDS, CONTEXT, SHORTEST = 0.6, 3, 3, 80, 6
-SPANS = "array<struct<start:int,stop:int,place:int,kind:string,value:string>>"
+SPANS = "array<struct<start:int,place:int,stop:int,kind:string,value:string>>"
 
 
 def _digits(x: Column) -> Column:
@@ -74,13 +76,24 @@ def located(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, start, step, lambda s: s["out"])
 
 
+def _checker(kind: str) -> Callable[[Column], Column]:
+    return lambda x: _valid(kind, x["value"])
+
+
+def _named(spans: Column, place: int, kind: str) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(place).alias("place"), x["stop"].alias("stop"), F.lit(kind).alias("kind"), x["value"].alias("value")))
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def base_spans(text: Column) -> Column:
     """Valid base entities by start, then kind."""
     every = []
     none = F.array().cast(SPANS)
     for place, (kind, pattern) in enumerate(KINDS.items()):
-        good = F.filter(located(text, pattern), lambda x, kind=kind: _valid(kind, x["value"]))
-        named = F.transform(good, lambda x, kind=kind, place=place: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), x["value"].alias("value")))
+        named = _named(F.filter(located(text, pattern), _checker(kind)), place, kind)
         needed = text.contains(NEEDS[kind]) if NEEDS[kind] else text.rlike("[0-9]")
         every.append(F.when(needed, named.cast(SPANS)).otherwise(none))
     return F.array_sort(F.concat(*every))
@@ -117,7 +130,7 @@ def _occurrences(found: DataFrame) -> DataFrame:
 
 
 def find_personal_data(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, base and discovered (arrays of start, stop, place, kind, value) of every row of ``docs``."""
+    """doc_id, base and discovered (arrays of start, place, stop, kind, value) of every row of ``docs``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = texts.withColumn("base", base_spans(F.col("text")))
     base = write_table(found.withColumn("text", F.when(F.col("text").rlike("[0-9@]"), F.col("text"))), "base")
@@ -134,7 +147,7 @@ def find_personal_data(docs: DataFrame, confidence: float = CONFIDENCE, support:
         seeds = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("seed"))
         trust = write_table(seeds.join(reached, "value", "left").select("value", F.greatest("seed", F.coalesce("reached", F.lit(0.0))).alias("trust")), "trust")
     new = seen.where("not seed").join(good, "pattern").join(trust.where(F.col("trust") >= confidence), "value")
-    spans = new.select("doc_id", F.struct("start", "stop", F.lit(len(KINDS)).alias("place"), F.lit("context").alias("kind"), "value").alias("span")).distinct()
+    spans = new.select("doc_id", F.struct("start", F.lit(len(KINDS)).alias("place"), "stop", F.lit("context").alias("kind"), "value").alias("span")).distinct()
     more = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list("span")).cast(SPANS).alias("discovered")).withColumnRenamed("doc_id", "d")
     return base.select("doc_id", "base").join(more, F.col("doc_id") == F.col("d"), "left").select("doc_id", "base", F.coalesce("discovered", F.array().cast(SPANS)).alias("discovered"))
 
@@ -146,5 +159,4 @@ def written(spans: Column) -> Column:
 
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base_sha256, spans, n_context."""
-    count = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *count, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.array_sort(F.concat("base", "discovered"))).alias("spans"), F.size("discovered").cast("long").alias("n_context"))
+    return found.select("doc_id", *map(_count, KINDS), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.array_sort(F.concat("base", "discovered"))).alias("spans"), F.size("discovered").cast("long").alias("n_context"))

@@ -87,9 +87,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": r"""
 with p as (
-  select page_id, url, date '2024-01-01' + cast(page_id % 366 as integer) as at,
+  select page_id, url, date '2024-01-01' + cast(page_id % 366 as integer) as fetched,
     nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') as host,
-    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), x -> x <> '') as parts
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') as parts
   from pages),
 h as (select host, cast(('0x' || substr(md5(host), 1, 6)) as integer) as b from (select distinct host from p where host is not null)),
 e as (
@@ -99,27 +99,27 @@ e as (
   union select 'trusted', 'prefix', host || '/en', 'allow', date '2024-01-01' + b % 250 from h where b % 5 = 0),
 v as (select *, lead(day) over (partition by list_name, scope, key order by day) as until from e),
 k as (
-  select page_id, url, at, 'host' as scope, host as key, 2 as rank from p
-  union select page_id, url, at, 'domain', array_to_string(string_split(host, '.')[i:], '.'), 1 from p, unnest(range(1, 1 + len(string_split(host, '.')))) t(i)
-  union select page_id, url, at, 'prefix', lower(host || '/' || array_to_string(parts[:i], '/')), 3 from p, unnest(range(1, 1 + len(parts))) t(i)),
+  select page_id, url, fetched, 'host' as scope, host as key, 2 as rank from p
+  union select page_id, url, fetched, 'domain', array_to_string(string_split(host, '.')[i:], '.'), 1 from p, unnest(range(1, 1 + len(string_split(host, '.')))) t(i)
+  union select page_id, url, fetched, 'prefix', lower(host || '/' || array_to_string(parts[:i], '/')), 3 from p, unnest(range(1, 1 + len(parts))) t(i)),
 m as (
   select k.page_id, k.url, v.action, v.list_name, v.scope, v.key, v.day,
     row_number() over (partition by k.page_id, k.url order by k.rank desc, length(v.key) desc, v.action = 'allow' desc, v.list_name desc) as n
-  from k join v on k.scope = v.scope and k.key = v.key and k.at >= v.day and (v.until is null or k.at < v.until)
+  from k join v on k.scope = v.scope and k.key = v.key and k.fetched >= v.day and (v.until is null or k.fetched < v.until)
   where v.action <> 'remove')
 select p.page_id, p.url, coalesce(m.action, 'keep') as decision, m.list_name, m.scope, m.key, strftime(m.day, '%Y-%m-%d') as valid_from
 from p left join m on p.page_id = m.page_id and p.url = m.url and m.n = 1""",
     "op2_decontamination": r"""
 with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where doc_id is not null),
 b as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from benchmark where item_id is not null),
-bs as (select distinct item_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) as s from b where len(w) >= 5),
+bs as (select distinct item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from b where len(w) >= 5),
 n as (select item_id, count(*) as n_shingles from bs group by item_id),
-ds as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) as s from d where len(w) >= 5)
+ds as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from d where len(w) >= 5)
 select doc_id, item_id, n_shingles, count(*) as n_found, count(*) / n_shingles as containment
 from ds join bs using (s) join n using (item_id) group by doc_id, item_id, n_shingles having count(*) >= 0.75 * n_shingles""",
     "op7_minhash_near_dedup": rf"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
-s as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), i -> array_to_string(w[i:i + 4], ' '))) as s from w where len(w) > 0),
+s as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as s from w where len(w) > 0),
 n as (select doc_id, count(*) as n from s group by doc_id),
 p as (select x.doc_id as a, y.doc_id as b, count(*) as i from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id),
 e as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * i >= 75 * (na.n + nb.n - i)),
