@@ -16,7 +16,7 @@ doc_id stays alone (component_id null, kept true). An empty table gives an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +26,16 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import slices, tune, write_table
 from .graph import connected_components
+from .tiles import deal, pairs_of_tiles, roots
 
 BANDS, ROWS = 32, 4
 SHINGLE = 5
 #: Percent of the union that the intersection has at least.
 PERCENT = 75
-#: Hubs of a bucket in the rounds before the rest is compared pair by pair.
-HUBS = (1, 1, 8)
+#: Hubs of a bucket in the rounds before the rest is compared in tiles.
+HUBS = (1, 4)
+#: Members and shingles of a tile, and shingles compared at once, in the comparison of what hubs left open.
+TILE, TILE_SHINGLES, COLUMNS = 512, 500_000, 4096
 STRIDE = np.uint32(0x9E3779B1)
 
 
@@ -68,7 +71,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.zeros((len(full), BANDS), np.uint64)
         if len(full):
             for j in range(2):
-                one[j, full] = np.add.reduceat(K.mix(values + np.uint64(j + 1) * K.M1), border[full])
+                one[j, full] = np.add.reduceat(K.mix(values + np.uint64((int(K.M1) * (j + 1)) % 2**64)), border[full])
             sign = signatures(values, np.append(border[full], len(values)), BANDS * ROWS).reshape(len(full), BANDS, ROWS)
             keys[:] = np.arange(1, BANDS + 1, dtype=np.uint64) * K.M1
             for r in range(ROWS):
@@ -110,30 +113,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wanted = member.select("rep").distinct()
     sets = write_table(texts.join(wanted, texts.doc_id == wanted.rep, "left_semi").mapInArrow(_full_sets, "rep long, shingles array<long>").dropDuplicates(["rep"]), "sets")
 
-    pairs = write_table(member.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links, tested = write_table(_confirm(pairs, sets, percent), "links"), pairs
-    for hubs in (*HUBS[1:], None):
-        component = connected_components(links)
+    stars = write_table(member.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    links, tested = write_table(_confirm(stars, sets, percent), "links"), stars
+    component = connected_components(links)
+    for hubs in HUBS:
         degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
         known = member.select("bucket", "rep").join(component, member.rep == component.v, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
         mixed = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         open_ = write_table(known.join(mixed, "bucket").join(degree, "rep", "left").select("bucket", "rep", "component", F.coalesce("degree", F.lit(0)).alias("degree")), "open")
-        one = open_.select("bucket", F.col("rep").alias("x"), F.col("component").alias("cx"))
-        if hubs:
-            top = open_.groupBy("bucket").agg(F.max_by(F.struct("rep", "component"), F.struct("degree", -F.col("rep"))).alias("h")) if hubs == 1 else _top(open_, hubs)
-            other = top.select("bucket", F.col("h.rep").alias("y"), F.col("h.component").alias("cy"))
-        else:
-            other = open_.select("bucket", F.col("rep").alias("y"), F.col("component").alias("cy"))
-        fresh = one.join(other, "bucket").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        top = _top(open_, hubs).select("bucket", F.col("h.rep").alias("y"), F.col("h.component").alias("cy"))
+        fresh = open_.join(top, "bucket").where("component <> cy").select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).distinct()
         pairs = write_table(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            if hubs is None or open_.isEmpty():
-                break
-            continue
-        links = links.union(write_table(_confirm(pairs, sets, percent), "links"))
-        tested = tested.union(pairs)
+            break
+        links, tested = links.union(write_table(_confirm(pairs, sets, percent), "links")), tested.union(pairs)
+        component = connected_components(links)
+    rest = _rest(stars, component, sets, percent)
+    if not rest.isEmpty():
+        component = connected_components(links.union(rest))
 
-    component = connected_components(links)
     named = classes.join(component, classes.rep == component.v, "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("component"))
     out = seen.select("doc_id", "n_shingles", "d1", "d2").join(named, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n_shingles") > 0), "left")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -141,7 +139,68 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _top(open_: DataFrame, hubs: int) -> DataFrame:
-    """The members of most links of every bucket; kept as bounded arrays while they are combined."""
+    """Members of many links of every bucket: the best of each of ``hubs`` parts."""
     best = F.max_by(F.struct("rep", "component"), F.struct("degree", -F.col("rep")))
-    spread = open_.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(hubs)).alias("part")).agg(best.alias("h"))
-    return spread.select("bucket", "h")
+    return open_.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(hubs)).alias("part")).agg(best.alias("h"))
+
+
+def _compare(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Roots of members that are linked within a pair of tiles, for members not joined before."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, component, loose = (table.column(c).to_numpy() for c in ("rep", "component", "loose"))
+        lists = table.column("shingles").combine_chunks()
+        values, border = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        size = np.diff(border)
+        reps, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, one, two in pairs_of_tiles(table, ["cand"]):
+            open_ = (component[one][:, None] != component[two][None, :]) & (loose[one][:, None] | loose[two][None, :])
+            if not open_.any():
+                continue
+            common = _common([values[border[r] : border[r + 1]] for r in one], [values[border[r] : border[r + 1]] for r in two])
+            near = open_ & (100 * common >= percent * (size[one][:, None] + size[two][None, :] - common))
+            if near.any():
+                for ids, root, axis in zip((rep[one], rep[two]), roots(near, rep[one], rep[two], one is two), (1, 0), strict=True):
+                    hit = near.any(axis=axis)
+                    reps.append(ids[hit])
+                    found.append(root[hit])
+        return pa.table({"a": np.concatenate(found), "b": np.concatenate(reps)})
+
+    return run
+
+
+def _common(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one side with all of the other."""
+    out = np.zeros((len(one), len(two)), np.int64)
+    flat = [np.concatenate(x) for x in (one, two)]
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (one, two)]
+    both = np.intersect1d(*flat)
+    place = [np.searchsorted(both, f) for f in flat]
+    real = [both[np.minimum(p, len(both) - 1)] == f if len(both) else np.zeros(len(f), bool) for p, f in zip(place, flat, strict=True)]
+    for start in range(0, len(both), COLUMNS):
+        grid = []
+        for p, ok, r, n in zip(place, real, rows, (len(one), len(two)), strict=True):
+            here = ok & (p >= start) & (p < start + COLUMNS)
+            m = np.zeros((n, min(COLUMNS, len(both) - start)), np.float32)
+            m[r[here], p[here] - start] = 1.0
+            grid.append(m)
+        out += np.rint(grid[0] @ grid[1].T).astype(np.int64)
+    return out
+
+
+def _rest(stars: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that the hubs have missed.
+
+    Members that buckets connect are compared where confirmed links don't join them yet: those outside the
+    largest component of their candidates with all others, in pairs of tiles.
+    """
+    candidates = connected_components(stars).select(F.col("v").alias("rep"), F.col("component").alias("cand"))
+    known = candidates.join(component.select(F.col("v").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sized = known.join(sets.select("rep", F.size("shingles").alias("n")), "rep")
+    parts = sized.groupBy("cand", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    groups = parts.groupBy("cand").agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max_by("component", "rows").alias("largest")).where("parts > 1")
+    mixed = write_table(groups.select("cand", "largest", F.greatest(F.ceil(F.col("rows") / TILE), F.ceil(F.col("n") / TILE_SHINGLES)).alias("tiles")), "mixed")
+    members = sized.join(mixed, "cand").select("cand", "rep", "component", (F.col("component") != F.col("largest")).alias("loose"), "tiles")
+    total = mixed.agg(F.sum("tiles")).first()[0] or 0
+    placed = deal(members.join(sets, "rep"), ["cand"], "rep", F.col("tiles"), max(1, int(total))).drop("tiles")
+    return write_table(placed.groupBy("g").applyInArrow(_compare(percent), "a long, b long"), "rest")
