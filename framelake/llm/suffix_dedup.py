@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import slices, tune, write_table
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 20
 #: A cut at one position in so many; windows a group of anchors comes from; strings in a group of the refinement.
 CUT, ANCHOR_GROUP, PIECE_GROUP, HOT = 256, 16_000_000, 40_000, 200_000
 #: Anchors held by a task before they are packed; windows of one string at most.
@@ -49,8 +49,8 @@ def _grams(data: np.ndarray) -> np.ndarray:
     padded[: len(data)] = data
     for width in (1, 2, 4):
         padded[:-width] |= padded[width:] << np.uint64(8 * width)
-    head, tail = padded[: len(data)], padded[8 : 8 + len(data)]
-    return K.mix(head * K.M1 + K.mix(tail + K.BASE))
+    head, middle, tail = (padded[at : at + len(data)] for at in (0, 8, GRAM - 8))
+    return K.mix(head * K.M1 + K.mix(middle * K.M3 + K.mix(tail + K.BASE)))
 
 
 def _window_minima(grams: np.ndarray) -> np.ndarray:
