@@ -132,7 +132,7 @@ def control_spans(frames: DataFrame, owners: DataFrame, fps: float, rules: Rules
 
 def merge_controls(controls: DataFrame, fps: float, seconds: float = 0.5) -> DataFrame:
     """Join neighbouring spans of one owner that are at most ``seconds`` apart, whoever else holds the ball elsewhere."""
-    w = Window.partitionBy("segment").orderBy("start", "end")
+    w = Window.partitionBy("segment").orderBy("start", "end", "owner")
     same = (F.col("owner") == F.lag("owner").over(w)) & (F.col("start") - F.lag("end").over(w) <= round(seconds * fps))
     parts = controls.withColumn("new_", F.when(same, 0).otherwise(1)).withColumn("part_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return parts.groupBy("segment", "owner", "part_").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part_")
@@ -140,7 +140,7 @@ def merge_controls(controls: DataFrame, fps: float, seconds: float = 0.5) -> Dat
 
 def transfers(controls: DataFrame, low: int, high: int) -> DataFrame:
     """Neighbouring control spans of different owners whose gap lies in [low, high] frames."""
-    pairs = matching.adjacent(controls.withColumn("order_", F.struct("start", "end")), ["segment"], "order_", ["owner", "start", "end"])
+    pairs = matching.adjacent(controls.withColumn("order_", F.struct("start", "end", "owner")), ["segment"], "order_", ["owner", "start", "end"])
     gap = F.col("next_start") - F.col("end")
     return pairs.where((F.col("owner") != F.col("next_owner")) & gap.between(low, high)).drop("order_").withColumn("gap", gap)
 
@@ -197,11 +197,11 @@ def passages(samples: DataFrame, rims: DataFrame, fps: float, rules: Rules = Rul
 
 def possession_ids(controls: DataFrame, makes: DataFrame, fps: float) -> DataFrame:
     """Number the possessions: a span goes on with the last one of the same known team, soon enough, without a make between."""
-    w = Window.partitionBy("segment").orderBy("start", "end")
+    w = Window.partitionBy("segment").orderBy("start", "end", "owner")
     rows = controls.withColumns({"last_end": F.lag("end").over(w), "last_team": F.lag("team").over(w)})
-    made = rows.where("last_end is not null").join(makes.select("segment", F.col("anchor").alias("a_")), "segment").where("last_end <= a_ and a_ < start").select("segment", "start", "owner").distinct().withColumn("made_", F.lit(True))
+    made = rows.where("last_end is not null").join(makes.select("segment", F.col("anchor").alias("a_")), "segment").where("last_end <= a_ and a_ < start").select("segment", "start", "end", "owner").distinct().withColumn("made_", F.lit(True))
     linked = (F.col("team") == F.col("last_team")) & (F.col("start") - F.col("last_end")).between(0, round(1.2 * fps)) & F.col("made_").isNull()
-    rows = rows.join(made, ["segment", "start", "owner"], "left").withColumn("new_", F.when(linked, 0).otherwise(1))
+    rows = rows.join(made, ["segment", "start", "end", "owner"], "left").withColumn("new_", F.when(linked, 0).otherwise(1))
     return rows.withColumn("possession", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("linked", F.col("new_") == 0).drop("made_", "new_", "last_team")
 
 
