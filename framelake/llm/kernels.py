@@ -91,7 +91,6 @@ def shingles(hashes: np.ndarray, border: np.ndarray, size: int = 5) -> tuple[np.
     """
     count = np.diff(border)
     n = len(hashes)
-    whole = np.zeros(n + 1, np.uint64)
     long_start = np.maximum(n - size + 1, 0)
     run = np.zeros(long_start, np.uint64)
     for k in range(size):
@@ -108,7 +107,6 @@ def shingles(hashes: np.ndarray, border: np.ndarray, size: int = 5) -> tuple[np.
             at = np.minimum(border[short] + k, n - 1)
             extra = np.where(has, mix(extra * BASE + hashes[at] + np.uint64(k + 1)), extra)
         out, doc = np.concatenate([out, extra]), np.concatenate([doc, short])
-    del whole
     return out, doc
 
 
