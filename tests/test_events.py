@@ -1,7 +1,5 @@
 """Event operators on small segments."""
 
-import random
-
 import pytest
 
 from framelake.operators import events as E
@@ -130,9 +128,3 @@ def test_visits_and_clips(spark):
     assert (c["clip_start"], c["clip_end"]) == (45, 265)
     (c,) = E.clip_spans(events, controls.limit(0), FPS).collect()
     assert c["clip_start"] == 135
-
-
-def test_ledger_order():
-    r = random.Random(1)
-    rows = [(r.randrange(5), str(r.randrange(9))) for _ in range(20)]
-    assert E.ordered(rows) == sorted(rows)
