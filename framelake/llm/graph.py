@@ -1,23 +1,58 @@
-"""Connected components by label propagation with pointer jumping, all in DataFrames."""
+"""Connected components of link tables."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import write_table
 
+#: Edges that one task takes whole; more are solved by rounds over all tasks.
+WHOLE = 1_000_000
+
+
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices and the smallest vertex of the component of each, by hooking and pointer jumping."""
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = place[: len(a)], place[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[one], label[two])
+        new = label.copy()
+        for end in (label[one], label[two], one, two):
+            np.minimum.at(new, end, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return names, names[label]
+        label = new
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches if x.num_rows]
+    if parts:
+        v, component = least_labels(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(component)], names=["v", "component"])
+
 
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """Smallest reachable vertex of every vertex in ``edges`` (a, b: long).
 
-    Returns (v, component). Each round takes the least label among the neighbours and then the label
-    of that label, so a chain of n vertices needs about log n rounds. Labels only ever fall, and the
-    loop ends when their sum stays the same. Minima are combined before each shuffle, so a hub of any
-    degree is no hot group. Null ends are ignored; an empty table gives an empty table.
+    Returns (v, component). Up to WHOLE edges, a bounded number, are solved by one task. More are solved in
+    rounds: each takes the least label among the neighbours and then the label of that label, so a chain of n
+    vertices needs about log n rounds; labels only fall, and the loop ends when their sum stays the same.
+    Minima are combined before each shuffle, so a hub of any degree is no hot group. Null ends are ignored; an
+    empty table gives an empty table.
     """
     clean = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    both = write_table(clean.union(clean.select("b", "a")).toDF("a", "b").distinct(), "edges")
+    kept = write_table(clean, "edges")
+    if kept.limit(WHOLE + 1).count() <= WHOLE:
+        return write_table(kept.coalesce(1).mapInArrow(_whole, "v long, component long"), "labels")
+    both = write_table(kept.union(kept.select("b", "a")).toDF("a", "b").distinct(), "edges")
     labels = write_table(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("component")), "labels")
     before = None
     for _ in range(rounds):

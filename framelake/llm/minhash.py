@@ -33,7 +33,7 @@ SHINGLE = 5
 #: Percent of the union that the intersection has at least.
 PERCENT = 75
 #: Hubs of a bucket in the rounds before the rest is compared in tiles.
-HUBS = (1, 4)
+HUBS = (2,)
 #: Members and shingles of a tile, and shingles compared at once, in the comparison of what hubs left open.
 TILE, TILE_SHINGLES, COLUMNS = 512, 500_000, 4096
 STRIDE = np.uint32(0x9E3779B1)
