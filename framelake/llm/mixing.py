@@ -25,7 +25,7 @@ from .common import tune, write_table
 
 #: Weights by order of source, repeating; share of all words; most copies of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-GROUP, FAN = 20_000, 64
+GROUP, FAN = 2_000, 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
