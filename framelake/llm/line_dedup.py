@@ -1,8 +1,7 @@
 """Line dedup by pairwise alignment.
 
 Documents that share long lines are found through line hashes: each line points to the earliest document
-that holds it, so a line in k documents makes k - 1 pairs. A pair counts if one of its shared lines is rare,
-or if it shares half of the later document's long lines. The two line sequences are aligned with patience
+that holds it, so a line in k documents makes k - 1 pairs, however large k is. The two line sequences are aligned with patience
 diff (lines unique on both sides, their longest rising run, then the same within the gaps), and aligned
 common blocks with enough text are deleted from the later document. Blocks are judged on the input, not on
 what another pair leaves.
@@ -27,8 +26,12 @@ from pyspark.sql.types import StringType
 from . import kernels as K
 from .common import slices, tune, write_table
 
-#: Bytes of a long line; bytes that a deleted block has at least; documents that a rare line is in at most.
-LONG, BLOCK, RARE = 24, 60, 50
+#: Bytes of a long line; bytes that a deleted block has at least.
+LONG, BLOCK = 24, 60
+#: Documents that a rare line is in at most, for callers that want such a cap; the queries have none.
+RARE: int | None = None
+#: Later documents that meet one copy of an earlier document in one group.
+FAN = 1000
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,19 +141,29 @@ def _kept(text: str, gone: set[int]) -> str:
     return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
 
 
-def remove_common_blocks(docs: DataFrame, rare: int = RARE) -> DataFrame:
-    """All columns of ``docs`` with the new ``text``, and before them n_lines_in_ and n_lines_out_ (long)."""
+def remove_common_blocks(docs: DataFrame, rare: int | None = RARE) -> DataFrame:
+    """All columns of ``docs`` with the new ``text``, and before them n_lines_in_ and n_lines_out_ (long).
+
+    With ``rare``, only pairs count that share a line in at most so many documents, or half of the later
+    document's long lines.
+    """
     tune(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = write_table(texts.where("doc_id is not null").mapInArrow(_lines, "doc_id long, lines array<long>, sizes array<int>"), "lines")
     long = known.select("doc_id", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("lines", "sizes"), lambda x: x["sizes"] >= LONG), lambda x: x["lines"]))).alias("line"))
     first = long.groupBy("line").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count("*").alias("in_docs")).where("earliest < latest").drop("latest")
     shared = long.join(first, "line").where("doc_id > earliest").groupBy("doc_id", "earliest").agg(F.min("in_docs").alias("rarest"), F.count("*").alias("both"))
+    if rare is not None:
+        n_long = known.select("doc_id", F.size(F.filter("sizes", lambda n: n >= LONG)).alias("n_long"))
+        shared = shared.join(n_long, "doc_id").where((F.col("rarest") <= rare) | (2 * F.col("both") >= F.col("n_long")))
+    pairs = write_table(shared.select("doc_id", "earliest").distinct(), "pairs")
 
-    later = known.select("doc_id", "lines", "sizes", F.size(F.filter("sizes", lambda n: n >= LONG)).alias("n_long"))
-    pairs = shared.join(later, "doc_id").where((F.col("rarest") <= rare) | (2 * F.col("both") >= F.col("n_long"))).drop("rarest", "both", "n_long")
+    # An earlier document of many pairs stands in several copies, so no group grows with the corpus.
+    copies = pairs.groupBy("earliest").agg(F.ceil(F.count("*") / FAN).cast("int").alias("copies"))
     earlier = known.select(F.col("doc_id").alias("earliest"), F.col("lines").alias("earlier")).dropDuplicates(["earliest"])
-    aligned = pairs.join(earlier, "earliest").select("doc_id", "earlier", "lines", "sizes").mapInArrow(_align, "doc_id long, gone array<int>")
+    earlier = earlier.join(copies, "earliest").select("earliest", "earlier", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    dealt = pairs.join(copies, "earliest").select("doc_id", "earliest", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int").alias("copy"))
+    aligned = dealt.join(known, "doc_id").join(earlier, ["earliest", "copy"]).select("doc_id", "earlier", "lines", "sizes").mapInArrow(_align, "doc_id long, gone array<int>")
     gone = write_table(aligned.where(F.size("gone") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone_")).withColumnRenamed("doc_id", "gone_id_"), "gone")
 
     joined = docs.join(gone, docs["doc_id"] == gone["gone_id_"], "left")

@@ -72,3 +72,16 @@ def test_edges(docs, texts, no_docs):
     got = remove_common_blocks(docs).collect()
     assert len(got) == len(texts)
     assert remove_common_blocks(no_docs).collect() == []
+
+
+def text_column(spark, rows):
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    return [x["text"] for x in sorted(remove_common_blocks(df).collect(), key=lambda x: x["doc_id"])]
+
+
+def test_a_passage_in_many_documents_goes_from_all_but_the_first(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FAN", 7)
+    passage = [f"line {k} of a passage that many documents hold" for k in range(5)]
+    own = [[f"own line {k} of document {i}, at some length" for k in range(20)] for i in range(60)]
+    got = text_column(spark, ["\n".join([*x[:9], *passage, *x[9:]]) for x in own])
+    assert got == ["\n".join([*own[0][:9], *passage, *own[0][9:]]), *("\n".join(x) for x in own[1:])]
