@@ -1,7 +1,9 @@
 """Line dedup by pairwise alignment.
 
-Documents that share long lines are found through line hashes: each line points to the earliest document
-that holds it, so a line in k documents makes k - 1 pairs, however large k is. The two line sequences are aligned with patience
+Documents that share a block are found through hashes of runs: the shortest runs of adjacent lines with BLOCK
+bytes that begin or end at each line. Each run points to the earliest document that holds it, so a run in k
+documents makes k - 1 pairs, however large k is. Every line of a block that two documents share lies in such a
+run within the block, so the later one meets a document that holds that run. The two line sequences are aligned with patience
 diff (lines unique on both sides, their longest rising run, then the same within the gaps), and aligned
 common blocks with enough text are deleted from the later document. Blocks are judged on the input, not on
 what another pair leaves.
@@ -59,6 +61,42 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "lines", "sizes"])
 
 
+#: Base of the hashes of runs (odd, so it has an inverse modulo 2 ** 64) and the factors that mix line hashes.
+BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
+
+
+def runs(lines: np.ndarray, sizes: np.ndarray, border: np.ndarray, least: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and hashes of the shortest runs of ``least`` bytes that begin or end at a line of each document."""
+    n = len(lines)
+    owner = np.repeat(np.arange(len(border) - 1), np.diff(border))
+    before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    begin, stop = np.arange(n), np.searchsorted(before, before[:-1] + least, side="left")
+    back = np.searchsorted(before, before[1:] - least, side="right") - 1
+    ahead, behind = stop <= border[1:][owner], back >= border[:-1][owner]
+    begin, stop, owner = np.concatenate([begin[ahead], back[behind]]), np.concatenate([stop[ahead], begin[behind] + 1]), np.concatenate([owner[ahead], owner[behind]])
+    h = lines.view(np.uint64) * MIX
+    h = (h ^ (h >> np.uint64(29))) * MIX
+    one = np.ones(1, np.uint64)
+    power = np.cumprod(np.concatenate([one, np.full(n, BASE, np.uint64)]), dtype=np.uint64)
+    inverse = np.cumprod(np.concatenate([one, np.full(n, pow(BASE, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:n], dtype=np.uint64)])
+    found = (total[stop] - total[begin]) * inverse[begin]
+    found = (found ^ (found >> np.uint64(31))) * MIX + (stop - begin).astype(np.uint64)
+    order = np.lexsort((found, owner))
+    owner, found = owner[order], found[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
+    return owner[new], found[new]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines, sizes = batch.column("lines"), batch.column("sizes")
+        border = np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy())])
+        owner, found = runs(lines.flatten().to_numpy(), sizes.flatten().to_numpy(), border)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(found.view(np.int64))], names=["doc_id", "run"])
+
+
 def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
     """Longest rising run of lines that occur once on both sides."""
     ca, cb = Counter(a[a0:a1]), Counter(b[b0:b1])
@@ -141,21 +179,32 @@ def _kept(text: str, gone: set[int]) -> str:
     return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
 
 
+def _shared_runs(known: DataFrame) -> DataFrame:
+    """Documents with the earliest holder of each of their runs."""
+    held = known.select("doc_id", "lines", "sizes").mapInArrow(_runs, "doc_id long, run long")
+    first = held.groupBy("run").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("earliest < latest").drop("latest")
+    return held.join(first, "run").where("doc_id > earliest")
+
+
+def _shared_lines(known: DataFrame, rare: int) -> DataFrame:
+    """Documents with the earliest holder of each of their long lines, where a line is rare or half of the lines are shared."""
+    long = known.select("doc_id", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("lines", "sizes"), lambda x: x["sizes"] >= LONG), lambda x: x["lines"]))).alias("line"))
+    first = long.groupBy("line").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count("*").alias("in_docs")).where("earliest < latest").drop("latest")
+    shared = long.join(first, "line").where("doc_id > earliest").groupBy("doc_id", "earliest").agg(F.min("in_docs").alias("rarest"), F.count("*").alias("both"))
+    n_long = known.select("doc_id", F.size(F.filter("sizes", lambda n: n >= LONG)).alias("n_long"))
+    return shared.join(n_long, "doc_id").where((F.col("rarest") <= rare) | (2 * F.col("both") >= F.col("n_long")))
+
+
 def remove_common_blocks(docs: DataFrame, rare: int | None = RARE) -> DataFrame:
     """All columns of ``docs`` with the new ``text``, and before them n_lines_in_ and n_lines_out_ (long).
 
-    With ``rare``, only pairs count that share a line in at most so many documents, or half of the later
-    document's long lines.
+    With ``rare``, documents meet the earliest holders of their single long lines instead, and only pairs count
+    that share a line in at most so many documents, or half of the later document's long lines.
     """
     tune(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = write_table(texts.where("doc_id is not null").mapInArrow(_lines, "doc_id long, lines array<long>, sizes array<int>"), "lines")
-    long = known.select("doc_id", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("lines", "sizes"), lambda x: x["sizes"] >= LONG), lambda x: x["lines"]))).alias("line"))
-    first = long.groupBy("line").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count("*").alias("in_docs")).where("earliest < latest").drop("latest")
-    shared = long.join(first, "line").where("doc_id > earliest").groupBy("doc_id", "earliest").agg(F.min("in_docs").alias("rarest"), F.count("*").alias("both"))
-    if rare is not None:
-        n_long = known.select("doc_id", F.size(F.filter("sizes", lambda n: n >= LONG)).alias("n_long"))
-        shared = shared.join(n_long, "doc_id").where((F.col("rarest") <= rare) | (2 * F.col("both") >= F.col("n_long")))
+    shared = _shared_runs(known) if rare is None else _shared_lines(known, rare)
     pairs = write_table(shared.select("doc_id", "earliest").distinct(), "pairs")
 
     # An earlier document of many pairs stands in several copies, so no group grows with the corpus.

@@ -1,6 +1,8 @@
 import difflib
 import random
 
+import numpy as np
+
 from framelake.llm import line_dedup
 from framelake.llm.line_dedup import common_blocks, patience, remove_common_blocks
 
@@ -85,3 +87,46 @@ def test_a_passage_in_many_documents_goes_from_all_but_the_first(spark, monkeypa
     own = [[f"own line {k} of document {i}, at some length" for k in range(20)] for i in range(60)]
     got = text_column(spark, ["\n".join([*x[:9], *passage, *x[9:]]) for x in own])
     assert got == ["\n".join([*own[0][:9], *passage, *own[0][9:]]), *("\n".join(x) for x in own[1:])]
+
+
+def test_stray_holders_of_single_lines_hide_no_block(spark):
+    a, b, c = (f"{x * 4} one of the three lines of a block" for x in "ABC")
+    rows = ["\n".join(x) for x in (["x", a, "y", b, "z", c], ["q", a, b, c], ["r", a, b, c])]
+    assert text_column(spark, rows) == [rows[0], rows[1], "r"]
+
+
+def test_runs_cover_every_line_of_every_common_block():
+    r = random.Random(5)
+    for _ in range(200):
+        sizes = np.array([r.choice((0, 5, 20, 35, 70)) for _ in range(r.randrange(1, 12))])
+        lines = np.array([r.randrange(1 << 40) for _ in sizes], np.int64)
+        whole = set(line_dedup.runs(lines, sizes, np.array([0, len(lines)]))[1].tolist())
+        for s in range(len(lines)):
+            for e in range(s + 1, len(lines) + 1):
+                part = line_dedup.runs(lines[s:e], sizes[s:e], np.array([0, e - s]))[1].tolist()
+                assert set(part) <= whole and bool(part) == (sizes[s:e].sum() >= line_dedup.BLOCK)
+
+
+def all_pairs(texts):
+    """Every pair of documents aligned."""
+    parsed = [t.split("\n") for t in texts]
+    out = []
+    for d, later in enumerate(parsed):
+        gone = set()
+        for earlier in parsed[:d]:
+            gone |= set(common_blocks(earlier, later, [len(x.encode()) for x in later]))
+        out.append("\n".join(x for i, x in enumerate(later) if i not in gone))
+    return out
+
+
+def test_matches_all_pairs(spark):
+    r = random.Random(9)
+    pool = [[f"{i} {k} " + "word " * r.randrange(12) + "." for k in range(r.randrange(2, 6))] for i in range(12)]
+    rows = []
+    for d in range(45):
+        lines = []
+        for i in sorted(r.sample(range(12), r.randrange(5))):
+            lines += [f"own {d} {i}", *[x.strip() for x in pool[i]]]
+        rows.append("\n".join([*lines, f"end {d}"]))
+    want = all_pairs(rows)
+    assert text_column(spark, rows) == want and sum(x != y for x, y in zip(rows, want, strict=True)) > 15
