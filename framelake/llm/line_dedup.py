@@ -4,7 +4,8 @@ Documents that share a block are found through hashes of runs: the shortest runs
 bytes that begin or end at each line. Each run points to the earliest document that holds it, so a run in k
 documents makes k - 1 pairs, however large k is. Every line of a block that two documents share lies in such a
 run within the block, so the later one meets a document that holds that run. The two line sequences are aligned with patience
-diff (lines unique on both sides, their longest rising run, then the same within the gaps), and aligned
+diff (lines unique on both sides, their longest rising run, then the same within the gaps; in gaps without such
+lines the heaviest common block, then the same on both sides of it), and aligned
 common blocks with enough text are deleted from the later document. Blocks are judged on the input, not on
 what another pair leaves.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -122,8 +124,54 @@ def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) ->
     return out[::-1]
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Matched positions of two sequences by patience diff, rising on both sides."""
+def _heaviest(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int, before: list[int]) -> tuple[int, int, int, int]:
+    """The heaviest block common to both ranges, (weight, place in a, place in b, lines), by a suffix automaton of a."""
+    follow: list[dict[int, int]] = [{}]
+    link, length, end, last = [-1], [0], [a0], 0
+    for i in range(a0, a1):
+        c, cur, p = a[i], len(follow), last
+        follow.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        end.append(i + 1)
+        while p >= 0 and c not in follow[p]:
+            follow[p][c] = cur
+            p = link[p]
+        if p >= 0:
+            q = follow[p][c]
+            if length[p] + 1 == length[q]:
+                link[cur] = q
+            else:
+                clone = len(follow)
+                follow.append(dict(follow[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                end.append(end[q])
+                while p >= 0 and follow[p].get(c) == q:
+                    follow[p][c] = clone
+                    p = link[p]
+                link[q] = link[cur] = clone
+        last = cur
+    best, state, n = (0, a0, b0, 0), 0, 0
+    for j in range(b0, b1):
+        while state and b[j] not in follow[state]:
+            state = link[state]
+            n = length[state]
+        if b[j] in follow[state]:
+            state, n = follow[state][b[j]], n + 1
+        weight = before[j + 1] - before[j + 1 - n]
+        if weight > best[0]:
+            best = (weight, end[state] - n, j + 1 - n, n)
+    return best
+
+
+def patience(a: list[int], b: list[int], sizes: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
+    """Matched positions of two sequences by patience diff, rising on both sides.
+
+    Gaps without lines unique on both sides are matched by their heaviest common blocks of at least ``least``;
+    ``sizes`` are the weights of ``b``, 1 each by default.
+    """
+    before = [0, *accumulate([1] * len(b) if sizes is None else sizes)]
     out: list[tuple[int, int]] = []
     work = [(0, len(a), 0, len(b))]
     while work:
@@ -138,6 +186,13 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             continue
         found = _anchors(a, b, a0, a1, b0, b1)
         if not found:
+            both = set(a[a0:a1]).intersection(b[b0:b1])
+            if sum(before[j + 1] - before[j] for j in range(b0, b1) if b[j] in both) < least:
+                continue
+            weight, i, j, n = _heaviest(a, b, a0, a1, b0, b1, before)
+            if weight >= least:
+                out += [(i + k, j + k) for k in range(n)]
+                work += [(a0, i, b0, j), (i + n, a1, j + n, b1)]
             continue
         i0, j0 = a0, b0
         for i, j in [*found, (a1, b1)]:
@@ -154,7 +209,7 @@ def common_blocks(earlier: list[int], later: list[int], sizes: list[int], least:
     out: list[int] = []
     block: list[int] = []
     previous = (-2, -2)
-    for i, j in [*patience(earlier, later), (-9, -9)]:
+    for i, j in [*patience(earlier, later, sizes, least), (-9, -9)]:
         if block and (i, j) != (previous[0] + 1, previous[1] + 1):
             if sum(sizes[k] for k in block) >= least:
                 out += block

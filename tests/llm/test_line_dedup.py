@@ -130,3 +130,19 @@ def test_matches_all_pairs(spark):
         rows.append("\n".join([*lines, f"end {d}"]))
     want = all_pairs(rows)
     assert text_column(spark, rows) == want and sum(x != y for x, y in zip(rows, want, strict=True)) > 15
+
+
+def test_short_lines_and_repeated_passages(spark):
+    verse = [f"short line {k}" for k in range(9)]
+    rows = ["\n".join(x) for x in (["x", *verse, "y"], ["p", *verse, "q"], ["u", *verse, "v", *verse, "w"])]
+    assert text_column(spark, rows) == [rows[0], "p\nq", "\n".join(["u", "v", *verse, "w"])]
+
+
+def test_heaviest_block_of_gaps_without_unique_lines():
+    r = random.Random(6)
+    for _ in range(300):
+        a, b = ([r.randrange(4) for _ in range(r.randrange(1, 15))] for _ in range(2))
+        before = [0, *np.cumsum([r.randrange(1, 9) for _ in b]).tolist()]
+        want = max(before[e] - before[s] for s in range(len(b)) for e in range(s, len(b) + 1) if any(a[i : i + e - s] == b[s:e] for i in range(len(a))))
+        weight, i, j, n = line_dedup._heaviest(a, b, 0, len(a), 0, len(b), before)
+        assert weight == want == before[j + n] - before[j] and a[i : i + n] == b[j : j + n]
