@@ -39,12 +39,13 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(component)], names=["v", "component"])
 
 
-def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable vertex of every vertex in ``edges`` (a, b: long).
 
     Returns (v, component). Up to WHOLE edges, a bounded number, are solved by one task. More are solved in
-    rounds: each takes the least label among the neighbours and then the label of that label, so a chain of n
-    vertices needs about log n rounds; labels only fall, and the loop ends when their sum stays the same.
+    rounds, like least_labels: each vertex takes the least label among its neighbours and hands it to the vertex
+    that was its label, so whole trees hook on at once; then every vertex takes the label of its label. Labels
+    only fall, and the loop ends when their sum stays the same, after however many rounds that takes.
     Minima are combined before each shuffle, so a hub of any degree is no hot group. Null ends are ignored; an
     empty table gives an empty table.
     """
@@ -55,13 +56,15 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     both = write_table(kept.union(kept.select("b", "a")).toDF("a", "b").distinct(), "edges")
     labels = write_table(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("component")), "labels")
     before = None
-    for _ in range(rounds):
+    while True:
         total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if total == before:
             return labels
         before = total
         near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("component").alias("m"))
-        low = labels.join(near, labels.v == near.a, "left").select("v", F.least("component", "m").alias("low"))
+        low = labels.join(near, labels.v == near.a, "left").select("v", "component", F.least("component", "m").alias("low"))
+        # Each vertex's own offer, and the one it hands to its label; labels are vertices, so no vertex is new.
+        offers = low.select("v", "low").union(low.where("low < component").select("component", "low"))
+        labels = write_table(offers.groupBy("v").agg(F.min("low").alias("component")), "labels")
         up = labels.select(F.col("v").alias("u"), F.col("component").alias("jump"))
-        labels = write_table(low.join(up, F.col("low") == F.col("u"), "left").select("v", F.least("low", "jump").alias("component")), "labels")
-    raise RuntimeError(f"components still change after {rounds} rounds")
+        labels = write_table(labels.join(up, F.col("component") == F.col("u")).select("v", F.col("jump").alias("component")), "labels")

@@ -44,3 +44,16 @@ def test_components(spark, monkeypatch, whole):
     got = {r["v"]: r["component"] for r in graph.connected_components(df).collect()}
     assert got == brute_force(edges)
     assert graph.connected_components(df.limit(0)).collect() == []
+
+
+def test_rounds_on_a_chain_of_shuffled_ids(spark, monkeypatch):
+    monkeypatch.setattr(graph, "WHOLE", 0)
+    rounds = []
+    write = graph.write_table
+    monkeypatch.setattr(graph, "write_table", lambda df, name: rounds.append(name) or write(df, name))
+    ids = random.Random(3).sample(range(10_000), 1500)
+    down = [20_000, *range(21_500, 20_000, -1)]
+    edges = [e for chain in (ids, down) for e in zip(chain, chain[1:], strict=False)]
+    got = {r["v"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: 20_000 for v in down} | {v: min(ids) for v in ids}
+    assert rounds.count("labels") <= 40
