@@ -6,8 +6,9 @@ conditional log-probabilities of its words score a document.
 
 Word counts, classes and shares come from all documents. Training runs where the data lies: every group of
 documents improves the shared weights on its own words, on every ``stride``-th position of every document, and
-the weights are averaged by the words they saw; this repeats for ROUNDS rounds. So what is counted and what is
-trained on grow with the corpus. Only weights, and the counts of the TOP words, come to the driver.
+the weights are averaged by the words they saw; this repeats for ROUNDS rounds. STRIDE is ROUNDS and each round
+takes another residue, so every word of every document is a target once. Only weights, the counts of the TOP
+words and the sums of the classes come to the driver; the shares of other words are joined from the counts.
 
 Null or empty texts, or texts of white space: no words, score 0, mean null. Repeated rows give repeated rows and
 count as often as they stand. Equal counts are ordered by the word's hash. An empty table gives an empty table.
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from .common import slices, tune, write_table
 HEAD, TAIL, HIDDEN, TOP = 96, 32, 24, 32_768
 CLASSES = HEAD + TAIL
 OFFSETS = (-2, -1, 1, 2)
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 512, 0.1
+ROUNDS, STRIDE, BATCH, RATE = 2, 2, 512, 0.1
 #: Documents of one training group are those of one task; its text is bounded by the scan's partition size.
 PIECE = 8192
 
@@ -42,22 +44,35 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """Class and log share within the class of every word, known or not."""
+    """Class and log share within the class of every word, known or not.
 
-    def __init__(self, top: list[tuple[int, int]], words: int, total: int) -> None:
+    ``counts`` (word, n), where given, has all words, and ``rest`` the summed counts of those beyond ``top`` by class.
+    """
+
+    def __init__(self, top: list[tuple[int, int]], words: int, total: int, rest: np.ndarray | None = None, counts: DataFrame | None = None) -> None:
         ids = np.array([w for w, _ in top], np.int64).view(np.uint64)
         n = np.array([c for _, c in top], np.float64)
         order = np.argsort(ids)
         self.ids = ids[order]
         cls = np.where(np.arange(len(ids)) < HEAD, np.arange(len(ids)), HEAD + (ids % np.uint64(TAIL)).astype(np.int64))
         unknown_words, unknown = max(words - len(ids), 1), max(total - n.sum(), 1.0)
-        mass = np.bincount(cls, n, CLASSES) + np.where(np.arange(CLASSES) >= HEAD, unknown / TAIL, 0.0)
+        mass = np.bincount(cls, n, CLASSES) + (np.where(np.arange(CLASSES) >= HEAD, unknown / TAIL, 0.0) if rest is None else rest)
+        self.mass, self.counts = mass, counts
         self.classes = cls[order].astype(np.int64)
         self.share = np.log(n / mass[cls])[order] if len(ids) else np.zeros(0)
         rare = unknown / unknown_words
         with np.errstate(divide="ignore"):
             self.rare = np.log(np.where(np.arange(CLASSES) >= HEAD, rare / np.maximum(mass, rare), 1.0))
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"counts": None}
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether words have counts of their own here."""
+        if not len(self.ids):
+            return np.zeros(len(hashes), bool)
+        return self.ids[np.minimum(np.searchsorted(self.ids, hashes), len(self.ids) - 1)] == hashes
+
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cls = HEAD + (hashes % np.uint64(TAIL)).astype(np.int64)
         share = self.rare[cls]
@@ -116,8 +131,11 @@ class Network:
             back = (p @ self.w.T) * (1 - h * h)
             self.w -= rate / len(t) * 4 * (h.T @ p)
             self.b -= rate / len(t) * 4 * p.sum(axis=0)
+            back *= -rate / len(t) * 16
             for k in range(len(OFFSETS)):
-                np.add.at(self.e[k], c[k], -rate / len(t) * 16 * back)
+                hot = np.zeros((CLASSES + 1, len(t)), np.float32)
+                hot[c[k], np.arange(len(t))] = 1.0
+                self.e[k] += hot @ back
 
 
 def contexts(cls: np.ndarray, border: np.ndarray) -> np.ndarray:
@@ -133,13 +151,23 @@ def contexts(cls: np.ndarray, border: np.ndarray) -> np.ndarray:
     return out
 
 
+def _rest(counts: DataFrame, top: list) -> np.ndarray:
+    """Summed counts of the words beyond ``top`` by class; TAIL divides 2 ** 64, so signs of hashes don't matter."""
+    out = np.zeros(CLASSES)
+    for r in counts.groupBy(F.pmod("word", F.lit(TAIL)).alias("c")).agg(F.sum("n").alias("n")).collect():
+        out[HEAD + r["c"]] = r["n"]
+    for r in top:
+        out[HEAD + r["word"] % TAIL] -= r["n"]
+    return out
+
+
 def learn(texts: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[Vocabulary, Network]:
     """Vocabulary and network from all rows of ``texts`` (text)."""
     spark = texts.sparkSession
     counts = write_table(texts.select("text").mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     size = counts.agg(F.count("*").alias("words"), F.sum("n").alias("total")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(TOP).collect()
-    vocabulary, network = Vocabulary([(r["word"], r["n"]) for r in top], size["words"], size["total"] or 0), Network()
+    vocabulary, network = Vocabulary([(r["word"], r["n"]) for r in top], size["words"], size["total"] or 0, _rest(counts, top), counts), Network()
     if not top:
         return vocabulary, network
     for turn in range(rounds):
@@ -151,7 +179,7 @@ def learn(texts: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> tuple
                 hashes, border = K.word_hashes(*K.text_bytes(batch.column("text")))
                 cls, _ = words.look_up(hashes)
                 place = np.arange(len(cls)) - np.repeat(border[:-1], np.diff(border))
-                chosen = np.flatnonzero(place % stride == (turn * 7) % stride)
+                chosen = np.flatnonzero(place % stride == turn % stride)
                 chosen = chosen[np.random.default_rng(len(cls)).permutation(len(chosen))]
                 own.improve(contexts(cls, border)[:, chosen], cls[chosen])
                 seen += len(chosen)
@@ -174,18 +202,33 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network] | None = None) -> D
     spark = docs.sparkSession
     tune(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(model or learn(texts))
+    vocabulary, network = model or learn(texts)
+    counts, mass, apart = vocabulary.counts, vocabulary.mass, vocabulary.counts is not None
+    shared = spark.sparkContext.broadcast((vocabulary, network))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, network = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
             hashes, border = K.word_hashes(*K.text_bytes(batch.column("text")))
             cls, share = vocabulary.look_up(hashes)
-            each = network.log_probability(contexts(cls, border), cls) + share
+            rare = ~vocabulary.known(hashes) if apart else np.zeros(len(hashes), bool)
+            each = network.log_probability(contexts(cls, border), cls) + np.where(rare, 0.0, share)
             sums = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
-            n = np.diff(border)
-            total = sums[border[1:]] - sums[border[:-1]]
-            mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total), mean], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return texts.mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+            left = np.concatenate([[0], np.cumsum(rare)])[border].astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(left), pa.array(hashes[rare].view(np.int64)))
+            rows = np.arange(row, row + batch.num_rows)
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("doc_id"), pa.array(np.diff(border).astype(np.int64)), pa.array(sums[border[1:]] - sums[border[:-1]]), words], names=["row", "doc_id", "n_words", "part", "words"])
+
+    scored = write_table(texts.mapInArrow(run, "row long, doc_id long, n_words long, part double, words array<long>"), "scored")
+    total = F.col("part")
+    if apart:
+        sizes = F.array(*[F.lit(float(m)) for m in mass[HEAD:]])
+        share = F.log(F.col("n") / F.element_at(sizes, (F.pmod("word", F.lit(TAIL)) + 1).cast("int")))
+        held = scored.select("row", F.explode("words").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+        # Words that no document of the model has count once, as rarest.
+        shares = held.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(1))).groupBy(F.col("row").alias("r")).agg(F.sum(F.col("times") * share).alias("rare"))
+        scored = scored.join(shares, F.col("row") == F.col("r"), "left")
+        total = total + F.coalesce("rare", F.lit(0.0))
+    return scored.select("doc_id", "n_words", total.alias("log_prob"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_prob"))

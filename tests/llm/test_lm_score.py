@@ -62,3 +62,36 @@ def test_edges(docs, texts, no_docs):
         assert r["log_prob"] <= 1e-9 and np.isfinite(r["log_prob"])
     assert score(no_docs).collect() == []
     assert prose(1, 3)
+
+
+def test_production_rounds_train_on_every_word(spark, monkeypatch):
+    from framelake.llm import lm_score
+
+    assert {turn % lm_score.STRIDE for turn in range(lm_score.ROUNDS)} == set(range(lm_score.STRIDE))
+    # In texts of two words, the second must be a target too.
+    frame = spark.createDataFrame([(i, " ".join(("a", "b") if i % 2 else ("c", "d"))) for i in range(6000)], "doc_id long, text string").coalesce(1)
+    vocabulary, network = learn(frame)
+    cls = vocabulary.look_up(K.word_hashes(np.frombuffer(b"a b c d", np.uint8), np.array([0, 7]))[0])[0]
+    edge = CLASSES
+    context = np.array([[edge] * 2, [cls[0], cls[2]], [edge] * 2, [edge] * 2])
+    good, bad = network.log_probability(context, cls[[1, 3]]), network.log_probability(context, cls[[3, 1]])
+    assert (good > bad + 1).all()
+
+
+def test_words_beyond_top_have_their_own_shares(spark, monkeypatch):
+    from framelake.llm import lm_score
+
+    monkeypatch.setattr(lm_score, "TOP", 2)
+    texts = ["the of " * 50 + "often " * 20 + "seldom", "the often", "the seldom", "", None]
+    frame = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    model = learn(frame)
+    n = Counter(w for t in texts for w in (t or "").split())
+    hashed = {w: int(K.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]) for w in n}
+    want = []
+    for i, t in enumerate(texts):
+        words = (t or "").split()
+        cls, _ = model[0].look_up(np.array([hashed[w] for w in words], np.uint64))
+        each = model[1].log_probability(contexts(cls, np.array([0, len(cls)])), cls) if words else np.zeros(0)
+        tail = {w: sum(n[x] for x in n if x not in ("the", "of") and hashed[x] % lm_score.TAIL == hashed[w] % lm_score.TAIL) for w in words}
+        want.append((i % 3, len(words), round(float(sum(each) + sum(np.log(n[w] / tail[w]) for w in words if w not in ("the", "of"))), 2)))
+    assert sorted((r["doc_id"], r["n_words"], round(r["log_prob"], 2)) for r in score(frame, model).collect()) == sorted(want)
