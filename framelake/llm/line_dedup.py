@@ -270,7 +270,8 @@ def remove_common_blocks(docs: DataFrame, rare: int | None = RARE) -> DataFrame:
     aligned = dealt.join(known, "doc_id").join(earlier, ["earliest", "copy"]).select("doc_id", "earlier", "lines", "sizes").mapInArrow(_align, "doc_id long, gone array<int>")
     gone = write_table(aligned.where(F.size("gone") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone_")).withColumnRenamed("doc_id", "gone_id_"), "gone")
 
-    joined = docs.join(gone, docs["doc_id"] == gone["gone_id_"], "left")
+    # Never broadcast: the table grows with the corpus.
+    joined = docs.join(gone.hint("merge"), docs["doc_id"] == gone["gone_id_"], "left")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
     new = F.when(F.col("gone_").isNotNull(), _without(F.when(F.col("gone_").isNotNull(), F.col("text")), "gone_")).otherwise(F.col("text"))
     kept = [new.alias(c) if c == "text" else F.col(c) for c in docs.columns]
