@@ -33,7 +33,7 @@ from .common import slices, tune, write_table
 #: Bytes of a long line; bytes that a deleted block has at least.
 LONG, BLOCK = 24, 60
 #: Documents that a rare line is in at most, for callers that want such a cap; the queries have none.
-RARE: int | None = None
+RARE = 50
 #: Later documents that meet one copy of an earlier document in one group.
 FAN = 1000
 
@@ -250,7 +250,7 @@ def _shared_lines(known: DataFrame, rare: int) -> DataFrame:
     return shared.join(n_long, "doc_id").where((F.col("rarest") <= rare) | (2 * F.col("both") >= F.col("n_long")))
 
 
-def remove_common_blocks(docs: DataFrame, rare: int | None = RARE) -> DataFrame:
+def remove_common_blocks(docs: DataFrame, rare: int | None = None) -> DataFrame:
     """All columns of ``docs`` with the new ``text``, and before them n_lines_in_ and n_lines_out_ (long).
 
     With ``rare``, documents meet the earliest holders of their single long lines instead, and only pairs count
