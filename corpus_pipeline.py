@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as
 the next stage's docs. All stages but the last return the columns of documents.
+
+Every stage takes null, empty and very long texts, null ids, ids that several rows share and an empty table:
+the first stage drops texts without letters (null and empty ones too); after it rows with a null id are never
+dropped nor cut; rows that share an id are judged each by its own text; no rows give no rows. Repeated rows
+stay or go alike. Columns beyond those of documents stay up to the last stage, whatever they are called.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import decontaminate, langid, line_dedup, minhash, mixing
-from framelake.llm.common import read_table, write_table
+from framelake.llm.common import drop_tables, read_table, without_rows, write_table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,17 +27,18 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document has go from the later one; n_chars follows."""
     done = line_dedup.remove_common_blocks(docs)
-    return done.select(*[F.when(F.col("n_lines_out_") < F.col("n_lines_in_"), F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    lines_in, lines_out = done.columns[:2]
+    cut = F.col(lines_out) < F.col(lines_in)
+    return done.select(*[F.when(cut, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates stays; rows that share an id are judged one by one."""
+    return without_rows(docs, minhash.near_duplicates(docs).where("not kept").select("doc_id", "key")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; rows that share an id are judged one by one."""
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
@@ -53,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_tables(before)
+        before = docs
     return docs

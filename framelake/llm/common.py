@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch sent to Python; texts can be long, so batches stay short.
 ARROW_ROWS = 512
@@ -28,9 +29,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; an own one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; an own one only in local mode where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="framelake-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -45,6 +48,36 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables of ``write_table`` that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_key(text: Column) -> Column:
+    """A hash of the text (null: 0) that tells rows of one id apart; only ever joined on together with the id."""
+    return F.coalesce(F.xxhash64(F.lit("text"), text.cast("string")), F.lit(0)).cast("long")
+
+
+def own_name(columns: list[str], stem: str) -> str:
+    """A column name that is not among ``columns``, whatever the case of its letters."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def without_rows(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose (doc_id, text_key) stands in ``bad`` (doc_id, key); null ids stay."""
+    one, two = own_name(docs.columns, "bad_id"), own_name(docs.columns, "bad_key")
+    gone = bad.select(F.col("doc_id").alias(one), F.col("key").alias(two)).distinct()
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col(one)) & (text_key(F.col("text")) == F.col(two)), "left_anti")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` (string or binary) holds about ``most`` bytes in each."""
     for batch in batches:

@@ -11,11 +11,15 @@ what another pair leaves.
 
 Lines are compared without white space at both ends. Null text: no lines, stays null. Empty text: one empty
 line, stays. A document all of whose lines go keeps its row with an empty text. Rows that share a doc_id
-are never deduplicated against each other; a null doc_id is left alone. An empty table gives an empty table.
+are never deduplicated against each other, and each loses only lines of its own text; where two of them hold
+a run first, the text with the lesser key is the earlier one. A null doc_id is left alone. Texts count whole,
+however long; work is dealt out by lines. Extra columns stay, whatever they are called. An empty table gives
+an empty table.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -28,14 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import kernels as K
-from .common import slices, tune, write_table
+from .common import own_name, slices, text_key, tune, write_table
+from .graph import look_up
 
-#: Bytes of a long line; bytes that a deleted block has at least.
-LONG, BLOCK = 24, 60
-#: Documents that a rare line is in at most, for callers that want such a cap; the queries have none.
-RARE = 50
-#: Later documents that meet one copy of an earlier document in one group.
-FAN = 1000
+#: Bytes that a deleted block has at least.
+BLOCK = 60
+#: Later documents, and lines of them, in a group of alignments.
+FAN, LINES = 1000, 1_000_000
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +63,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.where(some, np.append(solid, 0)[np.maximum(hi - 1, 0)] + 1, start)
         hashes = K.span_hash(*K.prefix_hash(data), start, end)
         lists = [pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(x)) for x in (hashes.view(np.int64), (end - start).astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "lines", "sizes"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *lists], names=["doc_id", "key", "lines", "sizes"])
 
 
 #: Base of the hashes of runs (odd, so it has an inverse modulo 2 ** 64) and the factors that mix line hashes.
@@ -96,7 +99,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, sizes = batch.column("lines"), batch.column("sizes")
         border = np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy())])
         owner, found = runs(lines.flatten().to_numpy(), sizes.flatten().to_numpy(), border)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(found.view(np.int64))], names=["doc_id", "run"])
+        owner = pa.array(owner)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), batch.column("key").take(owner), pa.array(found.view(np.int64))], names=["doc_id", "key", "run"])
 
 
 def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -219,10 +223,22 @@ def common_blocks(earlier: list[int], later: list[int], sizes: list[int], least:
     return out
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        gone = [common_blocks(a, b, s) for a, b, s in zip(*(batch.column(c).to_pylist() for c in ("earlier", "lines", "sizes")), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
+def _align(table: pa.Table) -> pa.Table:
+    """Lines to delete from each later document; the earlier ones (doc_id null) stand in the group once each."""
+    earlier, later = (table.filter(x) for x in (table.column("doc_id").is_null(), table.column("doc_id").is_valid()))
+    line_lists = dict(zip(zip(*(earlier.column(c).to_pylist() for c in ("earliest", "earliest_key")), strict=True), earlier.column("lines"), strict=True))
+    doc_id, key, gone, held = [], [], [], (None, [])
+    order = later.sort_by([("earliest", "ascending"), ("earliest_key", "ascending")])
+    for d, k, e, ek, lines, sizes in zip(*(order.column(c) for c in ("doc_id", "key", "earliest", "earliest_key", "lines", "sizes")), strict=True):
+        name = (e.as_py(), ek.as_py())
+        if held[0] != name:
+            held = (name, line_lists[name].as_py())
+        found = common_blocks(held[1], lines.as_py(), sizes.as_py())
+        if found:
+            doc_id.append(d.as_py())
+            key.append(k.as_py())
+            gone.append(found)
+    return pa.table({"doc_id": pa.array(doc_id, pa.int64()), "key": pa.array(key, pa.int64()), "gone": pa.array(gone, pa.list_(pa.int32()))})
 
 
 @F.pandas_udf(StringType())
@@ -235,44 +251,43 @@ def _kept(text: str, gone: set[int]) -> str:
 
 
 def _shared_runs(known: DataFrame) -> DataFrame:
-    """Documents with the earliest holder of each of their runs."""
-    held = known.select("doc_id", "lines", "sizes").mapInArrow(_runs, "doc_id long, run long")
-    first = held.groupBy("run").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("earliest < latest").drop("latest")
-    return held.join(first, "run").where("doc_id > earliest")
-
-
-def _shared_lines(known: DataFrame, rare: int) -> DataFrame:
-    """Documents with the earliest holder of each of their long lines, where a line is rare or half of the lines are shared."""
-    long = known.select("doc_id", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("lines", "sizes"), lambda x: x["sizes"] >= LONG), lambda x: x["lines"]))).alias("line"))
-    first = long.groupBy("line").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count("*").alias("in_docs")).where("earliest < latest").drop("latest")
-    shared = long.join(first, "line").where("doc_id > earliest").groupBy("doc_id", "earliest").agg(F.min("in_docs").alias("rarest"), F.count("*").alias("both"))
-    n_long = known.select("doc_id", F.size(F.filter("sizes", lambda n: n >= LONG)).alias("n_long"))
-    return shared.join(n_long, "doc_id").where((F.col("rarest") <= rare) | (2 * F.col("both") >= F.col("n_long")))
+    """Rows with the earliest holder of each of their runs: doc_id, key, earliest, earliest_key."""
+    held = write_table(known.mapInArrow(_runs, "doc_id long, key long, run long"), "runs")
+    first = held.groupBy("run").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.max("doc_id").alias("latest")).where("first.doc_id < latest").select("run", "first")
+    met = look_up(held, "run", write_table(first, "first"), held.count(), "first").where("doc_id > first.doc_id")
+    return met.select("doc_id", "key", F.col("first.doc_id").alias("earliest"), F.col("first.key").alias("earliest_key"))
 
 
-def remove_common_blocks(docs: DataFrame, rare: int | None = None) -> DataFrame:
+def remove_common_blocks(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with the new ``text``, and before them n_lines_in_ and n_lines_out_ (long).
 
-    With ``rare``, documents meet the earliest holders of their single long lines instead, and only pairs count
-    that share a line in at most so many documents, or half of the later document's long lines.
+    Where ``docs`` has columns of these names, the new ones get one more underscore.
     """
     tune(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = write_table(texts.where("doc_id is not null").mapInArrow(_lines, "doc_id long, lines array<long>, sizes array<int>"), "lines")
-    shared = _shared_runs(known) if rare is None else _shared_lines(known, rare)
-    pairs = write_table(shared.select("doc_id", "earliest").distinct(), "pairs")
-
-    # An earlier document of many pairs stands in several copies, so no group grows with the corpus.
-    copies = pairs.groupBy("earliest").agg(F.ceil(F.count("*") / FAN).cast("int").alias("copies"))
-    earlier = known.select(F.col("doc_id").alias("earliest"), F.col("lines").alias("earlier")).dropDuplicates(["earliest"])
-    earlier = earlier.join(copies, "earliest").select("earliest", "earlier", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    dealt = pairs.join(copies, "earliest").select("doc_id", "earliest", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int").alias("copy"))
-    aligned = dealt.join(known, "doc_id").join(earlier, ["earliest", "copy"]).select("doc_id", "earlier", "lines", "sizes").mapInArrow(_align, "doc_id long, gone array<int>")
-    gone = write_table(aligned.where(F.size("gone") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone_")).withColumnRenamed("doc_id", "gone_id_"), "gone")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", text_key(F.col("text")))
+    known = write_table(texts.where("doc_id is not null").mapInArrow(_lines, "doc_id long, key long, lines array<long>, sizes array<int>"), "lines")
+    pairs = write_table(_shared_runs(known.select("doc_id", "key", "lines", "sizes")).distinct(), "pairs")
+
+    # An earlier document of many pairs or long partners stands in several copies, so no group grows with the corpus.
+    one = known.dropDuplicates(["doc_id", "key"])
+    load = F.lit(1.0 / FAN) + F.size("lines") / F.lit(float(LINES))
+    later = pairs.join(one, ["doc_id", "key"]).withColumn("load", load)
+    copies = write_table(pairs.join(one.select("doc_id", "key", load.alias("load")), ["doc_id", "key"]).groupBy("earliest", "earliest_key").agg(F.ceil(F.sum("load")).cast("int").alias("copies"), F.sum("load").alias("load")), "copies")
+    groups = max(1, math.ceil(copies.agg(F.sum("load")).first()[0] or 0))
+    group = F.pmod(F.xxhash64("earliest", "earliest_key", "copy"), F.lit(groups)).alias("g")
+    earlier = copies.join(one.select(F.col("doc_id").alias("earliest"), F.col("key").alias("earliest_key"), "lines"), ["earliest", "earliest_key"])
+    earlier = earlier.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(group, "earliest", "earliest_key", "lines").distinct()
+    dealt = later.join(copies.drop("load"), ["earliest", "earliest_key"]).withColumn("copy", F.pmod(F.xxhash64("doc_id", "key"), F.col("copies")).cast("int"))
+    dealt = dealt.select(group, "doc_id", "key", "earliest", "earliest_key", "lines", "sizes")
+    earlier = earlier.select("g", F.lit(None).cast("long"), F.lit(None).cast("long"), "earliest", "earliest_key", "lines", F.lit(None).cast("array<int>"))
+    aligned = dealt.union(earlier).groupBy("g").applyInArrow(_align, "doc_id long, key long, gone array<int>")
+    id_, key_, gone_ = (own_name(docs.columns, x) for x in ("gone_id", "gone_key", "gone"))
+    gone = write_table(aligned.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")).toDF(id_, key_, gone_), "gone")
 
     # Never broadcast: the table grows with the corpus.
-    joined = docs.join(gone.hint("merge"), docs["doc_id"] == gone["gone_id_"], "left")
+    joined = docs.join(gone.hint("merge"), (F.col("doc_id").cast("long") == F.col(id_)) & (text_key(F.col("text")) == F.col(key_)), "left")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
-    new = F.when(F.col("gone_").isNotNull(), _without(F.when(F.col("gone_").isNotNull(), F.col("text")), "gone_")).otherwise(F.col("text"))
+    new = F.when(F.col(gone_).isNotNull(), _without(F.when(F.col(gone_).isNotNull(), F.col("text")), gone_)).otherwise(F.col("text"))
     kept = [new.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(lines.alias("n_lines_in_"), (lines - F.coalesce(F.size("gone_"), F.lit(0))).alias("n_lines_out_"), *kept)
+    names = [own_name(docs.columns, x) for x in ("n_lines_in_", "n_lines_out_")]
+    return joined.select(lines.alias(names[0]), (lines - F.coalesce(F.size(gone_), F.lit(0))).alias(names[1]), *kept)

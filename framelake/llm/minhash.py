@@ -6,16 +6,19 @@ second permutation ranks it. Coordinates are banded, and texts that meet in a bu
 their full shingle sets.
 
 Texts with the same shingle set form one class before banding, so copies cost one row. In a bucket not
-all pairs are made: members are first compared with one hub, then with the member that has most links,
-in rising numbers of hubs; at last every pair of a bucket that no chain of confirmed links joins yet is
-compared too. A component is complete for the pairs that share a bucket.
-
-Nulls, empty texts: no shingles, linked with nothing. Repeated rows are copies of each other. A null
-doc_id stays alone (component_id null, kept true). An empty table gives an empty table.
+all pairs are made: members are first compared with one hub, then with the members that have most links; at
+last the pairs of a bucket that no chain of confirmed links joins yet are compared in pairs of tiles. A
+component is complete for the pairs that share a bucket.
+
+Nulls, empty texts: no shingles, linked with nothing. Repeated rows are copies of each other. Rows that share
+a doc_id but not the text are judged each by its own text; the smallest id that a row reaches names its
+component. A null doc_id stays alone (component_id null, kept true). Texts of any length count whole. Equal
+candidates for a hub: the smaller id. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import slices, tune, write_table
-from .graph import connected_components
+from .common import drop_tables, slices, text_key, tune, write_table
+from .graph import connected_components, least_names, look_up
 from .tiles import deal, pairs_of_tiles, roots
 
 BANDS, ROWS = 32, 4
@@ -79,13 +82,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         border_out = np.zeros(batch.num_rows + 1, np.int32)
         border_out[1:] = np.cumsum(np.where(n > 0, BANDS, 0))
         bands = pa.ListArray.from_arrays(pa.array(border_out), pa.array(keys.reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(one[0].view(np.int64)), pa.array(one[1].view(np.int64)), bands], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n.astype(np.int64)), pa.array(one[0].view(np.int64)), pa.array(one[1].view(np.int64)), bands], names=["doc_id", "key", "n_shingles", "d1", "d2", "bands"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         values, border = _sets(batch)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(values.view(np.int64)))], names=["rep", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(values.view(np.int64)))], names=["rep", "shingles"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -99,43 +102,48 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, ...)."""
+    """doc_id, n_shingles, component_id, kept, key (the text_key) for every row of ``docs`` (doc_id, text, ...)."""
     spark = docs.sparkSession
     tune(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = write_table(texts.mapInArrow(_describe, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "minhash")
-    usable = seen.where("n_shingles > 0 and doc_id is not null")
-    classes = write_table(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n")), "classes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", text_key(F.col("text")))
+    seen = write_table(texts.mapInArrow(_describe, "doc_id long, key long, n_shingles long, d1 long, d2 long, bands array<long>").withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("d1", "d2"))), "minhash")
+    classes = write_table(seen.where("rep is not null").groupBy("rep").agg(F.min(F.struct("doc_id", "key")).alias("one"), F.first("bands").alias("bands")), "classes")
 
     placed = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("hub")).where("members > 1")
     member = write_table(placed.join(shared, "bucket").select("bucket", "rep", "hub"), "buckets")
-    wanted = member.select("rep").distinct()
-    sets = write_table(texts.join(wanted, texts.doc_id == wanted.rep, "left_semi").mapInArrow(_full_sets, "rep long, shingles array<long>").dropDuplicates(["rep"]), "sets")
+    wanted = member.select("rep").distinct().join(classes.select("rep", "one.doc_id", "one.key"), "rep")
+    sets = write_table(texts.join(wanted, ["doc_id", "key"]).select("rep", "text").mapInArrow(_full_sets, "rep long, shingles array<long>").dropDuplicates(["rep"]), "sets")
 
     stars = write_table(member.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links, tested = write_table(_confirm(stars, sets, percent), "links"), stars
     component = connected_components(links)
     for hubs in HUBS:
         degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-        known = member.select("bucket", "rep").join(component, member.rep == component.v, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = write_table(known.join(mixed, "bucket").join(degree, "rep", "left").select("bucket", "rep", "component", F.coalesce("degree", F.lit(0)).alias("degree")), "open")
+        open_ = write_table(_mixed(member, component).join(degree, "rep", "left").select("bucket", "rep", "component", F.coalesce("degree", F.lit(0)).alias("degree")), "open")
         top = _top(open_, hubs).select("bucket", F.col("h.rep").alias("y"), F.col("h.component").alias("cy"))
         fresh = open_.join(top, "bucket").where("component <> cy").select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).distinct()
         pairs = write_table(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
+        drop_tables(open_)
         if pairs.isEmpty():
             break
         links, tested = links.union(write_table(_confirm(pairs, sets, percent), "links")), tested.union(pairs)
         component = connected_components(links)
-    rest = _rest(stars, component, sets, percent)
-    if not rest.isEmpty():
-        component = connected_components(links.union(rest))
+    rest = _rest(member, component, sets, percent)
+    component = least_names(links.union(rest), classes.select("rep", "one.doc_id"))
+    drop_tables(member, sets, tested)
 
-    named = classes.join(component, classes.rep == component.v, "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("component"))
-    out = seen.select("doc_id", "n_shingles", "d1", "d2").join(named, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n_shingles") > 0), "left")
+    names = classes.select("rep", "one.doc_id").join(component, F.col("rep") == F.col("v"), "left").select("rep", F.coalesce("component", "doc_id").alias("component"))
+    out = look_up(seen.select("doc_id", "key", "n_shingles", "rep"), "rep", write_table(names, "names"), seen.count(), "component")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"), "key")
+
+
+def _mixed(member: DataFrame, component: DataFrame) -> DataFrame:
+    """Members (bucket, rep, component) of the buckets that confirmed links don't join yet."""
+    known = member.select("bucket", "rep").join(component, F.col("rep") == F.col("v"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    return known.join(mixed, "bucket")
 
 
 def _top(open_: DataFrame, hubs: int) -> DataFrame:
@@ -153,7 +161,7 @@ def _compare(percent: int) -> Callable[[pa.Table], pa.Table]:
         values, border = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         size = np.diff(border)
         reps, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for _, one, two in pairs_of_tiles(table, ["cand"]):
+        for _, one, two in pairs_of_tiles(table, ["bucket"]):
             open_ = (component[one][:, None] != component[two][None, :]) & (loose[one][:, None] | loose[two][None, :])
             if not open_.any():
                 continue
@@ -188,19 +196,20 @@ def _common(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _rest(stars: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(member: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that the hubs have missed.
 
-    Members that buckets connect are compared where confirmed links don't join them yet: those outside the
-    largest component of their candidates with all others, in pairs of tiles.
+    In buckets that confirmed links don't join yet, the members outside the bucket's largest component are
+    compared with all others of the bucket, in pairs of tiles.
     """
-    candidates = connected_components(stars).select(F.col("v").alias("rep"), F.col("component").alias("cand"))
-    known = candidates.join(component.select(F.col("v").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sized = known.join(sets.select("rep", F.size("shingles").alias("n")), "rep")
-    parts = sized.groupBy("cand", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-    groups = parts.groupBy("cand").agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max_by("component", "rows").alias("largest")).where("parts > 1")
-    mixed = write_table(groups.select("cand", "largest", F.greatest(F.ceil(F.col("rows") / TILE), F.ceil(F.col("n") / TILE_SHINGLES)).alias("tiles")), "mixed")
-    members = sized.join(mixed, "cand").select("cand", "rep", "component", (F.col("component") != F.col("largest")).alias("loose"), "tiles")
-    total = mixed.agg(F.sum("tiles")).first()[0] or 0
-    placed = deal(members.join(sets, "rep"), ["cand"], "rep", F.col("tiles"), max(1, int(total))).drop("tiles")
-    return write_table(placed.groupBy("g").applyInArrow(_compare(percent), "a long, b long"), "rest")
+    sized = write_table(_mixed(member, component).join(sets.select("rep", F.size("shingles").alias("n")), "rep"), "rest-members")
+    parts = sized.groupBy("bucket", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    groups = parts.groupBy("bucket").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max_by("component", F.struct("rows", "component")).alias("largest"))
+    weight = F.greatest(F.col("rows") / TILE, F.col("n") / TILE_SHINGLES)
+    mixed = write_table(groups.select("bucket", "largest", F.ceil(weight).alias("tiles"), weight.alias("weight")), "mixed")
+    members = sized.join(mixed, "bucket").select("bucket", "rep", "component", (F.col("component") != F.col("largest")).alias("loose"), "tiles")
+    total = mixed.agg(F.sum(F.col("tiles") * F.col("weight"))).first()[0] or 0
+    placed = deal(members.join(sets, "rep"), ["bucket"], "rep", F.col("tiles"), max(1, math.ceil(total))).drop("tiles")
+    found = write_table(placed.groupBy("g").applyInArrow(_compare(percent), "a long, b long").distinct(), "rest")
+    drop_tables(sized, mixed)
+    return found

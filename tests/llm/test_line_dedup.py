@@ -25,31 +25,36 @@ def lines_of(text):
     return None if text is None else text.split("\n")
 
 
+def run_tuples(lines, sizes):
+    """The shortest runs of BLOCK bytes that begin or end at each line."""
+    out = set()
+    for s in range(len(lines)):
+        for e in range(s + 1, len(lines) + 1):
+            if sum(sizes[s:e]) >= line_dedup.BLOCK:
+                out.add(tuple(lines[s:e]))
+                break
+    for e in range(1, len(lines) + 1):
+        for s in range(e - 1, -1, -1):
+            if sum(sizes[s:e]) >= line_dedup.BLOCK:
+                out.add(tuple(lines[s:e]))
+                break
+    return out
+
+
 def brute_force(rows):
-    """Every pair of documents in turn, without hashes."""
+    """Every document with the earliest holder of each of its runs, without hashes."""
     out = {}
     parsed = {d: [x.strip(" \t\n\x0b\x0c\r") for x in lines_of(t) or []] for d, t, *_ in rows}
     size = {d: [len(x.encode()) for x in ls] for d, ls in parsed.items()}
-    holders = {}
-    for d, ls in parsed.items():
-        for x in set(ls):
-            if len(x.encode()) >= line_dedup.LONG:
-                holders.setdefault(x, []).append(d)
+    runs = {d: run_tuples(ls, size[d]) for d, ls in parsed.items()}
     for d, t, *_ in rows:
-        gone, partners = set(), {}
-        for x in set(parsed[d]):
-            if x in holders and min(holders[x]) < d:
-                partners.setdefault(min(holders[x]), []).append(len(holders[x]))
-        n_long = sum(n >= line_dedup.LONG for n in size[d])
-        for p, df in partners.items():
-            if min(df) <= line_dedup.RARE or 2 * len(df) >= n_long:
-                gone |= set(common_blocks(parsed[p], parsed[d], size[d]))
+        partners = {min(e for e in runs if x in runs[e]) for x in runs[d]} - {d}
+        gone = {i for p in partners if p < d for i in common_blocks(parsed[p], parsed[d], size[d])}
         out[d] = None if t is None else "\n".join(x for i, x in enumerate(lines_of(t)) if i not in gone)
     return out
 
 
-def test_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "RARE", 6)
+def test_matches_brute_force(spark):
     r = random.Random(8)
     pool = [" ".join(r.choice(("alpha", "beta", "gamma", "delta")) for _ in range(r.randrange(2, 12))) + str(i) for i in range(60)]
     rows = []
@@ -61,7 +66,7 @@ def test_matches_brute_force(spark, monkeypatch):
         rows.append((i * 17 % 101, "\n".join(lines), "x", None))
     rows += [(300, None, "x", None), (301, "", "x", None), (302, "\n\n", "x", None), (303, rows[0][1], None, "é"), (304, "one very long line " * 2000, "x", None), (305, "one very long line " * 2000, "x", None)]
     df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, lang string, source string, lines int").repartition(3)
-    got = remove_common_blocks(df, rare=6).collect()
+    got = remove_common_blocks(df).collect()
     want = brute_force(rows)
     assert len(got) == len(rows) and got[0].asDict().keys() >= {"doc_id", "text", "lang", "source", "lines"}
     for x in got:
@@ -81,6 +86,15 @@ def text_column(spark, rows):
     return [x["text"] for x in sorted(remove_common_blocks(df).collect(), key=lambda x: x["doc_id"])]
 
 
+def test_rows_that_share_an_id_and_clashing_names(spark):
+    block = [f"line {k} of a block that two documents share" for k in range(3)]
+    rows = [(1, "\n".join(["a", *block])), (2, "\n".join(["b", *block, "c"])), (2, "an unrelated text\nof two lines, and a third one\nwhich stays as it is"), (2, "\n".join(["b", *block, "c"])), (None, "\n".join(block)), (3, "\n".join([*block, "d"])), (3, "x\n" + "\n".join(block))]
+    df = spark.createDataFrame([(*x, 1, 2, 3, 4, 5, 6) for x in rows], "doc_id long, text string, gone int, gone_ int, gone_id int, key int, n_lines_in_ int, earliest int").repartition(3)
+    got = remove_common_blocks(df)
+    assert got.columns[:2] == ["n_lines_in__", "n_lines_out_"] and got.columns[2:] == df.columns
+    assert sorted((str(x["doc_id"]), x["text"]) for x in got.collect()) == sorted([("1", rows[0][1]), ("2", "b\nc"), ("2", "b\nc"), ("2", rows[2][1]), ("None", rows[4][1]), ("3", "d"), ("3", "x")])
+
+
 def test_a_passage_in_many_documents_goes_from_all_but_the_first(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "FAN", 7)
     passage = [f"line {k} of a passage that many documents hold" for k in range(5)]

@@ -48,3 +48,11 @@ def test_null_ids_and_no_rows(spark, no_docs):
     got = near_duplicates(spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] is None, r["component_id"], r["kept"]) for r in got if r["doc_id"]) == [(False, 4, True)]
     assert all(r["kept"] and r["component_id"] is None for r in got if r["doc_id"] is None)
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(3, a), (5, b), (5, a), (5, a), (7, b + " tail"), (9, None), (9, a + " more")]
+    df = spark.createDataFrame([(*x, "r", 1) for x in rows], "doc_id long, text string, rep string, component int")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(df).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (5, 5, True), (7, 5, False), (9, 3, False), (9, 9, True)]
