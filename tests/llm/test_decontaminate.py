@@ -75,3 +75,12 @@ def test_main_path_is_native(spark, docs):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     plan = contained_items(docs, items)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_rows_that_share_an_id_and_clashing_names(spark):
+    rows = [(1, "so " + ITEMS[5][1]), (1, "a clean text"), (None, ITEMS[5][1]), (2, None), (1, "so " + ITEMS[5][1])]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, key int, hash int, bad_id int")
+    items = spark.createDataFrame([(*i, "x", 1) for i in ITEMS], "item_id long, text string, w string, words int")
+    assert [(r["doc_id"], r["item_id"]) for r in contained_items(docs, items).collect()] == [(1, 6)]
+    kept = drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(str(r["text"]) for r in kept.collect()) == sorted(["a clean text", ITEMS[5][1], "None"])
