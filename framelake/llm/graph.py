@@ -66,7 +66,7 @@ def look_up(rows: DataFrame, key: str, table: DataFrame, n: int, name: str) -> D
     marked = rows.join(F.broadcast(heavy.drop("rows_")), F.col(key) == F.col("heavy_"), "left")
     # Rows with a heavy or a null key are dealt out by their values and meet nothing.
     light = F.col("heavy_").isNull() & F.col(key).isNotNull()
-    spread = marked.withColumns({"dealt_": F.when(light, F.col(key)).otherwise(F.xxhash64(*rows.columns)), "light_": light})
+    spread = marked.withColumns({"dealt_": F.when(light, F.col(key)).otherwise(F.xxhash64(*rows.columns).cast(rows.schema[key].dataType)), "light_": light})
     met = spread.join(plain.withColumn("all_", F.lit(True)), (F.col("dealt_") == F.col("key_")) & (F.col("light_") == F.col("all_")), "left")
     return met.select(*rows.columns, F.coalesce("heavy_value_", "value_").alias(name))
 

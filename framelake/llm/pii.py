@@ -1,13 +1,16 @@
 r"""Personal data by bootstrapped contextual extraction.
 
 Base entities (email, ip, card, phone) come from fixed patterns, leftmost and without overlap. They seed a
-bootstrap over tokens that hold a digit: the words before and after an entity are its lexical patterns; a
-pattern scores by the share of its distinct instances that are trusted, an instance by the mean of its
-patterns, in turns. Patterns above CONFIDENCE with at least SUPPORT distinct trusted instances discover further
-identifiers, which are reported as kind ``context``. Base entities always stay.
-
-Offsets count code points, ends are exclusive. Null and empty texts have no spans. Rows that share a doc_id
-are one document for the discovered spans. Repeated rows give repeated rows; a null doc_id has base spans
+bootstrap over candidates: the runs of adjacent words that hold a digit or an @, without punctuation around them
+(so numbers in groups and handles count, a word of letters only does not). The words before and after a candidate
+are its lexical patterns; a pattern scores by the mean trust in its distinct instances, an instance by the best of
+its patterns, seeds fully. Patterns of CONFIDENCE with at least SUPPORT distinct trusted instances discover further
+identifiers, which are reported as kind ``context``; turns go on until no pattern and no instance is added. Base
+entities always stay, and no discovered span overlaps one.
+
+Offsets count code points, ends are exclusive. Null and empty texts have no spans. Texts count whole; the work on
+one text grows a little faster than its length (positions are summed in blocks). Rows that share a doc_id have each
+the spans of its own text. Repeated rows give repeated rows and count as one instance; a null doc_id has base spans
 only. Equal scores count alike; an empty table gives an empty table. Everything is DataFrame functions.
 """
 
@@ -18,7 +21,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import text_key, write_table
+from .decontaminate import small
+from .graph import look_up
 
 #: Fixed patterns of the base kinds, in order. Those with a run in front start only where the run does, or
 #: where the last match ended, which finds the same and takes linear time; inner loops don't give back.
@@ -30,8 +35,10 @@ KINDS = {
 }
 #: What a text must hold for a kind to be looked for.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-TOKEN = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
-CONFIDENCE, SUPPORT, ROUNDS, CONTEXT, SHORTEST = 0.6, 3, 3, 80, 6
+#: A run of adjacent words that hold a digit or an @; starts only where a word does, so it takes linear time.
+_WORD = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+RUN = rf"(?<![^\x20\x09-\x0D]){_WORD}(?:\x20{_WORD})*+"
+CONFIDENCE, SUPPORT = 0.6, 3
 SPANS = "array<struct<start:int,place:int,stop:int,kind:string,value:string>>"
 
 
@@ -62,18 +69,39 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def located(text: Column, pattern: str) -> Column:
-    """All matches as array<struct<start, stop, value>>: pieces between matches and matches take turns."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("out"))
+    """All matches as array<struct<start, stop, value>>: pieces between matches and matches take turns.
+
+    Positions are sums of lengths; they are summed in blocks of sqrt(n) matches and over the blocks, since the
+    running state of an aggregate is copied at every step.
+    """
+    pairs = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda p, v: F.struct(F.length(p).alias("gap"), F.length(v).alias("n"), v.alias("value"))))
+    return _let(pairs, positions)
+
+
+def positions(pairs: Column) -> Column:
+    """Array of (gap, n, value) as (start, stop, value)."""
+    none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
 
     def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["piece"])
-        stop = begin + F.length(x["value"])
-        return F.struct(stop.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), stop.alias("stop"), x["value"].alias("value")))).alias("out"))
+        begin = state["at"] + x["gap"]
+        one = F.struct(begin.alias("start"), (begin + x["n"]).alias("stop"), x["value"].alias("value"))
+        return F.struct((begin + x["n"]).alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+
+    def add(state: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda x: F.struct((x["start"] + state["at"]).alias("start"), (x["stop"] + state["at"]).alias("stop"), x["value"].alias("value")))
+        return F.struct((state["at"] + block["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, v: F.struct(p.alias("piece"), v.alias("value")))
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+    width = F.greatest(F.ceil(F.sqrt(F.size(pairs).cast("double"))).cast("int"), F.lit(1))
+    block = lambda b: F.aggregate(F.slice(pairs, b * width + 1, width), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+    blocks = F.transform(F.sequence(F.lit(0), width - 1), block)
+    whole = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,stop:int,value:string>>>").alias("out")), add, lambda s: F.flatten(s["out"]))
+    return F.when(F.size(pairs) > 0, whole).otherwise(none)
 
 
 def _checker(kind: str) -> Callable[[Column], Column]:
@@ -99,57 +127,65 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*every))
 
 
-def _before(text: Column, at: Column) -> Column:
-    """The two words before a position, lowered, digits as 0."""
-    low = F.greatest(at - CONTEXT, F.lit(0))
-    head = F.regexp_replace(F.lower(text.substr(low + 1, at - low)), "[0-9]", "0")
-    return F.regexp_extract(head, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]*)$", 1)
+def _masked(x: Column) -> Column:
+    return F.regexp_replace(F.lower(x), "[0-9]", "0")
 
 
-def _after(text: Column, at: Column) -> Column:
-    tail = F.regexp_replace(F.lower(text.substr(at + 1, F.lit(CONTEXT))), "[0-9]", "0")
-    return F.regexp_extract(tail, r"^([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)", 1)
+def _runs(text: Column) -> Column:
+    """Candidates as array<struct<gap, n, value>>, value: struct of the run and the texts before and after it."""
 
+    def parts(found: Column) -> Column:
+        n = F.size(found)
+        pieces = F.split(text, RUN, -1)
+        shifted = F.concat(F.array(F.lit("")), found)
+        return F.arrays_zip(found.alias("run"), F.slice(pieces, F.lit(1), n).alias("piece"), F.slice(shifted, F.lit(1), n).alias("before"), F.slice(pieces, F.lit(2), n).alias("next"), F.slice(F.concat(found, F.array(F.lit(""))), F.lit(2), n).alias("after"))
 
-def _last_word(before: Column) -> Column:
-    return F.regexp_extract(before, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)$", 1)
+    return _let(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), parts)
 
 
 def _occurrences(found: DataFrame) -> DataFrame:
-    """Base entities and other tokens with a digit, each with its patterns."""
-    tokens = F.when(F.col("text").rlike("[0-9]"), located(F.col("text"), TOKEN))
-    free = F.filter(tokens, lambda t: (F.length(t["value"]) >= SHORTEST) & ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    as_span = lambda xs, seed: F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), F.lit(seed).alias("seed")))
-    rows = found.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")).select("doc_id", "text", F.inline(F.concat(as_span(F.col("base"), True), F.coalesce(as_span(free, False), F.array().cast("array<struct<start:int,stop:int,value:string,seed:boolean>>")))))
-    context = rows.select("doc_id", "start", "stop", "value", "seed", _before(F.col("text"), F.col("start")).alias("b"), _after(F.col("text"), F.col("stop")).alias("a"))
-    patterns = F.array(
-        F.when(F.trim("b") != "", F.concat(F.lit("2|"), "b")),
-        F.when((F.trim("b") != "") & (F.trim("a") != ""), F.concat(F.lit("11|"), _last_word(F.col("b")), F.lit("|"), "a")),
-    )
-    return context.select("doc_id", "start", "stop", "value", "seed", F.explode(F.array_compact(patterns)).alias("pattern"))
-
-
-def find_personal_data(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
+    """Candidates, each with its patterns; seeds are those that hold a valid base entity."""
+    runs = found.select("doc_id", "key", _runs(F.col("text")).alias("runs")).where(F.size("runs") > 0)
+    placed = positions(F.transform("runs", lambda x: F.struct(F.length(x["piece"]).alias("gap"), F.length(x["run"]).alias("n"), x["run"].alias("value"))))
+    rows = runs.select("doc_id", "key", F.explode(F.arrays_zip(placed.alias("at"), F.col("runs").alias("r"))).alias("x"))
+    rows = rows.select("doc_id", "key", "x.at.start", "x.at.value", "x.r.piece", "x.r.before", "x.r.next", "x.r.after")
+    lead = F.length("value") - F.length(F.regexp_replace("value", r"^[^\p{L}\p{N}+@]+", ""))
+    rows = rows.withColumn("start", F.col("start") + lead).withColumn("value", F.regexp_replace("value", r"^[^\p{L}\p{N}+@]+|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")).where(F.col("value").rlike(r"[\p{L}\p{N}]"))
+    head = _masked(F.concat("before", "piece"))
+    two = F.regexp_extract(head, r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+)$", 1)
+    last = F.regexp_extract(head, r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]*+)$", 1)
+    tail = F.regexp_extract(_masked(F.concat("next", "after")), r"^([\x20\x09-\x0D]*+[^\x20\x09-\x0D]++)", 1)
+    seed = F.size(base_spans(F.col("value"))) > 0
+    context = rows.select("doc_id", "key", "start", (F.col("start") + F.length("value")).alias("stop"), "value", seed.alias("seed"), two.alias("b"), last.alias("l"), tail.alias("a"))
+    patterns = F.array(F.when(F.col("b") != "", F.concat(F.lit("2|"), "b")), F.when((F.col("l") != "") & (F.trim("a") != ""), F.concat(F.lit("11|"), "l", F.lit("|"), "a")))
+    return context.select("doc_id", "key", "start", "stop", "value", "seed", F.explode(F.array_compact(patterns)).alias("pattern"))
+
+
+def find_personal_data(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """doc_id, base and discovered (arrays of start, place, stop, kind, value) of every row of ``docs``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = texts.withColumn("base", base_spans(F.col("text")))
-    base = write_table(found.withColumn("text", F.when(F.col("text").rlike("[0-9@]"), F.col("text"))), "base")
-    seen = write_table(_occurrences(base.where("text is not null")), "occurrences")
+    found = texts.select("doc_id", text_key(F.col("text")).alias("key"), "text", base_spans(F.col("text")).alias("base"))
+    base = write_table(found.withColumn("text", F.when(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]"), F.col("text"))), "base")
+    seen = write_table(_occurrences(base.where("text is not null").select("doc_id", "key", "text")), "occurrences")
 
     graph = write_table(seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "graph")
-    trust = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("trust"))
-    trust = write_table(trust, "trust")
-    good = None
-    for _ in range(rounds):
-        scored = graph.join(trust, "value").groupBy("pattern").agg((F.sum("trust") / F.count("*")).alias("confidence"), F.sum(F.when(F.col("trust") >= confidence, 1).otherwise(0)).alias("trusted"))
+    trust = write_table(graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("trust")), "trust")
+    links, before, good = graph.count(), None, None
+    while True:
+        scored = look_up(graph, "value", trust.select("value", "trust"), links, "trust").groupBy("pattern").agg((F.sum("trust") / F.count("*")).alias("confidence"), F.count_if(F.col("trust") >= confidence).alias("trusted"))
         good = write_table(scored.where((F.col("confidence") >= confidence) & (F.col("trusted") >= support)).select("pattern", "confidence"), "patterns")
-        reached = graph.join(good, "pattern").groupBy("value").agg(F.avg("confidence").alias("reached"))
-        seeds = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("seed"))
-        trust = write_table(seeds.join(reached, "value", "left").select("value", F.greatest("seed", F.coalesce("reached", F.lit(0.0))).alias("trust")), "trust")
-    new = seen.where("not seed").join(good, "pattern").join(trust.where(F.col("trust") >= confidence), "value")
-    spans = new.select("doc_id", F.struct("start", F.lit(len(KINDS)).alias("place"), "stop", F.lit("context").alias("kind"), "value").alias("span")).distinct()
-    more = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list("span")).cast(SPANS).alias("discovered")).withColumnRenamed("doc_id", "d")
-    return base.select("doc_id", "base").join(more, F.col("doc_id") == F.col("d"), "left").select("doc_id", "base", F.coalesce("discovered", F.array().cast(SPANS)).alias("discovered"))
+        reached = graph.join(small(good, "pattern"), "pattern").groupBy("value").agg(F.max("confidence").alias("reached"))
+        trust = write_table(trust.join(reached, "value", "left").select("value", F.greatest("trust", F.coalesce("reached", F.lit(0.0))).alias("trust")), "trust")
+        now = (good.count(), trust.where(F.col("trust") >= confidence).count())
+        if now == before:
+            break
+        before = now
+    new = seen.where("not seed").join(small(good, "pattern"), "pattern").select("doc_id", "key", "start", "stop", "value").distinct()
+    span = F.struct("start", F.lit(len(KINDS)).alias("place"), "stop", F.lit("context").alias("kind"), "value")
+    more = new.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(span)).cast(SPANS).alias("discovered")).toDF("d", "k", "discovered")
+    out = base.select("doc_id", "key", "base").join(more, (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k")), "left")
+    free = F.filter("discovered", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
+    return out.select("doc_id", "base", F.coalesce(free, F.array().cast(SPANS)).alias("discovered"))
 
 
 def written(spans: Column) -> Column:

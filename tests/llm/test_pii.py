@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from framelake.llm.pii import digest, find_personal_data
 
@@ -64,6 +65,44 @@ def test_patterns_of_seeds_find_unseen_identifiers(spark):
     assert all(spans[i] == f"email:{m.index(f'p{i}@')}:{m.index(f'p{i}@') + 11}" for i, m in enumerate(mail))
 
 
+def test_discovered_spans_of_groups_handles_and_rows_that_share_an_id(spark):
+    mail = [f"text {i} please write to p{i}@mail.org today and more text" for i in range(8)]
+    cards = [f"she gave the code 4417 7442 8035 {n} to us" for n in ("1547", "1547 ", "1547  x")] + ["she gave the code 10.0.0.%d to us" % i for i in range(5)]
+    hidden = [("lorem please write to (@some_handle), he said", "@some_handle"), ("now she gave the code 12 34 56 78 9 to me", "12 34 56 78 9"), ("they all please write to 7", "7")]
+    rows = [(i, t) for i, t in enumerate([*mail, *cards])] + [(100, t) for t, _ in hidden] + [(100, "x" * 50_000), (None, hidden[0][0])]
+    got = digest(find_personal_data(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, key int, pattern int"))).collect()
+    want = [f"context:{t.index(x)}:{t.index(x) + len(x)}" for t, x in hidden]
+    assert sorted(r["spans"] for r in got if r["doc_id"] == 100) == sorted([*want, ""])
+    assert [r["spans"] for r in got if r["doc_id"] is None] == [""]
+
+
+def test_recall_of_planted_identifiers(spark):
+    r = random.Random(4)
+    words = ["stone", "river", "cloud", "paper", "garden", "window", "winter", "silver"]
+    frames = ["reach me at {} before noon", "her address is {} if needed", "send it to {} or wait", "the old number {} still works"]
+    rows, planted = [], {}
+    for i in range(400):
+        fill = lambda n: " ".join(r.choice(words) + ("" if r.random() < 0.95 else " " + str(r.randrange(999))) for _ in range(n))
+        head, frame = fill(r.randrange(5, 60)) + " ", r.choice(frames)
+        if i % 2:
+            rows.append((i, head + frame.format(f"user{i}@mail{i % 7}.example.org") + " " + fill(9)))
+        else:
+            value = r.choice((f"ID-{r.randrange(10**6)}", f"{r.randrange(100, 999)} {r.randrange(100, 999)} {r.randrange(1000, 9999)}", f"@nick{i}"))
+            at = len(head) + frame.index("{")
+            planted[i] = f"context:{at}:{at + len(value)}"
+            rows.append((i, head + frame.format(value) + " " + fill(9)))
+    got = {x["doc_id"]: x["spans"].split(",") for x in digest(find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), confidence=0.4)).collect()}
+    assert sum(v in got[i] for i, v in planted.items()) >= 0.9 * len(planted)
+    assert sum(s.startswith("context") for i in got for s in got[i]) <= 1.1 * len(planted)
+
+
+def test_long_texts_take_little_more_than_linear_time(spark):
+    texts = ["x" * 1_000_000, "12 ab " * 40_000, "a@b " * 20_000]
+    start = time.time()
+    found = digest(find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert len(found) == 3 and time.time() - start < 60
+
+
 def test_edges_and_native(docs, texts, no_docs):
     found = find_personal_data(docs)
     assert found.count() == len(texts)
