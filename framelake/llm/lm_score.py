@@ -1,22 +1,24 @@
 """Language-model scoring by masked pseudo-likelihood.
 
-A window network predicts every word from two words on each side: class embeddings by position, a tanh layer
-and a softmax over word classes; a word within its class has the share it has in the corpus. The summed
-conditional log-probabilities of its words score a document.
-
-Word counts, classes and shares come from all documents. Training runs where the data lies: every group of
-documents improves the shared weights on its own words, on every ``stride``-th position of every document, and
-the weights are averaged by the words they saw; this repeats for ROUNDS rounds. STRIDE is ROUNDS and each round
-takes another residue, so every word of every document is a target once. Only weights, the counts of the TOP
-words and the sums of the classes come to the driver; the shares of other words are joined from the counts.
-
-Null or empty texts, or texts of white space: no words, score 0, mean null. Repeated rows give repeated rows and
-count as often as they stand. Equal counts are ordered by the word's hash. An empty table gives an empty table.
+A window network predicts every token from two tokens on each side: embeddings by position, a tanh layer and a
+softmax over all tokens in two levels (class, then token within the class, both from the hidden layer). The summed
+conditional log-probabilities of its tokens score a document. The HEAD most frequent words are tokens of their own,
+and so are TAIL groups of the other words (by hash); a word within such a group has the share it has in the corpus.
+
+Word counts, tokens and shares come from all documents. Documents are dealt to groups of about GROUP_BYTES by a hash
+of id and text, half of the groups to each of ROUNDS rounds, so every word of every document is a target once. In a
+round every group improves the shared weights on its own words, in order of id and text, and the weights are averaged
+in a tree, weighed by the words seen: neither depends on how the table is laid out. Only one set of weights, the
+counts of the TOP words and the sums of the groups come to the driver; shares of other words are joined from the counts.
+
+Null or empty texts, or texts of white space: no words, score 0, mean null. Texts of any length count whole. Repeated
+rows, and rows that share an id, give a row each and count as often as they stand. Equal counts are ordered by the
+word's hash. Extra columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import slices, tune, write_table
-
-#: Classes of the most frequent words, of all other words (by hash), size of the hidden layer, words with counts of their own.
-HEAD, TAIL, HIDDEN, TOP = 96, 32, 24, 32_768
-CLASSES = HEAD + TAIL
+from .common import slices, text_key, tune, write_table
+
+#: Tokens of a class and classes; words with a token each, tokens of all other words (by hash; divides 2 ** 64).
+SIZE, LEVELS = 64, 64
+TAIL = SIZE
+HEAD = SIZE * LEVELS - TAIL
+TOKENS = HEAD + TAIL
+#: Size of the hidden layer, words with counts of their own on the driver.
+HIDDEN, TOP = 16, 32_768
 OFFSETS = (-2, -1, 1, 2)
-ROUNDS, STRIDE, BATCH, RATE = 2, 2, 512, 0.1
-#: Documents of one training group are those of one task; its text is bounded by the scan's partition size.
-PIECE = 8192
+ROUNDS, BATCH, RATE = 2, 1024, 0.1
+#: Words scored at once; text of a training group; models averaged at once.
+PIECE, GROUP_BYTES, FAN = 16_384, 8 << 20, 32
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,9 +50,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """Class and log share within the class of every word, known or not.
+    """Token of every word, known or not, and the log share of the word within its token.
 
-    ``counts`` (word, n), where given, has all words, and ``rest`` the summed counts of those beyond ``top`` by class.
+    ``counts`` (word, n), where given, has all words, and ``rest`` the summed counts of those beyond ``top`` by token.
     """
 
     def __init__(self, top: list[tuple[int, int]], words: int, total: int, rest: np.ndarray | None = None, counts: DataFrame | None = None) -> None:
@@ -56,13 +62,13 @@ class Vocabulary:
         self.ids = ids[order]
         cls = np.where(np.arange(len(ids)) < HEAD, np.arange(len(ids)), HEAD + (ids % np.uint64(TAIL)).astype(np.int64))
         unknown_words, unknown = max(words - len(ids), 1), max(total - n.sum(), 1.0)
-        mass = np.bincount(cls, n, CLASSES) + (np.where(np.arange(CLASSES) >= HEAD, unknown / TAIL, 0.0) if rest is None else rest)
+        mass = np.bincount(cls, n, TOKENS) + (np.where(np.arange(TOKENS) >= HEAD, unknown / TAIL, 0.0) if rest is None else rest)
         self.mass, self.counts = mass, counts
         self.classes = cls[order].astype(np.int64)
         self.share = np.log(n / mass[cls])[order] if len(ids) else np.zeros(0)
         rare = unknown / unknown_words
         with np.errstate(divide="ignore"):
-            self.rare = np.log(np.where(np.arange(CLASSES) >= HEAD, rare / np.maximum(mass, rare), 1.0))
+            self.rare = np.log(np.where(np.arange(TOKENS) >= HEAD, rare / np.maximum(mass, rare), 1.0))
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"counts": None}
@@ -84,76 +90,103 @@ class Vocabulary:
 
 
 class Network:
-    """Embeddings [position, class or edge, HIDDEN], output weights and bias."""
+    """Embeddings [position, token or edge, HIDDEN], weights and biases of the classes and of the tokens in each class."""
 
-    def __init__(self, seed: int = 5) -> None:
+    def __init__(self, mass: np.ndarray | None = None, seed: int = 5) -> None:
         r = np.random.default_rng(seed)
-        self.e = (r.standard_normal((len(OFFSETS), CLASSES + 1, HIDDEN)) * 0.1).astype(np.float32)
-        self.w = (r.standard_normal((HIDDEN, CLASSES)) * 0.1).astype(np.float32)
-        self.b = np.zeros(CLASSES, np.float32)
+        draw = lambda *shape: (r.standard_normal(shape) * 0.1).astype(np.float32)
+        grid = np.log(np.maximum(np.ones(TOKENS) if mass is None else mass, 0.5)).reshape(LEVELS, SIZE)
+        whole = np.logaddexp.reduce(grid, axis=1)
+        # Biases start at the shares of the tokens in the corpus.
+        self.parts = [draw(len(OFFSETS), TOKENS + 1, HIDDEN), draw(HIDDEN, LEVELS), (whole - np.logaddexp.reduce(whole)).astype(np.float32), draw(LEVELS, HIDDEN, SIZE), (grid - whole[:, None]).astype(np.float32)]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.e.ravel(), self.w.ravel(), self.b])
+        return np.concatenate([x.ravel() for x in self.parts])
 
     @classmethod
     def of(cls, values: np.ndarray) -> Network:
-        out, a, b = cls.__new__(cls), len(OFFSETS) * (CLASSES + 1) * HIDDEN, HIDDEN * CLASSES
-        values = values.astype(np.float32)
-        out.e, out.w, out.b = values[:a].reshape(len(OFFSETS), CLASSES + 1, HIDDEN), values[a : a + b].reshape(HIDDEN, CLASSES), values[a + b :]
+        out, at = cls.__new__(cls), 0
+        out.parts = []
+        for shape in ((len(OFFSETS), TOKENS + 1, HIDDEN), (HIDDEN, LEVELS), (LEVELS,), (LEVELS, HIDDEN, SIZE), (LEVELS, SIZE)):
+            n = int(np.prod(shape))
+            out.parts.append(values[at : at + n].astype(np.float32).reshape(shape))
+            at += n
         return out
 
+    def _hidden(self, context: np.ndarray) -> np.ndarray:
+        e = self.parts[0]
+        return np.tanh(sum(e[k][context[k]] for k in range(len(OFFSETS))))
+
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        _, w1, b1, w2, b2 = self.parts
         out = np.empty(len(target), np.float32)
         for s in range(0, len(target), PIECE):
-            c, t = context[:, s : s + PIECE], target[s : s + PIECE]
-            h = self.e[0][c[0]]
-            for k in range(1, len(OFFSETS)):
-                h += self.e[k][c[k]]
-            np.tanh(h, out=h)
-            z = h @ self.w
-            z += self.b
-            z -= z.max(axis=1, keepdims=True)
-            picked = z[np.arange(len(t)), t]
-            np.exp(z, out=z)
-            out[s : s + PIECE] = picked - np.log(z.sum(axis=1))
+            h, t = self._hidden(context[:, s : s + PIECE]), target[s : s + PIECE]
+            one = _log_softmax(h @ w1 + b1)[np.arange(len(t)), t // SIZE]
+            for k, rows in _by_class(t // SIZE):
+                one[rows] += _log_softmax(h[rows] @ w2[k] + b2[k])[np.arange(len(rows)), t[rows] % SIZE]
+            out[s : s + PIECE] = one
         return out
 
-    def improve(self, context: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
-        """One pass of stochastic gradient steps."""
+    def improve(self, context: np.ndarray, target: np.ndarray, squares: list[np.ndarray], rate: float = RATE) -> None:
+        """One pass of gradient steps, each scaled by the ``squares`` of the gradients so far, which grow."""
+        e, w1, b1, w2, b2 = self.parts
+
+        def step(part: int, at: object, gradient: np.ndarray) -> None:
+            gradient /= n
+            squares[part][at] += gradient * gradient
+            self.parts[part][at] -= rate * gradient / np.sqrt(squares[part][at] + 1e-10)
+
         for s in range(0, len(target), BATCH):
             c, t = context[:, s : s + BATCH], target[s : s + BATCH]
-            h = np.tanh(sum(self.e[k][c[k]] for k in range(len(OFFSETS))))
-            z = h @ self.w + self.b
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(t)), t] -= 1.0
-            back = (p @ self.w.T) * (1 - h * h)
-            self.w -= rate / len(t) * 4 * (h.T @ p)
-            self.b -= rate / len(t) * 4 * p.sum(axis=0)
-            back *= -rate / len(t) * 16
+            n, h = len(t), self._hidden(c)
+            p = np.exp(_log_softmax(h @ w1 + b1))
+            p[np.arange(n), t // SIZE] -= 1.0
+            back = p @ w1.T
+            step(1, ..., h.T @ p)
+            step(2, ..., p.sum(axis=0))
+            for k, rows in _by_class(t // SIZE):
+                part = h[rows]
+                p = np.exp(_log_softmax(part @ w2[k] + b2[k]))
+                p[np.arange(len(rows)), t[rows] % SIZE] -= 1.0
+                back[rows] += p @ w2[k].T
+                step(3, k, part.T @ p)
+                step(4, k, p.sum(axis=0))
+            back *= 1 - h * h
             for k in range(len(OFFSETS)):
-                hot = np.zeros((CLASSES + 1, len(t)), np.float32)
-                hot[c[k], np.arange(len(t))] = 1.0
-                self.e[k] += hot @ back
+                order = np.argsort(c[k], kind="stable")
+                begin = np.flatnonzero(np.append(True, np.diff(c[k][order]) != 0))
+                step(0, (k, c[k][order][begin]), np.add.reduceat(back[order], begin, axis=0))
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def _by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(classes, kind="stable")
+    begin = np.flatnonzero(np.append(True, np.diff(classes[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    for a, b in zip(begin, np.append(begin[1:], len(order)), strict=True):
+        yield int(classes[order[a]]), order[a:b]
 
 
 def contexts(cls: np.ndarray, border: np.ndarray) -> np.ndarray:
-    """Classes at OFFSETS around every word; CLASSES stands beyond the ends of its text."""
+    """Tokens at OFFSETS around every word; TOKENS stands beyond the ends of its text."""
     n = len(cls)
     doc = np.repeat(np.arange(len(border) - 1), np.diff(border))
-    out = np.full((len(OFFSETS), n), CLASSES, np.int64)
+    out = np.full((len(OFFSETS), n), TOKENS, np.int64)
     for k, o in enumerate(OFFSETS):
         lo, hi = max(0, -o), min(n, n - o)
         if hi > lo:
             same = doc[lo:hi] == doc[lo + o : hi + o]
-            out[k, lo:hi] = np.where(same, cls[lo + o : hi + o], CLASSES)
+            out[k, lo:hi] = np.where(same, cls[lo + o : hi + o], TOKENS)
     return out
 
 
 def _rest(counts: DataFrame, top: list) -> np.ndarray:
-    """Summed counts of the words beyond ``top`` by class; TAIL divides 2 ** 64, so signs of hashes don't matter."""
-    out = np.zeros(CLASSES)
+    """Summed counts of the words beyond ``top`` by token; TAIL divides 2 ** 64, so signs of hashes don't matter."""
+    out = np.zeros(TOKENS)
     for r in counts.groupBy(F.pmod("word", F.lit(TAIL)).alias("c")).agg(F.sum("n").alias("n")).collect():
         out[HEAD + r["c"]] = r["n"]
     for r in top:
@@ -161,39 +194,54 @@ def _rest(counts: DataFrame, top: list) -> np.ndarray:
     return out
 
 
-def learn(texts: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[Vocabulary, Network]:
-    """Vocabulary and network from all rows of ``texts`` (text)."""
+def _trainer(shared) -> Callable[[pa.Table], pa.Table]:  # noqa: ANN001
+    """Weights that a group of documents makes of the shared ones, and the words it saw."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words, own = shared.value[0], Network.of(shared.value[1])
+        squares, seen = [np.zeros_like(x) for x in own.parts], 0
+        ordered = table.sort_by([("doc_id", "ascending"), ("key", "ascending")]).select(["g", "text"])
+        for batch in slices(iter(ordered.to_batches()), "text"):
+            hashes, border = K.word_hashes(*K.text_bytes(batch.column("text")))
+            tokens, _ = words.look_up(hashes)
+            mixed = np.random.default_rng(len(tokens)).permutation(len(tokens))
+            own.improve(contexts(tokens, border)[:, mixed], tokens[mixed], squares)
+            seen += len(tokens)
+        return pa.table({"g": table.column("g").slice(0, 1), "n": pa.array([seen], pa.int64()), "w": pa.array([own.flat().tobytes()], pa.binary())})
+
+    return run
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """The mean of up to FAN models, weighed by the words they saw."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["g"])
+    total = sum(r["n"] for r in rows)
+    mean = sum(np.frombuffer(r["w"], np.float32).astype(np.float64) * (r["n"] / total if total else 1.0 / len(rows)) for r in rows)
+    return pa.table({"g": pa.array([rows[0]["g"] // FAN], pa.int64()), "n": pa.array([total], pa.int64()), "w": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+
+
+def learn(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
+    """Vocabulary and network from all rows of ``texts`` (doc_id, text)."""
     spark = texts.sparkSession
     counts = write_table(texts.select("text").mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     size = counts.agg(F.count("*").alias("words"), F.sum("n").alias("total")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(TOP).collect()
-    vocabulary, network = Vocabulary([(r["word"], r["n"]) for r in top], size["words"], size["total"] or 0, _rest(counts, top), counts), Network()
+    vocabulary = Vocabulary([(r["word"], r["n"]) for r in top], size["words"], size["total"] or 0, _rest(counts, top), counts)
+    network = Network(vocabulary.mass)
     if not top:
         return vocabulary, network
+    bytes_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    each = -(-int(bytes_) // (GROUP_BYTES * rounds))
+    dealt = texts.select(F.pmod(F.xxhash64("doc_id", text_key(F.col("text"))), F.lit(each * rounds)).alias("g"), "doc_id", text_key(F.col("text")).alias("key"), "text").where(F.length("text") > 0)
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, network.flat()))
-
-        def step(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            words, own, seen = shared.value[0], Network.of(shared.value[1].copy()), 0
-            for batch in slices(batches, "text"):
-                hashes, border = K.word_hashes(*K.text_bytes(batch.column("text")))
-                cls, _ = words.look_up(hashes)
-                place = np.arange(len(cls)) - np.repeat(border[:-1], np.diff(border))
-                chosen = np.flatnonzero(place % stride == turn % stride)
-                chosen = chosen[np.random.default_rng(len(cls)).permutation(len(chosen))]
-                own.improve(contexts(cls, border)[:, chosen], cls[chosen])
-                seen += len(chosen)
-            if seen:
-                values = own.flat().astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values * seen), pa.array(np.full(len(values), seen, np.int64))], names=["i", "v", "n"])
-
-        grown = texts.select("text").mapInArrow(step, "i int, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v"))
-        rows = grown.collect()
-        if rows:
-            values = np.zeros(len(rows))
-            for r in rows:
-                values[r["i"]] = r["v"]
-            network = Network.of(values)
+        part = dealt.where(F.col("g") % rounds == turn).withColumn("g", F.floor(F.col("g") / rounds))
+        models, left = write_table(part.groupBy("g").applyInArrow(_trainer(shared), "g long, n long, w binary"), "models"), each
+        while left > 1:
+            models, left = write_table(models.groupBy(F.floor(F.col("g") / FAN).alias("up")).applyInArrow(_mean, "g long, n long, w binary"), "models"), -(-left // FAN)
+        row = models.first()
+        if row:
+            network = Network.of(np.frombuffer(row["w"], np.float32))
     return vocabulary, network
 
 
@@ -211,9 +259,9 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network] | None = None) -> D
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
             hashes, border = K.word_hashes(*K.text_bytes(batch.column("text")))
-            cls, share = vocabulary.look_up(hashes)
+            tokens, share = vocabulary.look_up(hashes)
             rare = ~vocabulary.known(hashes) if apart else np.zeros(len(hashes), bool)
-            each = network.log_probability(contexts(cls, border), cls) + np.where(rare, 0.0, share)
+            each = network.log_probability(contexts(tokens, border), tokens) + np.where(rare, 0.0, share)
             sums = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
             left = np.concatenate([[0], np.cumsum(rare)])[border].astype(np.int32)
             words = pa.ListArray.from_arrays(pa.array(left), pa.array(hashes[rare].view(np.int64)))

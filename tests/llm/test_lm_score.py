@@ -5,7 +5,7 @@ import numpy as np
 from corpus_text import prose
 
 from framelake.llm import kernels as K
-from framelake.llm.lm_score import CLASSES, Network, Vocabulary, contexts, learn, score
+from framelake.llm.lm_score import TOKENS, Network, Vocabulary, contexts, learn, score
 
 
 def test_shares_of_all_words_sum_to_one():
@@ -14,20 +14,28 @@ def test_shares_of_all_words_sum_to_one():
     n = np.sort(r.integers(1, 90, 400))[::-1]
     words = Vocabulary([(int(w), int(c)) for w, c in zip(ids[:300].view(np.int64), n[:300], strict=True)], 400, int(n.sum()))
     cls, share = words.look_up(ids)
-    total = np.bincount(cls, np.exp(share), CLASSES)
-    assert (total[cls[:96]] > 0.999).all() and (total < 4).all()
+    total = np.bincount(cls, np.exp(share), TOKENS)
+    assert (total[cls[:300]] > 0.999).all() and (total < 4).all()
+
+
+def plain(net, context):
+    """Log-probabilities of all tokens, one by one."""
+    e, w1, b1, w2, b2 = net.parts
+    h = np.tanh(sum(e[k][context[k]] for k in range(4)).astype(np.float64))
+    soft = lambda z: z - np.log(np.exp(z).sum())
+    out = np.concatenate([one + soft(h @ w2[k] + b2[k]) for k, one in enumerate(soft(h @ w1 + b1))])
+    assert abs(np.exp(out).sum() - 1) < 1e-6
+    return out
 
 
 def test_log_probabilities_are_those_of_the_formula():
     net, r = Network(), np.random.default_rng(1)
-    cls = r.integers(0, CLASSES, 30)
+    cls = r.integers(0, TOKENS, 30)
     c = contexts(cls, np.array([0, 12, 12, 30]))
-    assert c[:, 0].tolist() == [CLASSES, CLASSES, cls[1], cls[2]] and c[:, 12].tolist() == [CLASSES, CLASSES, cls[13], cls[14]] and c[:, 11].tolist()[2:] == [CLASSES, CLASSES]
+    assert c[:, 0].tolist() == [TOKENS, TOKENS, cls[1], cls[2]] and c[:, 12].tolist() == [TOKENS, TOKENS, cls[13], cls[14]] and c[:, 11].tolist()[2:] == [TOKENS, TOKENS]
     got = net.log_probability(c, cls)
     for i in range(30):
-        h = np.tanh(sum(net.e[k][c[k, i]] for k in range(4)))
-        z = h @ net.w + net.b
-        assert abs(got[i] - (z[cls[i]] - np.log(np.exp(z).sum()))) < 1e-4
+        assert abs(got[i] - plain(net, c[:, i])[cls[i]]) < 1e-3
 
 
 def test_training_beats_unigrams_and_order_matters(spark):
@@ -42,7 +50,7 @@ def test_training_beats_unigrams_and_order_matters(spark):
 
     rows = [(i, " ".join(chain(400))) for i in range(300)]
     test = [chain(400) for _ in range(8)]
-    model = learn(spark.createDataFrame(rows, "doc_id long, text string"), rounds=3, stride=4)
+    model = learn(spark.createDataFrame(rows, "doc_id long, text string"))
     shuffled = [r.sample(t, len(t)) for t in test]
     frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*test, *shuffled])], "doc_id long, text string")
     got = {x["doc_id"]: x["mean_log_prob"] for x in score(frame, model).collect()}
@@ -64,15 +72,23 @@ def test_edges(docs, texts, no_docs):
     assert prose(1, 3)
 
 
-def test_production_rounds_train_on_every_word(spark, monkeypatch):
+def test_rounds_train_on_every_word_whatever_the_layout(spark, monkeypatch):
     from framelake.llm import lm_score
 
-    assert {turn % lm_score.STRIDE for turn in range(lm_score.ROUNDS)} == set(range(lm_score.STRIDE))
-    # In texts of two words, the second must be a target too.
-    frame = spark.createDataFrame([(i, " ".join(("a", "b") if i % 2 else ("c", "d"))) for i in range(6000)], "doc_id long, text string").coalesce(1)
-    vocabulary, network = learn(frame)
+    monkeypatch.setattr(lm_score, "GROUP_BYTES", 3_000)
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    seen = []
+    write = lm_score.write_table
+    monkeypatch.setattr(lm_score, "write_table", lambda df, name: seen.append((name, write(df, name))) or seen[-1][1])
+    # In texts of two words, the second must be a target too; its token is told apart by the first one only.
+    rows = [(i, "a b" if i % 2 else "c d") for i in range(6000)]
+    models = [learn(spark.createDataFrame(r, "doc_id long, text string").repartition(n)) for r, n in ((rows, 1), (rows[::-1], 3))]
+    assert all((x == y).all() for x, y in zip(models[0][1].parts, models[1][1].parts, strict=True))
+    trained = [t.agg({"n": "sum"}).first()[0] for name, t in seen if name == "models" and t.count() > 2]
+    assert sum(trained[: len(trained) // 2]) % 12_000 == 0
+    vocabulary, network = models[0]
     cls = vocabulary.look_up(K.word_hashes(np.frombuffer(b"a b c d", np.uint8), np.array([0, 7]))[0])[0]
-    edge = CLASSES
+    edge = TOKENS
     context = np.array([[edge] * 2, [cls[0], cls[2]], [edge] * 2, [edge] * 2])
     good, bad = network.log_probability(context, cls[[1, 3]]), network.log_probability(context, cls[[3, 1]])
     assert (good > bad + 1).all()
@@ -82,6 +98,7 @@ def test_words_beyond_top_have_their_own_shares(spark, monkeypatch):
     from framelake.llm import lm_score
 
     monkeypatch.setattr(lm_score, "TOP", 2)
+    monkeypatch.setattr(lm_score, "HEAD", lm_score.HEAD)
     texts = ["the of " * 50 + "often " * 20 + "seldom", "the often", "the seldom", "", None]
     frame = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
     model = learn(frame)
