@@ -5,12 +5,15 @@ parsed greedily into longest matches against each automaton; the language that n
 per character wins. Texts are cut into blocks that are parsed side by side, one automaton step of all
 blocks at a time, so a phrase also ends at the end of a block; every character of a text counts.
 
-Sampling bound (the classifier's documented parameters): LANGUAGES most frequent labels, about DOCS
-documents each chosen by a hash of doc_id, CHARS characters of each, TRAIN characters a language.
+Sampling bound (the classifier's documented parameters): about DOCS documents a label, chosen by a hash of doc_id,
+CHARS characters of each, TRAIN characters a language and TRAIN_ALL of all languages together. Every label that is
+not null is learned and every character of the sample keeps a code of its own; automata have at most three
+transitions a character, in hash tables, so they are small enough to travel with the tasks.
 
 Null text, or text without any letter: ``und`` with score 0. Languages with a null label are not learned;
-without any labelled text everything is ``und``. Repeated rows give repeated rows; an empty table an empty
-one. Equal phrase counts go to the language first in code point order.
+without any labelled text everything is ``und``. Texts of any length count whole. Repeated rows, and rows that share
+an id, give a row each; a null id is in no fold (held_out null). Extra columns are not read. An empty table gives an
+empty one. Equal phrase counts go to the language first in code point order.
 """
 
 from __future__ import annotations
@@ -21,17 +24,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, tune
 
-LANGUAGES, DOCS, CHARS, TRAIN = 64, 300, 400, 60_000
-BLOCK, ALPHABET, FOLDS = 1024, 64, 5
+DOCS, CHARS, TRAIN, TRAIN_ALL = 300, 400, 60_000, 4_000_000
+BLOCK, FOLDS = 1024, 5
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def automaton(codes: list[int], letters: int) -> np.ndarray:
-    """Transitions of the suffix automaton over ``codes``: [states, letters], -1 where none is."""
+def automaton(codes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions (state, letter, next state) of the suffix automaton over ``codes``; it starts in state 0."""
     follow: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -57,25 +61,57 @@ def automaton(codes: list[int], letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(follow), letters), -1, np.int32)
-    for s, row in enumerate(follow):
-        for c, t in row.items():
-            table[s, c] = t
-    return table
+    sizes = [len(row) for row in follow]
+    pairs = np.array([x for row in follow for x in row.items()], np.int64).reshape(-1, 2)
+    return np.repeat(np.arange(len(follow)), sizes), pairs[:, 0], pairs[:, 1]
 
 
-def parser(codes: list[int], letters: int) -> np.ndarray:
-    """Steps of the greedy parse, flat: 2 * row of the next state, plus 1 where a new phrase begins.
+class Parser:
+    """The greedy parse against one automaton, for many texts a step at a time.
 
-    The first state stands for "between phrases": there, and after a character that no text of the
-    language has, every character begins a phrase.
+    State 0 stands for "between phrases": there, and where the automaton has no transition, a character begins a
+    phrase. The other states are those of the automaton, whose first has the number 1. Transitions lie in an open
+    hash table with linear probing.
     """
-    table = np.concatenate([np.full((1, letters), -1, np.int32), automaton(codes, letters) + 1])
-    table[1:][table[1:] == 0] = -1
-    root = np.where(table[1] >= 0, table[1], 0)
-    fresh = table < 0
-    step = np.where(fresh, root[None, :], table)
-    return (step * (letters * 2) + fresh).astype(np.int32).reshape(-1)
+
+    def __init__(self, codes: list[int], letters: int) -> None:
+        state, letter, target = automaton(codes)
+        self.letters = letters
+        self.root = np.zeros(letters, np.int32)
+        first = state == 0
+        self.root[letter[first]] = target[first] + 1
+        bits = max(4, int(len(state) * 2.5).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.targets = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        keys, values = (state + 1) * letters + letter, (target + 1).astype(np.int32)
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]], self.targets[slot[put]] = keys[put], values[put]
+            left = np.ones(len(keys), bool)
+            left[put] = False
+            keys, values, slot = keys[left], values[left], (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * MIX) >> self.shift).view(np.int64)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and whether a phrase begins."""
+        key = state * np.int64(self.letters) + code
+        slot = self._slot(key)
+        held = self.keys[slot]
+        after = self.targets[slot]
+        open_ = np.flatnonzero((held != key) & (held >= 0))
+        while len(open_):
+            at = (slot[open_] + 1) & self.mask
+            slot[open_] = at
+            held[open_] = found = self.keys[at]
+            after[open_] = self.targets[at]
+            open_ = open_[(found != key[open_]) & (found >= 0)]
+        fresh = held != key
+        return np.where(fresh, self.root[code], after), fresh
 
 
 @lru_cache(maxsize=1)
@@ -92,16 +128,16 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]], train: int = TRAIN) -> None:
         self.languages = sorted(samples)
+        train = min(train, TRAIN_ALL // max(len(samples), 1))
         texts = {k: "\n".join(samples[k])[:train] for k in self.languages}
         every = np.concatenate([_folded(t) for t in texts.values()]) if texts else np.zeros(0, np.uint32)
-        chars, counts = np.unique(every, return_counts=True)
-        self.alphabet = np.sort(chars[np.lexsort((chars, -counts))][: ALPHABET - 1])
-        self.parsers = [parser(self.encode(_folded(t)).tolist(), ALPHABET) for t in texts.values()]
+        self.alphabet = np.unique(every)
+        self.parsers = [Parser(self.encode(_folded(t)).tolist(), len(self.alphabet) + 1) for t in texts.values()]
 
     def encode(self, points: np.ndarray) -> np.ndarray:
-        """Codes of characters; 0 is any character outside the alphabet."""
+        """Codes of characters; 0 is any character that no sample holds."""
         if not hasattr(self, "_codes"):
-            self._codes = np.zeros(0x110000, np.uint8)
+            self._codes = np.zeros(0x110000, np.int32)
             self._codes[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
         return self._codes[points]
 
@@ -123,20 +159,19 @@ class Model:
         size = np.minimum(BLOCK, ends[owner] - begin)
         order = np.argsort(-size, kind="stable")
         begin, size, owner = begin[order], size[order], owner[order]
-        codes = self.encode(flat).astype(np.int32)
-        grid = np.zeros((BLOCK, len(owner)), np.int32)
+        codes = self.encode(flat).astype(np.int64)
+        grid = np.zeros((BLOCK, len(owner)), np.int64)
         active = np.searchsorted(-size, -np.arange(BLOCK), side="left")
         for i in range(int(size[0]) if len(size) else 0):
             grid[i, : active[i]] = codes[begin[: active[i]] + i]
         out = np.zeros((len(texts), len(self.parsers)), np.int64)
-        for j, steps in enumerate(self.parsers):
-            state = np.zeros(len(owner), np.int32)
+        for j, parser in enumerate(self.parsers):
+            state = np.zeros(len(owner), np.int64)
             count = np.zeros(len(owner), np.int32)
             for i in range(int(size[0]) if len(size) else 0):
                 m = active[i]
-                got = steps[state[:m] + grid[i, :m]]
-                count[:m] += got & 1
-                state[:m] = got >> 1
+                state[:m], fresh = parser.step(state[:m], grid[i, :m])
+                count[:m] += fresh
             out[:, j] = np.bincount(owner, count, len(texts)).astype(np.int64)
         return out, sizes, letters
 
@@ -155,19 +190,20 @@ class Model:
 
 
 def train(docs: DataFrame, docs_a_language: int = DOCS, chars: int = CHARS) -> Model:
-    """Learn from text and lang of rows outside the held-out fold; at most LANGUAGES * 4 * DOCS rows reach the driver."""
+    """Learn from text and lang of rows outside the held-out fold.
+
+    For each label at most as many rows of CHARS characters reach the driver as fill its share of TRAIN_ALL.
+    """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != 0))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return Model({})
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, docs_a_language / r["count"]))).otherwise(share)
+    counts = usable.groupBy("lang").agg(F.count("*").alias("rows"))
+    each = min(docs_a_language, max(1, TRAIN_ALL // (chars * max(counts.count(), 1))))
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
-    part = usable.where(draw < share).select("lang", F.substring("text", 1, chars).alias("text"), draw.alias("draw"))
+    rates = counts.select(F.col("lang").alias("l"), (F.lit(2.0 * each) / F.col("rows")).alias("rate"))
+    drawn = usable.select("lang", F.substring("text", 1, chars).alias("text"), draw.alias("draw")).join(F.broadcast(rates), F.col("lang") == F.col("l")).where("draw < rate")
+    order = Window.partitionBy("lang").orderBy("draw", "text")
     samples: dict[str, list[str]] = {}
-    for r in part.orderBy("draw").limit(4 * docs_a_language * len(counts)).collect():
+    for r in drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).orderBy("lang", "n").collect():
         samples.setdefault(r["lang"], []).append(r["text"])
     return Model(samples)
 

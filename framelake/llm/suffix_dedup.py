@@ -16,9 +16,10 @@ without losing any match:
 
 An anchor with more than HOT different surroundings is split: its windows are dealt out by their bytes.
 
-Nulls, empty and short texts: nothing is removed. Rows that share a doc_id are one document to each
-other, so exact repeats of a row stay; a null doc_id is never earlier and loses nothing. An empty table
-gives an empty table.
+Nulls, empty and short texts: nothing is removed. Rows that share a doc_id are no earlier documents to each
+other, so exact repeats of a row stay, and each loses only what its own text repeats; a null doc_id is never
+earlier and loses nothing. Texts count whole; very long ones are handled one at a time. Several equal earlier
+documents count as one. Extra columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import slices, tune, write_table
+from .common import slices, text_key, tune, write_table
 
 LENGTH, GRAM = 50, 20
 #: A cut at one position in so many; windows a group of anchors comes from; strings in a group of the refinement.
 CUT, ANCHOR_GROUP, PIECE_GROUP, HOT = 256, 16_000_000, 40_000, 200_000
+#: Bytes of text in a bucket of the scratch table, about.
+BUCKET = 512 << 20
 #: Anchors held by a task before they are packed; windows of one string at most.
 FLUSH, RUN = 1_500_000, 64
 
@@ -82,9 +85,19 @@ def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), rows
 
 
+def _own(batch: pa.RecordBatch, name: str) -> tuple[pa.Array, np.ndarray]:
+    """As _flat, of a list of structs; without those that belong to another text of the same doc_id."""
+    flat, rows = _flat(batch.column(name))
+    if len(flat):
+        mine = flat.field("key").to_numpy(zero_copy_only=False) == batch.column("key").to_numpy(zero_copy_only=False)[rows]
+        if not mine.all():
+            flat, rows = flat.filter(pa.array(mine)), rows[mine]
+    return flat, rows
+
+
 def _settled(batch: pa.RecordBatch, offsets: np.ndarray) -> np.ndarray:
     """Windows that step 1 has found in an earlier document."""
-    flat, rows = _flat(batch.column("runs"))
+    flat, rows = _own(batch, "runs")
     change = np.zeros(offsets[-1] + 1, np.int32)
     if len(flat):
         at = offsets[rows] + flat.field("at").to_numpy(zero_copy_only=False)
@@ -106,8 +119,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = offsets[doc + 1] - LENGTH + 1
         end = np.minimum(np.append(at[1:], offsets[-1]), stop)
         hashes = [K.span_hash(*K.prefix_hash(data, base, salt), at, end + LENGTH - 1).view(np.int64) for base, salt in ((K.BASE, 0), (K.M1, 77))]
-        ids = batch.column("doc_id").take(pa.array(doc))
-        yield pa.RecordBatch.from_arrays([ids, *map(pa.array, hashes), pa.array((at - offsets[doc]).astype(np.int32)), pa.array((end - at).astype(np.int32))], names=["doc_id", "h1", "h2", "at", "n"])
+        ids = [batch.column(c).take(pa.array(doc)) for c in ("doc_id", "key")]
+        yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, hashes), pa.array((at - offsets[doc]).astype(np.int32)), pa.array((end - at).astype(np.int32))], names=["doc_id", "key", "h1", "h2", "at", "n"])
 
 
 def _pack(anchor: np.ndarray, doc: np.ndarray, groups: int, turn: int) -> pa.RecordBatch:
@@ -222,10 +235,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(least[start].view(np.int64)),
                 *map(pa.array, hashes),
                 pa.array([raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()),
-                batch.column("doc_id").take(pa.array(doc[begin])),
+                *(batch.column(c).take(pa.array(doc[begin])) for c in ("doc_id", "key")),
                 pa.array((start - offsets[doc[begin]]).astype(np.int32)),
             ],
-            names=["anchor", "h1", "h2", "piece", "doc_id", "at"],
+            names=["anchor", "h1", "h2", "piece", "doc_id", "key", "at"],
         )
 
 
@@ -297,7 +310,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = np.zeros(n + 1, bool)
         if n:
             gone[:n] = _settled(batch, offsets)
-            flat, rows = _flat(batch.column("found"))
+            flat, rows = _own(batch, "found")
             if len(flat):
                 flags, nth = _flat(flat.field("flags"))
                 start = offsets[rows] + flat.field("at").to_numpy(zero_copy_only=False)
@@ -323,25 +336,27 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wished, the kept bytes of every row of ``docs``."""
     spark = docs.sparkSession
     tune(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", text_key(F.col("text")))
+    size = every.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // BUCKET))
     name = f"suffix_texts_{uuid.uuid4().hex}"
-    laid = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartition(parts, "doc_id")
+    laid = every.where("doc_id is not null").repartition(parts, "doc_id")
     laid.write.bucketBy(parts, "doc_id").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
     try:
-        named = texts.where("doc_id is not null")
-        cuts = write_table(named.mapInArrow(_cut, "doc_id long, h1 long, h2 long, at int, n int"), "cuts")
+        named = texts
+        cuts = write_table(named.mapInArrow(_cut, "doc_id long, key long, h1 long, h2 long, at int, n int"), "cuts")
         again = cuts.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-        runs = write_table(cuts.join(again, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs")), "runs")
+        runs = write_table(cuts.join(again, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "n")).alias("runs")), "runs")
         windows = cuts.agg(F.sum("n")).first()[0] or 0
 
         groups = max(1, -(-int(windows) // ANCHOR_GROUP))
         open_ = named.join(runs, "doc_id", "left")
-        packed = open_.select("doc_id", "text", "runs").mapInArrow(_anchors(groups), "group int, anchors binary, first binary, known binary, docs binary, place binary")
+        packed = open_.select("doc_id", "key", "text", "runs").mapInArrow(_anchors(groups), "group int, anchors binary, first binary, known binary, docs binary, place binary")
         hits = packed.groupBy("group").applyInArrow(_meet, "doc_id long, anchor long").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
         hits = write_table(hits, "hits")
 
-        occurs = write_table(open_.join(hits, "doc_id").select("doc_id", "text", "runs", "anchors").mapInArrow(_pieces, "anchor long, h1 long, h2 long, piece binary, doc_id long, at int"), "pieces")
+        occurs = write_table(open_.join(hits, "doc_id").select("doc_id", "key", "text", "runs", "anchors").mapInArrow(_pieces, "anchor long, h1 long, h2 long, piece binary, doc_id long, key long, at int"), "pieces")
         once = write_table(occurs.groupBy("anchor", "h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.any_value("piece").alias("piece")), "once")
         rows = once.groupBy("anchor").count()
         hot = write_table(rows.where(F.col("count") > HOT).select("anchor"), "hot")
@@ -353,10 +368,12 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
         late = once.select("anchor", "h1", "h2", "hi")
         found = write_table(found.join(late, ["anchor", "h1", "h2"]).where(F.array_min("mins") < F.col("hi")).drop("hi"), "found")
         flags = occurs.drop("piece").join(found, ["anchor", "h1", "h2"]).where(F.array_min("mins") < F.col("doc_id"))
-        flags = flags.select("doc_id", F.struct("at", F.transform("mins", lambda m: m < F.col("doc_id")).alias("flags")).alias("one")).groupBy("doc_id").agg(F.collect_list("one").alias("found"))
+        flags = flags.select("doc_id", F.struct("key", "at", F.transform("mins", lambda m: m < F.col("doc_id")).alias("flags")).alias("one")).groupBy("doc_id").agg(F.collect_list("one").alias("found"))
 
-        done = texts.join(runs, "doc_id", "left").join(flags, "doc_id", "left").select("doc_id", "text", "runs", "found")
-        done = done.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        done = texts.join(runs, "doc_id", "left").join(flags, "doc_id", "left").select("doc_id", "key", "text", "runs", "found")
+        # Rows without an id take no part: they go straight to the last step.
+        alone = every.where("doc_id is null").select("doc_id", "key", "text", *(F.lit(None).cast(done.schema[c].dataType).alias(c) for c in ("runs", "found")))
+        done = done.union(alone).mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
         return write_table(done if keep_bytes else done.drop("kept"), "kept")
     finally:
         spark.sql(f"drop table if exists {name}")

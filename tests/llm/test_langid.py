@@ -6,12 +6,12 @@ from framelake.llm.langid import BLOCK, Model, automaton, identify
 def test_automaton_holds_exactly_the_substrings():
     r = random.Random(3)
     text = [r.randrange(3) for _ in range(60)]
-    table = automaton(text, 3)
+    table = {(s, c): t for s, c, t in zip(*(x.tolist() for x in automaton(text)), strict=True)}
 
     def accepts(word):
         s = 0
         for c in word:
-            s = table[s, c]
+            s = table.get((s, c), -1)
             if s < 0:
                 return False
         return True
@@ -68,3 +68,15 @@ def test_labels_are_no_input(docs):
     a = {(r["doc_id"], r["lang_pred"], r["score"]) for r in identify(docs, model).collect()}
     b = {(r["doc_id"], r["lang_pred"], r["score"]) for r in identify(docs.withColumn("lang", F.lit("zz")), model).collect()}
     assert a == b
+
+
+def test_scripts_of_many_characters_and_many_labels(spark):
+    r = random.Random(2)
+    scripts = {"zh": range(0x4E00, 0x4E00 + 900), "zh2": range(0x4E00 + 300, 0x4E00 + 1200), "ko": range(0xAC00, 0xAC00 + 900), "th": range(0xE01, 0xE2F), "el": range(0x3B1, 0x3CA)}
+    words = {k: ["".join(chr(r.choice(v)) for _ in range(r.randrange(1, 5))) for _ in range(300)] for k, v in scripts.items()}
+    words |= {f"l{i}": ["".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 7))) for _ in range(40)] for i in range(70)}
+    rows = [(i, " ".join(r.choice(words[k]) for _ in range(40)), k) for i, k in enumerate(sorted(words) * 12)]
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    truth = {d: k for d, _, k in rows}
+    tested = [x for x in got if x["held_out"]]
+    assert len(tested) > 100 and sum(x["lang_pred"] == truth[x["doc_id"]] for x in tested) / len(tested) > 0.97

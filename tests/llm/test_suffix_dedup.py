@@ -78,3 +78,12 @@ def test_null_ids_and_no_rows(spark, no_docs):
     rows = [(None, "y" * 80), (1, "y" * 80), (2, "y" * 80)]
     got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {None: 0, 1: 0, 2: 80}
+
+
+def test_rows_that_share_an_id(spark):
+    r = random.Random(6)
+    a, b, c = ("".join(r.choice("abcdefgh ") for _ in range(n)) for n in (700, 90, 4000))
+    rows = [(1, a), (2, "q" + a + "w"), (2, "short"), (2, c), (2, c), (2, None), (3, b + c), (3, b), (None, a), (3, "z" * 20 + a[100:180])]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(*x, 1, "h") for x in rows], "doc_id long, text string, key int, runs string").repartition(3)).collect()
+    want = [(d, len((t or "").encode()), n) for (d, t), n in zip(rows, [0, 700, 0, 0, 0, 0, 4000, 0, 0, 80], strict=True)]
+    assert sorted(map(str, want)) == sorted(str((x["doc_id"], x["n_bytes"], x["n_removed"])) for x in got)
