@@ -18,10 +18,19 @@ from framelake.llm import decontaminate, langid, line_dedup, minhash, mixing
 from framelake.llm.common import drop_tables, read_table, without_rows, write_table
 
 
+#: Least lead of a language over the next one (score), and characters from which a text must show it.
+LEAD, CHARS = 0.05, 40
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a recognised language; texts without any letter go."""
-    named = langid.identify(docs).where("lang_pred = 'und'").select(F.col("doc_id").alias("und_")).distinct()
-    return docs.join(named, docs["doc_id"] == named["und_"], "left_anti").select(*docs.columns)
+    """Documents in a recognised language.
+
+    Texts without any letter go, and so do those of CHARS characters or more whose best language needs not even
+    LEAD fewer phrases than the next one: no language parses them better than another. Shorter texts say too little
+    to be rejected. Where no language could be learned, only texts without letters go.
+    """
+    unclear = langid.identify(docs.where(F.length("text") >= CHARS)).where((F.col("lang_pred") != "und") & (F.col("score") < LEAD))
+    return without_rows(docs.where(F.col("text").rlike(r"\p{L}")), unclear.select("doc_id", "key")).select(*docs.columns)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,19 +1,22 @@
 """Embedding near-dedup by iterative quantisation.
 
-Rotations learned on a bounded sample turn unit vectors into balanced binary codes (several rotations where
-one gives too few bits). The codes are cut into tables of substrings; vectors with an equal substring meet.
-First only packed codes travel, and vectors without a partner within the Hamming radius drop out. The others
-meet again with their original vectors, and the cosine in double precision decides. A pair is counted in the
-first table in which it meets. Buckets of more than TILE vectors are cut into tiles, each pair of tiles a
+Rotations learned on a bounded sample of centred unit vectors turn all vectors into balanced binary codes (several
+rotations where one gives too few bits). The codes are cut into tables of substrings; vectors with an equal substring
+meet. First only short sketches of the codes travel, and vectors without a partner within the Hamming radius drop out.
+The others meet again with their original vectors, and the cosine in double precision decides. A pair is counted in
+the first table in which it meets. Buckets of more than TILE vectors are cut into tiles, each pair of tiles a
 group of its own; only counts and one link to a root leave a tile, never all pairs.
 
-The number of tables is set so that a pair at the least cosine is missed with MISS probability at most, by
-the chance arccos(least) / pi that a bit differs. Sample bound: SAMPLE vectors; every vector is indexed.
+The number of tables is set so that a pair at the least cosine is missed with MISS probability at most, by the chance
+that a bit differs: the angle, over pi, that such a pair has once centred, for all but the SHORT share of the sample's
+centred lengths. Substrings grow with the logarithm of the vectors. Sample bound: SAMPLE vectors of each length;
+every vector is indexed.
 
-Vectors that are null, zero, hold null or non-finite components, or have another length than the most
-common one link with nothing. Equal vectors form one class and link with each other. Rows with the same
-vec_id are separate vectors of one name; a null vec_id is never a component's name unless it stays alone
-(component_id null, kept true). An empty table gives an empty table.
+Vectors that are null, zero, hold null or non-finite components link with nothing; vectors of another length are
+indexed among themselves. Equal vectors form one class and link with each other. Rows with the same vec_id are
+separate vectors of one name, and the smallest name that a vector reaches names its component; a null vec_id is never
+a component's name unless it stays alone (component_id null, kept true). Cosines equal to the least one link. Extra
+columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,16 +30,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tiles
-from .common import tune, write_table
-from .graph import connected_components
+from .common import drop_tables, tune, write_table
+from .graph import least_names, look_up
 
-LEAST, MISS, SAMPLE = 0.9, 1e-3, 4096
+LEAST, MISS, SAMPLE, SHORT = 0.9, 1e-3, 4096, 0.02
+#: Bits of a code that the first comparison takes.
+SKETCH = 256
 TILE, GROUP_ROWS, ROTATIONS_STEPS = 1024, 50_000, 30
 
 
-def learn_rotations(sample: np.ndarray, bits: int, seed: int = 11) -> np.ndarray:
-    """Projections [dimension, bits]: principal directions times rotations fitted by iterative quantisation."""
+def centre(sample: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, float]:
+    """Mean of the unit vectors, and the chance that a bit differs for a pair at cosine ``least``, once centred."""
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    mean = unit.mean(axis=0)
+    chord = math.sqrt(2 * (1 - least))
+    lengths = np.linalg.norm(unit - mean, axis=1)
+    # Where vectors lie closer to their mean than pairs to each other, centring would hide the pairs.
+    if np.quantile(lengths, SHORT) < chord:
+        return np.zeros_like(mean), math.acos(least) / math.pi
+    return mean, 2 * math.asin(chord / (2 * float(np.quantile(lengths, SHORT)))) / math.pi
+
+
+def learn_rotations(sample: np.ndarray, mean: np.ndarray, bits: int, seed: int = 11) -> np.ndarray:
+    """Projections [dimension, bits]: principal directions times rotations fitted by iterative quantisation."""
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True) - mean
     dim = unit.shape[1]
     _, _, axes = np.linalg.svd(unit, full_matrices=False)
     axes = axes.T if axes.shape[0] == dim else np.eye(dim)
@@ -50,11 +67,10 @@ def learn_rotations(sample: np.ndarray, bits: int, seed: int = 11) -> np.ndarray
     return np.concatenate(out, axis=1)[:, :bits]
 
 
-def plan(n: int, least: float = LEAST, miss: float = MISS) -> tuple[int, int]:
+def plan(n: int, chance: float = math.acos(LEAST) / math.pi, miss: float = MISS) -> tuple[int, int]:
     """Bits of a substring and number of tables for n vectors."""
-    same = 1 - math.acos(least) / math.pi
-    bits = min(24, max(4, math.ceil(math.log2(max(n, 1) / 64 + 1))))
-    return bits, math.ceil(math.log(miss) / math.log(1 - same**bits))
+    bits = min(62, max(4, math.ceil(math.log2(max(n, 1) / 64 + 1))))
+    return bits, max(1, math.ceil(math.log(miss) / math.log(1 - (1 - chance) ** bits)))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -62,18 +78,19 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _coder(projection: np.ndarray, bits: int, tables: int) -> Callable:
+def _coder(projection: np.ndarray, mean: np.ndarray, bits: int, tables: int) -> Callable:
     weight = 1 << np.arange(bits, dtype=np.int64)
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sign = _vectors(batch.column("embedding")) @ projection >= 0
-            codes = (sign.reshape(-1, tables, bits) @ weight).astype(np.int32)
+            vectors = _vectors(batch.column("embedding"))
+            sign = vectors @ projection >= np.linalg.norm(vectors, axis=1, keepdims=True) * (mean @ projection)
+            codes = (sign.reshape(-1, tables, bits) @ weight).astype(np.int64)
             border = pa.array(np.arange(0, codes.size + 1, tables, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), batch.column("m"), pa.ListArray.from_arrays(border, pa.array(codes.reshape(-1))), pa.array([x.tobytes() for x in np.packbits(sign, axis=1)], pa.binary())],
+                [batch.column("rep"), batch.column("m"), pa.ListArray.from_arrays(border, pa.array(codes.reshape(-1))), pa.array([x.tobytes() for x in np.packbits(sign[:, :SKETCH], axis=1)], pa.binary())],
                 names=["rep", "m", "codes", "packed"],
             )
 
@@ -141,25 +158,16 @@ def _deal(placed: DataFrame, hot: DataFrame, rows: int) -> DataFrame:
     return tiles.deal(named, ["t", "code"], "rep", F.coalesce("tiles", F.lit(1)), max(1, -(-rows // GROUP_ROWS))).drop("tiles")
 
 
-def near_vectors(table: DataFrame, least: float = LEAST, miss: float = MISS) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of ``table`` (vec_id, embedding, ...)."""
-    tune(table.sparkSession)
-    e = F.col("embedding")
-    sound = e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: F.coalesce((x == x) & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(e, lambda x: x != 0)
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.select("vec_id", "embedding", F.coalesce(sound, F.lit(False)).alias("sound"), F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"))
-    size = rows.where("sound").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dimension = size["n"] if size else 0
-    rows = rows.withColumn("sound", F.col("sound") & (F.size("embedding") == dimension) & F.col("vec_id").isNotNull())
-    classes = write_table(rows.where("sound").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("embedding").alias("embedding")), "vectors")
+def _found(classes: DataFrame, least: float, miss: float) -> DataFrame:
+    """(rep, links, root) of the vectors of one length, a row for each bucket in which a vector has links."""
     n = classes.count()
-    bits, tables = plan(n, least, miss)
-    sample = classes.orderBy(F.xxhash64(F.lit("sample"), "rep")).limit(SAMPLE).select("embedding").collect()
-    projection = learn_rotations(np.array([r[0] for r in sample]), bits * tables) if sample else np.zeros((1, bits * tables))
-
-    coded = write_table(classes.select("rep", "m", "embedding").mapInArrow(_coder(projection, bits, tables), "rep long, m long, codes array<int>, packed binary"), "codes")
-    chance = math.acos(least) / math.pi
-    radius = math.ceil(bits * tables * chance + 6 * math.sqrt(bits * tables * chance * (1 - chance)))
+    sample = np.array([r[0] for r in classes.orderBy(F.xxhash64(F.lit("sample"), "rep")).limit(SAMPLE).select("embedding").collect()])
+    mean, chance = centre(sample, least)
+    bits, tables = plan(n, chance, miss)
+    projection = learn_rotations(sample, mean, bits * tables)
+    coded = write_table(classes.select("rep", "m", "embedding").mapInArrow(_coder(projection, mean, bits, tables), "rep long, m long, codes array<long>, packed binary"), "codes")
+    width = min(bits * tables, SKETCH)
+    radius = math.ceil(width * chance + 6 * math.sqrt(width * chance * (1 - chance)))
 
     def placed(what: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
         put = what.select("rep", *more, F.posexplode("codes").alias("t", "code"))
@@ -175,11 +183,31 @@ def near_vectors(table: DataFrame, least: float = LEAST, miss: float = MISS) ->
     put, hot = placed(kept, "m", F.col("codes").alias("all"), "embedding")
     put = put.withColumnRenamed("all", "codes")
     found = write_table(_deal(put, hot, kept.count() * tables).groupBy("g").applyInArrow(_links(least), "rep long, links long, root long"), "links")
+    drop_tables(coded, near, kept)
+    return found
+
 
-    component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
-    count = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "linked")
-    known = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "m").join(component, F.col("rep") == component.v, "left").join(count, F.col("rep") == F.col("linked"), "left")
-    known = known.select("c1", "c2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.select("vec_id", "sound", "k1", "k2").join(known, F.col("sound") & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
-    root = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("vec_id") == root, F.lit(True)).alias("kept"))
+def near_vectors(table: DataFrame, least: float = LEAST, miss: float = MISS) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of ``table`` (vec_id, embedding, ...)."""
+    tune(table.sparkSession)
+    e = F.col("embedding")
+    sound = e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: F.coalesce((x == x) & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(e, lambda x: x != 0)
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = rows.select("vec_id", "embedding", F.when(F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull(), F.xxhash64("embedding")).alias("rep"))
+    classes = write_table(rows.where("rep is not null").groupBy("rep").agg(F.min("vec_id").alias("name"), F.count("*").alias("m"), F.first("embedding").alias("embedding")), "vectors")
+    found = None
+    for r in classes.select(F.size("embedding").alias("n")).distinct().orderBy("n").collect():
+        one = _found(classes.where(F.size("embedding") == r["n"]), least, miss)
+        found = one if found is None else found.union(one)
+    known = classes.select("rep", "name", "m")
+    if found is not None:
+        component = least_names(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct(), classes.select("rep", "name"))
+        count = found.groupBy("rep").agg(F.sum("links").alias("links")).toDF("linked", "links")
+        known = known.join(component, F.col("rep") == F.col("v"), "left").join(count, F.col("rep") == F.col("linked"), "left")
+        known = known.select("rep", "name", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "name").alias("component"))
+    else:
+        known = known.select("rep", "name", (F.col("m") - 1).alias("links"), F.col("name").alias("component"))
+    known = write_table(known.select("rep", F.struct("links", "component").alias("known")), "known")
+    out = look_up(rows.select("vec_id", "rep"), "rep", known, table.count(), "known")
+    root = F.coalesce("known.component", "vec_id")
+    return out.select("vec_id", F.coalesce("known.links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("vec_id") == root, F.lit(True)).alias("kept"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, tune
+from .common import slices, text_key, tune
 
 DOCS, CHARS, TRAIN, TRAIN_ALL = 300, 400, 60_000, 4_000_000
 BLOCK, FOLDS = 1024, 5
@@ -209,10 +209,10 @@ def train(docs: DataFrame, docs_a_language: int = DOCS, chars: int = CHARS) -> M
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, phrases_a_char for every row of ``docs``."""
+    """doc_id, held_out, lang_pred, score, phrases_a_char, key (text_key) for every row of ``docs``."""
     spark = docs.sparkSession
     tune(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).withColumn("key", text_key(F.col("text")))
     shared = spark.sparkContext.broadcast(model or train(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +220,6 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             ids = batch.column("doc_id").to_pylist()
             names, score, rate = shared.value.predict(batch.column("text").to_pylist())
             held = [None if i is None else zlib.crc32(str(i).encode()) % FOLDS == 0 for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.bool_()), pa.array(names, pa.string()), pa.array(score), pa.array(rate)], names=["doc_id", "held_out", "lang_pred", "score", "phrases_a_char"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.bool_()), pa.array(names, pa.string()), pa.array(score), pa.array(rate), batch.column("key")], names=["doc_id", "held_out", "lang_pred", "score", "phrases_a_char", "key"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, phrases_a_char double")
+    return texts.select("doc_id", "text", "key").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, phrases_a_char double, key long")

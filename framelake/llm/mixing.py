@@ -5,11 +5,14 @@ meet in pairs; mass moves at random from one to the other, weighed by their size
 has a whole number of copies. The expected copies of each document stay, and so does the sum of words of
 the pair, so what a source takes differs from its target by the rounding of one last document. Each group
 (source, bucket) hands its one undecided document to the next level of a tree, until a source has one
-group left. Groups hold a bounded number of rows however large a source is.
-
-Nulls: a null text has size 0 and takes 0; null source is a source of its own, last in order. Texts
-without words take 0. Repeated rows are separate rows, dealt with alike. Reruns give the same rows: the
-random numbers come from the seed, the doc_id and the level. An empty table gives an empty table.
+group left. Rows are dealt to groups by id, text and number among equal rows, so groups hold a bounded number of
+rows however large a source or a group of copies is.
+
+Nulls: a null text has size 0 and takes 0; null source is a source of its own, last in order; null ids are dealt out
+by their text. Texts without words take 0; texts of any length count whole. Repeated rows are separate rows, and
+which of them gets which number of copies does not matter; rows that share an id are rounded each by itself. Reruns
+give the same rows whatever the layout of the table: the random numbers come from the seed, the row and the level.
+Extra columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tune, write_table
+from .common import text_key, tune, write_table
 
 #: Weights by order of source, repeating; share of all words; most copies of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
@@ -32,27 +35,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Adds ``target`` to (source, source_size): share of all sizes by weight, at most ``most`` times the size.
 
-    The level at which sources fill up rises from source to source in order of size / weight; the first
-    source that does not fill up fixes words per weight for itself and all after it.
+    Sources are ranked by ranges, not in one task. What full sources leave over is shared again by weight until no
+    source is above its cap; each turn takes one pair of sums, and the full ones only become more.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sources.withColumn("rank", F.row_number().over(order) - 1)
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("double")
-    full = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    every = Window.partitionBy()
-    before = full.rowsBetween(Window.unboundedPreceding, -1)
-    t = ranked.select("source", "source_size", "rank", weight.alias("weight"), (F.col("source_size") * F.lit(most)).cast("double").alias("cap"))
-    t = t.withColumns({
-        "left": F.sum("source_size").over(every) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
-        "open": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
-    })
-    t = t.withColumn("level", F.min(F.when(F.col("left") / F.col("open") <= F.col("cap") / F.col("weight"), F.struct(F.col("cap") / F.col("weight"), "rank", (F.col("left") / F.col("open")).alias("level")))).over(every)["level"])
-    return t.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    spread = sources.repartitionByRange(F.col("source").isNull(), F.col("source")).withColumn("part", F.spark_partition_id())
+    laid = write_table(spread, "sources")
+    before = laid.groupBy("part").agg(F.count("*").alias("rows")).orderBy("part").collect()
+    offsets = laid.sparkSession.createDataFrame([(r["part"], sum(x["rows"] for x in before[:i])) for i, r in enumerate(before)], "p int, offset long")
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    ranked = laid.withColumn("nth", nth).join(F.broadcast(offsets), F.col("part") == F.col("p")).withColumn("rank", F.col("offset") + F.col("nth") - 1)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    t = write_table(ranked.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap")), "ranked")
+    total, level, full = t.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while True:
+        above = F.col("cap") < F.col("weight") * F.lit(level)
+        sums = t.agg(F.coalesce(F.sum(F.when(above, F.col("source_size"))), F.lit(0)).alias("done"), F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0)).alias("open"), F.count_if(above).alias("full")).first()
+        if sums["full"] == full or not sums["open"]:
+            break
+        full, level = sums["full"], (total * share - sums["done"] * most) / sums["open"]
+    filled = F.col("cap") if not sums["open"] else F.least("cap", F.col("weight") * F.lit(level))
+    return t.select("source", "source_size", filled.cast("double").alias("target"))
 
 
 def _pivot(rows: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
     """Round all rows of a group but one; at the last level that one too."""
-    rows = rows.sort_values(["doc_id", "size", "row"], kind="stable", na_position="last").reset_index(drop=True)
+    rows = rows.sort_values(["doc_id", "size", "key", "row"], kind="stable", na_position="last").reset_index(drop=True)
     part, size = rows["part"].to_numpy(copy=True), rows["size"].to_numpy(np.float64)
     draw = np.random.default_rng([seed, int(rows["level"].iloc[0]), int(rows["mark"].iloc[0]) & 0x7FFFFFFF]).random(len(rows) + 1)
     keep = -1
@@ -96,8 +103,11 @@ def _rounder(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def mix_sources(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, source for every row of ``docs``."""
     tune(docs.sparkSession)
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    table = write_table(sized.withColumn("row", F.xxhash64("doc_id", "size", F.monotonically_increasing_id())), "sizes")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), text_key(F.col("text")).alias("key"))
+    # Equal rows are numbered: first in runs, which are dealt out, then within them.
+    equal = sized.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("rows"))
+    runs = equal.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / GROUP)))).repartition("doc_id", "key", "run")
+    table = write_table(runs.withColumn("row", F.explode(F.sequence(F.col("run") * GROUP, F.least((F.col("run") + 1) * GROUP, "rows") - 1))).drop("rows", "run"), "sizes")
     sums = table.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     known = write_table(targets(sums.select("source", "source_size"), weights, share, most), "targets")
     most_rows = sums.agg(F.max("n")).first()[0] or 0
@@ -108,9 +118,9 @@ def mix_sources(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGH
     base = F.floor(rate + F.lit(1e-12))
     named = table.join(s, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = named.select(
-        "doc_id", "source", "size", "row", "source_size", "target", base.cast("double").alias("base"),
+        "doc_id", "source", "size", "key", "row", "source_size", "target", base.cast("double").alias("base"),
         F.when((F.col("size") > 0) & (rate - base > 1e-12), rate - base).otherwise(0.0).alias("part"),
-        F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)).alias("bucket"),
+        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "key", "row"), F.lit(buckets)).alias("bucket"),
     )
     settled, level = None, 0
     while True:

@@ -51,7 +51,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(read_table(spark, sf_dir, "documents"))
+    return langid.identify(read_table(spark, sf_dir, "documents")).drop("key")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

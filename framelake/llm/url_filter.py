@@ -6,9 +6,11 @@ against the entries in force when it was fetched: all keys of its URL (path pref
 are joined to the intervals that hold its fetch time. The most specific scope decides (prefix, then host,
 then domain; longer keys first); within one key ``allow`` beats ``block``.
 
-Entries of one date for the same key: ``allow`` beats ``block`` beats ``remove``; repeated entries count once.
+Entries of one date for the same key: ``allow`` beats ``block`` beats ``remove``; repeated entries count once. Keys
+of one length and action that several lists name: the list whose name comes last in code point order decides.
 A capture without match, with a null URL or null fetch time, or with a URL without host is ``keep`` with a
-null key. Repeated captures give repeated rows. Entries with a null date or key are ignored. Empty tables:
+null key. Repeated captures give repeated rows. URLs of any length count whole; a URL has as
+many keys as it has labels and path parts. Entries with a null date or key are ignored. Empty tables:
 no captures give no rows, no entries give ``keep``.
 """
 
@@ -17,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import own_name, write_table
+from .graph import look_up
 
-#: Rows of a table that is broadcast at most.
-BROADCAST = 500_000
+#: Bytes of a table that is broadcast at most, counted as its strings and 64 bytes a row.
+BROADCAST = 32 << 20
 #: Fixed ranks of scopes and actions.
 SCOPES = {"prefix": 3, "host": 2, "domain": 1}
 ACTIONS = {"allow": 2, "block": 1, "remove": 0}
@@ -62,18 +65,29 @@ def keys_of(url: Column) -> Column:
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """All columns of ``captures`` (url, fetched_at, ...) with decision, list_name, scope, key, valid_from.
 
-    Clashing columns of ``captures`` keep their place and name with ``_in`` added.
+    Clashing columns of ``captures`` keep their place and get ``_in`` added to their name (and underscores where that
+    name is taken too).
     """
-    added = ["decision", "list_name", "scope", "key", "valid_from"]
-    own = captures.select(*[F.col(c).alias(f"{c}_in" if c in added else c) for c in captures.columns])
+    added, names = ["decision", "list_name", "scope", "key", "valid_from"], []
+    for c in captures.columns:
+        names.append(own_name([*captures.columns, *added, *names], f"{c}_in") if c.lower() in added else c)
+    own = captures.toDF(*names)
     # the same URL at the same time needs one look-up, however often it was captured
-    asked = own.select("url", F.col("fetched_at").cast("timestamp").alias("at")).where(host_of(F.col("url")).isNotNull() & F.col("at").isNotNull()).distinct()
+    asked = own.select(F.col("url").alias("url"), F.col("fetched_at").cast("timestamp").alias("at")).where(host_of(F.col("url")).isNotNull() & F.col("at").isNotNull()).distinct()
     probes = asked.select("url", "at", F.inline(keys_of(F.col("url"))))
     held = write_table(validity(entries).withColumnsRenamed({"scope": "s", "key": "k"}), "validity")
-    if held.limit(BROADCAST + 1).count() <= BROADCAST:
-        held = F.broadcast(held)
-    active = probes.join(held, (F.col("scope") == F.col("s")) & (F.col("key") == F.col("k")) & (F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))))
+    during = (F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
+    size = held.agg(F.sum(F.lit(64) + F.octet_length("k") + F.octet_length("list_name"))).first()[0] or 0
+    if size <= BROADCAST:
+        active = probes.join(F.broadcast(held), (F.col("scope") == F.col("s")) & (F.col("key") == F.col("k")) & during)
+    else:
+        # Each key brings its whole history; keys that very many captures have, such as a public suffix, are broadcast.
+        sk = write_table(probes.withColumn("sk", F.concat("scope", F.lit("|"), "key")), "probes")
+        history = held.groupBy(F.concat("s", F.lit("|"), "k").alias("sk")).agg(F.sort_array(F.collect_list(F.struct("list_name", "action", "valid_from", "valid_to"))).alias("history"))
+        met = look_up(sk, "sk", write_table(history, "history"), sk.count(), "history")
+        active = met.select("url", "at", "scope", "key", F.inline("history")).where(during)
     best = F.struct(_rank(SCOPES, "scope").alias("a"), F.length("key").alias("b"), _rank(ACTIONS, "action").alias("c"), "list_name", "action", "scope", "key", "valid_from")
-    decided = active.groupBy(F.col("url").alias("u"), "at").agg(F.max(best).alias("best"))
-    joined = own.join(decided, (own["url"] == F.col("u")) & (own["fetched_at"].cast("timestamp") == F.col("at")), "left")
-    return joined.select(*own.columns, F.coalesce("best.action", F.lit("keep")).alias("decision"), "best.list_name", "best.scope", "best.key", "best.valid_from")
+    u, at, won = (own_name([*own.columns, *added], x) for x in ("u", "at", "best"))
+    decided = active.groupBy("url", "at").agg(F.max(best).alias("best")).toDF(u, at, won)
+    joined = own.join(decided, (F.col("url") == F.col(u)) & (F.col("fetched_at").cast("timestamp") == F.col(at)), "left")
+    return joined.select(*own.columns, F.coalesce(f"{won}.action", F.lit("keep")).alias("decision"), *(F.col(f"{won}.{c}").alias(c) for c in added[1:]))

@@ -53,3 +53,29 @@ def test_bad_vectors(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(df).collect()}
     assert got == {1: (2, 1, True), 2: (2, 1, False), 11: (2, 1, False), None: (0, None, True), **{i: (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)}}
     assert near_vectors(df.limit(0)).collect() == []
+
+
+def test_centred_data_two_lengths_and_shared_names(spark):
+    r = np.random.default_rng(5)
+    shift = 0.5 * np.ones(32)
+    base = np.concatenate([r.standard_normal((300, 32)) / 5.6 + shift] * 1)
+    near = [x * 2 + 0.02 * r.standard_normal(32) for x in base[:80]]
+    vectors = np.array([*base, *near])
+    links, _ = brute_force(vectors)
+    short = r.standard_normal((40, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(1000 + i, v.tolist()) for i, v in enumerate(short)] + [(2000 + i, (v * 3).tolist()) for i, v in enumerate(short)] + [(0, short[0].tolist())]
+    got = near_vectors(spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, rep long").repartition(3)).collect()
+    assert len(got) == len(rows)
+    n = sum(x["n_links"] for x in got if x["vec_id"] < 1000)
+    assert 0.99 * links.sum() <= n - 2 <= links.sum() + 2
+    by_id = {(x["vec_id"], x["component_id"]) for x in got}
+    assert all((2000 + i, 1000 + i) in by_id for i in range(1, 40) if (1000 + i, 1000 + i) in by_id) and (2000, 0) in by_id
+
+
+def test_recall_with_long_substrings(spark, monkeypatch):
+    plan = embedding_dedup.plan
+    monkeypatch.setattr(embedding_dedup, "plan", lambda n, chance, miss: plan(10_000_000, chance, miss))
+    vectors = sample(300)
+    links, _ = brute_force(vectors)
+    got = near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")).collect()
+    assert 0.98 * links.sum() <= sum(x["n_links"] for x in got) <= links.sum()

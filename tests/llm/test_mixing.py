@@ -67,3 +67,21 @@ def test_expected_copies(spark):
 
 def test_no_rows(no_docs):
     assert mixing.mix_sources(no_docs).collect() == []
+
+
+def test_many_sources_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 10)
+    rows = [(None, "w " * (i % 5 + 1), f"s{i % 37:02d}") for i in range(300)] + [(7, "a b c", None)] * 60 + [(8, "q " * i, "s00") for i in range(20)]
+    df = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "doc_id long, text string, source string, row int, part double")
+    got = mixing.mix_sources(df.repartition(3)).collect()
+    again = mixing.mix_sources(df.repartition(5)).collect()
+    key = lambda r: (str(r["doc_id"]), str(r["source"]), r["size"], r["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == len(rows)
+    sums = defaultdict(int)
+    for _, t, s in rows:
+        sums[s] += len(t.split())
+    want, taken = fill(sums), defaultdict(int)
+    for r in got:
+        assert abs(r["target"] - want[r["source"]]) < 1e-6
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 19 for s in sums)

@@ -1,6 +1,9 @@
 import datetime as dt
 import re
 
+import pytest
+
+from framelake.llm import graph, url_filter
 from framelake.llm.url_filter import filter_urls
 
 D = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
@@ -46,7 +49,10 @@ def brute_force(url, at):
     return found if best else ("keep", None)
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("most", [url_filter.BROADCAST, 0])
+def test_matches_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "BROADCAST", most)
+    monkeypatch.setattr(graph, "HEAVY", 3)
     rows = [(i, u, D(n) if n is not None else None, "clash") for i, u in enumerate(URLS) for n in (0, 4, 5, 11, 12, 20, 25, 35, 50, None)]
     captures = spark.createDataFrame([*rows, rows[3]], "page_id long, url string, fetched_at timestamp, decision string")
     entries = spark.createDataFrame(ENTRIES, "list_name string, scope string, key string, action string, listed_at timestamp")
@@ -63,3 +69,12 @@ def test_no_rows(spark):
     entries = spark.createDataFrame([], "list_name string, scope string, key string, action string, listed_at timestamp")
     assert [r["decision"] for r in filter_urls(captures, entries).collect()] == ["keep"]
     assert filter_urls(captures.limit(0), entries).collect() == []
+
+
+def test_clashing_names(spark):
+    names = "page_id long, url string, fetched_at timestamp, u string, at string, best string, key string, key_in string, sk string, s string"
+    captures = spark.createDataFrame([(1, URLS[0], D(11), "1", "2", "3", "4", "5", "6", "7")], names)
+    entries = spark.createDataFrame(ENTRIES, "list_name string, scope string, key string, action string, listed_at timestamp")
+    got = filter_urls(captures, entries)
+    assert got.columns == ["page_id", "url", "fetched_at", "u", "at", "best", "key_in_", "key_in", "sk", "s", "decision", "list_name", "scope", "key", "valid_from"]
+    assert [tuple(r)[3:12] for r in got.collect()] == [("1", "2", "3", "4", "5", "6", "7", "block", "a")]
