@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import drop_tables, write_table
 
 #: Links that a task thins out at once; rows that share a key in one task, and keys with more of them, at most.
-CHUNK, HEAVY, HEAVY_KEYS = 50_000, 1_000, 100_000
+CHUNK, HEAVY, HEAVY_KEYS = 50_000, 50_000, 100_000
 
 
 def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
