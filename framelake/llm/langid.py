@@ -31,6 +31,8 @@ from .common import slices, text_key, tune
 
 DOCS, CHARS, TRAIN, TRAIN_ALL = 300, 400, 60_000, 4_000_000
 BLOCK, FOLDS = 1024, 5
+#: Bytes of the tables of steps in a worker.
+DENSE = 192 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,7 +73,8 @@ class Parser:
 
     State 0 stands for "between phrases": there, and where the automaton has no transition, a character begins a
     phrase. The other states are those of the automaton, whose first has the number 1. Transitions lie in an open
-    hash table with linear probing.
+    hash table with linear probing; those of the ``width`` most frequent letters are also laid out as a table of
+    steps, where the parse runs. That one is made where it is used and does not travel.
     """
 
     def __init__(self, codes: list[int], letters: int) -> None:
@@ -79,6 +82,8 @@ class Parser:
         self.letters = letters
         self.root = np.zeros(letters, np.int32)
         first = state == 0
+        self.states, self.order = int(target.max(initial=0)) + 2, np.argsort(-np.bincount(codes or [0], minlength=letters), kind="stable")
+        self.own = np.unique(np.array(codes or [0]))
         self.root[letter[first]] = target[first] + 1
         bits = max(4, int(len(state) * 2.5).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
@@ -97,6 +102,26 @@ class Parser:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * MIX) >> self.shift).view(np.int64)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_table"}
+
+    def table(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of all letters (``width``: none) and steps by state * width + column: twice the next state's row, plus 1 where a phrase begins."""
+        if not hasattr(self, "_table"):
+            chosen = np.unique(np.append(self.order[: width - 1], 0))
+            column = np.full(self.letters, width, np.int32)
+            column[chosen] = np.arange(len(chosen))
+            # A letter that the language does not have begins a phrase everywhere, as code 0 does.
+            column[np.setdiff1d(np.arange(self.letters), self.own)] = column[0]
+            steps = np.zeros((self.states, width), np.int32)
+            steps[:, : len(chosen)] = self.root[chosen] * (2 * width) + 1
+            used = np.flatnonzero(self.keys >= 0)
+            state, at = np.divmod(self.keys[used], self.letters)
+            common = column[at] < width
+            steps[state[common], column[at[common]]] = self.targets[used[common]] * (2 * width)
+            self._table = column, steps.reshape(-1)
+        return self._table
+
     def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next states, and whether a phrase begins."""
         key = state * np.int64(self.letters) + code
@@ -133,6 +158,7 @@ class Model:
         every = np.concatenate([_folded(t) for t in texts.values()]) if texts else np.zeros(0, np.uint32)
         self.alphabet = np.unique(every)
         self.parsers = [Parser(self.encode(_folded(t)).tolist(), len(self.alphabet) + 1) for t in texts.values()]
+        self.width = int(np.clip(DENSE // (4 * sum(x.states for x in self.parsers) or 1), 2, 96))
 
     def encode(self, points: np.ndarray) -> np.ndarray:
         """Codes of characters; 0 is any character that no sample holds."""
@@ -166,12 +192,22 @@ class Model:
             grid[i, : active[i]] = codes[begin[: active[i]] + i]
         out = np.zeros((len(texts), len(self.parsers)), np.int64)
         for j, parser in enumerate(self.parsers):
-            state = np.zeros(len(owner), np.int64)
+            column, steps = parser.table(self.width)
+            local = column[grid]
+            rare = (local == self.width).any(axis=1)
+            state = np.zeros(len(owner), np.int32)
             count = np.zeros(len(owner), np.int32)
             for i in range(int(size[0]) if len(size) else 0):
                 m = active[i]
-                state[:m], fresh = parser.step(state[:m], grid[i, :m])
-                count[:m] += fresh
+                if rare[i]:
+                    at = np.flatnonzero(local[i, :m] == self.width)
+                    got = steps[state[:m] + np.minimum(local[i, :m], self.width - 1)]
+                    after, fresh = parser.step((state[at] // self.width).astype(np.int64), grid[i, at])
+                    got[at] = after * (2 * self.width) + fresh
+                else:
+                    got = steps[state[:m] + local[i, :m]]
+                count[:m] += got & 1
+                state[:m] = got >> 1
             out[:, j] = np.bincount(owner, count, len(texts)).astype(np.int64)
         return out, sizes, letters
 

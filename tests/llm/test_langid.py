@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from framelake.llm import langid
 from framelake.llm.langid import BLOCK, Model, automaton, identify
 
 
@@ -22,7 +25,9 @@ def test_automaton_holds_exactly_the_substrings():
         assert accepts(word) == (word in substrings)
 
 
-def test_phrases_match_a_plain_parse():
+@pytest.mark.parametrize("dense", [langid.DENSE, 0, 3000])
+def test_phrases_match_a_plain_parse(monkeypatch, dense):
+    monkeypatch.setattr(langid, "DENSE", dense)
     model = Model({"x": ["the cat sat on the mat"], "y": ["der hund und die katze"]})
     texts = ["the mat sat", "und die hundkatze!" * 200, "", "q"]
     counts, sizes, letters = model.phrases(texts)
