@@ -140,14 +140,14 @@ class Network:
         for s in range(0, len(target), BATCH):
             c, t = context[:, s : s + BATCH], target[s : s + BATCH]
             n, h = len(t), self._hidden(c)
-            p = np.exp(_log_softmax(h @ w1 + b1))
+            p = _softmax(h @ w1 + b1)
             p[np.arange(n), t // SIZE] -= 1.0
             back = p @ w1.T
             step(1, ..., h.T @ p)
             step(2, ..., p.sum(axis=0))
             for k, rows in _by_class(t // SIZE):
                 part = h[rows]
-                p = np.exp(_log_softmax(part @ w2[k] + b2[k]))
+                p = _softmax(part @ w2[k] + b2[k])
                 p[np.arange(len(rows)), t[rows] % SIZE] -= 1.0
                 back[rows] += p @ w2[k].T
                 step(3, k, part.T @ p)
@@ -164,6 +164,13 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
 def _by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(classes, kind="stable")
     begin = np.flatnonzero(np.append(True, np.diff(classes[order]) != 0)) if len(order) else np.zeros(0, np.int64)

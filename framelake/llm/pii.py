@@ -145,9 +145,10 @@ def _runs(text: Column) -> Column:
 
 def _occurrences(found: DataFrame) -> DataFrame:
     """Candidates, each with its patterns; seeds are those that hold a valid base entity."""
-    runs = found.select("doc_id", "key", _runs(F.col("text")).alias("runs")).where(F.size("runs") > 0)
+    # Outer explodes: else filters are inferred below them and the expressions are computed again.
+    runs = found.select("doc_id", "key", _runs(F.col("text")).alias("runs"))
     placed = positions(F.transform("runs", lambda x: F.struct(F.length(x["piece"]).alias("gap"), F.length(x["run"]).alias("n"), x["run"].alias("value"))))
-    rows = runs.select("doc_id", "key", F.explode(F.arrays_zip(placed.alias("at"), F.col("runs").alias("r"))).alias("x"))
+    rows = runs.select("doc_id", "key", F.explode_outer(F.arrays_zip(placed.alias("at"), F.col("runs").alias("r"))).alias("x")).where("x is not null")
     rows = rows.select("doc_id", "key", "x.at.start", "x.at.value", "x.r.piece", "x.r.before", "x.r.next", "x.r.after")
     lead = F.length("value") - F.length(F.regexp_replace("value", r"^[^\p{L}\p{N}+@]+", ""))
     rows = rows.withColumn("start", F.col("start") + lead).withColumn("value", F.regexp_replace("value", r"^[^\p{L}\p{N}+@]+|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")).where(F.col("value").rlike(r"[\p{L}\p{N}]"))
@@ -158,7 +159,7 @@ def _occurrences(found: DataFrame) -> DataFrame:
     seed = F.size(base_spans(F.col("value"))) > 0
     context = rows.select("doc_id", "key", "start", (F.col("start") + F.length("value")).alias("stop"), "value", seed.alias("seed"), two.alias("b"), last.alias("l"), tail.alias("a"))
     patterns = F.array(F.when(F.col("b") != "", F.concat(F.lit("2|"), "b")), F.when((F.col("l") != "") & (F.trim("a") != ""), F.concat(F.lit("11|"), "l", F.lit("|"), "a")))
-    return context.select("doc_id", "key", "start", "stop", "value", "seed", F.explode(F.array_compact(patterns)).alias("pattern"))
+    return context.select("doc_id", "key", "start", "stop", "value", "seed", F.explode_outer(patterns).alias("pattern")).where("pattern is not null")
 
 
 def find_personal_data(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
