@@ -21,7 +21,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if pd.api.types.is_scalar(v) and pd.isna(v):
         return None
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
