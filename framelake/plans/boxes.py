@@ -9,7 +9,7 @@ from framelake.functions import scalar as X
 from framelake.operators import admission as A
 
 from .registry import query
-from .views import DETECTIONS, OBSERVATIONS, detections, observations, table
+from .views import DETECTIONS, OBSERVATIONS, PREDICTIONS, detections, observations, predictions, table
 
 _SIDES = ("x1", "y1", "x2", "y2")
 
@@ -136,3 +136,87 @@ def source_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inside_court_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = (F.col("o_orderkey") % 13).cast("double") + 0.25, (F.col("o_custkey") % 17).cast("double") + 0.25
     return table(spark, sf_dir, "orders").select("o_orderkey", X.inside_polygon(x, y, [(2.0, 2.0), (12.9, 2.0), (12.9, 16.5), (2.0, 16.5)]).alias("inside"))
+
+
+@query(f"""with {DETECTIONS}, o as (select image, det, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) / ((a.x2 - a.x1) * (a.y2 - a.y1)) as share
+  from det a join (select image, x1, y1, x2, y2 from det where label <> 'N') b using (image) where a.label = 'N') select distinct image, det from o where share >= 0.6""")
+def covered_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = detections(spark, sf_dir)
+    return A.overlapping(boxes.where("label = 'N'"), boxes.where("label <> 'N'"), ["image"], 0.6).select("image", "det")
+
+
+_POINT = "pt as (select o_orderkey, (o_orderkey % 19)::double as x, (o_custkey % 33)::double as y, (o_orderkey % 11)::double - 1 as z from orders)"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(k, (k % 19).cast("double").alias("x"), (c % 33).cast("double").alias("y"), ((k % 11).cast("double") - 1).alias("z"))
+
+
+@query(f"with {_POINT} select o_orderkey, x between -2 and 17 and y between -2 and 30 and z between -0.75 and 8 as valid from pt")
+def valid_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir).select("o_orderkey", A.valid_ball(F.col("x"), F.col("y"), F.col("z")).alias("valid"))
+
+
+@query(f"with {_POINT} select o_orderkey, cast(floor(x * 50 + 25) as integer) as px, cast(floor(y * 50) as integer) as py, x between 0 and 15 and y between 0 and 28 as inside from pt")
+def court_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px, py = X.court_pixel(F.col("x"), F.col("y"))
+    return _points(spark, sf_dir).select("o_orderkey", px.alias("px"), py.alias("py"), X.in_court(F.col("x"), F.col("y")).alias("inside"))
+
+
+@query(f"with {_POINT} select o_orderkey, case when (z - 5) ** 2 + 2 * 9.81::double * (y / 10 - 3.05::double) >= 0 then round((z - 5 + sqrt((z - 5) ** 2 + 2 * 9.81::double * (y / 10 - 3.05::double))) / 9.81::double, 9) end as seconds from pt")
+def fall_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir).select("o_orderkey", F.round(X.fall_roots(F.col("y") / 10, F.col("z") - 5, 3.05), 9).alias("seconds"))
+
+
+@query(f"""with {_POINT}, w as (select o_orderkey, x, y, z, 0.5::double * y + 0.1::double * x + 0.2::double * z - 3.05::double as w from pt)
+select o_orderkey, case when w > 0 then round((10 * x + 2 * z + 1) / w, 9) end as u, case when w > 0 then round((10 * y - 3 * z + 2) / w, 9) end as v from w""")
+def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, v = X.project([F.col("x"), F.col("y"), F.col("z")], [[10.0, 0.0, 2.0, 1.0], [0.0, 10.0, -3.0, 2.0], [0.1, 0.5, 0.2, -3.05]])
+    return _points(spark, sf_dir).select("o_orderkey", F.round(u, 9).alias("u"), F.round(v, 9).alias("v"))
+
+
+@query("select o_orderkey, case when o_orderkey % 2 = 0 and o_custkey % 3 = 0 then 75 when o_orderkey % 2 = 0 and o_custkey % 5 = 0 then 65 when o_orderkey % 2 = 0 then 50 else 10 end as score from orders")
+def highlight_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(k, X.highlight_score(k % 2 == 0, c % 3 == 0, c % 5 == 0).alias("score"))
+
+
+@query(f"with {_POINT} select o_orderkey, case when x > 15 then 0.5 when x / 15 >= 0.75 then 0 when x / 15 <= 0.55 then 1 else round((0.75 - x / 15) / 0.2::double, 9) end::double as cost from pt")
+def face_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir).select("o_orderkey", F.round(X.face_cost(F.when(F.col("x") <= 15, F.col("x") / 15)), 9).cast("double").alias("cost"))
+
+
+@query(f"""with {DETECTIONS} select image, det, (x1 + x2) / 2 - greatest(x2 - x1, y2 - y1) * 0.6::double as x1, (y1 + y2) / 2 - greatest(x2 - x1, y2 - y1) * 0.6::double as y1,
+  (x1 + x2) / 2 + greatest(x2 - x1, y2 - y1) * 0.6::double as x2, (y1 + y2) / 2 + greatest(x2 - x1, y2 - y1) * 0.6::double as y2 from det""")
+def square_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = _flat(detections(spark, sf_dir))
+    return _flat(flat.select("image", "det", X.square_box(*map(F.col, _SIDES), grow=1.2).alias("box")))
+
+
+@query("select p_partkey, 'a clip of ' || lower(p_brand) || ' in play' as prompt from part union all select p_partkey, lower(p_brand) from part")
+def class_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(X.prompts(F.lower("p_brand"), ["a clip of {} in play", "{}"])).alias("prompt"))
+
+
+@query(f"""with {PREDICTIONS}, e as (select sample, truth, label, exp(score) / sum(exp(score)) over (partition by sample) as p from pred)
+select sample, round(-ln(p), 9) as entropy, round(-((1 - p) ** 2) * ln(p), 9) as focal from e where label = truth""")
+def class_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = predictions(spark, sf_dir).groupBy("sample", "truth").agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "score"))), lambda x: x["score"]).alias("scores"))
+    return one.select("sample", F.round(X.cross_entropy(F.col("scores"), F.col("truth").cast("int")), 9).alias("entropy"), F.round(X.focal_loss(F.col("scores"), F.col("truth").cast("int")), 9).alias("focal"))
+
+
+@query("""select p_partkey, round(case when p_size < 5 then 0.01::double + 0.09::double * p_size / 5 else 0.001::double + 0.099::double * (cos(pi() * (p_size - 5) / 55) + 1) / 2 end, 9) as cosine,
+  round(case when p_size >= 40 then 0.001::double when p_size >= 20 then 0.01::double else 0.1::double end, 9) as step from part""")
+def learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    epoch = F.col("p_size").cast("double")
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(X.cosine_rate(epoch, 0.1, 0.001, 60, 5, 0.01), 9).alias("cosine"), F.round(X.step_rate(epoch, 0.1, [(20, 0.1), (40, 0.01)]), 9).alias("step"))
+
+
+@query("""select p_partkey, i, case when i = p_size % 4 then 0.925::double else 0.025::double end as smooth, case when i in (p_size % 4, p_partkey % 4) then 1 else 0 end as held,
+  round(case when i = p_size % 4 then 0.3::double else 0 end + case when i = p_partkey % 4 then 0.7::double else 0 end, 9) as mixed from part, range(0, 4) t(i)""")
+def target_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (F.col("p_size") % 4).cast("int"), (F.col("p_partkey") % 4).cast("int")
+    mixed = X.mix_targets(X.one_hot(a, 4), X.one_hot(b, 4), 0.3)
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.arrays_zip(X.one_hot(a, 4, 0.1).alias("smooth"), X.binary_vector(F.array(a, b), 4).alias("held"), mixed.alias("mixed"))).alias("i", "x"))
+    return rows.select("p_partkey", F.col("i").cast("long").alias("i"), F.round("x.smooth", 9).alias("smooth"), "x.held", F.round("x.mixed", 9).alias("mixed"))
