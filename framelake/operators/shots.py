@@ -109,12 +109,13 @@ def passes_before(shots: DataFrame, controls: DataFrame, anchors: DataFrame, fps
 
     The last control (segment, owner, start, end, team) begun by the release must be the shooter's, the one before it
     a known team mate's; both gaps last at most 1.5 seconds and no event (``anchors``: segment, anchor) lies between.
+    Repeated controls count once; ties go by end, owner and team.
     """
     most = round(PASS_SECONDS * fps)
-    w = Window.partitionBy("segment").orderBy("start", "end", "owner")
-    held = controls.select("segment", "owner", "start", "end", "team").withColumns({"passer": F.lag("owner").over(w), "left_": F.lag("end").over(w), "t_": F.lag("team").over(w)})
+    w = Window.partitionBy("segment").orderBy("start", "end", "owner", "team")
+    held = controls.select("segment", "owner", "start", "end", "team").distinct().withColumns({"passer": F.lag("owner").over(w), "left_": F.lag("end").over(w), "t_": F.lag("team").over(w)})
     found = matching.within(shots.select("segment", "event_id", "release", "player"), held, ["segment"], "release", "start", -most, 0)
-    last = found.groupBy("segment", "event_id", "release", "player").agg(F.max_by(F.struct("owner", "start", "team", "passer", "left_", "t_"), F.struct("start", "end", "owner")).alias("c"))
+    last = found.groupBy("segment", "event_id", "release", "player").agg(F.max_by(F.struct("owner", "start", "team", "passer", "left_", "t_"), F.struct("start", "end", "owner", "team")).alias("c"))
     gap = F.col("c.start") - F.col("c.left_")
     good = last.where((F.col("c.owner") == F.col("player")) & (F.col("c.passer") != F.col("player")) & (F.col("c.team") == F.col("c.t_")) & gap.between(0, most))
     good = good.select("segment", "event_id", F.col("c.passer").alias("passer"), F.col("player").alias("receiver"), F.col("c.left_").alias("left_"), F.col("c.start").alias("start_"))

@@ -71,14 +71,16 @@ def shot_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.release_views(contacts, poses, _samples(spark, sf_dir), _rims(spark), FPS)
 
 
-@query(f"""with {_SPANS}, h as (select *, lag(owner) over w as passer, lag("end") over w as let, lag(team) over w as t0 from spn window w as (partition by segment order by start, "end", owner)),
-sh as (select segment, start * 10 + cast(substr(owner, 2) as integer) as event_id, start + 20 as release, owner as player from spn),
+@query(f"""with {_SPANS}, brf as (select distinct segment, owner, start + n as start, start + n + 1 + ("end" - start) % 2 as "end", case when n < 8 then n % 2 end as team from (select *, cast(substr(owner, 2) as integer) as n from spn)),
+h as (select *, lag(owner) over w as passer, lag("end") over w as let, lag(team) over w as t0 from brf window w as (partition by segment order by start, "end", owner)),
+sh as (select segment, start * 10 + cast(substr(owner, 2) as integer) as event_id, start + 1 as release, owner as player from brf),
 l as (select sh.segment, event_id, release, player, arg_max(struct_pack(owner, start, team, passer, let, t0), struct_pack(a := start, b := "end", c := owner)) as c from sh join h on sh.segment = h.segment and h.start between release - 45 and release group by all)
 select segment, event_id, c.passer as passer, player as receiver, c.let - 1 as frame from l where c.owner = player and c.passer <> player and c.team = c.t0 and c.start - c.let between 0 and 45
   and not exists (select 1 from (select o_orderkey % 4 as s, o_orderkey % 5000 * 4 as f from orders where o_custkey % 5 = 0) e where e.s = l.segment and e.f >= c.let and e.f < c.start)""")
 def shot_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = _spans(spark, sf_dir)
-    shots = spans.select("segment", (F.col("start") * 10 + F.substring("owner", 2, 1).cast("int")).alias("event_id"), (F.col("start") + 20).alias("release"), F.col("owner").alias("player"))
+    n, length = F.substring("owner", 2, 1).cast("int"), F.col("end") - F.col("start")
+    spans = _spans(spark, sf_dir).select("segment", "owner", (F.col("start") + n).alias("start"), (F.col("start") + n + 1 + length % 2).alias("end"), F.when(n < 8, n % 2).alias("team"))
+    shots = spans.select("segment", (F.col("start") * 10 + F.substring("owner", 2, 1).cast("int")).alias("event_id"), (F.col("start") + 1).alias("release"), F.col("owner").alias("player"))
     return H.passes_before(shots, spans, _orders(spark, sf_dir).where("c % 5 = 0").select("segment", F.col("at").alias("anchor")), FPS)
 
 
