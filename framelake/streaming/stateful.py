@@ -112,10 +112,10 @@ class BallTracker:
         gate = min(self.gate, self.jump + 0.75 * np.linalg.norm(self.velocity) + 45 * min(self.missed, 3))
         far = np.linalg.norm(points - ahead, axis=1)
         if len(points) and far.min() <= gate:
-            new = points[int(np.argmin(far - 20 * np.array(scores)))] if (far - 20 * np.array(scores)).min() < np.inf else points[0]
+            new = points[int(np.argmin(far - 20 * np.array(scores)))]
             if np.linalg.norm(new - ahead) > gate:
                 new = points[int(np.argmin(far))]
-            self.velocity = 0.7 * self.velocity + 0.3 * (new - self.position)
+            self.velocity = 0.65 * self.velocity + 0.35 * (new - self.position)
             self.position, self.missed = new, 0
             return (*new.tolist(), 0)
         self.missed += 1
