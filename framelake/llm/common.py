@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -90,3 +91,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             total += n
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def ascii_lower(text: Column) -> Column:
+    """``text`` with A-Z lowered and nothing else changed."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase))
+
+
+def spaced_words(text: Column, between: str) -> Column:
+    """The words of ``text`` with one space between them; ``between`` is a class of the characters that no word holds."""
+    return F.trim(F.regexp_replace(text, f"[{between}]+", " "))
+
+
+def split_words(spaced: Column) -> Column:
+    """The array of words of ``spaced_words``; an empty one where there is none."""
+    return F.when(spaced != "", F.split(spaced, " ", -1)).otherwise(F.array().cast("array<string>"))
+
+
+def spaces(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, langid, line_dedup, lm_score, minhash, mixing, pii, suffix_dedup, url_filter
+from . import decontaminate, embedding_dedup, filter_audit, importance, langid, license_scan, line_dedup, lm_score, minhash, mixing, pii, suffix_dedup, url_filter
 from .common import read_table
 
 #: The tables hold no list and no fetch times: both follow from host and page_id by these rules.
@@ -79,11 +79,53 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n_lines_in_").alias("n_lines"), (F.col("n_lines_in_") - F.col("n_lines_out_")).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-_OPS = (op1_url_filter, op2_decontamination, op3_suffix_dedup, op4_language_id, op5_lm_score, op6_source_mixing, op7_minhash_near_dedup, op8_personal_data, op9_embedding_near_dedup, op10_line_dedup)
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))[0])
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+_OPS = (
+    op1_url_filter, op2_decontamination, op3_suffix_dedup, op4_language_id, op5_lm_score, op6_source_mixing, op7_minhash_near_dedup, op8_personal_data,
+    op9_embedding_near_dedup, op10_line_dedup, op11_license_scan, op12_filter_audit, op13_importance_resampling,
+)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPS}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+def _license_sql() -> str:
+    """Every block of every template's length beside every template, by plain counting."""
+    listed = [(t, label, license_scan.template_words(text)) for t, (label, text) in enumerate(license_scan.TEMPLATES)]
+    words = ", ".join(f"({t}, '{label}', {1 << (len(w) - 1).bit_length()}, '{x}')" for t, label, w in listed for x in sorted(set(w)))
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in license_scan.PHRASES.items())
+    return rf"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+t(template, label, step, word) as (values {words}),
+n as (select template, count(*) as n from t group by template),
+p(phrase, label) as (select string_split(phrase, ' '), label from (values {phrases}) v(phrase, label)),
+x as (select doc_id, unnest(w) as word, unnest(range(0, len(w))) as i from w),
+b as (
+  select doc_id, template, label, step, i // step as block, word from x join t using (word)
+  union select doc_id, template, label, step, i // step - 1, word from x join t using (word) where i >= step),
+m as (
+  select doc_id, template, label, count(*) / n as containment from b join n using (template)
+  group by doc_id, template, label, step, block, n having count(*) >= {license_scan.THRESHOLD} * n),
+f as (select doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(phrase)] = phrase)) as place from w, p where len(list_intersect(w, phrase)) = len(phrase)),
+g as (select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, string_agg(distinct label, ',' order by label) as base_labels from f group by doc_id),
+l as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from m union select doc_id, label from f) group by doc_id),
+s as (select doc_id, max(containment) as best from m group by doc_id)
+select w.doc_id, len(w.w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+  case when n_base > 0 then 1.0::double else coalesce(best, 0.0)::double end as score
+from w left join g using (doc_id) left join l using (doc_id) left join s using (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": r"""
 with p as (
@@ -132,4 +174,56 @@ e as (select a.vec_id as a, b.vec_id as b from g a join g b on a.vec_id <> b.vec
 r(v, c) as (select vec_id, vec_id from g union select e.b, r.c from r join e on r.v = e.a)
 select g.vec_id, coalesce(k.n, 0) as n_links, r.c as component_id, g.vec_id = r.c as kept
 from g left join (select a, count(*) as n from e group by a) k on k.a = g.vec_id join (select v, min(c) as c from r group by v) r on r.v = g.vec_id""",
+    "op11_license_scan": _license_sql(),
+    "op12_filter_audit": r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+e as (select text, min(doc_id) as least from d group by text),
+l as (select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id),
+f as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, len(w) < 200 as A, 100 * list_unique(w) < 50 * len(w) as B,
+    100 * len(regexp_extract_all(d.text, '[A-Z]')) > 3 * length(d.text) as C, regexp_matches(d.text, '[#$%&*|]') as D, doc_id > least as E
+  from d join e on e.text = d.text left join l using (doc_id)),
+k as (select part, good, toxic, (case when A then 'A' else '' end) || (case when B then 'B' else '' end) || (case when C then 'C' else '' end) || (case when D then 'D' else '' end) || (case when E then 'E' else '' end) as fails from f),
+c as (select part, fails, count(*) as n, count(*) filter (good) as g, count(*) filter (toxic) as t from k group by part, fails),
+x(f) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+o as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order from x a, x b, x c, x d, x e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s as (select filter_order, step, substr(filter_order, step, 1) as own, substr(filter_order, 1, step - 1) as before from o, (select unnest(range(1, 6)) as step)),
+r as (
+  select part, filter_order, step, own,
+    sum(n) filter (not contains(fails, own) and not regexp_matches(fails, '[' || before || '-]')) as kept,
+    sum(n) filter (contains(fails, own) and not regexp_matches(fails, '[' || before || '-]')) as removed,
+    sum(n) filter (contains(fails, own) and regexp_matches(fails, '[' || before || '-]')) as redundant,
+    sum(n) filter (fails = own) as unique_fails,
+    sum(g) filter (contains(fails, own) and not regexp_matches(fails, '[' || before || '-]')) as good_lost,
+    sum(t) filter (contains(fails, own) and not regexp_matches(fails, '[' || before || '-]')) as toxic_lost
+  from c, s group by part, filter_order, step, own)
+select part, filter_order, cast(step as integer) as step, cast(coalesce(kept, 0) as bigint) as kept, cast(coalesce(removed, 0) as bigint) as removed,
+  cast(coalesce(redundant, 0) as bigint) as redundant, cast(coalesce(unique_fails, 0) as bigint) as unique_fails, cast(coalesce(good_lost, 0) as bigint) as good_lost,
+  cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost, cast(coalesce(sum(removed) over (partition by part, own), 0) as bigint) as shapley
+from r""",
+    "op13_importance_resampling": rf"""
+with a as (
+  select list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by n) as crc
+  from (select unnest(range(0, 256)) as n)),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+dw as (select doc_id, unnest(w) as word from d), bw as (select unnest(w) as word from b),
+v as (select word, hex(encode(word)) as x from (select word from dw union select word from bw)),
+h as (
+  select word, xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(0, len(x) // 2), lambda i: cast('0x' || substr(x, 2 * i + 1, 2) as bigint))),
+    lambda c, y: xor(c // 256, crc[1 + xor(c, y) % 256])), 4294967295) % 10000 as bucket from v, a),
+s as (select bucket, count(*) as s from dw join h using (word) group by bucket),
+t as (select bucket, count(*) as t from bw join h using (word) group by bucket),
+g as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from dw) + 10000)::double / ((s + 1)::double * ((select count(*) from bw) + 10000)::double))) as gain
+  from s left join t using (bucket)),
+w as (select doc_id, cast(sum(gain) as bigint) as weight from dw join h using (word) join g using (bucket) group by doc_id),
+c as (
+  select d.doc_id, len(d.w)::bigint as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) as bigint)::double + 0.5) / 4294967296))) as bigint) as score
+  from d left join w using (doc_id)),
+r as (select *, case when n_features >= 20 then row_number() over (partition by n_features >= 20 order by score desc, doc_id) end as place from c)
+select doc_id, n_features, weight, score, case when place <= 10 * (select count(*) from c where n_features >= 20) // 100 then place end as rank from r""",
 }
