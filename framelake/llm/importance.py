@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, drop_tables, spaced_words, split_words, write_table
+from .common import ascii_lower, drop_tables, let, spaced_words, split_words, write_table
 from .graph import look_up
 from .license_scan import BETWEEN
 
@@ -42,17 +42,20 @@ def _words(text: Column) -> Column:
 
 def _runs(words: Column, grams: int) -> Column:
     """All runs of 1 to ``grams`` words."""
-    out = [words]
-    for n in range(2, grams + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        out.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.concat(*out) if len(out) > 1 else words
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+        # Word by word: a slice would read the whole array for each start.
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))
+
+    return F.concat(words, *map(runs, range(2, grams + 1)))
 
 
 def _buckets(texts: DataFrame, grams: int, buckets: int) -> DataFrame:
     """``texts`` (text, ...) with a row for each feature and its bucket instead of the text."""
     rest = [c for c in texts.columns if c != "text"]
-    runs = texts.select(*rest, _words(F.col("text")).alias("words")).select(*rest, F.explode(_runs(F.col("words"), grams)).alias("feature"))
+    words = _words(F.col("text"))
+    runs = texts.select(*rest, F.explode(let(words, lambda w: _runs(w, grams)) if grams > 1 else words).alias("feature"))
     return runs.select(*rest, (F.crc32(F.col("feature").cast("binary")) % buckets).cast("int").alias("bucket"))
 
 

@@ -85,7 +85,9 @@ def _blocks(words: Column, prefixes: dict[int, set[str]], vocabularies: dict[int
         mine = F.filter(places, lambda i: F.get(words, i).isin(*prefixes[step]))
         last = F.transform(mine, lambda i: F.floor(i / step).cast("int"))
         starts = F.filter(F.array_distinct(F.concat(last, F.transform(last, lambda b: b - 1))), lambda b: b >= 0)
-        known = F.transform(starts, lambda b: F.struct(F.lit(step).alias("step"), b.alias("block"), F.array_distinct(F.filter(F.slice(words, b * step + 1, 2 * step), lambda w: w.isin(*vocabularies[step]))).alias("words")))
+        # Word by word: a slice would read the whole array for each block.
+        held = lambda b: F.transform(F.sequence(b * step, (b + 2) * step - 1), lambda i: F.get(words, i))
+        known = F.transform(starts, lambda b: F.struct(F.lit(step).alias("step"), b.alias("block"), F.array_distinct(F.filter(held(b), lambda w: w.isin(*vocabularies[step]))).alias("words")))
         return F.filter(known, lambda b: F.size(b["words"]) >= least[step])
 
     def near(words: Column) -> Column:
@@ -115,8 +117,8 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str | None]] =
     first_word and n_block (the block's words), n_found, containment of every block that matches.
     """
     spark = docs.sparkSession
-    listed = [(label, words) for label, text in templates if (words := template_words(text))]
-    vocabulary = {w for _, words in listed for w in words}
+    listed = [(t, label, words) for t, (label, text) in enumerate(templates) if (words := template_words(text))]
+    vocabulary = {w for _, _, words in listed for w in words}
     if len(vocabulary) > TEMPLATE_WORDS:
         raise ValueError(f"templates have {len(vocabulary)} distinct words, at most {TEMPLATE_WORDS} are taken")
     texts = _texts(docs)
@@ -126,7 +128,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str | None]] =
     vocabularies: dict[int, set[str]] = {}
     least: dict[int, int] = {}
     sets, probes = [], []
-    for t, (label, words) in enumerate(listed):
+    for t, label, words in listed:
         step, order = _step(words), sorted(set(words), key=rank.__getitem__)
         need = max(1, math.ceil(threshold * len(order) - 1e-9))
         vocabularies.setdefault(step, set()).update(order)

@@ -9,8 +9,8 @@ from framelake.llm.filter_audit import audit_filters, word_counts
 
 def brute_force(docs, labels):
     """Every order of the filters, step by step over all documents."""
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
     fails = []
     for doc_id, text, lang in docs:
         t = text or ""
