@@ -5,9 +5,10 @@ bytes that begin or end at each line. Each run points to the earliest document t
 documents makes k - 1 pairs, however large k is. Every line of a block that two documents share lies in such a
 run within the block, so the later one meets a document that holds that run. The two line sequences are aligned with patience
 diff (lines unique on both sides, their longest rising run, then the same within the gaps; in gaps without such
-lines the heaviest common block, then the same on both sides of it), and aligned
-common blocks with enough text are deleted from the later document. Blocks are judged on the input, not on
-what another pair leaves.
+lines the heaviest common block, then the same on both sides of it), and common blocks with enough text are deleted
+from the later document: the aligned ones, and those that an alignment leaves because they stand in another order or
+more often than in the earlier document. So every block of lines of BLOCK bytes or more that any earlier document
+holds goes. Blocks are judged on the input, not on what another pair leaves.
 
 Lines are compared without white space at both ends. Null text: no lines, stays null. Empty text: one empty
 line, stays. A document all of whose lines go keeps its row with an empty text. Rows that share a doc_id
@@ -128,8 +129,8 @@ def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) ->
     return out[::-1]
 
 
-def _heaviest(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int, before: list[int]) -> tuple[int, int, int, int]:
-    """The heaviest block common to both ranges, (weight, place in a, place in b, lines), by a suffix automaton of a."""
+def _automaton(a: list[int], a0: int, a1: int) -> tuple[list[dict[int, int]], list[int], list[int], list[int]]:
+    """Suffix automaton of a range: steps, suffix links, longest lengths, and a place behind each state's lines."""
     follow: list[dict[int, int]] = [{}]
     link, length, end, last = [-1], [0], [a0], 0
     for i in range(a0, a1):
@@ -156,6 +157,12 @@ def _heaviest(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int, be
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
+    return follow, link, length, end
+
+
+def _heaviest(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int, before: list[int]) -> tuple[int, int, int, int]:
+    """The heaviest block common to both ranges, (weight, place in a, place in b, lines), by a suffix automaton of a."""
+    follow, link, length, end = _automaton(a, a0, a1)
     best, state, n = (0, a0, b0, 0), 0, 0
     for j in range(b0, b1):
         while state and b[j] not in follow[state]:
@@ -208,32 +215,68 @@ def patience(a: list[int], b: list[int], sizes: list[int] | None = None, least:
     return sorted(out)
 
 
-def common_blocks(earlier: list[int], later: list[int], sizes: list[int], least: int = BLOCK) -> list[int]:
-    """Lines of the later sequence within aligned blocks of at least ``least`` bytes."""
-    out: list[int] = []
+def _covered(automaton: tuple[list[dict[int, int]], list[int], list[int]], later: list[int], before: list[int], least: int) -> list[int]:
+    """Lines of ``later`` within any block of at least ``least`` that the automaton's sequence holds too."""
+    follow, link, length = automaton
+    cut = [0] * (len(later) + 1)
+    state, n = 0, 0
+    for j, line in enumerate(later):
+        while state and line not in follow[state]:
+            state = link[state]
+            n = length[state]
+        if line in follow[state]:
+            state, n = follow[state][line], n + 1
+        if n and before[j + 1] - before[j + 1 - n] >= least:
+            cut[j + 1 - n] += 1
+            cut[j + 1] -= 1
+    return [j for j, depth in enumerate(accumulate(cut[:-1])) if depth]
+
+
+def common_blocks(earlier: list[int], later: list[int], sizes: list[int], least: int = BLOCK, held: dict | None = None) -> list[int]:
+    """Lines of the later sequence within blocks of at least ``least`` bytes that the earlier one holds.
+
+    Patience diff aligns both. Blocks in another order than the aligned ones, and those that stand in the later sequence
+    more often, are not aligned; where lines could be left of such blocks, they are found by a suffix automaton of the
+    earlier sequence. ``held`` keeps what depends on the earlier sequence only.
+    """
+    out: set[int] = set()
     block: list[int] = []
     previous = (-2, -2)
     for i, j in [*patience(earlier, later, sizes, least), (-9, -9)]:
         if block and (i, j) != (previous[0] + 1, previous[1] + 1):
             if sum(sizes[k] for k in block) >= least:
-                out += block
+                out.update(block)
             block = []
         block.append(j)
         previous = (i, j)
-    return out
+    held = {} if held is None else held
+    if "lines" not in held:
+        held["lines"] = set(earlier)
+    known = held["lines"]
+    weight, left = 0, False
+    for j, line in enumerate([*later, None]):
+        if line in known:
+            weight, left = weight + sizes[j], left or j not in out
+            continue
+        if left and weight >= least:
+            if "automaton" not in held:
+                held["automaton"] = _automaton(earlier, 0, len(earlier))[:3]
+            return sorted(out.union(_covered(held["automaton"], later, [0, *accumulate(sizes)], least)))
+        weight, left = 0, False
+    return sorted(out)
 
 
 def _align(table: pa.Table) -> pa.Table:
     """Lines to delete from each later document; the earlier ones (doc_id null) stand in the group once each."""
     earlier, later = (table.filter(x) for x in (table.column("doc_id").is_null(), table.column("doc_id").is_valid()))
     line_lists = dict(zip(zip(*(earlier.column(c).to_pylist() for c in ("earliest", "earliest_key")), strict=True), earlier.column("lines"), strict=True))
-    doc_id, key, gone, held = [], [], [], (None, [])
+    doc_id, key, gone, held, kept = [], [], [], (None, []), {}
     order = later.sort_by([("earliest", "ascending"), ("earliest_key", "ascending")])
     for d, k, e, ek, lines, sizes in zip(*(order.column(c) for c in ("doc_id", "key", "earliest", "earliest_key", "lines", "sizes")), strict=True):
         name = (e.as_py(), ek.as_py())
         if held[0] != name:
-            held = (name, line_lists[name].as_py())
-        found = common_blocks(held[1], lines.as_py(), sizes.as_py())
+            held, kept = (name, line_lists[name].as_py()), {}
+        found = common_blocks(held[1], lines.as_py(), sizes.as_py(), held=kept)
         if found:
             doc_id.append(d.as_py())
             key.append(k.as_py())

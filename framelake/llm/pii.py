@@ -3,10 +3,12 @@ r"""Personal data by bootstrapped contextual extraction.
 Base entities (email, ip, card, phone) come from fixed patterns, leftmost and without overlap. They seed a
 bootstrap over candidates: the runs of adjacent words that hold a digit or an @, without punctuation around them
 (so numbers in groups and handles count, a word of letters only does not). The words before and after a candidate
-are its lexical patterns; a pattern scores by the mean trust in its distinct instances, an instance by the best of
-its patterns, seeds fully. Patterns of CONFIDENCE with at least SUPPORT distinct trusted instances discover further
-identifiers, which are reported as kind ``context``; turns go on until no pattern and no instance is added. Base
-entities always stay, and no discovered span overlaps one.
+are its lexical patterns; an instance is trusted as the best of its patterns, seeds fully. A pattern's confidence is the
+trust in its distinct instances against what speaks against it: an instance that is not trusted counts UNSEEN, since
+identifiers that no rule knows are what patterns are for, but 1 where it stands in COMMON patterns or more, as plain
+numbers do. Patterns of CONFIDENCE with at least SUPPORT distinct trusted instances discover further identifiers, which
+are reported as kind ``context``; turns go on until no pattern and no instance is added. Base entities always stay, and
+no discovered span overlaps one.
 
 Offsets count code points, ends are exclusive. Null and empty texts have no spans. Texts count whole; the work on
 one text grows a little faster than its length (positions are summed in blocks). Rows that share a doc_id have each
@@ -39,6 +41,8 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _WORD = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 RUN = rf"(?<![^\x20\x09-\x0D]){_WORD}(?:\x20{_WORD})*+"
 CONFIDENCE, SUPPORT = 0.6, 3
+#: What an unseen instance counts against a pattern, and the patterns of a value that is common and counts in full.
+UNSEEN, COMMON = 0.1, 20
 SPANS = "array<struct<start:int,place:int,stop:int,kind:string,value:string>>"
 
 
@@ -170,13 +174,17 @@ def find_personal_data(docs: DataFrame, confidence: float = CONFIDENCE, support:
     seen = write_table(_occurrences(base.where("text is not null").select("doc_id", "key", "text")), "occurrences")
 
     graph = write_table(seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "graph")
-    trust = write_table(graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("trust")), "trust")
+    trust = write_table(graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("trust"), (F.count("*") >= COMMON).alias("common")), "trust")
     links, before, good = graph.count(), None, None
     while True:
-        scored = look_up(graph, "value", trust.select("value", "trust"), links, "trust").groupBy("pattern").agg((F.sum("trust") / F.count("*")).alias("confidence"), F.count_if(F.col("trust") >= confidence).alias("trusted"))
+        known = look_up(graph, "value", trust.select("value", F.struct("trust", "common").alias("known")), links, "known").select("pattern", "known.*")
+        sure = F.col("trust") >= confidence
+        against = F.sum(F.when(sure, 0.0).when(F.col("common"), 1.0).otherwise(UNSEEN))
+        scored = known.groupBy("pattern").agg(F.sum(F.when(sure, F.col("trust")).otherwise(0.0)).alias("for"), against.alias("against"), F.count_if(sure).alias("trusted"))
+        scored = scored.where("trusted > 0").withColumn("confidence", F.col("for") / (F.col("for") + F.col("against")))
         good = write_table(scored.where((F.col("confidence") >= confidence) & (F.col("trusted") >= support)).select("pattern", "confidence"), "patterns")
         reached = graph.join(small(good, "pattern"), "pattern").groupBy("value").agg(F.max("confidence").alias("reached"))
-        trust = write_table(trust.join(reached, "value", "left").select("value", F.greatest("trust", F.coalesce("reached", F.lit(0.0))).alias("trust")), "trust")
+        trust = write_table(trust.join(reached, "value", "left").select("value", F.greatest("trust", F.coalesce("reached", F.lit(0.0))).alias("trust"), "common"), "trust")
         now = (good.count(), trust.where(F.col("trust") >= confidence).count())
         if now == before:
             break

@@ -25,31 +25,23 @@ def lines_of(text):
     return None if text is None else text.split("\n")
 
 
-def run_tuples(lines, sizes):
-    """The shortest runs of BLOCK bytes that begin or end at each line."""
-    out = set()
+def held_by_earlier(lines, sizes, earlier):
+    """Lines within a block of BLOCK bytes that one of the ``earlier`` line lists holds."""
+    gone = set()
     for s in range(len(lines)):
         for e in range(s + 1, len(lines) + 1):
-            if sum(sizes[s:e]) >= line_dedup.BLOCK:
-                out.add(tuple(lines[s:e]))
-                break
-    for e in range(1, len(lines) + 1):
-        for s in range(e - 1, -1, -1):
-            if sum(sizes[s:e]) >= line_dedup.BLOCK:
-                out.add(tuple(lines[s:e]))
-                break
-    return out
+            block = lines[s:e]
+            if sum(sizes[s:e]) >= line_dedup.BLOCK and any(block == x[i : i + e - s] for x in earlier for i in range(len(x) - e + s + 1)):
+                gone |= set(range(s, e))
+    return gone
 
 
 def brute_force(rows):
-    """Every document with the earliest holder of each of its runs, without hashes."""
+    """Every document beside all earlier ones, block by block, without hashes or alignment."""
     out = {}
     parsed = {d: [x.strip(" \t\n\x0b\x0c\r") for x in lines_of(t) or []] for d, t, *_ in rows}
-    size = {d: [len(x.encode()) for x in ls] for d, ls in parsed.items()}
-    runs = {d: run_tuples(ls, size[d]) for d, ls in parsed.items()}
     for d, t, *_ in rows:
-        partners = {min(e for e in runs if x in runs[e]) for x in runs[d]} - {d}
-        gone = {i for p in partners if p < d for i in common_blocks(parsed[p], parsed[d], size[d])}
+        gone = held_by_earlier(parsed[d], [len(x.encode()) for x in parsed[d]], [parsed[e] for e in parsed if e < d])
         out[d] = None if t is None else "\n".join(x for i, x in enumerate(lines_of(t)) if i not in gone)
     return out
 
@@ -121,35 +113,39 @@ def test_runs_cover_every_line_of_every_common_block():
                 assert set(part) <= whole and bool(part) == (sizes[s:e].sum() >= line_dedup.BLOCK)
 
 
-def all_pairs(texts):
-    """Every pair of documents aligned."""
-    parsed = [t.split("\n") for t in texts]
-    out = []
-    for d, later in enumerate(parsed):
-        gone = set()
-        for earlier in parsed[:d]:
-            gone |= set(common_blocks(earlier, later, [len(x.encode()) for x in later]))
-        out.append("\n".join(x for i, x in enumerate(later) if i not in gone))
-    return out
-
-
 def test_matches_all_pairs(spark):
     r = random.Random(9)
     pool = [[f"{i} {k} " + "word " * r.randrange(12) + "." for k in range(r.randrange(2, 6))] for i in range(12)]
     rows = []
     for d in range(45):
         lines = []
-        for i in sorted(r.sample(range(12), r.randrange(5))):
-            lines += [f"own {d} {i}", *[x.strip() for x in pool[i]]]
+        # In any order, some twice, some only in part, some without a line of the document between them.
+        for i in r.choices(range(12), k=r.randrange(6)):
+            part = [x.strip() for x in pool[i]][r.choice((0, 0, 1)) :]
+            lines += [f"own {d} {i}", *part] if r.random() < 0.7 else part
         rows.append("\n".join([*lines, f"end {d}"]))
-    want = all_pairs(rows)
+    want = [x for _, x in sorted(brute_force(list(enumerate(rows))).items())]
     assert text_column(spark, rows) == want and sum(x != y for x, y in zip(rows, want, strict=True)) > 15
 
 
 def test_short_lines_and_repeated_passages(spark):
     verse = [f"short line {k}" for k in range(9)]
     rows = ["\n".join(x) for x in (["x", *verse, "y"], ["p", *verse, "q"], ["u", *verse, "v", *verse, "w"])]
-    assert text_column(spark, rows) == [rows[0], "p\nq", "\n".join(["u", "v", *verse, "w"])]
+    assert text_column(spark, rows) == [rows[0], "p\nq", "u\nv\nw"]
+
+
+def test_blocks_in_another_order(spark):
+    x, y = ("a block of one line that is long enough to count, number " + n for n in ("one", "two"))
+    assert text_column(spark, [f"{y}\n{x}", x, f"{x}\n{y}", f"{x}\nmine\n{y}\n{x}"]) == [f"{y}\n{x}", "", "", "mine"]
+
+
+def test_blocks_match_brute_force_on_random_sequences():
+    r = random.Random(11)
+    for _ in range(400):
+        a, b = ([r.randrange(6) for _ in range(r.randrange(1, 14))] for _ in range(2))
+        size = {k: r.choice((0, 20, 40, 70)) for k in range(6)}
+        sizes = [size[k] for k in b]
+        assert set(common_blocks(a, b, sizes)) == held_by_earlier(b, sizes, [a])
 
 
 def test_heaviest_block_of_gaps_without_unique_lines():
