@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +29,7 @@ class Rules:
     control_gap_seconds: float = 0.30
     observation_gap_seconds: float = 0.10
     passage_seconds: float = 0.40
+    fusion_seconds: float = 0.20
     visit_gap_seconds: float = 0.45
     flight_seconds: float = 3.0
     pre_seconds: float = 2.5
@@ -183,13 +186,14 @@ def passages(samples: DataFrame, rims: DataFrame, fps: float, rules: Rules = Rul
     crossed = rows.where((F.col("y0") <= F.col("cy")) & (F.col("y") > F.col("cy")) & (F.col("frame") - F.col("frame0") <= hole))
     crossed = crossed.select(*key, F.col("frame0").alias("f0"), F.col("frame").alias("f1"), (F.col("frame0") + (F.col("frame") - F.col("frame0")) * share).alias("crossing"), (F.col("x0") + (F.col("x") - F.col("x0")) * share).alias("at_x"), F.greatest("radius0", "radius").alias("r"), "cx", "cy", "width", F.col("height").alias("rim_height"))
     crossed = crossed.where(F.abs(F.col("at_x") - F.col("cx")) <= 2 * F.col("width"))
-    near = crossed.join(samples.select(*key, "frame", "x", "y"), key).where(F.col("frame").between(F.col("crossing") - fps * max(1.0, rules.passage_seconds), F.col("crossing") + fps * rules.passage_seconds))
+    reach = -fps * max(1.0, rules.passage_seconds), fps * rules.passage_seconds
+    near = matching.within(crossed, samples.select(*key, "frame", "x", "y"), key, "crossing", "frame", *reach)
     above = (F.col("frame") <= F.col("f0")) & (F.col("y") < F.col("cy") - F.col("rim_height") / 2 - F.col("r"))
     below = (F.col("frame") >= F.col("f1")) & (F.col("y") > F.col("cy") + F.col("rim_height") / 2 + F.col("r"))
     ids = [*key, "f0", "f1", "crossing", "at_x", "r", "cx", "width"]
     ends = near.groupBy(*ids).agg(F.max(F.when(above, F.col("frame"))).alias("before"), F.min(F.when(below, F.struct("frame", "x"))).alias("after")).where("before is not null and after is not null")
     holes = rows.select(*key, "frame", (F.col("frame") - F.col("frame0") > hole).alias("holed")).where("holed")
-    broken = ends.join(holes, key).where((F.col("frame") > F.col("before")) & (F.col("frame") <= F.col("after.frame"))).select(*key, "f1").distinct()
+    broken = matching.within(ends, holes, key, "crossing", "frame", *reach).where((F.col("frame") > F.col("before")) & (F.col("frame") <= F.col("after.frame"))).select(*key, "f1").distinct()
     off, leave = F.abs(F.col("at_x") - F.col("cx")), F.abs(F.col("after.x") - F.col("cx"))
     result = F.when((off < F.col("width") / 2) & (leave < F.col("width") / 2), "inside").when(off - F.col("r") > F.col("width") / 2, "outside").otherwise("edge")
     return ends.join(broken, [*key, "f1"], "left_anti").select(*key, "crossing", F.col("at_x").alias("x"), result.alias("result"), "before", F.col("after.frame").alias("after"))
@@ -199,8 +203,10 @@ def possession_ids(controls: DataFrame, makes: DataFrame, fps: float) -> DataFra
     """Number the possessions: a span goes on with the last one of the same known team, soon enough, without a make between."""
     w = Window.partitionBy("segment").orderBy("start", "end", "owner")
     rows = controls.withColumns({"last_end": F.lag("end").over(w), "last_team": F.lag("team").over(w)})
-    made = rows.where("last_end is not null").join(makes.select("segment", F.col("anchor").alias("a_")), "segment").where("last_end <= a_ and a_ < start").select("segment", "start", "end", "owner").distinct().withColumn("made_", F.lit(True))
-    linked = (F.col("team") == F.col("last_team")) & (F.col("start") - F.col("last_end")).between(0, round(1.2 * fps)) & F.col("made_").isNull()
+    soon = (F.col("start") - F.col("last_end")).between(0, round(1.2 * fps))
+    between = matching.within(rows.where(soon), makes.select("segment", F.col("anchor").alias("a_")), ["segment"], "last_end", "a_", 0, round(1.2 * fps)).where("a_ < start")
+    made = between.select("segment", "start", "end", "owner").distinct().withColumn("made_", F.lit(True))
+    linked = (F.col("team") == F.col("last_team")) & soon & F.col("made_").isNull()
     rows = rows.join(made, ["segment", "start", "end", "owner"], "left").withColumn("new_", F.when(linked, 0).otherwise(1))
     return rows.withColumn("possession", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("linked", F.col("new_") == 0).drop("made_", "new_", "last_team")
 
@@ -240,8 +246,11 @@ def rebounds(misses: DataFrame, shots: DataFrame, controls: DataFrame, fps: floa
     acquisition, not a scan.
     """
     other = shots.where("status = 'confirmed'").select("segment", F.col("anchor").alias("next_"))
-    bound = misses.join(other, "segment", "left").groupBy(*misses.columns).agg(F.min(F.when(F.col("next_") > F.col("resolved"), F.col("next_"))).alias("limit"))
-    near = matching.within(bound, controls.select("segment", "owner", F.col("start").alias("at_")), ["segment"], "resolved", "at_", 1, round(seconds * fps))
+    key, reach = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in misses.columns], round(seconds * fps)
+    # Shots beyond the reach of a miss do not end it.
+    limits = matching.within(misses, other, ["segment"], "resolved", "next_", 0, reach).where("next_ > resolved").groupBy(*misses.columns).agg(F.min("next_").alias("limit"))
+    near = matching.within(misses, controls.select("segment", "owner", F.col("start").alias("at_")), ["segment"], "resolved", "at_", 1, reach)
+    near = near.join(limits.toDF(*[f"m_{c}" for c in misses.columns], "limit"), reduce(and_, key), "left")
     near = near.where(F.col("limit").isNull() | (F.col("at_") < F.col("limit")))
     first = near.groupBy(*misses.columns).agg(F.min(F.struct("at_", "owner")).alias("c"))
     w = Window.partitionBy("segment", "c").orderBy(F.when(F.col("status") == "confirmed", 0).otherwise(1), F.desc("anchor"))
@@ -252,8 +261,11 @@ def assists(passes: DataFrame, makes: DataFrame, shots: DataFrame, controls: Dat
     """The latest pass to each scorer within four seconds that no shot and no other player's control interrupts."""
     p = passes.select("segment", F.col("event_id").alias("pass_id"), F.col("anchor").alias("passed"), "passer", "receiver")
     pairs = matching.within(makes.select("segment", "event_id", "anchor", "shooter"), p, ["segment"], "anchor", "passed", -round(4 * fps), 0).where("receiver = shooter")
-    shot = pairs.join(shots.select("segment", F.col("event_id").alias("o_id"), F.col("anchor").alias("o_at")), "segment").where("o_id <> event_id and passed < o_at and o_at < anchor")
-    other = pairs.join(controls.select("segment", F.col("owner").alias("o_owner"), F.col("start").alias("o_at")), "segment").where("passed < o_at and o_at < anchor and o_owner <> receiver")
+    def meanwhile(rows: DataFrame) -> DataFrame:
+        return matching.within(pairs, rows, ["segment"], "passed", "o_at", 0, round(4 * fps)).where("passed < o_at and o_at < anchor")
+
+    shot = meanwhile(shots.select("segment", F.col("event_id").alias("o_id"), F.col("anchor").alias("o_at"))).where("o_id <> event_id")
+    other = meanwhile(controls.select("segment", F.col("owner").alias("o_owner"), F.col("start").alias("o_at"))).where("o_owner <> receiver")
     broken = shot.select("event_id", "pass_id").union(other.select("event_id", "pass_id")).distinct()
     clean = pairs.join(broken, ["event_id", "pass_id"], "left_anti")
     return clean.groupBy("segment", "event_id").agg(F.max_by(F.struct("pass_id", "passer", "passed"), F.struct("passed", "pass_id")).alias("a")).select("segment", "event_id", "a.*")
@@ -267,18 +279,26 @@ def follow_ups(actions: DataFrame, shots: DataFrame, actor: str, seconds: float,
 
 
 def uncovered_visits(visits: DataFrame, shots: DataFrame, fps: float) -> DataFrame:
-    """Rim visits that lie neither near a shot nor within one: a left anti join on a range."""
-    s = shots.select("segment", F.col("anchor").alias("a_"), F.col("start").alias("s_"), F.col("end").alias("e_"))
-    near = visits.join(s, "segment").where((F.abs(F.col("peak") - F.col("a_")) <= round(1.5 * fps)) | ((F.col("s_") <= F.col("peak")) & (F.col("peak") < F.col("e_"))))
-    return visits.join(near.select("segment", "visit").distinct(), ["segment", "visit"], "left_anti")
+    """Rim visits that lie neither near a shot nor within one: left anti joins on ranges."""
+    peaks, reach = visits.select("segment", "visit", "peak"), round(1.5 * fps)
+    near = matching.within(peaks, shots.select("segment", F.col("anchor").alias("a_")), ["segment"], "peak", "a_", -reach, reach)
+    held = intervals.point_in_span(peaks, shots.select("segment", "start", "end"), ["segment"], "peak", 256)
+    return visits.join(near.select("segment", "visit").union(held.select("segment", "visit")).distinct(), ["segment", "visit"], "left_anti")
 
 
 def clip_spans(events: DataFrame, controls: DataFrame, fps: float) -> DataFrame:
-    """Span of footage for each event: from the stable control it grew out of to some time after its end."""
-    key = F.col("anchor")
-    c = controls.select("segment", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
-    stable = events.join(c, "segment").where((F.col("c_start") <= key) & (F.least("c_end", key + 1) - F.col("c_start") >= 0.2 * fps))
-    best = stable.groupBy("segment", "event_id").agg(F.max_by("c_start", F.struct("c_end", "c_start")).alias("c_start"))
+    """Span of footage for each event: from the stable control it grew out of to some time after its end.
+
+    A control is stable if it lasts 0.2 seconds, up to the event at most; of those before an event the one that ends
+    last counts, however long ago, so controls and events are put in one order and the best control is carried along.
+    """
+    least, anchor = 0.2 * fps, F.col("anchor").cast("double")
+    c = controls.where(F.col("end") - F.col("start") >= least).select("segment", F.col("start").cast("double").alias("t_"), F.struct(F.col("end").alias("c_end"), F.col("start").alias("c_start")).alias("c_"))
+    asked = events.select("segment", "event_id", F.least(anchor, anchor + 1 - least).alias("t_"))
+    # Of equal times the controls come first.
+    order = Window.partitionBy("segment").orderBy("t_", F.col("c_").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    carried = c.unionByName(asked, allowMissingColumns=True).withColumn("best_", F.max("c_").over(order))
+    best = carried.where("c_ is null and best_ is not null").select("segment", "event_id", F.col("best_.c_start").alias("c_start")).distinct()
     half = F.lit(round(0.5 * fps))
     lead = F.least(F.coalesce(F.col("c_start"), F.col("start")), F.col("start")) - half
     return events.join(best, ["segment", "event_id"], "left").withColumns({"clip_start": F.greatest(lead, F.lit(0)), "clip_end": F.col("end") + F.lit(round(1.5 * fps))}).drop("c_start")

@@ -76,13 +76,18 @@ def _greedy(events: pd.DataFrame, kind: str) -> pd.DataFrame:
 def match_slots(events: DataFrame, slots: DataFrame, kind: str, bin_width: float = 60.0) -> DataFrame:
     """One-to-one matches (kind, event, slot) of events (kind, event, at) to slots (kind, slot, start, end), ends included.
 
-    Only pairs that fit leave the join; the greedy choice sees the candidates of one kind.
+    Only pairs that fit leave the join. The greedy choice sees the events of one block: slots that overlap, directly or
+    by others, since no event beyond them can take one of them.
     """
-    listed = slots.withColumn("bin_", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor(F.col("end") / bin_width))))
+    w = Window.partitionBy(kind).orderBy("start", "end", "slot")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = slots.withColumn("new_", F.when(F.col("start") <= reach, 0).otherwise(1))
+    blocks = fresh.withColumn("block_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
+    listed = blocks.withColumn("bin_", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor(F.col("end") / bin_width))))
     pairs = events.withColumn("bin_", F.floor(F.col("at") / bin_width)).join(listed, [kind, "bin_"]).where(F.col("at").between(F.col("start"), F.col("end")))
-    pairs = pairs.select(kind, "event", F.col("at").cast("double").alias("at"), "slot", ((F.col("start") + F.col("end")) / 2).cast("double").alias("middle"))
+    pairs = pairs.select(kind, "block_", "event", F.col("at").cast("double").alias("at"), "slot", ((F.col("start") + F.col("end")) / 2).cast("double").alias("middle"))
     types = dict(pairs.dtypes)
-    return pairs.groupBy(kind).applyInPandas(_bound(_greedy, kind), f"`{kind}` {types[kind]}, event {types['event']}, slot {types['slot']}")
+    return pairs.groupBy(kind, "block_").applyInPandas(_bound(_greedy, kind), f"`{kind}` {types[kind]}, event {types['event']}, slot {types['slot']}")
 
 
 def _bound(f: Callable, *more: object) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -124,13 +129,37 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(row_of[j]), j) for j in range(m) if row_of[j] >= 0 and np.isfinite(cost[row_of[j], j]))
 
 
+def _clusters(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
+    """The least row of the pairs that each pair (a, b) of n rows and m columns is chained to."""
+    row = np.arange(n)
+    while True:
+        col = np.full(m, n)
+        np.minimum.at(col, b, row[a])
+        low = row.copy()
+        np.minimum.at(low, a, col[b])
+        low = low[low]
+        if (low == row).all():
+            return row[a]
+        row = low
+
+
 def _assign(group: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    rows, cols = sorted(group["row"].unique()), sorted(group["col"].unique())
-    cost = np.full((len(rows), len(cols)), np.inf)
-    for r, c, x in zip(group["row"], group["col"], group["cost"], strict=True):
-        cost[rows.index(r), cols.index(c)] = x
-    out = [(*[group[k].iloc[0] for k in keys], rows[i], cols[j], cost[i, j]) for i, j in hungarian(cost)]
-    return pd.DataFrame(out, columns=[*keys, "row", "col", "cost"])
+    """Pairs that share no row and no column, directly or by others, do not compete: each cluster is solved alone."""
+    rows, a = np.unique(group["row"].to_numpy(), return_inverse=True)
+    cols, b = np.unique(group["col"].to_numpy(), return_inverse=True)
+    price = group["cost"].to_numpy(float)
+    cluster = _clusters(a, b, len(rows), len(cols))
+    order = np.argsort(cluster, kind="stable")
+    found = []
+    for part in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+        r, i = np.unique(a[part], return_inverse=True)
+        c, j = np.unique(b[part], return_inverse=True)
+        cost = np.full((len(r), len(c)), np.inf)
+        cost[i, j] = price[part]
+        found += [(r[x], c[y], cost[x, y]) for x, y in hungarian(cost)]
+    r, c, costs = zip(*found, strict=True) if found else ((), (), ())
+    out = pd.DataFrame({k: [group[k].iloc[0]] * len(found) for k in keys})
+    return out.assign(row=rows[list(r)], col=cols[list(c)], cost=np.array(costs, float))
 
 
 def assign(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:

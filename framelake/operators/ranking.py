@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _by_score(scored: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
@@ -110,18 +113,57 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) > 0) & (norm(b) > 0), dot(a, b) / (norm(a) * norm(b)))
 
 
-def retrieve(queries: DataFrame, memory: DataFrame, k: int, parts: int = 16) -> DataFrame:
+#: Queries and rows of memory that are compared at once.
+QUERY_TILE, MEMORY_TILE = 1024, 8192
+
+
+def _unit(vector: Column) -> Column:
+    """``vector`` scaled to length 1; null without a direction."""
+    scaled = F.transform(F.array(norm(vector)), lambda n: F.when(n > 0, F.transform(vector, lambda x: x.cast("double") / n)))
+    return F.get(scaled, 0)
+
+
+def _nearest(k: int, columns: list[str]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return pd.DataFrame(columns=columns)
+        q, m = np.stack(asked["q_unit"]), np.stack(held["unit"])
+        rough = q @ m.T
+        # The product's last digits depend on the place in the tile, so rows about as near as the k-th are computed again.
+        least = np.partition(rough, len(m) - k, axis=1)[:, [len(m) - k]] - 1e-9 if len(m) > k else np.full((len(q), 1), -np.inf)
+        i, j = np.nonzero(rough >= least)
+        out = held.drop(columns="unit").iloc[j].reset_index(drop=True)
+        out["query"], out["similarity"] = asked["query"].to_numpy()[i], (q[i] * m[j]).sum(axis=1)
+        return out.sort_values(["query", "similarity", "id"], ascending=[True, False, True]).groupby("query").head(k)[columns]
+
+    return run
+
+
+def retrieve(queries: DataFrame, memory: DataFrame, k: int) -> DataFrame:
     """The k rows of ``memory`` (id, vector, ...) with the largest cosine to each query (query, q_vector).
 
-    The query set is stated and compared with all rows in ``parts`` blocks; each block keeps its own k best of
-    every query before the blocks meet, so k * parts rows of a query are shuffled at most.
+    The query set is stated and compared with all rows: both sides are dealt into tiles of bounded size by their ids,
+    each pair of tiles is one matrix product of unit vectors, and keeps its own k best of every query before the tiles
+    meet. Ties go to the smaller id. Vectors without a direction, and those of other lengths, are not near.
     """
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    asked = queries.withColumn("block", blocks)
-    held = memory.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    scored = asked.join(held, "block").withColumn("similarity", cosine(F.col("q_vector"), F.col("vector"))).where("similarity is not null")
-    local = Window.partitionBy("block", "query").orderBy(F.desc("similarity"), "id")
-    short = scored.withColumn("rank", F.row_number().over(local)).where(F.col("rank") <= k).drop("q_vector", "vector", "block", "rank")
+    tiles, parts = -(-queries.count() // QUERY_TILE) or 1, -(-memory.count() // MEMORY_TILE) or 1
+
+    def dealt(name: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    asked = queries.select("query", _unit(F.col("q_vector")).alias("q_unit")).where("q_unit is not null")
+    asked = asked.select("*", F.size("q_unit").alias("size_"), dealt("query", tiles).alias("tile_"), every(parts).alias("part_"))
+    held = memory.withColumn("unit", _unit(F.col("vector"))).drop("vector").where("unit is not null")
+    held = held.select("*", F.size("unit").alias("size_"), dealt("id", parts).alias("part_"), every(tiles).alias("tile_"))
+    keys = ["size_", "tile_", "part_"]
+    kept = [f for f in memory.schema if f.name != "vector"]
+    schema = T.StructType([queries.schema["query"], *kept, T.StructField("similarity", T.DoubleType())])
+    run = _nearest(k, schema.names)
+    left, right = asked.groupBy(*keys), held.groupBy(*keys)
+    short = left.cogroup(right).applyInPandas(lambda key, a, b: run(a.drop(columns=keys), b.drop(columns=keys)), schema)
     final = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     return short.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
 

@@ -12,13 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import matching
+from . import intervals, matching
 from .events import Rules
 
 # Joints (wrist, shoulder) of both arms, and the tests of a flight.
 ARMS = ((9, 5), (10, 6))
 FLIGHT_SECONDS, LEAST_SECONDS, LEAST_SAMPLES, LEAST_COSINE, APPROACH = 0.4, 0.1, 3, 0.5, 0.4
 PASS_SECONDS = 1.5
+# Fixed values of a moving net: seconds around the anchor, frames before it that may show the arrival, change and frames.
+NET_BEFORE, NET_AFTER, NET_MARGIN, NET_LEAST, NET_RISE, NET_FRAMES = 0.5, 0.8, 3, 0.22, 0.16, 3
 
 
 def raised(keypoints: Column, confidence: float) -> Column:
@@ -123,17 +125,81 @@ def passes_before(shots: DataFrame, controls: DataFrame, anchors: DataFrame, fps
     return good.join(broken, ["segment", "event_id"], "left_anti").select("segment", "event_id", "passer", "receiver", (F.col("left_") - 1).alias("frame"))
 
 
-def detect_shots(contacts: DataFrame, poses: DataFrame, samples: DataFrame, rims: DataFrame, passages: DataFrame, visits: DataFrame, controls: DataFrame, fps: float, rules: Rules = Rules()) -> DataFrame:
-    """Shots from contacts to passes: one for each visit with a passage, its release, shooter, views and the pass before.
+def net_moved(anchors: DataFrame, net: DataFrame, fps: float) -> DataFrame:
+    """``anchors`` (segment, anchor, ...) with baseline, threshold, sustained and moved: whether the net moved after them.
 
-    The anchor is the release, or the first passage where no release is known.
+    ``net`` has segment, frame and change, the share of the net's visible texture that differs from its rest; null where
+    too little of it is seen. The frames from half a second before to three frames before the anchor are its rest, the
+    following ones up to 0.8 seconds after show it moving if three in a row reach the threshold. Without three frames of
+    rest and one after there is no movement.
+    """
+    before, after = round(NET_BEFORE * fps), round(NET_AFTER * fps)
+    keys = anchors.columns
+    seen = matching.within(anchors, net.select("segment", "frame", "change"), ["segment"], "anchor", "frame", -before, after - 1)
+    rest = F.col("frame") < F.col("anchor") - NET_MARGIN
+    w = Window.partitionBy(*keys)
+    rows = seen.withColumn("baseline", F.coalesce(F.percentile(F.when(rest, F.col("change")), 0.5).over(w), F.lit(0.0)))
+    rows = rows.withColumn("threshold", F.greatest(F.lit(NET_LEAST), F.col("baseline") + NET_RISE))
+    rows = rows.withColumn("high_", F.coalesce(~rest & (F.col("change") >= F.col("threshold")), F.lit(False)))
+    # Frames in a row: rows that are not high number the runs between them.
+    lows = F.sum(F.when(F.col("high_"), 0).otherwise(1)).over(w.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0))
+    runs = rows.withColumn("run_", lows).groupBy(*keys, "baseline", "threshold", "run_").agg(F.count_if("high_").alias("n"), F.count_if(rest).alias("rest_"), F.count_if(~rest).alias("after_"))
+    found = runs.groupBy(*keys, "baseline", "threshold").agg(F.max("n").alias("sustained"), F.sum("rest_").alias("rest_"), F.sum("after_").alias("after_"))
+    moved = (F.col("sustained") >= NET_FRAMES) & (F.col("rest_") >= 3) & (F.col("after_") >= 1)
+    return found.withColumn("moved", moved).drop("rest_", "after_")
+
+
+def outcomes(visits: DataFrame, passages: DataFrame, net: DataFrame, fps: float, result_view: str, least_views: int = 1, views: tuple[str, ...] = (), rules: Rules = Rules()) -> DataFrame:
+    """Outcome, confidence and resolution frame of every visit (segment, visit, begin, end) with a passage nearby.
+
+    ``passages`` has segment, view, crossing, result. Passages inside the rim form groups that last ``passage_seconds``
+    from their first one. A group can be a make if two views agree (``least_views`` if more), or the result view alone
+    where ``least_views`` allows it, and no view sees the ball outside at the time; the first such group after which
+    the net moves is the make, at the result view's passage if it has one. Without any group's net moving the outcome is
+    unknown, unconfirmed if there was a group. Two views that see the ball outside together, and none that sees it
+    inside, confirm a miss; of several such moments the first view's first one (``views`` in order, else by name).
+    """
+    key = ["segment", "visit"]
+    seen = _in_span(visits.select(*key, "begin", "end"), passages.select("segment", "view", "crossing", "result"), "crossing", rules.passage_seconds * fps)
+    inside, outside = seen.where("result = 'inside'"), seen.where("result = 'outside'").select(*key, F.col("view").alias("o_view"), F.col("crossing").alias("o_at"))
+    groups = intervals.anchored_groups(inside.select(*key, "crossing"), key, "crossing", rules.passage_seconds * fps).select(*key, "part", F.col("start").alias("from_"), F.col("end").alias("to_"))
+    held = inside.join(groups, key).where("crossing between from_ and to_").groupBy(*key, "part")
+    held = held.agg(F.percentile("crossing", 0.5).alias("t"), F.percentile(F.when(F.col("view") == result_view, F.col("crossing")), 0.5).alias("own"), F.count_distinct("view").alias("n"))
+    fusion = rules.fusion_seconds * fps
+    against = held.join(outside, key).where(F.abs(F.col("o_at") - F.col("t")) <= fusion).select(*key, "part").distinct()
+    enough = (F.col("n") >= max(2, least_views)) | (F.col("own").isNotNull() & F.lit(least_views <= 1))
+    could = held.where(enough).join(against, [*key, "part"], "left_anti").select(*key, "part", F.bround(F.coalesce("own", "t")).cast("long").alias("anchor"))
+    moved = net_moved(could, net, fps).where("moved").groupBy(*key).agg(F.min_by("anchor", "part").alias("made_at"))
+    doubtful = could.select(*key, F.lit(True).alias("doubt")).distinct()
+
+    others = outside.select(*key, F.col("o_view").alias("v2"), F.col("o_at").alias("t2"))
+    near = outside.distinct().join(others, key).where(F.abs(F.col("o_at") - F.col("t2")) <= fusion).groupBy(*key, "o_view", "o_at").agg(F.percentile("t2", 0.5).alias("t"), F.count_distinct("v2").alias("n"))
+    rank = F.array_position(F.array(*map(F.lit, views)), F.col("o_view")) if views else F.lit(0)
+    missed = near.where("n >= 2").join(inside.select(*key).distinct(), key, "left_anti").groupBy(*key).agg(F.bround(F.min_by("t", F.struct(rank, "o_view", "o_at"))).cast("long").alias("missed_at"))
+    rows = seen.select(*key).distinct().join(moved, key, "left").join(missed, key, "left").join(doubtful, key, "left")
+    outcome = F.when(F.col("made_at").isNotNull(), "made").when(F.col("missed_at").isNotNull(), "missed").otherwise("unknown")
+    confidence = F.when(outcome != "unknown", "confirmed").when(F.col("doubt"), "unconfirmed").otherwise("probable")
+    return rows.select(*key, outcome.alias("outcome"), confidence.alias("confidence"), F.coalesce("made_at", "missed_at").alias("resolution"))
+
+
+def detect_shots(contacts: DataFrame, poses: DataFrame, samples: DataFrame, rims: DataFrame, passages: DataFrame, visits: DataFrame, controls: DataFrame, net: DataFrame, fps: float, result_view: str, least_views: int = 1, views: tuple[str, ...] = (), rules: Rules = Rules()) -> DataFrame:
+    """Shots from contacts to outcomes: release, shooter, views, outcome and the pass before.
+
+    One for each visit with a passage, and one of unknown outcome for each proposal that no visit takes. The anchor is
+    the release, or the begin of the visit where no release is known; ``number`` counts the shots of a segment by it,
+    those of visits first.
     """
     seen = release_views(contacts, poses, samples, rims, fps, rules).groupBy("segment", "player", F.col("frame").alias("release")).agg(F.array_sort(F.collect_set("view")).alias("views"))
     shots = visit_releases(visits, passages, seen.select("segment", "release", "player"), controls, fps, rules)
     shots = shots.join(seen, ["segment", "release", "player"], "left").withColumn("views", F.when(F.col("source") == "proposal", F.col("views")))
-    shots = shots.withColumns({"event_id": F.col("visit"), "anchor": F.coalesce("release", F.floor("first"))})
-    led = passes_before(shots.where("release is not null"), controls, shots, fps).select("segment", "event_id", "passer", F.col("frame").alias("passed"))
-    return shots.join(led, ["segment", "event_id"], "left").select("segment", "visit", "begin", "end", "anchor", "release", "player", "source", "views", "passer", "passed")
+    shots = shots.join(outcomes(visits, passages, net, fps, result_view, least_views, views, rules), ["segment", "visit"], "left")
+    taken = shots.where("source = 'proposal'").select("segment", "release", "player")
+    left = seen.join(taken, ["segment", "release", "player"], "left_anti").withColumns({"source": F.lit("proposal"), "outcome": F.lit("unknown"), "confidence": F.lit("probable")})
+    shots = shots.drop("first").unionByName(left, allowMissingColumns=True).withColumn("anchor", F.coalesce("release", "begin"))
+    w = Window.partitionBy("segment").orderBy("anchor", F.col("visit").isNull(), "begin", "visit", "release", "player")
+    shots = shots.withColumn("number", F.row_number().over(w))
+    led = passes_before(shots.where("release is not null").withColumn("event_id", F.col("number")), controls, shots, fps).select("segment", F.col("event_id").alias("number"), "passer", F.col("frame").alias("passed"))
+    return shots.join(led, ["segment", "number"], "left").select("segment", "number", "visit", "begin", "end", "anchor", "release", "player", "source", "views", "outcome", "confidence", "resolution", "passer", "passed")
 
 
 def drive_proposals(controls: DataFrame, tracks: DataFrame, rims: DataFrame, fps: float) -> DataFrame:

@@ -91,13 +91,6 @@ def _visits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return visits, passages
 
 
-@query()
-def detected_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contacts, poses = _contacts(spark, sf_dir)
-    visits, passages = _visits(spark, sf_dir)
-    return H.detect_shots(contacts, poses, _samples(spark, sf_dir), _rims(spark), passages, visits, _spans(spark, sf_dir), FPS)
-
-
 _TRACKS = """trk as (select segment, f as frame, 'ab'[v] as view, 'p' || p as track, ((f * (p + 2) + v * 11) % 83)::double as x, ((f * (p + 5)) % 79)::double as y
   from (select segment, start as f from spn union select segment, "end" - 1 from spn) s, range(0, 9) r(p), range(1, 3) t(v) where (f + p) % 4 <> 0)"""
 

@@ -223,11 +223,6 @@ def trajectory_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.flag_outliers(_positions(spark, sf_dir), FPS)
 
 
-@query()
-def trajectory_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.find_flights(_positions(spark, sf_dir), FPS)
-
-
 @query()
 def smoothed_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.smooth(_positions(spark, sf_dir), FPS)

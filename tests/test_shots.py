@@ -1,8 +1,10 @@
 """Shots from contacts, checks of plans and summaries on small tables, against loops."""
 
 import random
+import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.operators import integrity, shots, summaries
 
@@ -74,12 +76,16 @@ def test_release_needs_a_raised_hand_and_a_flight_to_the_rim(spark, hand_y, path
 def test_a_contact_becomes_a_shot_with_its_pass(spark):
     contacts, poses, samples, rims = _scene(spark, 40.0, TO_RIM)
     visits = spark.createDataFrame([("s", 1, 16, 30)], "segment string, visit long, begin long, end long")
-    passages = spark.createDataFrame([("s", 20.5)], "segment string, crossing double")
+    passages = spark.createDataFrame([("s", "a", 20.5, "inside")], "segment string, view string, crossing double, result string")
     controls = spark.createDataFrame([("s", "p2", 0, 4, 1), ("s", "p1", 6, 11, 1)], "segment string, owner string, start long, end long, team long")
-    row = shots.detect_shots(contacts, poses, samples, rims, passages, visits, controls, FPS).collect()
+    net = spark.createDataFrame([("s", f, 0.5 if f > 21 else 0.1) for f in range(60)], "segment string, frame long, change double")
+    row = shots.detect_shots(contacts, poses, samples, rims, passages, visits, controls, net, FPS, "a").collect()
     assert [(x.visit, x.anchor, x.player, x.source, x.views, x.passer, x.passed) for x in row] == [(1, 10, "p1", "proposal", ["a"], "p2", 3)]
+    assert (row[0].number, row[0].outcome, row[0].confidence, row[0].resolution) == (1, "made", "confirmed", 20)
+    left = shots.detect_shots(contacts, poses, samples, rims, passages, visits.withColumn("begin", F.col("begin") + 200).withColumn("end", F.col("end") + 200), controls, net, FPS, "a").collect()
+    assert [(x.visit, x.anchor, x.player, x.outcome, x.confidence, x.passer) for x in left] == [(None, 10, "p1", "unknown", "probable", "p2")]
     other = controls.replace({"p2": "p3"}).selectExpr("segment", "owner", "start", "end", "if(owner = 'p3', 2, 1) as team")
-    assert shots.detect_shots(contacts, poses, samples, rims, passages, visits, other, FPS).first().passer is None
+    assert shots.detect_shots(contacts, poses, samples, rims, passages, visits, other, net, FPS, "a").first().passer is None
 
 
 def test_checks_raise_with_the_rows_that_break_them(spark):
@@ -105,3 +111,70 @@ def test_unknown_appearance_costs_a_half(spark):
     rows = spark.createDataFrame([(None, [1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 2.0])], "a array<double>, b array<double>")
     got = [r.d for r in rows.select(summaries.appearance_distance(rows.a, rows.b).alias("d")).collect()]
     assert got == [0.5, 0.5, 1.0]
+
+
+def _moved(net, anchor):
+    """Whether the net moves, over a list of (frame, change)."""
+    near = sorted((f, c) for f, c in net if anchor - 15 <= f < anchor + 24)
+    rest, after = [c for f, c in near if f < anchor - 3], [c for f, c in near if f >= anchor - 3]
+    base = statistics.median([c for c in rest if c is not None] or [0.0])
+    longest = run = 0
+    for c in after:
+        run = run + 1 if c is not None and c >= max(0.22, base + 0.16) else 0
+        longest = max(longest, run)
+    return longest >= 3 and len(rest) >= 3 and len(after) >= 1
+
+
+def outcome_loop(visit, passages, net, result_view="a", least=1, views=("a", "b", "c")):
+    begin, end = visit
+    seen = sorted((p for p in passages if begin - 12 <= p[1] <= end), key=lambda p: (views.index(p[0]), p[1]))
+    if not seen:
+        return None
+    groups = []
+    for p in sorted((p for p in seen if p[2] == "inside"), key=lambda p: p[1]):
+        if not groups or p[1] - groups[-1][0][1] > 12:
+            groups.append([])
+        groups[-1].append(p)
+    confidence = "probable"
+    for g in groups:
+        t, who = statistics.median(p[1] for p in g), {p[0] for p in g}
+        if any(p[2] == "outside" and abs(p[1] - t) <= 6 for p in seen) or not (len(who) >= max(2, least) or result_view in who and least <= 1):
+            continue
+        own = [p[1] for p in g if p[0] == result_view]
+        t = round(statistics.median(own) if own else t)
+        if _moved(net, t):
+            return "made", "confirmed", t
+        confidence = "unconfirmed"
+    if not groups:
+        for p in [p for p in seen if p[2] == "outside"]:
+            near = [q for q in seen if q[2] == "outside" and abs(q[1] - p[1]) <= 6]
+            if len({q[0] for q in near}) >= 2:
+                return "missed", "confirmed", round(statistics.median(q[1] for q in near))
+    return "unknown", confidence, None
+
+
+@pytest.mark.parametrize(("seed", "least"), [(1, 1), (2, 2), (3, 3)])
+def test_outcomes_match_a_loop(spark, seed, least):
+    r = random.Random(seed)
+    visits, passages, net, want = [], [], [], {}
+    for s in ("s", "t"):
+        own, at = [], 0
+        series = [(f, None if r.random() < 0.1 else r.choice((0.05, 0.1, 0.3)) if f % 100 < 50 else 0.6) for f in range(6200) if r.random() < 0.98]
+        for v in range(60):
+            at += r.randrange(40, 100)
+            visits.append((s, v, at, at + r.randrange(25)))
+            kinds = r.choice((["inside"], ["outside"], ["outside", "edge"], ["inside", "outside", "edge"]))
+            for _ in range(r.randrange(6)):
+                # Quarters of a frame, so medians can lie half way between two frames.
+                own.append((r.choice("abc"), at + r.randrange(-60, 100) / 4, r.choice(kinds)))
+        passages += [(s, *p) for p in own]
+        net += [(s, *x) for x in series]
+        want |= {(s, v): outcome_loop((b, e), own, series, least=least) for t, v, b, e in visits if t == s}
+    got = shots.outcomes(
+        spark.createDataFrame(visits, "segment string, visit long, begin long, end long"),
+        spark.createDataFrame(passages, "segment string, view string, crossing double, result string"),
+        spark.createDataFrame(net, "segment string, frame long, change double"),
+        FPS, "a", least, ("a", "b", "c"),
+    )
+    assert {(x.segment, x.visit): (x.outcome, x.confidence, x.resolution) for x in got.collect()} == {k: w for k, w in want.items() if w}
+    assert {w[0] for w in want.values() if w} == {"made", "missed", "unknown"}

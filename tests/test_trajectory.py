@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pandas as pd
 
+from framelake.operators import flights as L
 from framelake.operators import matching as M
 from framelake.operators import trajectory as T
 from framelake.streaming import stateful as S
@@ -40,18 +41,19 @@ def test_bounce_and_flights():
     down, up = throw(range(20), (0, 0, 2.0), (1, 0, 0)), throw(range(20), (0.66, 0, 0.12), (1, 0, 4.0))
     p = np.concatenate([down[down[:, 2] > 0.1], up])
     f = np.arange(len(p))
-    (hit,) = T.bounces(f, p, FPS)
+    (hit,) = L.bounces(f, p, FPS)
     assert abs(hit[0] - (down[:, 2] > 0.1).sum()) <= 1
     still = np.tile([5.0, 5, 1], (40, 1))
     path = np.concatenate([still, throw(range(30), (5, 5, 1), (2, 1, 7))])
-    ((a, b),) = T.flights(np.arange(70), path, FPS)
-    assert 30 <= a <= 42 and 60 <= b <= 69
+    (found,) = L.flights(np.arange(70), path, np.zeros(70, bool), FPS)
+    assert 30 <= found.start <= 42 and 60 <= found.end <= 69
 
 
 def test_fill_uses_the_throw_and_leaves_long_holes():
     f = np.concatenate([np.arange(10), np.arange(18, 30), np.arange(80, 90)])
     full = throw(np.arange(90), (0, 0, 2), (1, 0, 8))
-    values, filled = T.fill(f, full[f], np.arange(90), FPS)
+    grid, values, observed, filled = T.fill(f, full[f], np.zeros(len(f), bool), [], FPS)
+    assert (grid == np.arange(90)).all() and (grid[observed] == f).all()
     assert np.allclose(values[10:18], full[10:18], atol=1e-6) and filled[10:18].all()
     assert np.isnan(values[30:80]).all() and not filled[30:80].any()
 
@@ -96,10 +98,6 @@ def test_grouped_forms(spark):
     got = T.smooth(balls, FPS)
     assert got.count() == 40 and got.where("filled").count() == 6
     assert T.find_bounces(balls, FPS).count() == 0
-    rows = spark.createDataFrame([("s", i, 0.1 if i < 8 else 1.0, 0.0 if i > 15 else 2.0) for i in range(90)], "segment string, frame long, hand_distance double, speed double")
-    flight = spark.createDataFrame([("s", 9, 14)], "segment string, start long, end long")
-    states = {r["frame"]: r["state"] for r in T.classify(rows, flight).collect()}
-    assert states[0] == "held" and states[10] == "flight" and states[8] == "moving" and states[80] == "static"
 
 
 def test_stream_and_batch_agree(spark, tmp_path):
