@@ -1,12 +1,7 @@
-"""Identity over views, frames and segments; actions from trajectories."""
+"""Identity over views, frames and segments."""
 
-import numpy as np
-
-from framelake.operators import actions as A
 from framelake.operators import identity as P
-from framelake.operators import trajectory as T
 
-FPS = 30
 LOOK = {"r": [1.0, 0.0, 0.0], "b": [0.0, 1.0, 0.0], "g": [0.0, 0.0, 1.0]}
 
 
@@ -41,44 +36,3 @@ def test_faces_quality_and_links(spark):
     known = spark.createDataFrame([("P1", LOOK["r"]), ("P2", LOOK["b"])], "player string, unit array<double>")
     new = spark.createDataFrame([("t", "1", [0.99, 0.1, 0.0]), ("t", "2", [0.7, 0.7, 0.0]), ("t", "3", [0.98, 0.15, 0.0]), ("t", "4", [0.0, 1.0, 0.0])], "segment string, track string, unit array<double>")
     assert {(r["track"], r["player"]) for r in P.link_segments(known, new).collect()} == {("1", "P1"), ("4", "P2")}
-
-
-def shot(target, start=(6.0, 0.0, 2.0), n=36):
-    t = n / FPS
-    goal = np.array([*target, 2.9])
-    v = (goal - np.array(start)) / t
-    v[2] += 0.5 * T.GRAVITY * t
-    return T.along(np.arange(n + 1) / FPS, np.array(start), v)
-
-
-def segment(path, before=20, after=20, catcher=None):
-    hold = np.tile(path[0] - [0, 0, 0.6], (before, 1))
-    rest = np.tile([path[-1][0], path[-1][1], 1.0], (after, 1))
-    p = np.concatenate([hold, path, rest])
-    player = ["7"] * before + ["7"] * len(path) + [catcher] * after
-    hand = [0.1] * before + [2.0] * len(path) + [0.1 if catcher else 5.0] * after
-    return [("s", i, *map(float, x), q, h) for i, (x, q, h) in enumerate(zip(p, player, hand, strict=True))]
-
-
-SCHEMA = "segment string, frame long, x double, y double, z double, player string, hand double"
-
-
-def test_shots_passes_and_rebounds(spark):
-    got = A.actions(spark.createDataFrame(segment(shot((0.0, 0.0))), SCHEMA), (0.0, 0.0)).collect()
-    assert [(r["type"], r["actor"], r["result"]) for r in got] == [("shoot", "7", "made")]
-    got = A.actions(spark.createDataFrame(segment(shot((0.9, 0.0)), catcher="4"), SCHEMA), (0.0, 0.0)).collect()
-    assert [(r["type"], r["actor"], r["result"]) for r in got] == [("shoot", "7", "missed"), ("rebound", "4", None)]
-    got = A.actions(spark.createDataFrame(segment(shot((10.0, 6.0), n=30), catcher="5"), SCHEMA), (0.0, 0.0)).collect()
-    assert [(r["type"], r["actor"], r["receiver"]) for r in got] == [("pass", "7", "5")]
-    got = A.actions(spark.createDataFrame(segment(shot((0.0, 0.0), start=(1.0, 0.0, 2.0), n=24)), SCHEMA), (0.0, 0.0)).collect()
-    assert [(r["type"], r["result"]) for r in got] == [("layup", "made")]
-
-
-def test_three_points_and_owner_runs():
-    path = shot((0.0, 0.0), start=(7.5, 0.0, 2.0))
-    import pandas as pd
-
-    table = A.name_flights(pd.DataFrame(segment(path), columns=["segment", "frame", "x", "y", "z", "player", "hand"]), np.array([0.0, 0.0, A.RIM]))
-    assert table["three"].tolist() == [True]
-    owners = A.possession(np.arange(8), ["a", "a", "b", "b", "b", None, "b", "b"], np.array([0.1, 0.1, 0.1, 0.1, 0.9, 9.0, 0.1, 0.1]), np.zeros(8, bool))
-    assert owners == ["a", "a", "b", "b", "b", None, "b", "b"]
