@@ -153,7 +153,7 @@ def test_hand_over_and_dribbles():
     assert found[0].frame == 100 + 4 + 4 and found[1].frame == 100 + 16
     # The handler is kept for thirty frames without a touch.
     assert play.owner[45] == "a" and play.owner[46] is None
-    change = Play().add(held(a, 4), "held", {"a": a}).add([(x, y, 1.0) for x, y, _ in low], "dribble", {"a": FAR, "b": lambda i: (8.0 + 0.05 * i, 0, 0.9)})
+    change = Play().add(held(a, 4), "held", {"a": a}).add([(x, y, 1.08) for x, y, _ in low], "dribble", {"a": FAR, "b": lambda i: (8.0 + 0.05 * i, 0, 0.9)})
     assert brief(change.run()) == [("catch", "b", None, None)] and change.run()[0].frame == 108
 
 
