@@ -218,16 +218,84 @@ def clip_box(b: Column, x1: float, y1: float, x2: float, y2: float) -> Column:
     return F.struct(bound(b["x1"], x1, x2).alias("x1"), bound(b["y1"], y1, y2).alias("y1"), bound(b["x2"], x1, x2).alias("x2"), bound(b["y2"], y1, y2).alias("y2"))
 
 
-def suppress(boxes: DataFrame, keys: Sequence[str], overlap: float, rounds: int = 64) -> DataFrame:
-    """Greedy non-maximum suppression of (keys, det, score, box): the ids that stay.
+def near_boxes(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
+    """Pairs of boxes (box, o_box) of one key that overlap, joined by the cells of a grid that both touch.
 
-    Of each key the graph of overlapping pairs is built once; a box is settled as kept when every better
-    neighbour is dropped, and as dropped when one is kept. Each round settles a layer of the graph.
+    A pair that shares several cells is taken from the one with the corner of its intersection.
+    """
+    def cells(b: Column, c: str) -> Column:
+        return F.explode(F.sequence(F.floor(b[f"{c}1"] / cell), F.floor(b[f"{c}2"] / cell)))
+
+    def listed(rows: DataFrame, box: str) -> DataFrame:
+        b = F.col(box)
+        solid = rows.where((b["x1"] <= b["x2"]) & (b["y1"] <= b["y2"]))
+        return solid.withColumn("cx_", cells(b, "x")).withColumn("cy_", cells(b, "y"))
+
+    a, b = F.col("box"), F.col("o_box")
+    pairs = listed(left, "box").join(listed(right, "o_box"), [*keys, "cx_", "cy_"])
+    corner = [F.floor(F.greatest(a[f"{c}1"], b[f"{c}1"]) / cell) for c in "xy"]
+    return pairs.where((F.col("cx_") == corner[0]) & (F.col("cy_") == corner[1]) & (intersection(a, b) > 0)).drop("cx_", "cy_")
+
+
+def _better() -> Column:
+    return (F.col("o_score") > F.col("score")) | ((F.col("o_score") == F.col("score")) & (F.col("o_det") < F.col("det")))
+
+
+def keep_greedily(rows: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ids (keys, det) that stay of ``rows`` (keys, det, score) when the best goes first and drops its neighbours.
+
+    ``edges`` has (keys, det, o_det) for every pair too near to another, o_det the better one. The rows of one key, an
+    image, are folded in order of their score.
     """
-    other = boxes.select(*keys, F.col("det").alias("o_det"), F.col("score").alias("o_score"), F.col("box").alias("o_box"))
-    better = (F.col("o_score") > F.col("score")) | ((F.col("o_score") == F.col("score")) & (F.col("o_det") < F.col("det")))
-    edges = boxes.join(other, list(keys)).where(better & (iou(F.col("box"), F.col("o_box")) > overlap)).select(*keys, "det", "o_det")
     neighbours = edges.groupBy(*keys, "det").agg(F.collect_set("o_det").alias("better"))
-    listed = boxes.join(neighbours, [*keys, "det"], "left").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "det", F.coalesce("better", F.array().cast("array<bigint>")).alias("better")))).alias("all"))
+    listed = rows.join(neighbours, [*keys, "det"], "left").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "det", F.coalesce("better", F.array().cast("array<bigint>")).alias("better")))).alias("all"))
     kept = F.aggregate("all", F.array().cast("array<bigint>"), lambda s, x: F.when(F.arrays_overlap(s, x["better"]), s).otherwise(F.concat(s, F.array(x["det"].cast("bigint")))))
     return listed.select(*keys, F.explode(kept).alias("det"))
+
+
+def suppress(boxes: DataFrame, keys: Sequence[str], overlap: float, cell: float = 64.0) -> DataFrame:
+    """Greedy non-maximum suppression of (keys, det, score, box): the ids that stay.
+
+    Pairs are found in cells of the plane of the given size, which should be about that of a usual box.
+    """
+    mine = boxes.select(*keys, "det", "score", "box")
+    other = boxes.select(*keys, F.col("det").alias("o_det"), F.col("score").alias("o_score"), F.col("box").alias("o_box"))
+    edges = near_boxes(mine, other, keys, cell).where(_better() & (iou(F.col("box"), F.col("o_box")) > overlap)).select(*keys, "det", "o_det")
+    return keep_greedily(mine, edges, keys)
+
+
+def suppress_classes(boxes: DataFrame, keys: Sequence[str], label: str, overlap: float, least: float, cell: float = 64.0) -> DataFrame:
+    """Suppression within each class of boxes that score over ``least``, ranked by falling score over all classes."""
+    good = boxes.where(F.col("score") > least)
+    kept = suppress(good, [*keys, label], overlap, cell)
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "det", label)
+    return good.join(kept, [*keys, label, "det"], "left_semi").withColumn("rank", F.row_number().over(w))
+
+
+def evaluate_detections(found: DataFrame, truth: DataFrame, keys: Sequence[str], label: str, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Average precision by class and one row of means, from detections and truth boxes.
+
+    ``found`` has keys, label, det, score, box; ``truth`` keys, label, gt, gt_box, difficult. Within a key and class a
+    detection goes to the truth box it overlaps most; the best scored of a truth box's detections is the hit. Those of a
+    difficult box count neither way, and difficult boxes are no positives. Boxes without an area are left out.
+
+    The first table has label, n_positive, ap (null without positives); the second map, the mean over classes with
+    positives, and pooled: the average precision of one curve over the detections of all these classes, in which every
+    class weighs as much as it has positives.
+    """
+    whole = found.where((F.col("box.x1") < F.col("box.x2")) & (F.col("box.y1") < F.col("box.y2")))
+    order = Window.partitionBy(*keys, label).orderBy(F.desc("score"), "det")
+    placed = whole.withColumn("place", F.row_number().over(order))
+    met = match_boxes(placed.select(*keys, label, "det", "score", "place", "box"), truth.select(*keys, label, "gt", "gt_box"), [*keys, label], least)
+    hard = truth.where("difficult").select(*keys, label, "gt").distinct().withColumn("hard_", F.lit(True))
+    judged = met.join(hard, [*keys, label, "gt"], "left").where(F.col("hard_").isNull() | (F.col("overlap") < least)).drop("hard_")
+    positives = truth.groupBy(label).agg(F.count_if(~F.col("difficult")).alias("n_positive"))
+    scored = judged.join(positives.where("n_positive > 0"), label, "left_semi").withColumn("tie_", F.xxhash64(*keys, label, "det"))
+    by_class = average_precision(precision_recall(scored, [label], positives, "tie_"), [label], "tie_")
+    # A class with positives and no detections has an empty curve.
+    classes = positives.join(by_class, label, "left").withColumn("ap", F.when(F.col("n_positive") > 0, F.coalesce("ap", F.lit(0.0))))
+    one = F.lit(1).alias("all_")
+    total = positives.agg(F.sum("n_positive").alias("n_positive")).select(one, "n_positive")
+    pooled = average_precision(precision_recall(scored.withColumn("all_", F.lit(1)), ["all_"], total, "tie_"), ["all_"], "tie_")
+    means = classes.agg(F.avg("ap").alias("map")).select(one, "map").join(pooled.withColumnRenamed("ap", "pooled"), "all_", "left")
+    return classes, means.select("map", "pooled")
