@@ -93,6 +93,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             yield batch.slice(start)
 
 
+def told_apart(rows: DataFrame, key: str, *digests: str) -> DataFrame:
+    """``rows`` (a written table) with a ``key`` (a 64-bit hash) that is another one for rows with other ``digests``.
+
+    Keys that rows with different digests share are looked for in all rows. They are a handful in a hundred thousand
+    million rows, if any; all but the least digests of such a key get a new one, until no key is shared.
+    """
+    own = F.struct(*digests)
+    salt = 0
+    while True:
+        shared = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(own).alias("low_"), F.max(own).alias("high_")).where("low_ <> high_").select(F.col(key).alias("shared_"), "low_").collect()
+        if not shared:
+            return rows
+        salt += 1
+        known = rows.sparkSession.createDataFrame(shared, rows.select(F.col(key).alias("shared_"), own.alias("low_")).schema)
+        other = F.col("shared_").isNotNull() & (own != F.col("low_"))
+        fresh = F.when(other, F.xxhash64(F.lit(salt), *digests)).otherwise(F.col(key))
+        told = rows.join(F.broadcast(known), F.col(key) == F.col("shared_"), "left").withColumn("fresh_", fresh)
+        rows = write_table(told.select(*[F.col("fresh_").alias(c) if c == key else F.col(c) for c in rows.columns]), "told")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once for each row."""
     return F.get(F.transform(F.array(value), body), 0)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tiles
-from .common import drop_tables, tune, write_table
+from .common import drop_tables, told_apart, tune, write_table
 from .graph import least_names, look_up
 
 LEAST, MISS, SAMPLE, SHORT = 0.9, 1e-3, 4096, 0.02
@@ -193,7 +193,8 @@ def near_vectors(table: DataFrame, least: float = LEAST, miss: float = MISS) ->
     e = F.col("embedding")
     sound = e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: F.coalesce((x == x) & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(e, lambda x: x != 0)
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.select("vec_id", "embedding", F.when(F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull(), F.xxhash64("embedding")).alias("rep"))
+    rows = rows.select("vec_id", "embedding", F.when(F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull(), F.xxhash64("embedding")).alias("rep"), F.xxhash64(F.lit("more"), "embedding").alias("more"))
+    rows = told_apart(write_table(rows, "rows"), "rep", "more")
     classes = write_table(rows.where("rep is not null").groupBy("rep").agg(F.min("vec_id").alias("name"), F.count("*").alias("m"), F.first("embedding").alias("embedding")), "vectors")
     found = None
     for r in classes.select(F.size("embedding").alias("n")).distinct().orderBy("n").collect():

@@ -5,7 +5,7 @@ result is shifted on the ring of 2**32 points by a multiple of a fixed stride fo
 second permutation ranks it. Coordinates are banded, and texts that meet in a bucket are compared on
 their full shingle sets.
 
-Texts with the same shingle set form one class before banding, so copies cost one row. In a bucket not
+Texts with the same shingle set (by a digest of 128 bits) form one class before banding, so copies cost one row. In a bucket not
 all pairs are made: members are first compared with one hub, then with the members that have most links; at
 last the pairs of a bucket that no chain of confirmed links joins yet are compared in pairs of tiles. A
 component is complete for the pairs that share a bucket.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import drop_tables, slices, text_key, tune, write_table
+from .common import drop_tables, slices, text_key, told_apart, tune, write_table
 from .graph import connected_components, least_names, look_up
 from .tiles import deal, pairs_of_tiles, roots
 
@@ -107,6 +107,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     tune(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", text_key(F.col("text")))
     seen = write_table(texts.mapInArrow(_describe, "doc_id long, key long, n_shingles long, d1 long, d2 long, bands array<long>").withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("d1", "d2"))), "minhash")
+    seen = told_apart(seen, "rep", "d1", "d2")
     classes = write_table(seen.where("rep is not null").groupBy("rep").agg(F.min(F.struct("doc_id", "key")).alias("one"), F.first("bands").alias("bands")), "classes")
 
     placed = classes.select("rep", F.explode("bands").alias("bucket"))

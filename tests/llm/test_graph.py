@@ -100,3 +100,22 @@ def test_least_names(spark):
     edges = spark.createDataFrame([(100, 50), (50, 70), (8, 9)], "a long, b long")
     names = spark.createDataFrame([(100, 1), (50, 7), (70, 7), (8, 4), (9, 2), (77, 0)], "v long, n long")
     assert {tuple(r) for r in graph.least_names(edges, names).collect()} == {(100, 1), (50, 1), (70, 1), (8, 2), (9, 2)}
+
+
+def test_keys_that_unlike_rows_share_are_told_apart(spark):
+    from framelake.llm.common import told_apart
+
+    rows = [(i, 7 if i % 3 else 8, i % 2, i % 5) for i in range(60)] + [(100, None, 1, 1)]
+    table = spark.createDataFrame(rows, "id long, key long, d1 long, d2 long")
+    got = told_apart(table, "key", "d1", "d2").collect()
+    by = {}
+    for r in got:
+        if r["key"] is not None:
+            by.setdefault(r["key"], set()).add((r["d1"], r["d2"]))
+    assert all(len(x) == 1 for x in by.values()) and sorted(r["id"] for r in got) == [*range(60), 100]
+    same = {}
+    for r in got:
+        same.setdefault((rows[r["id"]][1] if r["id"] < 60 else None, r["d1"], r["d2"]), set()).add(r["key"])
+    assert all(len(x) == 1 for x in same.values()) and {7, 8} <= set(by)
+    apart = table.where("id < 2")
+    assert told_apart(apart, "key", "d1", "d2") is apart
