@@ -113,14 +113,16 @@ def mix_sources(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGH
     most_rows = sums.agg(F.max("n")).first()[0] or 0
     buckets = max(1, -(-int(most_rows) // GROUP))
 
-    s = known.select(F.col("source").alias("s"), "source_size", "target")
+    # Every source is dealt to as many groups as its own rows fill.
+    own = sums.select(F.col("source").alias("s"), F.ceil(F.col("n") / GROUP).cast("int").alias("own"))
+    s = known.join(own, F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", "own")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(rate + F.lit(1e-12))
     named = table.join(s, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = named.select(
         "doc_id", "source", "size", "key", "row", "source_size", "target", base.cast("double").alias("base"),
         F.when((F.col("size") > 0) & (rate - base > 1e-12), rate - base).otherwise(0.0).alias("part"),
-        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "key", "row"), F.lit(buckets)).alias("bucket"),
+        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "key", "row"), F.col("own")).alias("bucket"),
     )
     settled, level = None, 0
     while True:

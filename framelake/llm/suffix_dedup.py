@@ -338,7 +338,9 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     tune(spark)
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", text_key(F.col("text")))
     size = every.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // BUCKET))
+    # Spark refuses more buckets than this setting; beyond it buckets grow instead.
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    parts = min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // BUCKET)))
     name = f"suffix_texts_{uuid.uuid4().hex}"
     laid = every.where("doc_id is not null").repartition(parts, "doc_id")
     laid.write.bucketBy(parts, "doc_id").option("compression", "zstd").saveAsTable(name)
