@@ -39,10 +39,12 @@ def steals(pairs: DataFrame, touches: DataFrame, turns: DataFrame, fps: float) -
     of the same player up to three frames before the turn, opposed teams and a lasting hold.
     """
     near = matching.within(pairs, touches.select("segment", F.col("frame").alias("at"), "view", "track"), ["segment"], "next_start", "at", -round(0.5 * fps), round(0.2 * fps)).where("track = next_owner")
-    t = turns.select("segment", "view", F.col("frame").alias("turned"))
-    both = near.join(t, ["segment", "view"], "left").withColumn("paired", F.coalesce((F.abs(F.col("turned") - F.col("at")) <= 2), F.lit(False)))
     key = ["segment", "owner", "next_owner", "end", "next_start"]
-    frames = both.groupBy(*key, "at").agg(F.count_distinct("view").alias("views"), F.count_distinct(F.when(F.col("paired"), F.col("view"))).alias("turns"), F.max(F.when(F.col("turned").between(F.col("at"), F.col("at") + 3), True)).alias("prior"))
+    t = turns.select("segment", "view", F.col("frame").alias("turned"))
+    # A turn counts up to two frames before and three after a contact.
+    paired = matching.within(near.select(*key, "at", "view").distinct(), t, ["segment", "view"], "at", "turned", -2, 3)
+    turned = paired.groupBy(*key, "at").agg(F.count_distinct(F.when(F.abs(F.col("turned") - F.col("at")) <= 2, F.col("view"))).alias("turns"), F.max(F.when(F.col("turned") >= F.col("at"), True)).alias("prior"))
+    frames = near.groupBy(*key, "at").agg(F.count_distinct("view").alias("views")).join(turned, [*key, "at"], "left").fillna(0, ["turns"])
     best = frames.groupBy(*key).agg(F.max_by(F.struct("at", "views", "turns", "prior"), F.struct("views", "turns", -F.col("at"))).alias("b"))
     judged = pairs.join(best, key, "left").withColumn("hold", F.col("next_end") - F.col("next_start"))
     tests = {
