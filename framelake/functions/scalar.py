@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---- time ----
 
@@ -71,9 +72,23 @@ def prompts(names: Column, templates: Sequence[str]) -> Column:
     return F.array(*[F.replace(F.lit(t), F.lit("{}"), names) for t in templates])
 
 
-def digest(row: Column) -> Column:
-    """SHA-256 of the row's JSON with keys in the order of its fields."""
-    return F.sha2(F.to_json(row), 256)
+def _sorted_keys(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        fields = [_sorted_keys(value[f.name], f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _sorted_keys(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.sort_array(F.map_entries(F.transform_values(value, lambda _, x: _sorted_keys(x, kind.valueType)))))
+    return value
+
+
+def digest(row: Column, kind: T.DataType | None = None) -> Column:
+    """SHA-256 of the row's JSON without spaces, nulls kept, keys sorted at every depth as ``kind`` (its type) names them.
+
+    Without ``kind`` keys stand in the order of the fields.
+    """
+    return F.sha2(F.to_json(row if kind is None else _sorted_keys(row, kind), {"ignoreNullFields": "false"}), 256)
 
 
 # ---- geometry ----

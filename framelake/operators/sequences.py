@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from . import matching
+
 
 def rows_around(keys: Sequence[str], order: str, before: int, after: int) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(-before, after)
@@ -112,3 +114,42 @@ def majority(rows: DataFrame, keys: Sequence[str], order: str, value: str, half:
     best = F.array_max(F.transform(votes, lambda s: F.struct(s["n"].alias("n"), s["own"].alias("own"))))
     pick = F.array_min(F.transform(F.filter(votes, lambda s: (s["n"] == best["n"]) & (s["own"] == best["own"])), lambda s: s["v"]))
     return seen.withColumn(value, F.when(best["n"] >= least, pick).otherwise(F.col(value))).drop("all_")
+
+
+def trails(points: DataFrame, asked: DataFrame, keys: Sequence[str], length: int, gap: int) -> DataFrame:
+    """Trail of each asked frame (keys, frame): the points (keys, at, x, y, z) of its last ``length`` frames in pieces.
+
+    A hole of more than ``gap`` frames between two points begins a new piece. Points without finite place don't count.
+    """
+    finite = F.lit(True)
+    for c in "xyz":
+        finite &= F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    near = matching.within(asked.select(*keys, "frame").distinct(), points.where(finite).select(*keys, "at", "x", "y", "z"), keys, "frame", "at", 1 - max(1, length), 0)
+    w = Window.partitionBy(*keys, "frame").orderBy("at")
+    new = F.when(F.col("at") - F.lag("at").over(w) <= gap + 1, 0).otherwise(1)
+    pieces = near.where("at >= 0").withColumn("new_", new).withColumn("piece", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return pieces.groupBy(*keys, "frame", "piece").agg(F.sort_array(F.collect_list(F.struct("at", "x", "y", "z"))).alias("points"))
+
+
+def motion_visits(motion: DataFrame, keys: Sequence[str], fps: float, memory: int = 90, least: float = 0.025, ratio: float = 1.8) -> DataFrame:
+    """Visits (keys, start, end, peak, relative) in which the motion (keys, frame, motion) stands out from what was usual.
+
+    Usual is the median of the ``memory`` rows before, 0.01 without any and never under 0.006. Frames of ``least`` motion
+    and ``ratio`` times the usual one belong to a visit; it ends when 0.2 seconds have passed without one, and counts if
+    it spans two frames. The peak is its first frame of most relative motion.
+    """
+    before = Window.partitionBy(*keys).orderBy("frame").rowsBetween(-memory, -1)
+    usual = F.greatest(F.coalesce(F.percentile("motion", 0.5).over(before), F.lit(0.01)), F.lit(0.006))
+    hits = motion.withColumn("relative", F.col("motion") / usual).where((F.col("motion") >= least) & (F.col("relative") >= ratio))
+    w = Window.partitionBy(*keys).orderBy("frame")
+    new = F.when(F.col("frame") - F.lag("frame").over(w) <= round(0.2 * fps) + 1, 0).otherwise(1)
+    runs = hits.withColumn("new_", new).withColumn("run_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy(*keys, "run_").agg(F.min("frame").alias("start"), (F.max("frame") + 1).alias("end"), F.max_by("frame", F.struct("relative", -F.col("frame"))).alias("peak"), F.max("relative").alias("relative"))
+    return spans.where(F.col("end") - F.col("start") >= 2).drop("run_")
+
+
+def strided_sample(length: Column, n: int, rate: int, view: Column, views: int) -> Column:
+    """n frames every ``rate`` of a video of ``length``, for one of ``views`` clips that spread evenly over it."""
+    gap = F.greatest(length - ((n - 1) * rate + 1), F.lit(0)) / F.lit(float(max(1, views - 1)))
+    start = F.bround(gap * view).cast("long")
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.greatest(F.least(start + i * rate, length - 1), F.lit(0)).cast("long"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import matching
+
 #: Counted metrics in report order, and the roles of each event type.
 METRICS = (
     "shot_attempts_detected", "made", "missed", "outcome_unknown", "made_inside_arc", "made_outside_arc", "zone_unknown",
@@ -71,6 +73,7 @@ def box_score(events: DataFrame, players: DataFrame) -> DataFrame:
     when both statuses are confirmed, otherwise for ``unassigned``; every role counts once in the total. The
     three levels come from one aggregate over grouping sets.
     """
+    events = reject_duplicates(events, "event_id")
     roles = F.explode(F.element_at(F.create_map(*[x for k, v in ROLES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.col("type")))
     counted = events.where((F.col("status") == "confirmed") & F.col("type").isin(*ROLES)).withColumn("role", roles)
     actor = F.try_element_at("actor_roles", F.col("role"))
@@ -185,3 +188,44 @@ def spaced_sample(rows: DataFrame, keys: Sequence[str], order: str, bins: int, s
     listed = best.groupBy(*keys).agg(F.sort_array(F.collect_list("at")).alias("all"))
     kept = F.aggregate("all", F.array().cast("array<bigint>"), lambda s, x: F.when((F.size(s) == 0) | (x - F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) >= spacing), F.concat(s, F.array(x.cast("bigint")))).otherwise(s))
     return listed.select(*keys, F.explode(kept).alias(order))
+
+
+def stratified_sample(rows: DataFrame, keys: Sequence[str], bins: int = 6, most: int = 6, spacing: int = 120) -> DataFrame:
+    """Frames that show a key over all of its span: (keys, frame, view, rank) of rows (keys, frame, view, score, begin, last).
+
+    Only the view with most rows counts (of equals that of the best row). The best row of each of ``bins`` parts of
+    [begin, last] comes first, then the others by falling score; a row is taken if it is ``spacing`` frames from all
+    taken ones, until there are ``most``. Equal scores go to the later frame.
+    """
+    w = Window.partitionBy(*keys)
+    views = rows.groupBy(*keys, "view").agg(F.count("*").alias("n"), F.max(F.struct("score", "frame", "view")).alias("top"))
+    chosen = views.groupBy(*keys).agg(F.max_by("view", F.struct("n", "top")).alias("view"))
+    kept = rows.join(chosen, [*keys, "view"])
+    width = F.greatest(F.floor((F.col("last") - F.col("begin") + 1) / bins), F.lit(1))
+    kept = kept.withColumn("bin_", F.least(F.floor((F.col("frame") - F.col("begin")) / width), F.lit(bins - 1)))
+    first = F.row_number().over(Window.partitionBy(*keys, "bin_").orderBy(F.desc("score"), F.desc("frame"))) == 1
+    order = F.struct(F.when(F.col("first_"), F.col("bin_")).otherwise(bins).alias("part"), (-F.col("score")).alias("s"), (-F.col("frame")).alias("f"))
+    ranked = kept.withColumn("first_", first).select(*keys, "frame", "view", order.alias("o"))
+    listed = ranked.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", F.col("frame").cast("long").alias("frame")))), lambda x: x["frame"]).alias("all"), F.first("view").alias("view"))
+
+    def take(s: Column, x: Column) -> Column:
+        near = F.exists(s, lambda y: F.abs(x - y) < spacing)
+        return F.when((F.size(s) >= most) | near, s).otherwise(F.concat(s, F.array(x)))
+
+    taken = F.aggregate("all", F.array().cast("array<bigint>"), take)
+    return listed.select(*keys, "view", F.posexplode(taken).alias("rank", "frame")).withColumn("rank", F.col("rank") + 1)
+
+
+def ground_positions(asked: DataFrame, rows: DataFrame, reach: int = 2, least: int = 3, views: int = 2, error: float = 30.0) -> DataFrame:
+    """Median place (x, y) of each asked (segment, frame, track) over the frames around it, from sound rows only.
+
+    ``rows`` has segment, frame, track, x, y, predicted, views, error. Sound is a finite place, not predicted, of enough
+    views and a small error; fewer than ``least`` sound rows give no place.
+    """
+    sound = ~F.coalesce(F.col("predicted"), F.lit(False)) & (F.col("views") >= views) & (F.col("error") < error)
+    for c in "xy":
+        sound &= F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    key = ["segment", "track"]
+    near = matching.within(asked.select(*key, "frame").distinct(), rows.where(sound).select(*key, F.col("frame").alias("at_"), "x", "y"), key, "frame", "at_", -reach, reach)
+    found = near.groupBy(*key, "frame").agg(F.percentile("x", 0.5).alias("x"), F.percentile("y", 0.5).alias("y"), F.count("*").alias("n"))
+    return found.where(F.col("n") >= least)

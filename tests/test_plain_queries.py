@@ -13,7 +13,7 @@ from test_flights import plain_bounces, plain_flights, plain_outliers, plain_rts
 from test_shots import outcome_loop
 
 from framelake.operators import flights as L
-from framelake.plans import boxes, detail, ledger, registry, tracks, views  # noqa: F401
+from framelake.plans import boxes, detail, ledger, registry, sampling, tracks, views  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no sample tables")
@@ -293,3 +293,24 @@ def test_smoothed_trajectory_and_outliers_of_observations(run, spark):
         short = {x for a, b in itertools.pairwise(runs) if b[0] - a[-1] - 1 <= 24 for x in range(a[-1] + 1, b[0])}
         assert set(holes) <= short
         assert statistics.median(np.abs(mine[mine.observed]["sx"].to_numpy() - p[:, 0])) < 1
+
+
+def test_stratified_frames(run, spark):
+    rows = sampling.pictures(spark, DATA).toPandas()
+    want = set()
+    for (kind, track), g in rows.groupby(["kind", "track"]):
+        ranked = sorted(((r.score, r.frame, r.view, r.begin, r.last) for r in g.itertuples()), reverse=True)
+        count = Counter()
+        for x in ranked:
+            count[x[2]] += 1
+        view = max(count, key=count.get)
+        mine = [x for x in ranked if x[2] == view]
+        width = max(1, (mine[0][4] - mine[0][3] + 1) // 6)
+        best = [next((x for x in mine if min(5, (x[1] - x[3]) // width) == b), None) for b in range(6)]
+        best = [x for x in best if x]
+        taken = []
+        for x in best + [x for x in mine if x not in best]:
+            if len(taken) < 6 and all(abs(x[1] - y) >= 120 for y in taken):
+                taken.append(x[1])
+        want |= {(kind, track, view, n, f) for n, f in enumerate(taken, 1)}
+    assert {(r.kind, r.track, r.view, r.rank, r.frame) for r in run("stratified_frames").itertuples()} == want and len(want) > 50

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from framelake.plans import boxes, detail, evidence, ledger, registry, tracks, vision  # noqa: F401
+from framelake.plans import boxes, detail, evidence, ledger, registry, sampling, tracks, vision  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no sample tables")

@@ -125,3 +125,18 @@ def test_scalars(spark):
     assert r["hot"] == pytest.approx([0.05, 0.95]) and r["bits"] == [1, 0, 1] and abs(r["rate"] - 0.5) < 1e-12 and abs(r["step"] - 0.1) < 1e-12
     assert abs(r["fall"] - math.sqrt(4 / 9.81)) < 1e-12 and r["score"] == 65 and abs(r["face"] - 0.5) < 1e-9 and r["src"] is None and r["sq"] == -1.0 and r["u"] == 0.25
     assert X.frames_of(0.25, 10) == 2 and X.frames_of(0.5, 7) == 4
+
+
+def test_digest_with_sorted_keys(spark):
+    import hashlib
+    import json
+
+    from pyspark.sql import functions as F
+
+    from framelake.functions.scalar import digest
+
+    schema = "row struct<b:int,a:struct<z:string,c:array<struct<y:int,x:int>>>,m:map<string,int>,n:string>"
+    value = {"b": 1, "a": {"z": "é", "c": [{"y": 2, "x": None}]}, "m": {"q": 1, "p": 2}, "n": None}
+    df = spark.createDataFrame([(value,)], schema)
+    want = hashlib.sha256(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    assert df.select(digest(F.col("row"), df.schema["row"].dataType)).first()[0] == want
