@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +66,38 @@ def slot_figures(matches: DataFrame, events: DataFrame, slots: DataFrame, kind:
     total = slots.groupBy(kind).agg(F.count("*").alias("slots"), F.count_distinct("interval").alias("intervals"))
     rows = total.join(predicted, kind, "full").join(tp, kind, "left").na.fill(0, ["tp", "predicted", "slots", "hit"])
     return rows.withColumn("interval_recall", F.try_divide("hit", "intervals"))
+
+
+def compare_runs(old: DataFrame, new: DataFrame, keys: Sequence[str], most: int = 30) -> DataFrame:
+    """What became of the findings of an earlier run: (keys, before, after, distance, status).
+
+    ``old`` has keys, before, at; ``new`` keys, after, at. Earlier findings in order of time (then name) take the nearest
+    later one that is still free, within ``most`` frames; of equals the earlier, then the lesser name. Status is matched,
+    lost (only before) or new (only after). Findings that more than ``most`` frames part from all others cannot compete,
+    so each such stretch is one group.
+    """
+    both = old.select(*keys, "at", F.col("before").cast("string").alias("before")).unionByName(new.select(*keys, "at", F.col("after").cast("string").alias("after")), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("at")
+    parted = both.withColumn("new_", F.when(F.col("at") - F.lag("at").over(w) <= most, 0).otherwise(1))
+    blocks = parted.withColumn("block_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        free = sorted(rows[rows["after"].notna()][["at", "after"]].itertuples(index=False, name=None))
+        out = []
+        for at, name in sorted(rows[rows["before"].notna()][["at", "before"]].itertuples(index=False, name=None)):
+            best = min(free, key=lambda x: abs(x[0] - at), default=None)
+            if best is None or abs(best[0] - at) > most:
+                out.append((name, None, None, "lost"))
+                continue
+            free.remove(best)
+            out.append((name, best[1], abs(best[0] - at), "matched"))
+        out += [(None, name, None, "new") for _, name in free]
+        table = pd.DataFrame(out, columns=["before", "after", "distance", "status"], dtype=object)
+        for i, k in enumerate(keys):
+            table.insert(i, k, first[k])
+        return table
+
+    types = dict(both.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"before string, after string, distance {types['at']}, status string"])
+    return blocks.groupBy(*keys, "block_").applyInPandas(match, schema)

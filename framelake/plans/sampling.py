@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.operators import evaluation as V
 from framelake.operators import sequences as S
 from framelake.operators import statistics as T
 
@@ -71,3 +72,15 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stratified_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.stratified_sample(pictures(spark, sf_dir), ["kind", "track"])
+
+
+def two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Findings of an earlier and a later run: purchases, and clicks, by kind of track."""
+    obs = observations(spark, sf_dir).select((F.col("track") % 7).alias("group"), "kind", F.col("event_id").alias("name"), F.floor(F.col("frame") / 5).alias("at"))
+    old = obs.where("kind = 'purchase'").select("group", F.col("name").alias("before"), "at")
+    return old, obs.where("kind = 'click'").select("group", F.col("name").alias("after"), "at")
+
+
+@query()
+def compared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.compare_runs(*two_runs(spark, sf_dir), ["group"], 30)

@@ -162,9 +162,9 @@ def _schema(df: DataFrame, keys: list[str], kind: type) -> str:
 
 
 def run_batch(df: DataFrame, keys: list[str], kind: type, **settings: float) -> DataFrame:
-    """The filter over all frames of each key in order."""
+    """The filter over all frames of each key in order; of repeated frames the first row counts, as in a stream."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return _rows(kind(**settings), kind, rows.sort_values("frame"), keys)
+        return _rows(kind(**settings), kind, rows.sort_values("frame", kind="stable").drop_duplicates("frame"), keys)
 
     return df.groupBy(*keys).applyInPandas(run, _schema(df, keys, kind))
 
@@ -174,7 +174,7 @@ def stream_step(keys: list[str], kind: type, settings: dict) -> Callable:
         saved = state.get if state.exists else None
         last = saved[0] if saved else None
         filter_ = kind(state=tuple(saved[1:]) if saved else None, **settings)
-        rows = pd.concat(list(batches)).sort_values("frame")
+        rows = pd.concat(list(batches)).sort_values("frame", kind="stable")
         if last is not None:
             rows = rows[rows["frame"] > last]
         rows = rows.drop_duplicates("frame")

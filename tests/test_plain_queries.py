@@ -314,3 +314,21 @@ def test_stratified_frames(run, spark):
                 taken.append(x[1])
         want |= {(kind, track, view, n, f) for n, f in enumerate(taken, 1)}
     assert {(r.kind, r.track, r.view, r.rank, r.frame) for r in run("stratified_frames").itertuples()} == want and len(want) > 50
+
+
+def test_compared_runs(run, spark):
+    old, new = (x.toPandas() for x in sampling.two_runs(spark, DATA))
+    want = set()
+    for g in old["group"].unique():
+        free = sorted((r.at, str(r.after)) for r in new[new.group == g].itertuples())
+        for at, name in sorted((r.at, str(r.before)) for r in old[old.group == g].itertuples()):
+            best = min(free, key=lambda x: abs(x[0] - at), default=None)
+            if best and abs(best[0] - at) <= 30:
+                free.remove(best)
+                want.add((g, name, best[1], abs(best[0] - at), "matched"))
+            else:
+                want.add((g, name, None, None, "lost"))
+        want |= {(g, None, name, None, "new") for _, name in free}
+    plain = lambda x: None if x is None or x != x else x
+    got = [tuple(map(plain, r)) for r in run("compared_runs").itertuples(index=False, name=None)]
+    assert set(got) == want and len(got) == len(want) and {x[4] for x in want} == {"matched", "lost", "new"}
