@@ -17,6 +17,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from framelake.operators.events import Ownership
 
 
+#: Pixels that a resting ball moves at most.
+REST = 4.0
+
+
 class BallFilter:
     """Alpha-beta filter of a 3-D ball: rejects jumps, holds a lost ball for a few frames, then forgets it."""
 
@@ -86,43 +90,64 @@ class JointSmoother:
 
 
 class BallTracker:
-    """One ball in one view: takes the candidate nearest to the predicted place within a gate that widens while it is lost."""
+    """One ball in one view, from the candidates of each frame: places, scores, sizes in pixels and shares of orange.
+
+    Without a track the candidate of best quality begins one. Else a candidate is reachable if it lies within a gate
+    around the predicted place, which widens with speed and while the ball is lost, and not too far from the last
+    place; a far one needs ``least`` quality. Of these the nearest counts, where score, orange and size make up for
+    distance. A ball that has not moved for ``still`` frames gives way to a near candidate of clearly better quality.
+    """
 
-    OUT = "x double, y double, missed long"
-    STATE = "position array<double>, velocity array<double>, missed long"
-    IN = ("xs", "ys", "scores")
+    OUT = "x double, y double, missed long, switched boolean"
+    STATE = "position array<double>, velocity array<double>, missed long, rested long"
+    IN = ("xs", "ys", "scores", "sizes", "oranges")
 
-    def __init__(self, state: tuple | None = None, gate: float = 300.0, jump: float = 80.0, lost: int = 15) -> None:
-        self.gate, self.jump, self.lost = gate, jump, lost
-        position, velocity, self.missed = state or (None, [0.0, 0.0], 0)
+    def __init__(self, state: tuple | None = None, far: float = 520.0, jump: float = 240.0, margin: float = 0.25, least: float = 0.30, lost: int = 12, still: int = 8) -> None:
+        self.far, self.jump, self.margin, self.least, self.lost, self.still = far, jump, margin, least, lost, still
+        position, velocity, self.missed, self.rested = state or (None, [0.0, 0.0], 0, 0)
         self.position = None if position is None else np.array(position)
         self.velocity = np.array(velocity, float)
 
     def state(self) -> tuple:
-        return (None if self.position is None else self.position.tolist(), self.velocity.tolist(), self.missed)
+        return (None if self.position is None else self.position.tolist(), self.velocity.tolist(), self.missed, self.rested)
 
-    def step(self, xs: list | None, ys: list | None, scores: list | None) -> tuple:
-        points = np.array([xs, ys], float).T if xs is not None and len(xs) else np.zeros((0, 2))
-        if self.position is None:
-            if not len(points):
-                return (None, None, self.missed)
-            self.position, self.velocity, self.missed = points[int(np.argmax(scores))], np.zeros(2), 0
-            return (*self.position.tolist(), 0)
-        ahead = self.position + self.velocity
-        gate = min(self.gate, self.jump + 0.75 * np.linalg.norm(self.velocity) + 45 * min(self.missed, 3))
-        far = np.linalg.norm(points - ahead, axis=1)
-        if len(points) and far.min() <= gate:
-            new = points[int(np.argmin(far - 20 * np.array(scores)))]
-            if np.linalg.norm(new - ahead) > gate:
-                new = points[int(np.argmin(far))]
-            self.velocity = 0.65 * self.velocity + 0.35 * (new - self.position)
-            self.position, self.missed = new, 0
-            return (*new.tolist(), 0)
+    def _miss(self) -> tuple:
         self.missed += 1
         if self.missed > self.lost:
-            self.position, self.velocity = None, np.zeros(2)
-            return (None, None, self.missed)
-        return (None, None, self.missed)
+            self.position, self.velocity, self.rested = None, np.zeros(2), 0
+        return (None, None, self.missed, False)
+
+    def step(self, xs: list | None, ys: list | None, scores: list | None, sizes: list | None, oranges: list | None) -> tuple:
+        n = len(xs) if xs is not None else 0
+        if not n:
+            return self._miss()
+        at = np.array([xs, ys], float).T
+        score, size, orange = (np.array([0.0 if v is None else v for v in x], float) for x in (scores, sizes, oranges))
+        quality = score + 0.95 * orange + 0.25 * np.minimum(1.0, size / 80.0)
+        best, switched = int(np.argmax(quality)), False
+        if self.position is None:
+            taken = best
+        else:
+            ahead = np.linalg.norm(at - (self.position + self.velocity), axis=1)
+            away = np.linalg.norm(at - self.position, axis=1)
+            gate = min(self.far, self.jump + 0.75 * float(np.linalg.norm(self.velocity)) + 45.0 * min(self.missed, 3))
+            reachable = (ahead <= gate) & (away <= self.far) & ((away <= self.jump) | (quality >= self.least))
+            if not reachable.any():
+                return self._miss()
+            cost = ahead + 0.35 * away - 70.0 * score - 170.0 * orange - 0.30 * size
+            taken = int(np.argmin(np.where(reachable, cost, np.inf)))
+            better = best != taken and orange[best] >= 0.08 and away[best] <= self.jump and quality[best] >= quality[taken] + self.margin
+            if self.rested >= self.still and better:
+                taken, switched = best, True
+        new, self.missed = at[taken], 0
+        if self.position is None:
+            self.velocity, self.rested = np.zeros(2), 0
+        else:
+            moved = new - self.position
+            self.velocity = 0.65 * self.velocity + 0.35 * moved
+            self.rested = self.rested + 1 if np.linalg.norm(moved) < REST else 0
+        self.position = new
+        return (*new.tolist(), 0, switched)
 
 
 class OwnerFilter:

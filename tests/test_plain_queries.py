@@ -332,3 +332,35 @@ def test_compared_runs(run, spark):
     plain = lambda x: None if x is None or x != x else x
     got = [tuple(map(plain, r)) for r in run("compared_runs").itertuples(index=False, name=None)]
     assert set(got) == want and len(got) == len(want) and {x[4] for x in want} == {"matched", "lost", "new"}
+
+
+def test_tracked_ball(run, spark):
+    got = run("tracked_ball").set_index(["view", "frame"])
+    switched = 0
+    for view, g in tracks.ball_candidates(spark, DATA).toPandas().sort_values("frame").groupby("view"):
+        last, v, missed, rest = None, (0.0, 0.0), 0, 0
+        for r in g.itertuples():
+            balls = list(zip(r.xs, r.ys, r.scores, r.sizes, r.oranges, strict=True))
+            good = lambda b: b[2] + 0.95 * b[4] + 0.25 * min(1, b[3] / 80)
+            pick, swap = max(balls, key=good), False
+            if last is not None:
+                ahead = lambda b: math.hypot(b[0] - last[0] - v[0], b[1] - last[1] - v[1])  # noqa: B023, E731
+                away = lambda b: math.hypot(b[0] - last[0], b[1] - last[1])  # noqa: B023, E731
+                gate = min(520, 240 + 0.75 * math.hypot(*v) + 45 * min(missed, 3))
+                near = [b for b in balls if ahead(b) <= gate and away(b) <= 520 and (away(b) <= 240 or good(b) >= 0.3)]
+                best, pick = pick, min(near, key=lambda b: ahead(b) + 0.35 * away(b) - 70 * b[2] - 170 * b[4] - 0.3 * b[3], default=None)
+                if pick is not None and rest >= 8 and best is not pick and best[4] >= 0.08 and away(best) <= 240 and good(best) >= good(pick) + 0.25:
+                    pick, swap = best, True
+            row = got.loc[(view, r.frame)]
+            if pick is None:
+                missed += 1
+                assert row["missed"] == missed and math.isnan(row["x"])
+                if missed > 12:
+                    last, v, rest = None, (0.0, 0.0), 0
+                continue
+            moved = (pick[0] - last[0], pick[1] - last[1]) if last else None
+            v = (0.65 * v[0] + 0.35 * moved[0], 0.65 * v[1] + 0.35 * moved[1]) if moved else (0.0, 0.0)
+            rest = rest + 1 if moved and math.hypot(*moved) < 4 else 0
+            last, missed, switched = pick[:2], 0, switched + swap
+            assert (row["x"], row["y"], row["missed"], row["switched"]) == (*pick[:2], 0, swap)
+    assert len(got) > 100

@@ -120,9 +120,21 @@ def test_other_filters(spark):
     rows = [(1, f, [float(f), 0.0, 0.0] if f % 3 else None) for f in range(12)]
     got = S.run_batch(spark.createDataFrame(rows, "track long, frame long, joints array<double>"), ["track"], S.JointSmoother).orderBy("frame").collect()
     assert got[0]["joints"] is None and got[3]["held"] and got[3]["joints"] == got[2]["joints"]
-    rows = [("v", f, [10.0 * f, 500.0], [0.0, 500.0], [0.9, 0.8]) if f != 4 else ("v", f, None, None, None) for f in range(8)]
-    got = S.run_batch(spark.createDataFrame(rows, "view string, frame long, xs array<double>, ys array<double>, scores array<double>"), ["view"], S.BallTracker).orderBy("frame").collect()
+    rows = [("v", f, [10.0 * f, 500.0], [0.0, 500.0], [0.9, 0.8], [20.0, 20.0], [0.5, 0.5]) if f != 4 else ("v", f, None, None, None, None, None) for f in range(8)]
+    got = S.run_batch(spark.createDataFrame(rows, "view string, frame long, xs array<double>, ys array<double>, scores array<double>, sizes array<double>, oranges array<double>"), ["view"], S.BallTracker).orderBy("frame").collect()
     assert got[4]["missed"] == 1 and abs(got[7]["x"] - 70) < 1e-9
     rows = [(1, f, "a" if f < 6 else "b") for f in range(12)]
     got = S.run_batch(spark.createDataFrame(rows, "segment long, frame long, owner string"), ["segment"], S.OwnerFilter).orderBy("frame").collect()
     assert got[1]["control"] is None and got[2]["control"] == "a" and got[7]["control"] == "a" and got[8]["control"] == "b"
+
+
+def test_a_resting_ball_gives_way_to_a_better_one():
+    tracker, rest = S.BallTracker(still=3), ([100.0], [100.0], [0.2], [20.0], [0.05])
+    for _ in range(5):
+        assert tracker.step(*rest)[:2] == (100.0, 100.0)
+    both = ([100.0, 160.0], [100.0, 100.0], [0.2, 0.9], [20.0, 20.0], [0.05, 0.07])
+    assert tracker.step(*both)[0] == 100.0  # too little orange
+    assert tracker.step([100.0, 160.0], [100.0, 100.0], [0.2, 0.3], [20.0, 20.0], [0.05, 0.35]) == (160.0, 100.0, 0, True)
+    # A far candidate of poor quality is no jump, one of good quality is.
+    assert tracker.step([500.0], [100.0], [0.1], [1.0], [0.0])[2] == 1
+    assert S.BallTracker(state=([160.0, 100.0], [200.0, 0.0], 0, 0)).step([500.0], [100.0], [0.9], [1.0], [0.0])[0] == 500.0
