@@ -294,8 +294,9 @@ def evaluate_detections(found: DataFrame, truth: DataFrame, keys: Sequence[str],
     by_class = average_precision(precision_recall(scored, [label], positives, "tie_"), [label], "tie_")
     # A class with positives and no detections has an empty curve.
     classes = positives.join(by_class, label, "left").withColumn("ap", F.when(F.col("n_positive") > 0, F.coalesce("ap", F.lit(0.0))))
-    one = F.lit(1).alias("all_")
-    total = positives.agg(F.sum("n_positive").alias("n_positive")).select(one, "n_positive")
-    pooled = average_precision(precision_recall(scored.withColumn("all_", F.lit(1)), ["all_"], total, "tie_"), ["all_"], "tie_")
-    means = classes.agg(F.avg("ap").alias("map")).select(one, "map").join(pooled.withColumnRenamed("ap", "pooled"), "all_", "left")
-    return classes, means.select("map", "pooled")
+    # One key for all rows; a constant would be joined by a nested loop.
+    total = positives.agg(F.sum("n_positive").alias("n_positive")).select(F.signum(F.col("n_positive") + 1.0).alias("all_"), "n_positive")
+    curve = precision_recall(scored.withColumn("all_", F.signum(F.col("place") + 1.0)), ["all_"], total, "tie_")
+    pooled = average_precision(curve, ["all_"], "tie_").select(F.lit(None).cast("double").alias("map"), F.col("ap").alias("pooled"))
+    means = classes.agg(F.avg("ap").alias("map")).withColumn("pooled", F.lit(None).cast("double")).union(pooled)
+    return classes, means.agg(F.max("map").alias("map"), F.max("pooled").alias("pooled"))
