@@ -58,7 +58,8 @@ s as (select *, cast(round_even(greatest(length - 29, 0) / 3.0::double * view, 0
 select sample, view, i, greatest(least(start + i * 4, length - 1), 0) as frame from s, range(0, 8) t(i)""")
 def strided_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     videos = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sample"), (F.col("p_size") * 3).cast("long").alias("length"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("view"))
-    return videos.select("sample", "view", F.posexplode(S.strided_sample(F.col("length"), 8, 4, F.col("view"), 4)).alias("i", "frame"))
+    frames = videos.select("sample", "view", F.posexplode(S.strided_sample(F.col("length"), 8, 4, F.col("view"), 4)).alias("i", "frame"))
+    return frames.withColumn("i", F.col("i").cast("long"))
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
