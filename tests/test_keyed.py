@@ -37,25 +37,28 @@ def play_rows():
     return rows
 
 
-def stream(spark, tmp_path, kind, schema, batches, idle=600.0, pause=0.0):
-    """Rows of a stream fed one batch at a time. Timers keep micro-batches coming, so it is never just idle."""
+def stream(spark, tmp_path, kind, schema, batches, idle=600.0, rows_after=()):
+    """Rows of a stream fed one batch at a time, each when the last one is taken (and gave ``rows_after`` rows in all).
+
+    Timers keep micro-batches coming, so the stream is never just idle.
+    """
     source = str(tmp_path / "in")
     spark.createDataFrame([], schema).write.parquet(source)
     rows = spark.readStream.schema(schema).parquet(source)
-    query = keyed.run_stream(rows, ["segment"], kind, idle).writeStream.format("memory").queryName(f"q{abs(hash(str(tmp_path)))}").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    name = f"q{abs(hash(str(tmp_path)))}"
+    query = keyed.run_stream(rows, ["segment"], kind, idle).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
     taken, total = {}, 0
     try:
-        for batch in batches:
+        for k, batch in enumerate(batches):
             spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
-            total, until = total + len(batch), time.time() + 60
-            while sum(taken.values()) < total:
+            total, until = total + len(batch), time.time() + 120
+            while sum(taken.values()) < total or (rows_after and spark.table(name).count() < rows_after[k]):
                 assert query.isActive and time.time() < until, query.exception()
                 taken |= {p["batchId"]: p["numInputRows"] for p in query.recentProgress}
                 time.sleep(0.1)
-            time.sleep(pause)
     finally:
         query.stop()
-    return sorted(map(str, spark.table(f"q{abs(hash(str(tmp_path)))}").collect()))
+    return sorted(map(str, spark.table(name).collect()))
 
 
 @pytest.mark.parametrize(("kind", "schema", "make"), [(keyed.RosterMachine, ROSTER, people_rows), (keyed.PossessionMachine, PLAY, play_rows)])
@@ -83,7 +86,7 @@ def test_stream_gives_the_rows_of_the_batch(spark, tmp_path, kind, schema, make)
 def test_idle_keys_are_finished_and_forgotten(spark, tmp_path):
     rows = [("s", f, 0, 0.1 * f, 0.0, [1.0, 0.0]) for f in range(10)]
     other = [("t", f, 0, 0.1 * f, 0.0, [0.0, 1.0]) for f in range(3)]
-    got = stream(spark, tmp_path, keyed.RosterMachine, ROSTER, [rows, other, other[2:], rows[:3]], idle=0.2, pause=3.0)
+    got = stream(spark, tmp_path, keyed.RosterMachine, ROSTER, [rows, other, other[2:], rows[:3]], idle=0.2, rows_after=(10, 13, 14, 17))
     first = sorted(map(str, keyed.run_batch(spark.createDataFrame(rows, ROSTER), ["segment"], keyed.RosterMachine).collect()))
     # The last frame of s came out when the timer ran; s then began anew with frames that would else be late, to their end.
     mine = [x for x in got if "segment='s'" in x]
