@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import matching
@@ -76,28 +77,73 @@ def compare_runs(old: DataFrame, new: DataFrame, keys: Sequence[str], most: int
     lost (only before) or new (only after). Findings that more than ``most`` frames part from all others cannot compete,
     so each such stretch is one group.
     """
-    both = old.select(*keys, "at", F.col("before").cast("string").alias("before")).unionByName(new.select(*keys, "at", F.col("after").cast("string").alias("after")), allowMissingColumns=True)
+    old = old.where("before is not null").select(*keys, "at", F.col("before").cast("string").alias("before"))
+    new = new.where("after is not null").select(*keys, "at", F.col("after").cast("string").alias("after"))
+    # The choice depends on the numbers of findings at each time only, so it runs on these; names follow by their order.
+    both = old.select(*keys, "at", F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(new.select(*keys, "at", F.lit(0).alias("o"), F.lit(1).alias("n")))
+    counts = both.where("at is not null").groupBy(*keys, "at").agg(F.sum("o").alias("o"), F.sum("n").alias("n"))
     w = Window.partitionBy(*keys).orderBy("at")
-    parted = both.withColumn("new_", F.when(F.col("at") - F.lag("at").over(w) <= most, 0).otherwise(1))
+    parted = counts.withColumn("new_", F.when(F.col("at") - F.lag("at").over(w) <= most, 0).otherwise(1))
     blocks = parted.withColumn("block_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
-        free = sorted(rows[rows["after"].notna()][["at", "after"]].itertuples(index=False, name=None))
-        out = []
-        for at, name in sorted(rows[rows["before"].notna()][["at", "before"]].itertuples(index=False, name=None)):
-            best = min(free, key=lambda x: abs(x[0] - at), default=None)
-            if best is None or abs(best[0] - at) > most:
-                out.append((name, None, None, "lost"))
-                continue
-            free.remove(best)
-            out.append((name, best[1], abs(best[0] - at), "matched"))
-        out += [(None, name, None, "new") for _, name in free]
-        table = pd.DataFrame(out, columns=["before", "after", "distance", "status"], dtype=object)
+        rows = rows.sort_values("at")
+        taken = pd.DataFrame(_nearest_free(rows["at"].tolist(), rows["o"].tolist(), rows["n"].tolist(), most), columns=["at", "i", "to", "j", "size"])
         for i, k in enumerate(keys):
-            table.insert(i, k, first[k])
-        return table
+            taken.insert(i, k, rows[k].iloc[0])
+        return taken
 
     types = dict(both.dtypes)
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"before string, after string, distance {types['at']}, status string"])
-    return blocks.groupBy(*keys, "block_").applyInPandas(match, schema)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"at {types['at']}, i long, to {types['at']}, j long, size long"])
+    taken = blocks.groupBy(*keys, "block_").applyInPandas(match, schema)
+    one = taken.select(*keys, "at", "i", "to", "j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("u_"))
+    one = one.select(*[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)], F.col("at").alias("from_"), (F.col("i") + F.col("u_")).alias("i_"), F.col("to").alias("to_"), (F.col("j") + F.col("u_")).alias("j_"))
+
+    def numbered(rows: DataFrame, name: str) -> DataFrame:
+        return rows.withColumn("n_", (F.row_number().over(Window.partitionBy(*keys, "at").orderBy(name)) - 1).cast("long"))
+
+    def same(rows: DataFrame, at: str, n: str) -> Column:
+        own = [rows[k].eqNullSafe(F.col(f"k{i}_")) for i, k in enumerate(keys)]
+        return reduce(Column.__and__, own, (rows["at"] == F.col(at)) & (rows["n_"] == F.col(n)))
+
+    first, later = numbered(old, "before"), numbered(new, "after")
+    kept = first.join(one, same(first, "from_", "i_"), "left").select(*keys, "before", F.col("at").alias("a_"), "to_", "j_")
+    matched = kept.where("to_ is not null").select(*[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)], "before", "a_", "to_", "j_")
+    lost = kept.where("to_ is null").select(*keys, "before", F.lit(None).cast("string").alias("after"), F.lit(None).cast(types["at"]).alias("distance"), F.lit("lost").alias("status"))
+    status = F.when(F.col("before").isNull(), "new").otherwise("matched")
+    rest = later.join(matched, same(later, "to_", "j_"), "left").select(*keys, "before", "after", F.abs(F.col("to_") - F.col("a_")).cast(types["at"]).alias("distance"), status.alias("status"))
+    return lost.unionByName(rest)
+
+
+def _nearest_free(at: list, old: list[int], new: list[int], most: float) -> list[tuple]:
+    """(time, from, time taken, from, number): which of ``new`` findings at each time the ``old`` ones take, in order of time.
+
+    Times with none free are skipped by links to the next one on either side, so the work grows with the times.
+    """
+    n, free, used = len(at), list(new), [0] * len(at)
+
+    def find(links: list[int], i: int, empty: Callable[[int], bool]) -> int:
+        path = []
+        while empty(i):
+            path.append(i)
+            i = links[i]
+        for x in path:
+            links[x] = i
+        return i
+
+    # Place i of ``after`` and place i + 1 of ``before`` stand for time i; the ends hold no time.
+    after = [i + 1 for i in range(n)]
+    before = [0, *range(n)]
+    out = []
+    for i in range(n):
+        done = 0
+        while done < old[i]:
+            low = find(before, i + 1, lambda x: x > 0 and not free[x - 1]) - 1
+            high = find(after, i, lambda x: x < n and not free[x])
+            best = low if low >= 0 and (high >= n or at[i] - at[low] <= at[high] - at[i]) else high
+            if best >= n or abs(at[best] - at[i]) > most:
+                break
+            size = min(old[i] - done, free[best])
+            out.append((at[i], done, at[best], used[best], size))
+            done, used[best], free[best] = done + size, used[best] + size, free[best] - size
+    return out
