@@ -89,22 +89,29 @@ def follow_centres(boxes: DataFrame, gate: float = 100.0, look_back: int = 10) -
     A track may take several boxes of one frame; the last one taken is its place.
     """
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        last: dict[int, tuple[int, float, float]] = {}
+        rows = rows.dropna(subset="frame").sort_values(["frame", "det"])
+        frames, dets, xs, ys = (rows[c].to_numpy() for c in ("frame", "det", "x", "y"))
+        cuts = [0, *(np.flatnonzero(np.diff(frames)) + 1).tolist(), len(rows)]
+        last: dict[int, tuple] = {}
         out, fresh = [], 0
-        for frame, now in rows.sort_values(["frame", "det"]).groupby("frame"):
-            live = {t: p for t, p in last.items() if frame - p[0] <= look_back}
-            pairs = sorted((np.hypot(r.x - p[1], r.y - p[2]), r.det, t) for r in now.itertuples() for t, p in live.items())
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True) if len(rows) else ():
+            frame, now, x, y = frames[a], dets[a:b].tolist(), xs[a:b], ys[a:b]
+            # Frames only grow, so a track out of reach stays so.
+            last = {t: p for t, p in last.items() if frame - p[0] <= look_back}
             taken: dict[int, int] = {}
-            for d, det, t in pairs:
-                if d < gate and det not in taken:
-                    taken[det] = t
-            for r in now.itertuples():
-                if r.det not in taken:
-                    taken[r.det], fresh = fresh, fresh + 1
-            for r in now.itertuples():
-                last[taken[r.det]] = (frame, r.x, r.y)
-                out.append((r.segment, frame, r.det, taken[r.det]))
-        return pd.DataFrame(out, columns=["segment", "frame", "det", "track"])
+            if last:
+                tracks, places = list(last), np.array([p[1:] for p in last.values()])
+                far = np.hypot(x[:, None] - places[:, 0], y[:, None] - places[:, 1])
+                i, j = np.nonzero(far < gate)
+                for _, det, t in sorted(zip(far[i, j].tolist(), [now[k] for k in i.tolist()], [tracks[k] for k in j.tolist()], strict=True)):
+                    taken.setdefault(det, t)
+            for det in now:
+                if det not in taken:
+                    taken[det], fresh = fresh, fresh + 1
+            for det, cx, cy in zip(now, x.tolist(), y.tolist(), strict=True):
+                last[taken[det]] = (frame, cx, cy)
+                out.append(taken[det])
+        return pd.DataFrame({"segment": rows["segment"], "frame": frames, "det": dets, "track": np.array(out, np.int64)})
 
     types = dict(boxes.dtypes)
     return boxes.groupBy("segment").applyInPandas(run, f"segment {types['segment']}, frame {types['frame']}, det {types['det']}, track long")

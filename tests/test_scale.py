@@ -28,3 +28,10 @@ def test_many_findings_at_few_times_are_compared(spark, within):
     assert sum(r["count"] for r in got if r["status"] == "matched") == n - 5
     assert {(r["status"], r["count"]) for r in got if r["status"] != "matched"} == {("lost", 5)}
     within(60)
+
+
+def test_boxes_that_never_meet_are_followed(spark, within):
+    boxes = spark.range(40_000).selectExpr("'s' as segment", "id div 2 as frame", "id % 2 as det", "cast(id * 1000 as double) as x", "0.0D as y")
+    got = P.follow_centres(boxes).groupBy().agg({"track": "max", "*": "count"}).collect()[0]
+    assert tuple(got) == (39_999, 40_000) or tuple(got) == (40_000, 39_999)
+    within(25)
