@@ -21,12 +21,15 @@ def match_within(truth: DataFrame, found: DataFrame, expected: DataFrame, tolera
     """For each annotation (truth_id, category, start, ids) the nearest detection (det_id, type, frame, actor).
 
     The first expected type with any detection in reach decides. Matches are not exclusive. With ``actors``, a
-    detection must name one of the annotation's ids.
+    detection must name one of the annotation's ids. Of the detections of one frame (type and actor) only the first by
+    id can be nearest, so an annotation meets no more of them than it has frames in reach, and ids.
     """
-    wanted = truth.join(expected, "category")
-    pairs = matching.within(wanted, found, ["type"], "start", "frame", -tolerance, tolerance)
+    keys = ["type", "actor"] if actors else ["type"]
+    wanted = truth.select("truth_id", "category", "start", "ids").join(expected, "category")
     if actors:
-        pairs = pairs.where(F.array_contains("ids", F.col("actor")))
+        wanted = wanted.withColumn("actor", F.explode(F.array_distinct("ids")))
+    first = found.groupBy(*keys, "frame").agg(F.min("det_id").alias("det_id"))
+    pairs = matching.within(wanted.drop("category", "ids"), first, keys, "start", "frame", -tolerance, tolerance)
     best = pairs.groupBy("truth_id").agg(F.min(F.struct("rank", F.abs(F.col("frame") - F.col("start")).alias("off"), "det_id")).alias("m"))
     return truth.join(best, "truth_id", "left").select(*truth.columns, F.col("m.det_id").alias("det_id"), F.col("m.off").alias("off"))
 

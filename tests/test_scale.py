@@ -35,3 +35,15 @@ def test_boxes_that_never_meet_are_followed(spark, within):
     got = P.follow_centres(boxes).groupBy().agg({"track": "max", "*": "count"}).collect()[0]
     assert tuple(got) == (39_999, 40_000) or tuple(got) == (40_000, 39_999)
     within(25)
+
+
+def test_annotations_meet_detections_of_their_own_ids_only(spark, within):
+    n = 12_000
+    truth = spark.range(n).selectExpr("id as truth_id", "'look' as category", "id % 100 as start", "array(cast(id as string), cast(id as string)) as ids")
+    found = spark.range(n).selectExpr("id as det_id", "'view' as type", "id % 100 + 1 as frame", "cast(id as string) as actor")
+    expected = V.expected_types(spark, {"look": ["view"]})
+    got = V.match_within(truth, found, expected, 500)
+    assert got.where("det_id = truth_id and off = 1").count() == n
+    # Without ids, one detection for each frame in reach is met.
+    assert V.match_within(truth, found, expected, 500, actors=False).where("off = 0").count() == n - n // 100
+    within(30)
