@@ -5,6 +5,7 @@ import time
 import pytest
 
 from framelake.operators import evaluation as V
+from framelake.operators import flights as L
 from framelake.operators import space as P
 
 
@@ -47,3 +48,15 @@ def test_annotations_meet_detections_of_their_own_ids_only(spark, within):
     # Without ids, one detection for each frame in reach is met.
     assert V.match_within(truth, found, expected, 500, actors=False).where("off = 0").count() == n - n // 100
     within(30)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_by_frame_are_not_broadcast(spark):
+    names = ("fps", "x0", "y0", "z0", "vx0", "vy0", "vz0", "rms")
+    found = spark.range(100).selectExpr("id as segment", "id * 10 as start", "id * 10 + 20 as end", *[f"1.0D as {c}" for c in names], "5 as points")
+    places = spark.range(100).selectExpr("id as segment", "id * 10 as frame", "1.0D as x", "1.0D as y", "1.0D as z")
+    named = L.name_flights(found, places.select("segment", "frame"), places)
+    assert "BroadcastExchange" not in plan(named) and named.where("n_bounces = 1 and hand_distance = 0").count() == 100
