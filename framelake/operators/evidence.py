@@ -64,10 +64,14 @@ def blocks(shots: DataFrame, touches: DataFrame, turns: DataFrame, fps: float) -
     ``touches`` has segment, frame, view, track, team. Most views, then nearest to the shot. A made shot rejects it;
     two views of an opponent confirm it.
     """
-    met = matching.within(shots, touches.select("segment", F.col("frame").alias("at"), "view", "track", F.col("team").alias("t_team")), ["segment"], "anchor", "at", -8, round(0.8 * fps) - 1)
-    met = met.where("track <> shooter").join(turns.select("segment", "view", F.col("frame").alias("at")).distinct(), ["segment", "view", "at"], "left_semi")
-    frames = met.groupBy("segment", "event_id", "anchor", "team", "outcome", "at", "track", "t_team").agg(F.count_distinct("view").alias("views"))
-    best = frames.groupBy("segment", "event_id", "team", "outcome").agg(F.max_by(F.struct("at", "track", "t_team", "views"), F.struct("views", -F.abs(F.col("at") - F.col("anchor")), -F.col("at"))).alias("b"))
+    # Only touches with a deflection count, and shots of one player at one frame meet the same ones.
+    near = touches.join(turns.select("segment", "view", "frame").distinct(), ["segment", "view", "frame"], "left_semi")
+    hits = near.groupBy("segment", "frame", "track", "team").agg(F.count_distinct("view").alias("views"))
+    taken = shots.select("segment", "anchor", "shooter").distinct()
+    met = matching.within(taken, hits.select("segment", F.col("frame").alias("at"), "track", F.col("team").alias("t_team"), "views"), ["segment"], "anchor", "at", -8, round(0.8 * fps) - 1)
+    order = F.struct("views", -F.abs(F.col("at") - F.col("anchor")), -F.col("at"))
+    found = met.where("track <> shooter").groupBy("segment", "anchor", "shooter").agg(F.max_by(F.struct("at", "track", "t_team", "views"), order).alias("m"), F.max(order).alias("o"))
+    best = shots.join(found, ["segment", "anchor", "shooter"]).groupBy("segment", "event_id", "team", "outcome").agg(F.max_by("m", "o").alias("b"))
     strong = (F.col("b.views") >= 2) & opposed(F.col("team"), F.col("b.t_team"))
     status = F.when(F.coalesce(F.col("outcome") == "made", F.lit(False)), "rejected").when(strong, "confirmed").otherwise("uncertain")
     return best.select("segment", "event_id", F.col("b.at").alias("frame"), F.col("b.track").alias("blocker"), F.col("b.views").alias("views"), status.alias("status"))

@@ -1,10 +1,13 @@
 """Work that has to grow with the input only: dense inputs within a time that a quadratic way would exceed by far."""
 
+import re
 import time
 
 import pytest
 
+from framelake.operators import cameras as C
 from framelake.operators import evaluation as V
+from framelake.operators import evidence as B
 from framelake.operators import flights as L
 from framelake.operators import space as P
 
@@ -60,3 +63,13 @@ def test_rows_by_frame_are_not_broadcast(spark):
     places = spark.range(100).selectExpr("id as segment", "id * 10 as frame", "1.0D as x", "1.0D as y", "1.0D as z")
     named = L.name_flights(found, places.select("segment", "frame"), places)
     assert "BroadcastExchange" not in plan(named) and named.where("n_bounces = 1 and hand_distance = 0").count() == 100
+
+
+def test_many_shots_of_one_player_meet_each_contact_once(spark, within):
+    shots = spark.range(60_000).selectExpr("'s' as segment", "id as event_id", "100L as anchor", "'p1' as shooter", "0 as team", "cast(null as string) as outcome")
+    touches = spark.range(24 * 9 * 2).selectExpr("'s' as segment", "100 + id % 24 as frame", "if(id % 2 = 0, 'a', 'b') as view", "concat('q', id div 48) as track", "1 as team")
+    got = B.blocks(shots, touches, touches.select("segment", "view", "frame"), 30.0)
+    assert got.where("status is not null").count() == 60_000
+    joins = [n for n in re.findall(r"Join \[[^\]]*\]", plan(got)) if "shooter" in n]
+    assert joins
+    within(60)
