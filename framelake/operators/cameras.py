@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Fixed weights: free of others, size, joints, steadiness, inside the picture; people against ball.
 WEIGHTS = (0.35, 0.25, 0.2, 0.15, 0.05)
 PEOPLE, BALL = 0.8, 0.2
+#: Frames of a track that one window looks at.
+STRETCH = 4096
 
 
 def box_quality(boxes: DataFrame, width: float, height: float) -> DataFrame:
@@ -20,11 +22,16 @@ def box_quality(boxes: DataFrame, width: float, height: float) -> DataFrame:
     area = F.greatest((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")), F.lit(1.0))
     both = F.greatest(F.least("x2", "ox2") - F.greatest("x1", "ox1"), F.lit(0.0)) * F.greatest(F.least("y2", "oy2") - F.greatest("y1", "oy1"), F.lit(0.0))
     covered = boxes.join(other, key).where("track <> o_").groupBy(*key, "track").agg(F.sum(both / area).alias("covered_"))
-    w = Window.partitionBy("segment", "view", "track").orderBy(F.col("frame").cast("long"))
+    # Frames that are three apart lie in one stretch, or in the copies of those next to its ends; a long track is many stretches.
+    frame = F.col("frame").cast("long")
+    w = Window.partitionBy("segment", "view", "track", "stretch_").orderBy(frame)
     ahead, back = w.rangeBetween(3, 3), w.rangeBetween(-3, -3)
+    stretches = F.array_distinct(F.transform(F.array(frame - 3, frame, frame + 3), lambda f: F.floor(f / STRETCH)))
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     rows = boxes.join(covered, [*key, "track"], "left").withColumns({"cx_": cx, "cy_": cy})
+    rows = rows.withColumn("stretch_", F.explode(F.when(frame.isNotNull(), stretches).otherwise(F.array(F.lit(None).cast("long")))))
     rows = rows.withColumns({"ax": F.first("cx_").over(back), "ay": F.first("cy_").over(back), "bx": F.first("cx_").over(ahead), "by": F.first("cy_").over(ahead)})
+    rows = rows.where(F.col("stretch_").eqNullSafe(F.floor(frame / STRETCH)))
     tall = F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0))
     jitter = F.sqrt(F.pow(F.col("bx") - 2 * F.col("cx_") + F.col("ax"), 2) + F.pow(F.col("by") - 2 * F.col("cy_") + F.col("ay"), 2)) / tall
     parts = (

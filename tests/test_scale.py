@@ -73,3 +73,15 @@ def test_many_shots_of_one_player_meet_each_contact_once(spark, within):
     joins = [n for n in re.findall(r"Join \[[^\]]*\]", plan(got)) if "shooter" in n]
     assert joins
     within(60)
+
+
+def test_quality_of_long_tracks(spark):
+    side = "cast(case when id between 4094 and 4097 then 3 * id else 2 * id end as double)"
+    boxes = spark.range(4080, 4110).selectExpr("'s' as segment", "id as frame", "'v' as view", "'1' as track", f"{side} as x1", "1.0D as y1", f"{side} + 10 as x2", "11.0D as y2", "1.0D as joints")
+    df = C.box_quality(boxes, 1e9, 1e9)
+    got = {r["frame"]: r["quality"] for r in df.collect()}
+    x = {f: 3 * f if 4094 <= f <= 4097 else 2 * f for f in range(4080, 4110)}
+    for f in range(4080, 4110):
+        jitter = abs(x[f + 3] - 2 * x[f] + x[f - 3]) / 10 if f - 3 in x and f + 3 in x else 9.0
+        assert abs(got[f] - (0.35 + 0.25 * 10 / (0.4 * 1e9) + 0.2 + 0.15 * max(1 - 5 * jitter, 0) + 0.05)) < 1e-9
+    assert len(got) == 30 and re.search(r"windowspecdefinition\([^)]*stretch_#", plan(df))
