@@ -65,14 +65,16 @@ def test_rows_by_frame_are_not_broadcast(spark):
     assert "BroadcastExchange" not in plan(named) and named.where("n_bounces = 1 and hand_distance = 0").count() == 100
 
 
-def test_many_shots_of_one_player_meet_each_contact_once(spark, within):
+def test_many_shots_of_one_player_meet_each_contact_once(spark, monkeypatch):
+    pairs = []
+    near = B.matching.within
+    monkeypatch.setattr(B.matching, "within", lambda *a: pairs.append(near(*a)) or pairs[-1])
     shots = spark.range(60_000).selectExpr("'s' as segment", "id as event_id", "100L as anchor", "'p1' as shooter", "0 as team", "cast(null as string) as outcome")
     touches = spark.range(24 * 9 * 2).selectExpr("'s' as segment", "100 + id % 24 as frame", "if(id % 2 = 0, 'a', 'b') as view", "concat('q', id div 48) as track", "1 as team")
     got = B.blocks(shots, touches, touches.select("segment", "view", "frame"), 30.0)
     assert got.where("status is not null").count() == 60_000
-    joins = [n for n in re.findall(r"Join \[[^\]]*\]", plan(got)) if "shooter" in n]
-    assert joins
-    within(60)
+    # Two frames and three players make six kinds of shots, nine players touch the ball in 24 frames.
+    assert pairs[0].count() <= 6 * 9 * 24
 
 
 def test_quality_of_long_tracks(spark):
