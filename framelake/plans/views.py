@@ -60,8 +60,10 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, n = F.col("l_quantity"), F.col("l_linenumber").cast("double")
     x, y = F.col("l_partkey") % 10, F.col("l_suppkey") % 10
     box = F.struct(x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + 5 + q / 5).cast("double").alias("x2"), (y + 5 + n * 2).cast("double").alias("y2"))
-    det = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).cast("long")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), det.alias("det"), F.col("l_extendedprice").alias("score"), box.alias("box"), F.col("l_returnflag").alias("label"))
+    det = F.row_number().over(Window.partitionBy("image").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).cast("long")
+    # The image is named first: rows then count as dealt by it.
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "image")
+    return rows.select("image", det.alias("det"), F.col("l_extendedprice").alias("score"), box.alias("box"), F.col("l_returnflag").alias("label"))
 
 
 DETECTIONS = """det as (select l_orderkey as image, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as det, l_extendedprice as score, l_returnflag as label,

@@ -4,11 +4,13 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.operators import cameras as C
 from framelake.operators import evaluation as V
 from framelake.operators import evidence as B
 from framelake.operators import flights as L
+from framelake.operators import masks as M
 from framelake.operators import space as P
 
 
@@ -87,3 +89,18 @@ def test_quality_of_long_tracks(spark):
         jitter = abs(x[f + 3] - 2 * x[f] + x[f - 3]) / 10 if f - 3 in x and f + 3 in x else 9.0
         assert abs(got[f] - (0.35 + 0.25 * 10 / (0.4 * 1e9) + 0.2 + 0.15 * max(1 - 5 * jitter, 0) + 0.05)) < 1e-9
     assert len(got) == 30 and re.search(r"windowspecdefinition\([^)]*stretch_#", plan(df))
+
+
+def test_lines_of_masks_are_never_shuffled(spark):
+    masks = spark.range(200).selectExpr("id div 4 as image", "id % 4 as det", "if(id % 3 = 0, 'a', 'b') as label", "cast(id * 37 % 101 as double) as score", "transform(sequence(id % 3, 9L), y -> struct(y as y, id % 4 as x0, 6L + y % 2 as x1)) as runs").repartition("image")
+    met = M.overlaps(masks, masks, ["image"], F.col("det") < F.col("o_det"))
+    kept = M.suppress_classes(masks, None, ["image"], "label", 0.3, -1.0)
+    # The runs of packed masks leave no exchange but that by image, which they came with.
+    for df in (met, kept):
+        assert not re.search(r"Exchange hashpartitioning\((?!image#\d+L?, \d+\)|image#\d+L?, det)[^)]*\)", plan(df))
+    lines = masks.select("image", "det", F.inline("runs"))
+    want = {tuple(r) for r in M.overlaps(lines, lines, ["image"]).where("det < o_det").select("image", "det", "o_det", "common").collect()}
+    assert {tuple(r) for r in met.select("image", "det", "o_det", "common").collect()} == want and len(want) == 300
+    apart = M.suppress_classes(lines, masks.drop("runs"), ["image"], "label", 0.3, -1.0)
+    columns = ["image", "label", "det", "score", "rank"]
+    assert sorted(map(tuple, kept.select(columns).collect())) == sorted(map(tuple, apart.select(columns).collect()))
