@@ -3,6 +3,7 @@
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from framelake.operators import evidence as B
 from framelake.operators import flights as L
 from framelake.operators import masks as M
 from framelake.operators import space as P
+from framelake.operators import trajectory as J
 
 
 @pytest.fixture
@@ -104,3 +106,15 @@ def test_lines_of_masks_are_never_shuffled(spark):
     apart = M.suppress_classes(lines, masks.drop("runs"), ["image"], "label", 0.3, -1.0)
     columns = ["image", "label", "det", "score", "rank"]
     assert sorted(map(tuple, kept.select(columns).collect())) == sorted(map(tuple, apart.select(columns).collect()))
+
+
+def test_kernels_of_trajectories_cost_little_a_point():
+    rng = np.random.default_rng(5)
+    f = np.arange(6000)
+    t = f % 50 / 30
+    p = np.stack([t * 3, t, 1.5 + 5 * t - 4.905 * t * t], axis=1) + rng.normal(0, 0.08, (6000, 3))
+    begun = time.process_time()
+    good = L.on_throws(f, p, 30.0, L.Settings())
+    place, speed = J.rts(f, p, 30.0)
+    assert time.process_time() - begun < 1e-4 * len(f) and good.shape == (6000,)
+    assert np.isfinite(place).all() and np.isfinite(speed).all()
