@@ -14,6 +14,9 @@ from framelake.operators import flights as L
 from framelake.operators import masks as M
 from framelake.operators import space as P
 from framelake.operators import trajectory as J
+from framelake.plans import tracks
+
+DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
@@ -118,3 +121,30 @@ def test_kernels_of_trajectories_cost_little_a_point():
     place, speed = J.rts(f, p, 30.0)
     assert time.process_time() - begun < 1e-4 * len(f) and good.shape == (6000,)
     assert np.isfinite(place).all() and np.isfinite(speed).all()
+
+
+def test_points_of_throws_are_not_shuffled(spark):
+    # Only the throws are dealt, before each becomes fifty points; bounces then take one pass over whole segments.
+    text = plan(tracks.thrown_bounces(spark, DATA))
+    assert text.count("Exchange") == 1 and "FlatMapGroups" not in text
+
+
+@pytest.mark.parametrize("points", [1, 50, 1 << 16])
+def test_segments_judged_together_are_as_each_alone(spark, monkeypatch, points):
+    monkeypatch.setattr(J, "POINTS", points)
+    rng = np.random.default_rng(7)
+    rows, want = [], set()
+    for segment in range(60):
+        n = int(rng.integers(1, 70))
+        f = np.cumsum(rng.integers(1, 4, n))
+        p = np.cumsum(rng.normal(0, 0.3, (n, 3)), axis=0) + [0, 0, 1]
+        p[rng.random(n) < 0.1] += 3
+        p[:, 2] = np.where(rng.random(n) < 0.3, 0.1, np.abs(p[:, 2]))
+        views = rng.integers(1, 5, n)
+        bad = J.outliers(f, p, views, 30.0)
+        want |= {(segment, at, round(strength, 9)) for at, strength in L.bounces(f[~bad], p[~bad], 30.0)}
+        rows += [(segment, *r) for r in zip(f.tolist(), *p.T.tolist(), views.tolist(), strict=True)]
+    balls = spark.createDataFrame(rows, "segment long, frame long, x double, y double, z double, views long")
+    for found in (J.find_bounces(balls, 30.0, flag=True), J.find_bounces(J.flag_outliers(balls, 30.0), 30.0)):
+        got = [(r["segment"], r["frame"], round(r["strength"], 9)) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want) > 40
