@@ -12,14 +12,22 @@ from pyspark.sql import functions as F
 KINDS = ("shot", "rebound", "steal", "block", "successful_drive", "assist_chain", "pass")
 
 
+#: Boxes of one task.
+BOXES = 200_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(rows: DataFrame, each: int) -> int:
+    """How many tasks have about ``each`` rows of a table, so that tasks grow in number and not in size."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+
+
 def dealt(rows: DataFrame, each: int, *keys: str) -> DataFrame:
-    """``rows`` of a table dealt by ``keys``, about ``each`` to a task, so that tasks grow in number and not in size."""
-    spark = rows.sparkSession
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // each)), *keys)
+    """``rows`` of a table dealt by ``keys``, about ``each`` to a task."""
+    return rows.repartition(tasks(rows, each), *keys)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +76,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = F.struct(x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + 5 + q / 5).cast("double").alias("x2"), (y + 5 + n * 2).cast("double").alias("y2"))
     det = F.row_number().over(Window.partitionBy("image").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).cast("long")
     # The image is named first: rows then count as dealt by it.
-    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "image")
+    rows = dealt(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "image"), BOXES, "image")
     return rows.select("image", det.alias("det"), F.col("l_extendedprice").alias("score"), box.alias("box"), F.col("l_returnflag").alias("label"))
 
 
