@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from string import ascii_lowercase, ascii_uppercase
 
@@ -14,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.sources.scratch import drop_tables, shared_dir, write_table  # noqa: F401  (for the operators)
+
 #: Rows of one Arrow batch sent to Python; texts can be long, so batches stay short.
 ARROW_ROWS = 512
 #: Text bytes handled by the numpy kernels at once.
@@ -29,36 +27,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; an own one only in local mode where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="framelake-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet into the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_tables(*tables: DataFrame) -> None:
-    """Delete tables of ``write_table`` that no later plan reads."""
-    for df in tables:
-        spark = df.sparkSession
-        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for folder in folders:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_key(text: Column) -> Column:
     """A hash of the text (null: 0) that tells rows of one id apart; only ever joined on together with the id."""
     return F.coalesce(F.xxhash64(F.lit("text"), text.cast("string")), F.lit(0)).cast("long")

@@ -10,27 +10,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelake.sources.scratch import write_table
+
+
+#: Rows of a bucket of the score and of a task, as long as there are at most so many buckets of a key.
+BUCKET_ROWS, TASK_ROWS, MOST_BUCKETS = 50_000, 200_000, 1024
+
 
 def _by_score(scored: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
     """Adds ``bucket``: 0 holds the highest scores of a key; equal scores share a bucket of about equal size."""
     steps = F.percentile_approx("score", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10_000)
     edges = scored.groupBy(*keys).agg(F.array_distinct(steps).alias("edges_"))
-    return scored.join(edges, list(keys)).withColumn("bucket", F.size(F.filter("edges_", lambda x: x >= F.col("score")))).drop("edges_")
+    placed = scored.join(F.broadcast(edges), list(keys)).withColumn("below_", F.lit(0))
+    # How many of the rising edges lie below the score, by halving: a column for each step, so that all of it is compiled.
+    for step in (1 << i for i in reversed(range(buckets.bit_length()))):
+        placed = placed.withColumn("below_", F.col("below_") + F.when(F.get("edges_", F.col("below_") + (step - 1)) < F.col("score"), step).otherwise(0))
+    return placed.withColumn("bucket", F.coalesce(F.size("edges_"), F.lit(0)) - F.col("below_")).drop("edges_", "below_")
 
 
-def precision_recall(scored: DataFrame, keys: Sequence[str], positives: DataFrame, tie: str, buckets: int = 64) -> DataFrame:
+def precision_recall(scored: DataFrame, keys: Sequence[str], positives: DataFrame, tie: str, buckets: int | None = None) -> DataFrame:
     """Curve over rows (keys, score, hit 0/1) by falling score; ``positives`` has (keys, n_positive).
 
     Precision and recall after each row; recall is null where a key has no positive. Sums run within buckets
-    of the score and start from the sums of the buckets before, so a class is not one task's work.
+    of the score and start from the sums of the buckets before, so a class is not one task's work. Buckets and tasks
+    grow in number with the rows, which are counted: ``scored`` should be as cheap to read as a table. Keys are classes,
+    so few that a row for each of their buckets can be broadcast.
     """
-    placed = _by_score(scored, keys, buckets)
+    rows = scored.count()
+    placed = _by_score(scored, keys, min(MOST_BUCKETS, buckets or max(64, rows // BUCKET_ROWS)))
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*keys, "bucket").agg(F.sum("hit").alias("h_"), F.count("*").alias("c_"))
     starts = sums.select(*keys, "bucket", F.coalesce(F.sum("h_").over(before), F.lit(0)).alias("h_"), F.coalesce(F.sum("c_").over(before), F.lit(0)).alias("c_"))
+    tasks = max(scored.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
     w = Window.partitionBy(*keys, "bucket").orderBy(F.desc("score"), tie).rowsBetween(Window.unboundedPreceding, 0)
-    curve = placed.join(starts, [*keys, "bucket"]).withColumns({"tp": F.col("h_") + F.sum("hit").over(w), "n": F.col("c_") + F.count("*").over(w)}).drop("h_", "c_")
-    curve = curve.join(positives, list(keys), "left")
+    curve = placed.repartition(tasks, *keys, "bucket").withColumns({"tp": F.sum("hit").over(w), "n": F.count("*").over(w)})
+    curve = curve.join(F.broadcast(starts), [*keys, "bucket"]).withColumns({"tp": F.col("h_") + F.col("tp"), "n": F.col("c_") + F.col("n")}).drop("h_", "c_")
+    curve = curve.join(F.broadcast(positives), list(keys), "left")
     return curve.withColumns({"precision": F.col("tp") / F.col("n"), "recall": F.when(F.col("n_positive") > 0, F.col("tp") / F.col("n_positive"))})
 
 
@@ -42,8 +57,8 @@ def average_precision(curve: DataFrame, keys: Sequence[str], tie: str) -> DataFr
     later = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     best = curve.groupBy(*keys, "bucket").agg(F.max("precision").alias("b_")).select(*keys, "bucket", F.max("b_").over(later).alias("later_"))
     up = Window.partitionBy(*keys, "bucket").orderBy("score", F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
-    joined = curve.join(best, [*keys, "bucket"])
-    envelope = F.greatest(F.max("precision").over(up), F.col("later_"))
+    joined = curve.withColumn("best_", F.max("precision").over(up)).join(F.broadcast(best), [*keys, "bucket"])
+    envelope = F.greatest("best_", "later_")
     area = joined.withColumn("area", envelope * F.col("hit") / F.when(F.col("n_positive") > 0, F.col("n_positive")))
     return area.groupBy(*keys).agg(F.sum("area").alias("ap"))
 
@@ -198,17 +213,17 @@ def ioa(a: Column, b: Column) -> Column:
     return F.when(area(b) > 0, intersection(a, b) / area(b)).otherwise(0.0)
 
 
-def match_boxes(found: DataFrame, truth: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
-    """Detections (keys, det, box, score, place) tested against truth (keys, gt, gt_box).
+def match_boxes(found: DataFrame, truth: DataFrame, keys: Sequence[str], least: float, more: Sequence[str] = ()) -> DataFrame:
+    """Detections (keys, det, box, score, place) tested against truth (keys, gt, gt_box); ``more`` columns of truth come along.
 
     A detection goes to the truth box it overlaps most; of the detections of a truth box with enough overlap
     the first in ``place`` is the hit, the others are false.
     """
     pairs = found.join(truth, list(keys), "left").withColumn("overlap", F.coalesce(iou(F.col("box"), F.col("gt_box")), F.lit(0.0)))
-    best = pairs.groupBy(*keys, "det", "score", "place").agg(F.max_by(F.struct("gt", "overlap"), F.struct("overlap", -F.col("gt"))).alias("m"))
+    best = pairs.groupBy(*keys, "det", "score", "place").agg(F.max_by(F.struct("gt", "overlap", *more), F.struct("overlap", -F.col("gt"))).alias("m"))
     enough = F.col("m.gt").isNotNull() & (F.col("m.overlap") >= least)
     w = Window.partitionBy(*keys, F.when(enough, F.col("m.gt"))).orderBy("place")
-    return best.withColumn("hit", F.when(enough & (F.row_number().over(w) == 1), 1).otherwise(0)).select(*keys, "det", "score", "place", F.col("m.gt").alias("gt"), F.col("m.overlap").alias("overlap"), "hit")
+    return best.withColumn("hit", F.when(enough & (F.row_number().over(w) == 1), 1).otherwise(0)).select(*keys, "det", "score", "place", F.col("m.gt").alias("gt"), F.col("m.overlap").alias("overlap"), "hit", *[f"m.{c}" for c in more])
 
 
 def clip_box(b: Column, x1: float, y1: float, x2: float, y2: float) -> Column:
@@ -286,17 +301,21 @@ def evaluate_detections(found: DataFrame, truth: DataFrame, keys: Sequence[str],
     whole = found.where((F.col("box.x1") < F.col("box.x2")) & (F.col("box.y1") < F.col("box.y2")))
     order = Window.partitionBy(*keys, label).orderBy(F.desc("score"), "det")
     placed = whole.withColumn("place", F.row_number().over(order))
-    met = match_boxes(placed.select(*keys, label, "det", "score", "place", "box"), truth.select(*keys, label, "gt", "gt_box"), [*keys, label], least)
-    hard = truth.where("difficult").select(*keys, label, "gt").distinct().withColumn("hard_", F.lit(True))
-    judged = met.join(hard, [*keys, label, "gt"], "left").where(F.col("hard_").isNull() | (F.col("overlap") < least)).drop("hard_")
-    positives = truth.groupBy(label).agg(F.count_if(~F.col("difficult")).alias("n_positive"))
-    scored = judged.join(positives.where("n_positive > 0"), label, "left_semi").withColumn("tie_", F.xxhash64(*keys, label, "det"))
+    same = F.max("difficult").over(Window.partitionBy(*keys, label, "gt"))
+    held = truth.select(*keys, label, "gt", "gt_box", F.coalesce(same, F.lit(False)).alias("hard_"))
+    met = match_boxes(placed.select(*keys, label, "det", "score", "place", "box"), held, [*keys, label], least, ["hard_"])
+    judged = met.where(F.col("gt").isNull() | ~F.col("hard_") | (F.col("overlap") < least))
+    # One row for each class.
+    positives = write_table(truth.groupBy(label).agg(F.count_if(~F.col("difficult")).alias("n_positive")), "positives")
+    scored = judged.join(F.broadcast(positives.where("n_positive > 0")), label, "left_semi").withColumn("tie_", F.xxhash64(*keys, label, "det"))
+    # Boxes are matched once; both curves read what is left of them several times.
+    scored = write_table(scored.select(label, "score", "hit", "tie_", F.lit(1.0).alias("all_")), "judged")
     by_class = average_precision(precision_recall(scored, [label], positives, "tie_"), [label], "tie_")
     # A class with positives and no detections has an empty curve.
     classes = positives.join(by_class, label, "left").withColumn("ap", F.when(F.col("n_positive") > 0, F.coalesce("ap", F.lit(0.0))))
-    # One key for all rows; a constant would be joined by a nested loop.
+    # One key for all rows.
     total = positives.agg(F.sum("n_positive").alias("n_positive")).select(F.signum(F.col("n_positive") + 1.0).alias("all_"), "n_positive")
-    curve = precision_recall(scored.withColumn("all_", F.signum(F.col("place") + 1.0)), ["all_"], total, "tie_")
+    curve = precision_recall(scored, ["all_"], total, "tie_")
     pooled = average_precision(curve, ["all_"], "tie_").select(F.lit(None).cast("double").alias("map"), F.col("ap").alias("pooled"))
     means = classes.agg(F.avg("ap").alias("map")).withColumn("pooled", F.lit(None).cast("double")).union(pooled)
     return classes, means.agg(F.max("map").alias("map"), F.max("pooled").alias("pooled"))

@@ -12,9 +12,10 @@ from framelake.operators import evaluation as V
 from framelake.operators import evidence as B
 from framelake.operators import flights as L
 from framelake.operators import masks as M
+from framelake.operators import ranking as R
 from framelake.operators import space as P
 from framelake.operators import trajectory as J
-from framelake.plans import tracks
+from framelake.plans import registry, tracks, views, vision
 
 DATA = "/root/testdata/sf0.001"
 
@@ -148,3 +149,32 @@ def test_segments_judged_together_are_as_each_alone(spark, monkeypatch, points):
     for found in (J.find_bounces(balls, 30.0, flag=True), J.find_bounces(J.flag_outliers(balls, 30.0), 30.0)):
         got = [(r["segment"], r["frame"], round(r["strength"], 9)) for r in found.collect()]
         assert set(got) == want and len(got) == len(want) > 40
+
+
+def test_buckets_of_the_score_grow_in_number_with_the_rows(spark, monkeypatch):
+    scored = spark.range(3000).selectExpr("if(id % 3 = 0, 'a', 'b') as label", "id", "cast(id * 37 % 1009 as double) as score", "cast(id % 7 < 3 as int) as hit")
+    positives = scored.groupBy("label").agg(F.sum("hit").alias("n_positive"))
+    few = R.precision_recall(scored, ["label"], positives, "id")
+    want = {(r["label"], r["id"], r["tp"], r["n"]) for r in few.collect()}
+    area = sorted((r["label"], round(r["ap"], 12)) for r in R.average_precision(few, ["label"], "id").collect())
+    monkeypatch.setattr(R, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(R, "TASK_ROWS", 100)
+    curve = R.precision_recall(scored, ["label"], positives, "id")
+    assert {(r["label"], r["id"], r["tp"], r["n"]) for r in curve.collect()} == want and len(want) == 3000
+    assert sorted((r["label"], round(r["ap"], 12)) for r in R.average_precision(curve, ["label"], "id").collect()) == area
+    sizes = curve.groupBy("label", "bucket").count().groupBy().agg({"count": "max", "bucket": "max"}).collect()[0]
+    assert sizes["max(count)"] < 60 and sizes["max(bucket)"] > 250
+    assert re.search(r"Exchange hashpartitioning\(label#\d+, bucket#\d+, 30\)", plan(curve))
+
+
+def test_boxes_are_matched_once_for_both_curves(spark, monkeypatch):
+    matched = []
+    match = R.match_boxes
+    monkeypatch.setattr(R, "match_boxes", lambda *a: matched.append(1) or match(*a))
+    classes, means = vision._evaluated(spark, DATA)
+    assert len(matched) == 1 and not any("lineitem" in f for df in (classes, means) for f in df.inputFiles())
+
+
+def test_boxes_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(views, "BOXES", 500)
+    assert re.search(r"Exchange hashpartitioning\(image#\d+L, 12\)", plan(registry.box_matching(spark, DATA)))
