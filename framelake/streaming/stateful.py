@@ -8,6 +8,7 @@ row that is not later than the last frame of its key is late and dropped.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import inf, nan, sqrt
 
 import numpy as np
 import pandas as pd
@@ -105,49 +106,64 @@ class BallTracker:
     def __init__(self, state: tuple | None = None, far: float = 520.0, jump: float = 240.0, margin: float = 0.25, least: float = 0.30, lost: int = 12, still: int = 8) -> None:
         self.far, self.jump, self.margin, self.least, self.lost, self.still = far, jump, margin, least, lost, still
         position, velocity, self.missed, self.rested = state or (None, [0.0, 0.0], 0, 0)
-        self.position = None if position is None else np.array(position)
-        self.velocity = np.array(velocity, float)
+        self.position = None if position is None else tuple(map(float, position))
+        self.velocity = tuple(map(float, velocity))
 
     def state(self) -> tuple:
-        return (None if self.position is None else self.position.tolist(), self.velocity.tolist(), self.missed, self.rested)
+        return (None if self.position is None else list(self.position), list(self.velocity), self.missed, self.rested)
 
     def _miss(self) -> tuple:
         self.missed += 1
         if self.missed > self.lost:
-            self.position, self.velocity, self.rested = None, np.zeros(2), 0
+            self.position, self.velocity, self.rested = None, (0.0, 0.0), 0
         return (None, None, self.missed, False)
 
     def step(self, xs: list | None, ys: list | None, scores: list | None, sizes: list | None, oranges: list | None) -> tuple:
-        n = len(xs) if xs is not None else 0
-        if not n:
+        if xs is None or not len(xs):
             return self._miss()
-        at = np.array([xs, ys], float).T
-        score, size, orange = (np.array([0.0 if v is None else v for v in x], float) for x in (scores, sizes, oranges))
-        quality = score + 0.95 * orange + 0.25 * np.minimum(1.0, size / 80.0)
-        best, switched = int(np.argmax(quality)), False
+        # A frame has a handful of candidates, for which plain numbers cost far less than arrays.
+        at = [(_number(x, nan), _number(y, nan)) for x, y in zip(xs, ys, strict=True)]
+        looks = [(_number(s, 0.0), _number(w, 0.0), _number(o, 0.0)) for s, w, o in zip(scores, sizes, oranges, strict=True)]
+        quality = [s + 0.95 * o + 0.25 * (1.0 if w / 80.0 > 1.0 else w / 80.0) for s, w, o in looks]
+        best, switched = _first_of_least([-q for q in quality]), False
         if self.position is None:
             taken = best
         else:
-            ahead = np.linalg.norm(at - (self.position + self.velocity), axis=1)
-            away = np.linalg.norm(at - self.position, axis=1)
-            gate = min(self.far, self.jump + 0.75 * float(np.linalg.norm(self.velocity)) + 45.0 * min(self.missed, 3))
-            reachable = (ahead <= gate) & (away <= self.far) & ((away <= self.jump) | (quality >= self.least))
-            if not reachable.any():
+            (px, py), (vx, vy) = self.position, self.velocity
+            gate = min(self.far, self.jump + 0.75 * sqrt(vx * vx + vy * vy) + 45.0 * min(self.missed, 3))
+            nx, ny = px + vx, py + vy
+            aways, costs, reached = [], [], False
+            for (x, y), (s, w, o), q in zip(at, looks, quality, strict=True):
+                ahead, away = sqrt((x - nx) * (x - nx) + (y - ny) * (y - ny)), sqrt((x - px) * (x - px) + (y - py) * (y - py))
+                reachable = ahead <= gate and away <= self.far and (away <= self.jump or q >= self.least)
+                reached |= reachable
+                aways.append(away)
+                costs.append(ahead + 0.35 * away - 70.0 * s - 170.0 * o - 0.30 * w if reachable else inf)
+            if not reached:
                 return self._miss()
-            cost = ahead + 0.35 * away - 70.0 * score - 170.0 * orange - 0.30 * size
-            taken = int(np.argmin(np.where(reachable, cost, np.inf)))
-            better = best != taken and orange[best] >= 0.08 and away[best] <= self.jump and quality[best] >= quality[taken] + self.margin
+            taken = _first_of_least(costs)
+            better = best != taken and looks[best][2] >= 0.08 and aways[best] <= self.jump and quality[best] >= quality[taken] + self.margin
             if self.rested >= self.still and better:
                 taken, switched = best, True
         new, self.missed = at[taken], 0
         if self.position is None:
-            self.velocity, self.rested = np.zeros(2), 0
+            self.velocity, self.rested = (0.0, 0.0), 0
         else:
-            moved = new - self.position
-            self.velocity = 0.65 * self.velocity + 0.35 * moved
-            self.rested = self.rested + 1 if np.linalg.norm(moved) < REST else 0
+            mx, my = new[0] - self.position[0], new[1] - self.position[1]
+            self.velocity = 0.65 * self.velocity[0] + 0.35 * mx, 0.65 * self.velocity[1] + 0.35 * my
+            self.rested = self.rested + 1 if sqrt(mx * mx + my * my) < REST else 0
         self.position = new
-        return (*new.tolist(), 0, switched)
+        return (*new, 0, switched)
+
+
+def _number(v: float | None, missing: float) -> float:
+    return missing if v is None else float(v)
+
+
+def _first_of_least(values: list[float]) -> int:
+    """Place of the first value that is no number, else of the first of the least."""
+    odd = [i for i, v in enumerate(values) if v != v]
+    return odd[0] if odd else values.index(min(values))
 
 
 class OwnerFilter:
@@ -176,7 +192,8 @@ def _plain(v: object) -> object:
 
 
 def _rows(filter_: object, kind: type, rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    out = [(*[r[k] for k in keys], r["frame"], *filter_.step(*[_plain(r[c]) for c in kind.IN])) for r in rows.to_dict("records")]
+    named, cells = zip(*[rows[c].tolist() for c in (*keys, "frame")], strict=True), zip(*[map(_plain, rows[c].tolist()) for c in kind.IN], strict=True)
+    out = [(*own, *filter_.step(*row)) for own, row in zip(named, cells, strict=True)]
     names = [c.split()[0] for c in kind.OUT.split(", ")]
     return pd.DataFrame(out, columns=[*keys, "frame", *names])
 
