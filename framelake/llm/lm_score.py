@@ -134,9 +134,12 @@ class Network:
 
         def step(part: int, at: object, gradient: np.ndarray) -> None:
             gradient /= n
-            squares[part][at] += gradient * gradient
-            self.parts[part][at] -= rate * gradient / np.sqrt(squares[part][at] + 1e-10)
+            size = squares[part][at] + gradient * gradient
+            squares[part][at] = size
+            self.parts[part][at] -= rate * gradient / np.sqrt(size + 1e-10)
 
+        # Sorted as short numbers, which is far faster: tokens of all positions stand in one list.
+        place = (context + np.arange(len(OFFSETS))[:, None] * (TOKENS + 1)).astype(np.uint16)
         for s in range(0, len(target), BATCH):
             c, t = context[:, s : s + BATCH], target[s : s + BATCH]
             n, h = len(t), self._hidden(c)
@@ -145,18 +148,29 @@ class Network:
             back = p @ w1.T
             step(1, ..., h.T @ p)
             step(2, ..., p.sum(axis=0))
-            for k, rows in _by_class(t // SIZE):
-                part = h[rows]
-                p = _softmax(part @ w2[k] + b2[k])
-                p[np.arange(len(rows)), t[rows] % SIZE] -= 1.0
-                back[rows] += p @ w2[k].T
-                step(3, k, part.T @ p)
-                step(4, k, p.sum(axis=0))
+            # Rows in order of their class; one product for each class, all else for all classes at once.
+            order = np.argsort((t // SIZE).astype(np.uint16), kind="stable")
+            classes, begin = np.unique((t // SIZE)[order], return_index=True)
+            ends, part, p = np.append(begin[1:], n), h[order], np.empty((n, SIZE), np.float32)
+            ranges = [(k, slice(a, b)) for k, a, b in zip(classes.tolist(), begin.tolist(), ends.tolist(), strict=True)]
+            for k, rows in ranges:
+                np.matmul(part[rows], w2[k], out=p[rows])
+            p += np.repeat(b2[classes], ends - begin, axis=0)
+            p = _softmax(p)
+            p[np.arange(n), t[order] % SIZE] -= 1.0
+            left, weights = np.empty_like(part), np.empty((len(classes), *w2.shape[1:]), np.float32)
+            for i, (k, rows) in enumerate(ranges):
+                np.matmul(p[rows], w2[k].T, out=left[rows])
+                np.matmul(part[rows].T, p[rows], out=weights[i])
+            back[order] += left
+            step(3, classes, weights)
+            step(4, classes, np.add.reduceat(p, begin, axis=0))
             back *= 1 - h * h
-            for k in range(len(OFFSETS)):
-                order = np.argsort(c[k], kind="stable")
-                begin = np.flatnonzero(np.append(True, np.diff(c[k][order]) != 0))
-                step(0, (k, c[k][order][begin]), np.add.reduceat(back[order], begin, axis=0))
+            at = place[:, s : s + BATCH].ravel()
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            step(0, np.divmod(at[begin].astype(np.int64), TOKENS + 1), np.add.reduceat(back[order % n], begin, axis=0))
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:

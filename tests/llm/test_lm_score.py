@@ -112,3 +112,13 @@ def test_words_beyond_top_have_their_own_shares(spark, monkeypatch):
         tail = {w: sum(n[x] for x in n if x not in ("the", "of") and hashed[x] % lm_score.TAIL == hashed[w] % lm_score.TAIL) for w in words}
         want.append((i % 3, len(words), round(float(sum(each) + sum(np.log(n[w] / tail[w]) for w in words if w not in ("the", "of"))), 2)))
     assert sorted((r["doc_id"], r["n_words"], round(r["log_prob"], 2)) for r in score(frame, model).collect()) == sorted(want)
+
+
+def test_a_step_takes_the_softmax_of_all_classes_at_once(monkeypatch):
+    calls, plain = [], lm_score._softmax
+    monkeypatch.setattr(lm_score, "_softmax", lambda z: calls.append(z.shape) or plain(z))
+    tokens = np.arange(2 * lm_score.BATCH) * 67 % lm_score.TOKENS
+    network = lm_score.Network()
+    before = network.log_probability(around := lm_score.contexts(tokens, np.array([0, len(tokens)])), tokens).mean()
+    network.improve(around, tokens, [np.zeros_like(x) for x in network.parts])
+    assert len(calls) == 4 and network.log_probability(around, tokens).mean() > before
