@@ -6,6 +6,8 @@ bytes outside space and 0x09-0x0D, which in UTF-8 is the same as runs of such co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -19,6 +21,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes whose words are hashed at once, so that what comes in between stays in the cache; powers kept for later calls.
+BLOCK, KEPT = 256 << 10, 512 << 10
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -42,11 +47,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+    kept = _POWERS.get(int(base))
+    if n <= KEPT and kept is not None:
+        return kept[:n]
+    out = np.full(max(n, KEPT), base, np.uint64)
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    if kept is None:
+        _POWERS[int(base)] = out[:KEPT].copy()
+        _POWERS[int(base)].flags.writeable = False
+    return out[:n]
+
+
+def blocks(offsets: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of about ``most`` bytes."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
+        yield a, b
+        a = b
 
 
 def prefix_hash(data: np.ndarray, base: np.uint64 = BASE, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -78,10 +97,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words with A-Z lowered, and the borders of each text."""
-    low = LOWER[data]
-    start, end, border = words(low, offsets)
-    sums, inverse = prefix_hash(low)
-    return span_hash(sums, inverse, start, end), border
+    hashes, border = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for a, b in blocks(offsets):
+        low = LOWER.take(data[offsets[a] : offsets[b]])
+        start, end, own = words(low, offsets[a : b + 1] - offsets[a])
+        hashes.append(span_hash(*prefix_hash(low), start, end))
+        border.append(own[1:] + border[-1][-1])
+    return np.concatenate(hashes), np.concatenate(border)
 
 
 def shingles(hashes: np.ndarray, border: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -40,13 +40,26 @@ OFFSETS = (-2, -1, 1, 2)
 ROUNDS, BATCH, RATE = 2, 1024, 0.1
 #: Words scored at once; text of a training group; models averaged at once.
 PIECE, GROUP_BYTES, FAN = 16_384, 8 << 20, 32
+#: Words counted at once; leading bits of a hash that say where among the known words it would stand.
+COUNTED, LEAD = 2_000_000, 17
+#: Classes of so many rows in a training step, at most, are multiplied in one call.
+FEW = 8
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted() -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+    held, size = [], 0
     for batch in slices(batches, "text"):
-        hashes, _ = K.word_hashes(*K.text_bytes(batch.column("text")))
-        words, n = np.unique(hashes, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+        held.append(K.word_hashes(*K.text_bytes(batch.column("text")))[0])
+        size += len(held[-1])
+        if size >= COUNTED:
+            yield counted()
+            held, size = [], 0
+    if size:
+        yield counted()
 
 
 class Vocabulary:
@@ -60,11 +73,12 @@ class Vocabulary:
         n = np.array([c for _, c in top], np.float64)
         order = np.argsort(ids)
         self.ids = ids[order]
+        self.first = np.searchsorted(self.ids, np.arange(1 << LEAD, dtype=np.uint64) << np.uint64(64 - LEAD)).astype(np.int32)
         cls = np.where(np.arange(len(ids)) < HEAD, np.arange(len(ids)), HEAD + (ids % np.uint64(TAIL)).astype(np.int64))
         unknown_words, unknown = max(words - len(ids), 1), max(total - n.sum(), 1.0)
         mass = np.bincount(cls, n, TOKENS) + (np.where(np.arange(TOKENS) >= HEAD, unknown / TAIL, 0.0) if rest is None else rest)
         self.mass, self.counts = mass, counts
-        self.classes = cls[order].astype(np.int64)
+        self.classes = cls[order].astype(np.int16)
         self.share = np.log(n / mass[cls])[order] if len(ids) else np.zeros(0)
         rare = unknown / unknown_words
         with np.errstate(divide="ignore"):
@@ -73,19 +87,30 @@ class Vocabulary:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"counts": None}
 
+    def place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words stand among those with counts of their own here, and whether they are among these."""
+        if not len(self.ids):
+            return np.zeros(len(hashes), np.int32), np.zeros(len(hashes), bool)
+        last = np.int32(len(self.ids) - 1)
+        at = np.minimum(self.first.take((hashes >> np.uint64(64 - LEAD)).astype(np.int64)), last)
+        have = self.ids.take(at)
+        late = np.flatnonzero((have < hashes) & (at < last))
+        while len(late):
+            at[late] += 1
+            have[late] = self.ids[at[late]]
+            late = late[(have[late] < hashes[late]) & (at[late] < last)]
+        return at, have == hashes
+
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Whether words have counts of their own here."""
-        if not len(self.ids):
-            return np.zeros(len(hashes), bool)
-        return self.ids[np.minimum(np.searchsorted(self.ids, hashes), len(self.ids) - 1)] == hashes
-
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cls = HEAD + (hashes % np.uint64(TAIL)).astype(np.int64)
-        share = self.rare[cls]
-        if len(self.ids):
-            at = np.minimum(np.searchsorted(self.ids, hashes), len(self.ids) - 1)
-            known = self.ids[at] == hashes
-            cls, share = np.where(known, self.classes[at], cls), np.where(known, self.share[at], share)
+        return self.place(hashes)[1]
+
+    def look_up(self, hashes: np.ndarray, place: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        at, known = place or self.place(hashes)
+        cls, share = (x.take(at) if len(x) else np.zeros(len(at), x.dtype) for x in (self.classes, self.share))
+        new = np.flatnonzero(~known)
+        cls[new] = HEAD + (hashes[new] % np.uint64(TAIL)).astype(np.int16)
+        share[new] = self.rare[cls[new]]
         return cls, share
 
 
@@ -113,95 +138,160 @@ class Network:
             at += n
         return out
 
-    def _hidden(self, context: np.ndarray) -> np.ndarray:
-        e = self.parts[0]
-        return np.tanh(sum(e[k][context[k]] for k in range(len(OFFSETS))))
+    def _joined(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Embeddings of all positions in one list; weights of the classes and of their tokens, each with its biases as last row."""
+        e, w1, b1, w2, b2 = parts
+        return e.reshape(-1, HIDDEN), np.concatenate([w1, b1[None]]), np.concatenate([w2, b2[:, None]], axis=1)
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, w1, b1, w2, b2 = self.parts
+        e, w1, w2 = self._joined(self.parts)
+        place = context + STEPS
         out = np.empty(len(target), np.float32)
         for s in range(0, len(target), PIECE):
-            h, t = self._hidden(context[:, s : s + PIECE]), target[s : s + PIECE]
-            one = _log_softmax(h @ w1 + b1)[np.arange(len(t)), t // SIZE]
-            for k, rows in _by_class(t // SIZE):
-                one[rows] += _log_softmax(h[rows] @ w2[k] + b2[k])[np.arange(len(rows)), t[rows] % SIZE]
-            out[s : s + PIECE] = one
+            level, token = np.divmod(target[s : s + PIECE].astype(np.int16), np.int16(SIZE))
+            order = np.argsort(level, kind="stable")
+            level, token = level[order], token[order]
+            h = _hidden(e, place[:, s : s + PIECE][:, order])[0][: len(level)]
+            one = _log_share(h @ w1, level)
+            ends = np.cumsum(np.bincount(level, minlength=LEVELS)).tolist()
+            z = np.empty((len(h), SIZE), np.float32)
+            for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+                if a < b:
+                    np.dot(h[a:b], w2[k], out=z[a:b])
+            out[s + order] = one + _log_share(z, token)
         return out
 
     def improve(self, context: np.ndarray, target: np.ndarray, squares: list[np.ndarray], rate: float = RATE) -> None:
         """One pass of gradient steps, each scaled by the ``squares`` of the gradients so far, which grow."""
-        e, w1, b1, w2, b2 = self.parts
-
-        def step(part: int, at: object, gradient: np.ndarray) -> None:
-            gradient /= n
-            size = squares[part][at] + gradient * gradient
-            squares[part][at] = size
-            self.parts[part][at] -= rate * gradient / np.sqrt(size + 1e-10)
-
-        # Sorted as short numbers, which is far faster: tokens of all positions stand in one list.
-        place = (context + np.arange(len(OFFSETS))[:, None] * (TOKENS + 1)).astype(np.uint16)
-        for s in range(0, len(target), BATCH):
-            c, t = context[:, s : s + BATCH], target[s : s + BATCH]
-            n, h = len(t), self._hidden(c)
-            p = _softmax(h @ w1 + b1)
-            p[np.arange(n), t // SIZE] -= 1.0
-            back = p @ w1.T
-            step(1, ..., h.T @ p)
-            step(2, ..., p.sum(axis=0))
-            # Rows in order of their class; one product for each class, all else for all classes at once.
-            order = np.argsort((t // SIZE).astype(np.uint16), kind="stable")
-            classes, begin = np.unique((t // SIZE)[order], return_index=True)
-            ends, part, p = np.append(begin[1:], n), h[order], np.empty((n, SIZE), np.float32)
-            ranges = [(k, slice(a, b)) for k, a, b in zip(classes.tolist(), begin.tolist(), ends.tolist(), strict=True)]
-            for k, rows in ranges:
-                np.matmul(part[rows], w2[k], out=p[rows])
-            p += np.repeat(b2[classes], ends - begin, axis=0)
-            p = _softmax(p)
-            p[np.arange(n), t[order] % SIZE] -= 1.0
-            left, weights = np.empty_like(part), np.empty((len(classes), *w2.shape[1:]), np.float32)
-            for i, (k, rows) in enumerate(ranges):
-                np.matmul(p[rows], w2[k].T, out=left[rows])
-                np.matmul(part[rows].T, p[rows], out=weights[i])
-            back[order] += left
-            step(3, classes, weights)
-            step(4, classes, np.add.reduceat(p, begin, axis=0))
-            back *= 1 - h * h
-            at = place[:, s : s + BATCH].ravel()
-            order = np.argsort(at, kind="stable")
-            at = at[order]
-            begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            step(0, np.divmod(at[begin].astype(np.int64), TOKENS + 1), np.add.reduceat(back[order % n], begin, axis=0))
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        e, w1, w2 = self._joined(self.parts)
+        size_e, size1, size2 = self._joined(squares)
+        # Rows of embeddings as one value each, which are written faster.
+        whole = [x.view(f"V{x.itemsize * HIDDEN}")[:, 0] for x in (e, size_e)]
+        # Rows of a step stand in order of their class. Sorted as short numbers, which is far faster.
+        level, token = np.divmod(target.astype(np.int16), np.int16(SIZE))
+        turn = np.arange(len(target)) // BATCH
+        order = np.argsort((turn % 512 * LEVELS + level).astype(np.uint16), kind="stable")
+        if len(turn) and turn[-1] >= 512:
+            order = order[np.argsort(turn[order], kind="stable")]
+        level, token, place = level[order], token[order], (context + STEPS).astype(np.uint16)[:, order]
+        counts = np.bincount(turn * LEVELS + level, minlength=LEVELS * (len(target) // BATCH + 1)).reshape(-1, LEVELS)
+        ends = counts.cumsum(axis=1)
+        begins, nth = ends - counts, np.arange(FEW)
+        some, held = np.empty((LEVELS, HIDDEN + 1, SIZE), np.float32), np.empty((LEVELS, HIDDEN + 1, SIZE), np.float32)
+        p, q = np.empty((BATCH, SIZE), np.float32), np.empty((BATCH + 1, SIZE), np.float32)
+        left = np.empty((BATCH + 1, HIDDEN), np.float32)
+
+        def descend(weights: np.ndarray, size: np.ndarray, gradient: np.ndarray, held: np.ndarray) -> None:
+            np.multiply(gradient, gradient, out=held)
+            np.add(size, held, out=size)
+            np.add(size, np.float32(1e-10), out=held)
+            np.sqrt(held, out=held)
+            np.divide(gradient, held, out=held)
+            np.multiply(held, np.float32(rate), out=held)
+            np.subtract(weights, held, out=weights)
+
+        for i, s in enumerate(range(0, len(target), BATCH)):
+            at = place[:, s : s + BATCH]
+            n = at.shape[1]
+            part, line = np.float32(1 / n), np.arange(n) * SIZE
+            h, back = _hidden(e, at)
+            scaled = h * part
+            one = _softmax(np.matmul(h[:n], w1, out=p[:n]))
+            one.reshape(-1)[line + level[s : s + BATCH]] -= 1.0
+            slope = one @ w1[:HIDDEN].T
+            # One product for each class, for those of FEW rows at most in one call; all else for all classes at once.
+            # Rows that fill up are row n, a row of zeros. Classes without rows keep what they have.
+            few = np.flatnonzero((counts[i] > 0) & (counts[i] <= FEW))
+            rows = np.where(nth < counts[i, few, None], begins[i, few, None] + nth, n).ravel()
+            many = [(k, slice(begins[i, k], ends[i, k])) for k in np.flatnonzero(counts[i] > FEW).tolist()]
+            short, weights = h.take(rows, axis=0).reshape(len(few), FEW, HIDDEN + 1), w2.take(few, axis=0)
+            for k, r in many:
+                np.dot(h[r], w2[k], out=q[r])
+            q[rows] = (short @ weights).reshape(len(rows), SIZE)
+            two = _softmax(q[:n])
+            two.reshape(-1)[line + token[s : s + BATCH]] -= 1.0
+            some[counts[i] == 0] = 0.0
+            for k, r in many:
+                np.dot(q[r], w2[k, :HIDDEN].T, out=left[r])
+                np.dot(scaled[r].T, q[r], out=some[k])
+            back_short = q.take(rows, axis=0).reshape(len(few), FEW, SIZE)
+            left[rows] = (back_short @ weights[:, :HIDDEN].transpose(0, 2, 1)).reshape(len(rows), HIDDEN)
+            some[few] = (short * part).transpose(0, 2, 1) @ back_short
+            gradient = scaled[:n].T @ one
+            descend(w1, size1, gradient, np.empty_like(gradient))
+            descend(w2, size2, some, held)
+            slope += left[:n]
+            back *= back
+            np.subtract(1.0, back, out=back)
+            back *= slope
+            back *= part
+            # Positions have tokens of their own, so each is sorted by itself.
+            order = np.argsort(at, axis=1, kind="stable").ravel()
+            at = np.sort(at, axis=1, kind="stable").ravel()
+            new = np.ones(len(at), bool)
+            np.not_equal(at[1:], at[:-1], out=new[1:])
+            new = np.flatnonzero(new)
+            # Summed in pairs of neighbouring columns, which takes half the steps.
+            gradient = np.add.reduceat(back.take(order, axis=0).view(np.complex64), new, axis=0).view(np.float32)
+            at = at[new].astype(np.int64)
+            own = [x.take(at, axis=0) for x in (e, size_e)]
+            descend(*own, gradient, np.empty_like(gradient))
+            for rows, new in zip(whole, own, strict=True):
+                np.put(rows, at, new.view(rows.dtype)[:, 0], mode="clip")
+        for parts, one, two in ((self.parts, w1, w2), (squares, size1, size2)):
+            for part, new in zip(parts[1:], (one[:HIDDEN], one[HIDDEN], two[:, :HIDDEN], two[:, HIDDEN]), strict=True):
+                part[...] = new
+
+
+#: Where the embeddings of each position begin in the list of all; sums of rows are products with ones.
+STEPS, ONES = np.arange(len(OFFSETS), dtype=np.int16)[:, None] * np.int16(TOKENS + 1), np.ones(SIZE, np.float32)
+
+
+def _hidden(e: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hidden layer with 1 for the biases and a row of zeros at the end, and by itself."""
+    n = place.shape[1]
+    each = e.take(place.ravel(), axis=0, mode="clip").reshape(len(OFFSETS), n, HIDDEN)
+    own = each[0] + each[1]
+    for one in each[2:]:
+        own += one
+    np.tanh(own, out=own)
+    out = np.ones((n + 1, HIDDEN + 1), np.float32)
+    out[:n, :HIDDEN] = own
+    out[n] = 0.0
+    return out, own
+
+
+def _shift(z: np.ndarray) -> None:
+    """Lower rows whose powers might leave the range of floats."""
+    if z.size and (z.max() > 60 or z.min() < -60):
+        z -= z.max(axis=1, keepdims=True)
+
+
+def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of each row, at one column of each."""
+    _shift(z)
+    own = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    return own - np.log(z @ ONES)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+    _shift(z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z *= (1 / (z @ ONES))[:, None]
     return z
 
 
-def _by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(classes, kind="stable")
-    begin = np.flatnonzero(np.append(True, np.diff(classes[order]) != 0)) if len(order) else np.zeros(0, np.int64)
-    for a, b in zip(begin, np.append(begin[1:], len(order)), strict=True):
-        yield int(classes[order[a]]), order[a:b]
-
-
 def contexts(cls: np.ndarray, border: np.ndarray) -> np.ndarray:
     """Tokens at OFFSETS around every word; TOKENS stands beyond the ends of its text."""
     n = len(cls)
-    doc = np.repeat(np.arange(len(border) - 1), np.diff(border))
-    out = np.full((len(OFFSETS), n), TOKENS, np.int64)
+    doc = np.repeat(np.arange(len(border) - 1, dtype=np.int32), np.diff(border))
+    out = np.full((len(OFFSETS), n), TOKENS, cls.dtype)
     for k, o in enumerate(OFFSETS):
         lo, hi = max(0, -o), min(n, n - o)
         if hi > lo:
             same = doc[lo:hi] == doc[lo + o : hi + o]
-            out[k, lo:hi] = np.where(same, cls[lo + o : hi + o], TOKENS)
+            np.copyto(out[k, lo:hi], cls[lo + o : hi + o], where=same)
     return out
 
 
@@ -280,8 +370,9 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network] | None = None) -> D
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
             hashes, border = K.word_hashes(*K.text_bytes(batch.column("text")))
-            tokens, share = vocabulary.look_up(hashes)
-            rare = ~vocabulary.known(hashes) if apart else np.zeros(len(hashes), bool)
+            place = vocabulary.place(hashes)
+            tokens, share = vocabulary.look_up(hashes, place)
+            rare = ~place[1] if apart else np.zeros(len(hashes), bool)
             each = network.log_probability(contexts(tokens, border), tokens) + np.where(rare, 0.0, share)
             sums = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
             left = np.concatenate([[0], np.cumsum(rare)])[border].astype(np.int32)
@@ -295,9 +386,9 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network] | None = None) -> D
     if apart:
         sizes = F.array(*[F.lit(float(m)) for m in mass[HEAD:]])
         share = F.log(F.col("n") / F.element_at(sizes, (F.pmod("word", F.lit(TAIL)) + 1).cast("int")))
-        held = scored.select("row", F.explode("words").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-        # Words that no document of the model has count once, as rarest.
-        shares = held.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(1))).groupBy(F.col("row").alias("r")).agg(F.sum(F.col("times") * share).alias("rare"))
+        held = scored.select(F.col("row").alias("r"), F.explode("words").alias("word"))
+        # Words that no document of the model has count once, as rarest. No word here is frequent, so they meet one by one.
+        shares = held.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(1))).groupBy("r").agg(F.sum(share).alias("rare"))
         scored = scored.join(shares, F.col("row") == F.col("r"), "left")
         total = total + F.coalesce("rare", F.lit(0.0))
     return scored.select("doc_id", "n_words", total.alias("log_prob"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_prob"))

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from corpus_text import prose
 
 from framelake.llm import kernels as K
@@ -123,3 +124,53 @@ def test_a_step_takes_the_softmax_of_all_classes_at_once(monkeypatch):
     before = network.log_probability(around := lm_score.contexts(tokens, np.array([0, len(tokens)])), tokens).mean()
     network.improve(around, tokens, [np.zeros_like(x) for x in network.parts])
     assert len(calls) == 4 and network.log_probability(around, tokens).mean() > before
+
+
+def test_a_step_follows_the_gradients_of_the_formula_whatever_is_multiplied_at_once(monkeypatch):
+    r = np.random.default_rng(3)
+    tokens = np.minimum(r.zipf(1.2, lm_score.BATCH + 300) - 1, TOKENS - 1)
+    around = contexts(tokens, np.array([0, 40, 40, len(tokens)]))
+    trained = []
+    for few in (0, 1, 8, 2000):
+        monkeypatch.setattr(lm_score, "FEW", few)
+        network = Network()
+        network.improve(around, tokens, squares := [np.zeros_like(x) for x in network.parts])
+        trained.append(network.flat())
+        assert all((x >= 0).all() and x.any() for x in squares)
+    assert all(np.abs(trained[0] - t).max() < 1e-3 for t in trained[1:])
+    # One step by plain sums over the rows.
+    network, n = Network(), 300
+    e, w1, b1, w2, b2 = (x.astype(np.float64) for x in network.parts)
+    want = [np.zeros_like(x) for x in (e, w1, b1, w2, b2)]
+    soft = lambda z: np.exp(z) / np.exp(z).sum()
+    for t, c in zip(tokens[:n], around[:, :n].T, strict=True):
+        level, h = t // lm_score.SIZE, np.tanh(sum(e[k, c[k]] for k in range(4)))
+        p, q = soft(h @ w1 + b1), soft(h @ w2[level] + b2[level])
+        p[level] -= 1
+        q[t % lm_score.SIZE] -= 1
+        for part, at, g in ((1, ..., np.outer(h, p)), (2, ..., p), (3, level, np.outer(h, q)), (4, level, q)):
+            want[part][at] += g / n
+        for k in range(4):
+            want[0][k, c[k]] += (w1 @ p + w2[level] @ q) * (1 - h * h) / n
+    network.improve(around[:, :n], tokens[:n], squares := [np.zeros_like(x) for x in network.parts])
+    for size, g in zip(squares, want, strict=True):
+        assert np.allclose(np.sqrt(size), np.abs(g), atol=1e-6)
+
+
+def test_words_are_found_and_counted_many_at_once(monkeypatch):
+    r = np.random.default_rng(5)
+    ids = np.unique(np.concatenate([r.integers(0, 2**64, 500, dtype=np.uint64), np.arange(2**50, 2**50 + 90, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)]))
+    known = ids[::2]
+    vocabulary = Vocabulary([(int(w), 3) for w in known.view(np.int64)], len(ids), 3 * len(ids))
+    assert (vocabulary.known(ids) == np.isin(ids, known)).all() and (vocabulary.ids[vocabulary.place(known)[0]] == known).all()
+    # Many short batches make one batch of counts.
+    texts = [f"a b {i % 3} Word{i}" for i in range(300)]
+    batches = [pa.record_batch({"text": pa.array(texts[i : i + 10])}) for i in range(0, 300, 10)]
+    (got,) = lm_score._counts(iter(batches))
+    assert sum(got.column("n").to_pylist()) == 1200 and got.num_rows == 305
+    # Words are the same however the texts are blocked.
+    data, offsets = K.text_bytes(pa.array([*texts, "", "  ", None, "x" * 900]))
+    whole = K.word_hashes(data, offsets)
+    blocks = K.blocks
+    monkeypatch.setattr(K, "blocks", lambda offsets: blocks(offsets, 100))
+    assert all((a == b).all() for a, b in zip(whole, K.word_hashes(data, offsets), strict=True))
