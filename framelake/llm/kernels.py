@@ -46,6 +46,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mix_own(x: np.ndarray) -> None:
+    """As ``mix``, in place."""
+    for shift, factor in ((30, M2), (27, M3), (31, None)):
+        x ^= x >> np.uint64(shift)
+        if factor is not None:
+            x *= factor
+
+
 def powers(n: int, base: np.uint64) -> np.ndarray:
     kept = _POWERS.get(int(base))
     if n <= KEPT and kept is not None:
@@ -70,9 +78,10 @@ def blocks(offsets: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
 
 def prefix_hash(data: np.ndarray, base: np.uint64 = BASE, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of a polynomial hash, and the inverse powers that shift a span to its start."""
-    code = BYTE_CODE[data] if not salt else mix(BYTE_CODE + np.uint64(salt))[data]
+    code = (BYTE_CODE if not salt else mix(BYTE_CODE + np.uint64(salt))).take(data)
+    code *= powers(len(data), base)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(code * powers(len(data), base), out=sums[1:])
+    np.cumsum(code, out=sums[1:])
     return sums, powers(len(data) + 1, np.uint64(pow(int(base), -1, 2**64)))
 
 

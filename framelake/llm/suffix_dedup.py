@@ -44,38 +44,53 @@ CUT, ANCHOR_GROUP, PIECE_GROUP, HOT = 256, 16_000_000, 40_000, 200_000
 BUCKET = 512 << 20
 #: Anchors held by a task before they are packed; windows of one string at most.
 FLUSH, RUN = 1_500_000, 64
+#: Positions hashed at once, so that what comes in between stays in the cache.
+CHUNK = 1 << 15
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes at every position; 0-padded beyond the end."""
-    padded = np.zeros(len(data) + GRAM, np.uint64)
-    padded[: len(data)] = data
-    for width in (1, 2, 4):
-        padded[:-width] |= padded[width:] << np.uint64(8 * width)
-    head, middle, tail = (padded[at : at + len(data)] for at in (0, 8, GRAM - 8))
-    return K.mix(head * K.M1 + K.mix(middle * K.M3 + K.mix(tail + K.BASE)))
+    raw, out = np.zeros(len(data) + GRAM, np.uint8), np.empty(len(data), np.uint64)
+    raw[: len(data)] = data
+    for a in range(0, len(data), CHUNK):
+        x = out[a : a + CHUNK]
+        eight = _eights(raw[a : a + len(x) + GRAM])
+        np.add(eight[GRAM - 8 : GRAM - 8 + len(x)], K.BASE, out=x)
+        K.mix_own(x)
+        x += eight[8 : 8 + len(x)] * K.M3
+        K.mix_own(x)
+        x += eight[: len(x)] * K.M1
+        K.mix_own(x)
+    return out
+
+
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes at every position but the last seven, as one number."""
+    return np.ndarray((len(raw) - 7,), "<u8", raw.data, strides=(1,)).astype(np.uint64)
 
 
 def _window_minima(grams: np.ndarray) -> np.ndarray:
     """Least of the LENGTH - GRAM + 1 grams from every position on (shorter at the end)."""
-    span, width = LENGTH - GRAM + 1, 1
-    least = grams.copy()
-    while 2 * width <= span:
-        least[: -width or None] = np.minimum(least[: -width or None], least[width:]) if len(least) > width else least
-        width *= 2
-    if len(least) > span - width:
-        rest = span - width
-        least[: len(least) - rest] = np.minimum(least[: len(least) - rest], least[rest:])
-    return least
+    span, out = LENGTH - GRAM + 1, np.empty_like(grams)
+    for a in range(0, len(grams), CHUNK):
+        need = min(CHUNK, len(grams) - a) + span - 1
+        least, width = grams[a : a + need], 1
+        if len(least) < need:
+            least = np.append(least, np.full(need - len(least), np.iinfo(np.uint64).max, np.uint64))
+        while width < span:
+            step = min(width, span - width)
+            least, width = np.minimum(least[:-step], least[step:]), width + step
+        out[a : a + CHUNK] = least
+    return out
 
 
 def _starts(offsets: np.ndarray) -> np.ndarray:
     """Where a window of LENGTH bytes lies within one text."""
-    inside = np.zeros(offsets[-1] + 1, np.int32)
-    has = np.diff(offsets) >= LENGTH
-    np.add.at(inside, offsets[:-1][has], 1)
-    np.add.at(inside, offsets[1:][has] - LENGTH + 1, -1)
-    return np.cumsum(inside[:-1]) > 0
+    out = np.ones(offsets[-1], bool)
+    has = np.diff(offsets) > 0
+    late = offsets[1:][has, None] - np.arange(1, LENGTH)
+    out[np.maximum(late, offsets[:-1][has, None]).ravel()] = False
+    return out
 
 
 def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -98,16 +113,17 @@ def _own(batch: pa.RecordBatch, name: str) -> tuple[pa.Array, np.ndarray]:
 def _settled(batch: pa.RecordBatch, offsets: np.ndarray) -> np.ndarray:
     """Windows that step 1 has found in an earlier document."""
     flat, rows = _own(batch, "runs")
+    if not len(flat):
+        return np.zeros(offsets[-1], bool)
     change = np.zeros(offsets[-1] + 1, np.int32)
-    if len(flat):
-        at = offsets[rows] + flat.field("at").to_numpy(zero_copy_only=False)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + flat.field("n").to_numpy(zero_copy_only=False), -1)
-    return np.cumsum(change[:-1]) > 0
+    at = offsets[rows] + flat.field("at").to_numpy(zero_copy_only=False)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + flat.field("n").to_numpy(zero_copy_only=False), -1)
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", K.BLOCK):
         data, offsets = K.text_bytes(batch.column("text"))
         has = np.flatnonzero(np.diff(offsets) >= LENGTH)
         if not len(has):
@@ -156,7 +172,7 @@ def _pack(anchor: np.ndarray, doc: np.ndarray, groups: int, turn: int) -> pa.Rec
 def _anchors(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs, count, turn = [], [], 0, 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", K.BLOCK):
             data, offsets = K.text_bytes(batch.column("text"))
             open_ = _starts(offsets) & ~_settled(batch, offsets) if len(data) else np.zeros(0, bool)
             if not open_.any():
@@ -205,29 +221,31 @@ def _meet(table: pa.Table) -> pa.Table:
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Strings of adjacent open windows that share an anchor of two documents."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", K.BLOCK):
         data, offsets = K.text_bytes(batch.column("text"))
         open_ = _starts(offsets) & ~_settled(batch, offsets) if len(data) else np.zeros(0, bool)
         if not open_.any():
             continue
         least = _window_minima(_grams(data))
         at = np.flatnonzero(open_)
-        doc = np.searchsorted(offsets, at, side="right") - 1
+        # Windows one after another that share an anchor, and so a text: windows of two texts are LENGTH - 1 bytes apart.
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (least[at[1:]] != least[at[:-1]])
+        begin = np.flatnonzero(new)
+        first, size = at[begin], np.diff(np.append(begin, len(at)))
+        doc = np.searchsorted(offsets, first, side="right") - 1
         flat, rows = _flat(batch.column("anchors"))
         wanted = np.unique(K.mix(flat.to_numpy(zero_copy_only=False).astype(np.uint64) + rows.astype(np.uint64) * K.M1))
-        have = K.mix((least[at] >> np.uint64(24)) + doc.astype(np.uint64) * K.M1)
+        have = K.mix((least[first] >> np.uint64(24)) + doc.astype(np.uint64) * K.M1)
         hit = wanted[np.minimum(np.searchsorted(wanted, have), len(wanted) - 1)] == have if len(wanted) else np.zeros(len(have), bool)
-        at, doc = at[hit], doc[hit]
-        if not len(at):
+        first, size, doc = first[hit], size[hit], doc[hit]
+        if not len(first):
             continue
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (least[at[1:]] != least[at[:-1]]) | (doc[1:] != doc[:-1])
-        begin = np.flatnonzero(new)
-        nth = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-        begin = np.flatnonzero(new | (nth % RUN == 0))
-        size = np.diff(np.append(begin, len(at)))
-        start = at[begin]
-        end = start + size + LENGTH - 1
+        # Strings of RUN windows at most.
+        many = -(-size // RUN)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        start, doc = np.repeat(first, many) + nth * RUN, np.repeat(doc, many)
+        end = start + np.minimum(np.repeat(size, many) - nth * RUN, RUN) + LENGTH - 1
         raw = data.tobytes()
         hashes = [K.span_hash(*K.prefix_hash(data, base, salt), start, end).view(np.int64) for base, salt in ((K.BASE, 0), (K.M1, 77))]
         yield pa.RecordBatch.from_arrays(
@@ -235,8 +253,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(least[start].view(np.int64)),
                 *map(pa.array, hashes),
                 pa.array([raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()),
-                *(batch.column(c).take(pa.array(doc[begin])) for c in ("doc_id", "key")),
-                pa.array((start - offsets[doc[begin]]).astype(np.int32)),
+                *(batch.column(c).take(pa.array(doc)) for c in ("doc_id", "key")),
+                pa.array((start - offsets[doc]).astype(np.int32)),
             ],
             names=["anchor", "h1", "h2", "piece", "doc_id", "key", "at"],
         )
@@ -254,12 +272,10 @@ def refine(data: np.ndarray, end: np.ndarray, length: int = LENGTH) -> np.ndarra
     ``length`` is at least 8. Buckets of 8-grams are refined by the bucket numbers at later offsets.
     """
     n = len(data)
-    padded = np.zeros(n + 8, np.uint64)
-    padded[:n] = data
-    for width in (1, 2, 4):
-        padded[:-width] |= padded[width:] << np.uint64(8 * width)
+    raw = np.zeros(n + 8, np.uint8)
+    raw[:n] = data
     place = np.arange(n)
-    bucket, have = _numbered(padded[:n], place + 8 <= end, n), 8
+    bucket, have = _numbered(_eights(raw)[:n], place + 8 <= end, n), 8
     while have < length:
         step = min(have, length - have)
         valid = np.flatnonzero(place + have + step <= end)
@@ -271,8 +287,12 @@ def refine(data: np.ndarray, end: np.ndarray, length: int = LENGTH) -> np.ndarra
         base = len(size)
         pair = bucket[shared] * np.int64(base + 1) + bucket[shared + step]
         finer[shared] = base + np.unique(pair, return_inverse=True)[1] if len(shared) else 0
-        used = np.flatnonzero(finer >= 0)
-        bucket, have = _numbered(finer, used, n), have + step
+        # Numbers without gaps, in the same order.
+        used = np.zeros(finer.max(initial=-1) + 2, bool)
+        used[finer] = True
+        used[-1] = False
+        number = np.append(np.cumsum(used[:-1]) - 1, -1)
+        bucket, have = number[finer], have + step
     return bucket
 
 
@@ -284,12 +304,9 @@ def _resolve(table: pa.Table) -> pa.Table:
     bucket = refine(data, offsets[1:][owner])
     at = np.flatnonzero(bucket >= 0)
     low = table.column("lo").to_numpy().astype(np.int64)
-    order = at[np.argsort(bucket[at], kind="stable")]
-    begin = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
-    least = np.minimum.reduceat(low[owner[order]], begin)
-    of = np.empty(len(data), np.int64)
-    of[order] = np.repeat(least, np.diff(np.append(begin, len(order))))
-    values, border = of[at], np.searchsorted(at, offsets)
+    least = np.full(bucket.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, bucket[at], low[owner[at]])
+    values, border = least[bucket[at]], np.searchsorted(at, offsets)
     mins = pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(values))
     return pa.table({"anchor": table.column("anchor"), "h1": table.column("h1"), "h2": table.column("h2"), "mins": mins})
 
@@ -303,33 +320,38 @@ def _by_window(hot: DataFrame) -> DataFrame:
     return back.select("anchor", "h1", "h2", F.col("all.least").alias("mins"))
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        data, offsets = K.text_bytes(batch.column("text"))
-        n = len(data)
-        gone = np.zeros(n + 1, bool)
-        if n:
-            gone[:n] = _settled(batch, offsets)
-            flat, rows = _own(batch, "found")
-            if len(flat):
-                flags, nth = _flat(flat.field("flags"))
-                start = offsets[rows] + flat.field("at").to_numpy(zero_copy_only=False)
-                border = np.searchsorted(nth, np.arange(len(start)))
-                place = start[nth] + np.arange(len(nth)) - border[nth]
-                gone[place[flags.to_numpy(zero_copy_only=False).astype(bool)]] = True
-        before = np.concatenate([np.zeros(LENGTH, np.int64), np.cumsum(gone[:n])])
-        covered = np.zeros(n + 1, bool)
-        covered[:n] = before[LENGTH:] > before[:n]
-        first = covered[:n].copy()
-        first[1:] &= ~covered[: n - 1] if n > 1 else True
-        edge = offsets[:-1][offsets[:-1] < n]
-        first[edge] = covered[edge]
-        total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
-        kept = [data[a:b][~covered[a:b]].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(total(covered[:n]).astype(np.int64)), pa.array(total(first).astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-        )
+def _remove(keep_bytes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", K.BLOCK):
+            data, offsets = K.text_bytes(batch.column("text"))
+            n = len(data)
+            gone = np.zeros(n, bool)
+            if n:
+                gone |= _settled(batch, offsets)
+                flat, rows = _own(batch, "found")
+                if len(flat):
+                    flags, nth = _flat(flat.field("flags"))
+                    start = offsets[rows] + flat.field("at").to_numpy(zero_copy_only=False)
+                    border = np.searchsorted(nth, np.arange(len(start)))
+                    place = start[nth] + np.arange(len(nth)) - border[nth]
+                    gone[place[flags.to_numpy(zero_copy_only=False).astype(bool)]] = True
+            # Windows that touch within a text cover one stretch.
+            at, begins = np.flatnonzero(gone), np.zeros(n + 1, bool)
+            begins[offsets] = True
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] > at[:-1] + LENGTH) | begins[at[1:]]
+            first, last = at[new], at[np.append(new[1:], True)[: len(at)]] + LENGTH
+            doc = np.searchsorted(offsets, first, side="right") - 1
+            cuts = np.searchsorted(doc, np.arange(len(offsets)))
+            before = np.concatenate([[0], np.cumsum(last - first)])
+            raw, kept = memoryview(data), []
+            for a, b, i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                edges = [a, *np.stack([first[i:j], last[i:j]], axis=1).ravel().tolist(), b] if i < j else [a, b]
+                kept.append(b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
+            columns = {"doc_id": batch.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(np.diff(before[cuts])), "n_spans": pa.array(np.diff(cuts).astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
+            yield pa.RecordBatch.from_pydict(columns | ({"kept": pa.array(kept, pa.binary())} if keep_bytes else {}))
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
@@ -375,7 +397,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
         done = texts.join(runs, "doc_id", "left").join(flags, "doc_id", "left").select("doc_id", "key", "text", "runs", "found")
         # Rows without an id take no part: they go straight to the last step.
         alone = every.where("doc_id is null").select("doc_id", "key", "text", *(F.lit(None).cast(done.schema[c].dataType).alias(c) for c in ("runs", "found")))
-        done = done.union(alone).mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-        return write_table(done if keep_bytes else done.drop("kept"), "kept")
+        done = done.union(alone).mapInArrow(_remove(keep_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
+        return write_table(done, "kept")
     finally:
         spark.sql(f"drop table if exists {name}")

@@ -2,8 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from framelake.llm import kernels as K
 from framelake.llm import suffix_dedup
 
 
@@ -87,3 +89,42 @@ def test_rows_that_share_an_id(spark):
     got = suffix_dedup.remove_repeats(spark.createDataFrame([(*x, 1, "h") for x in rows], "doc_id long, text string, key int, runs string").repartition(3)).collect()
     want = [(d, len((t or "").encode()), n) for (d, t), n in zip(rows, [0, 700, 0, 0, 0, 0, 4000, 0, 0, 80], strict=True)]
     assert sorted(map(str, want)) == sorted(str((x["doc_id"], x["n_bytes"], x["n_removed"])) for x in got)
+
+
+def test_kernels_work_in_blocks(monkeypatch):
+    r = np.random.default_rng(7)
+    data = r.integers(97, 101, 4000).astype(np.uint8)
+    plain = suffix_dedup._grams(data)
+    least = suffix_dedup._window_minima(plain)
+    assert all(least[i] == plain[i : i + 31].min() for i in range(4000))
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 64)
+    for n in (0, 1, 7, 31, 63, 64, 65, 94, 95, 4000):
+        grams = suffix_dedup._grams(data[:n])
+        assert (grams[: max(n - 19, 0)] == plain[: max(n - 19, 0)]).all()
+        assert suffix_dedup._window_minima(grams).tolist() == [grams[i : i + 31].min() for i in range(n)]
+    # A batch of many texts is handled a block at a time, and no bytes are sent that nobody wants.
+    seen, plain = [], K.text_bytes
+    monkeypatch.setattr(K, "text_bytes", lambda column: seen.append(plain(column)) or seen[-1])
+    n = 400
+    rows = {"doc_id": pa.array(range(n)), "key": pa.array(range(n)), "text": pa.array([f"{i} " * 2000 for i in range(n)])}
+    cuts = list(suffix_dedup._cut(iter([pa.record_batch(rows)])))
+    assert len(seen) > 4 and max(len(x) for x, _ in seen) <= K.BLOCK and sum(x.num_rows for x in cuts) >= n
+    nothing = {"runs": pa.array([None] * n, pa.list_(pa.struct([("key", pa.int64())]))), "found": pa.array([None] * n, pa.list_(pa.struct([("key", pa.int64())])))}
+    for keep in (True, False):
+        done = pa.Table.from_batches(list(suffix_dedup._remove(keep)(iter([pa.record_batch(rows | nothing)]))))
+        assert done.num_rows == n and ("kept" in done.column_names) == keep
+
+
+def test_spans_end_with_their_text():
+    length = suffix_dedup.LENGTH
+    struct = pa.struct([("key", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+    found = pa.struct([("key", pa.int64()), ("at", pa.int32()), ("flags", pa.list_(pa.bool_()))])
+    texts = ["a" * length, "b" * length, "", "c" * 40 + "d" * (2 * length) + "e" * 40, "f" * 30]
+    whole = [{"key": 1, "at": 0, "n": 1}]
+    runs = [whole, whole, None, [{"key": 1, "at": 40, "n": 1}], None]
+    flags = [None, None, None, [{"key": 1, "at": 40 + length - 1, "flags": [False, True, False]}, {"key": 9, "at": 0, "flags": [True]}], None]
+    rows = {"doc_id": pa.array(range(5)), "key": pa.array([1] * 5), "text": pa.array(texts), "runs": pa.array(runs, pa.list_(struct)), "found": pa.array(flags, pa.list_(found))}
+    (got,) = suffix_dedup._remove(True)(iter([pa.record_batch(rows)]))
+    assert got.column("n_removed").to_pylist() == [length, length, 0, 2 * length, 0]
+    assert got.column("n_spans").to_pylist() == [1, 1, 0, 1, 0]
+    assert got.column("kept").to_pylist() == [b"", b"", b"", b"c" * 40 + b"e" * 40, b"f" * 30]
