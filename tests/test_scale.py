@@ -6,6 +6,7 @@ import time
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_flights import plain_flights, track
 
 from framelake.operators import cameras as C
 from framelake.operators import evaluation as V
@@ -152,6 +153,30 @@ def test_segments_judged_together_are_as_each_alone(spark, monkeypatch, points):
         assert set(got) == want and len(got) == len(want) > 40
 
 
+def test_flights_take_one_pass_over_whole_segments(spark):
+    text = plan(tracks.trajectory_flights(spark, DATA))
+    assert text.count("Exchange") == 1 and "FlatMapGroups" not in text and text.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("points", [1, 1 << 16])
+def test_flights_of_many_segments_are_those_of_each(spark, monkeypatch, points):
+    monkeypatch.setattr(J, "POINTS", points)
+    rows, want = [], {}
+    for segment in range(12):
+        # Few points, some without a sound one, and frames that begin anywhere.
+        f, p = track(segment)
+        f, p = (f[: 3 * segment] if segment % 4 == 1 else f) + 10**9 * (segment % 3), p[: 3 * segment] if segment % 4 == 1 else p
+        bad = np.random.default_rng(segment).random(len(f)) < (1.0 if segment == 6 else 0.05)
+        want[segment] = plain_flights(f, p, bad)
+        rows += [(segment, *r) for r in zip(f.tolist(), *p.T.tolist(), bad.tolist(), strict=True)]
+    balls = spark.createDataFrame(rows, "segment long, frame long, x double, y double, z double, outlier boolean")
+    got = {segment: [] for segment in want}
+    for r in J.find_flights(balls, 30.0).orderBy("segment", "place").collect():
+        assert r["place"] == len(got[r["segment"]])
+        got[r["segment"]].append((r["start"], r["end"], r["points"]))
+    assert got == want and sum(map(len, want.values())) > 20
+
+
 def test_buckets_of_the_score_grow_in_number_with_the_rows(spark, monkeypatch):
     scored = spark.range(3000).selectExpr("if(id % 3 = 0, 'a', 'b') as label", "id", "cast(id * 37 % 1009 as double) as score", "cast(id % 7 < 3 as int) as hit")
     positives = scored.groupBy("label").agg(F.sum("hit").alias("n_positive"))
