@@ -177,6 +177,35 @@ def test_flights_of_many_segments_are_those_of_each(spark, monkeypatch, points):
     assert got == want and sum(map(len, want.values())) > 20
 
 
+def test_filling_takes_one_pass_over_whole_segments(spark):
+    text = plan(tracks.filled_trajectory(spark, DATA))
+    assert text.count("Exchange") == 1 and "FlatMapCoGroups" not in text and text.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("abreast", [1, 1 << 17])
+def test_segments_filled_and_smoothed_together_are_as_each_alone(spark, monkeypatch, abreast):
+    monkeypatch.setattr(J, "CELLS", abreast)
+    rows, want, filled = [], {}, 0
+    for segment in range(14):
+        f, p = track(segment)
+        f += 1000 * segment
+        bad = np.random.default_rng(segment).random(len(f)) < (1.0 if segment == 6 else 0.05)
+        grid, q, observed, own = J.fill(f, p, bad, L.flights(f, p, bad, 30.0), 30.0)
+        flying = np.zeros(len(grid), bool)
+        for k in L.flights(f, p, bad, 30.0):
+            flying[k.start - grid[0] : k.end + 1 - grid[0]] = True
+        hit = np.isin(grid, [x for x, _ in L.bounces(f[~bad], p[~bad], 30.0)])
+        place, speed = J.rts(grid, np.where(observed[:, None], q, np.nan), 30.0, flying=flying, hit=hit)
+        want[segment] = np.column_stack([grid, np.where(observed[:, None], place, q), place, speed, own, observed, np.isin(grid, f[bad]), hit])
+        filled += own.sum()
+        rows += [(segment, *r) for r in zip(f.tolist(), *p.T.tolist(), bad.tolist(), strict=True)]
+    got = J.smooth(spark.createDataFrame(rows, "segment long, frame long, x double, y double, z double, outlier boolean"), 30.0).toPandas()
+    columns = ["frame", *"xyz", "sx", "sy", "sz", "vx", "vy", "vz", "filled", "observed", "outlier", "bounce"]
+    for segment, g in got.sort_values(["segment", "frame"]).groupby("segment"):
+        np.testing.assert_allclose(g[columns].to_numpy(float), want[segment].astype(float), atol=1e-9)
+    assert got["segment"].nunique() == 14 and filled > 30
+
+
 def test_buckets_of_the_score_grow_in_number_with_the_rows(spark, monkeypatch):
     scored = spark.range(3000).selectExpr("if(id % 3 = 0, 'a', 'b') as label", "id", "cast(id * 37 % 1009 as double) as score", "cast(id % 7 < 3 as int) as hit")
     positives = scored.groupBy("label").agg(F.sum("hit").alias("n_positive"))
