@@ -16,6 +16,7 @@ from framelake.operators import masks as M
 from framelake.operators import ranking as R
 from framelake.operators import space as P
 from framelake.operators import trajectory as J
+from framelake.operators.sequences import median_smooth
 from framelake.plans import registry, tracks, views, vision
 from framelake.streaming import stateful
 
@@ -206,6 +207,34 @@ def test_segments_filled_and_smoothed_together_are_as_each_alone(spark, monkeypa
     assert got["segment"].nunique() == 14 and filled > 30
 
 
+def test_reconstruction_takes_one_pass_without_joins(spark):
+    text = plan(tracks.reconstructed_ball(spark, DATA))
+    assert text.count("MapInArrow") == 1 and "Join" not in text and "FlatMap" not in text
+
+
+def test_reconstruction_is_that_of_its_steps(spark):
+    rows, hands = [], [(99, 5, 0.0, 0.0, 1.0)]
+    for segment in range(14):
+        f, p = track(segment) if segment < 13 else (np.arange(60), np.full((60, 3), 1.0))
+        # Hands near the ball, two in some frames, some before the first point; one segment without any, one without a sound point.
+        hands += [(segment, int(x) - 3 * (segment % 2), *(p[i] + 0.1 * (i % 7 if segment < 13 else 1)).tolist()) for i, x in enumerate(f) for _ in range(1 + i % 2) if segment != 3 and i % 40 < 25]
+        rows += [(segment, int(x), *p[i].tolist(), 50.0 if segment == 6 else 0.0, 3) for i, x in enumerate(f)]
+    balls = spark.createDataFrame(rows, "segment long, frame long, x double, y double, z double, up double, views long").withColumn("z", F.col("z") + F.col("up")).drop("up")
+    hands = spark.createDataFrame(hands, "segment long, frame long, x double, y double, z double")
+    flagged = J.flag_outliers(balls, 30.0)
+    found = L.name_flights(J.find_flights(flagged, 30.0), J.find_bounces(flagged, 30.0), hands, 0.1)
+    steps = J.smooth(flagged, 30.0, found).join(J.frames_of_flights(found), ["segment", "frame"], "left")
+    want = median_smooth(J.ball_states(steps, hands), ["segment"], "frame", ["sx", "sy", "sz"], 13).toPandas().sort_values(["segment", "frame"])
+    got = J.reconstruct(balls, hands, 30.0).toPandas().sort_values(["segment", "frame"])
+    assert got[["segment", "frame"]].to_numpy().tolist() == want[["segment", "frame"]].to_numpy().tolist() and got["segment"].nunique() == 14
+    known = (got["state"] != "unknown").to_numpy()
+    assert got["state"][known].tolist() == want["state"][known].tolist() and {"flight", "dribble", "held"} <= set(got["state"])
+    assert set(want["state"][~known & got["x"].notna().to_numpy()]) == {"unknown"}
+    assert np.allclose(got["state_confidence"][known].astype(float), want["state_confidence"][known].astype(float))
+    seen = got["observed"].to_numpy()
+    assert np.allclose(got[["x", "y", "z"]][seen].astype(float), want[["sx", "sy", "sz"]][seen].astype(float)) and seen.sum() > 500
+
+
 def test_buckets_of_the_score_grow_in_number_with_the_rows(spark, monkeypatch):
     scored = spark.range(3000).selectExpr("if(id % 3 = 0, 'a', 'b') as label", "id", "cast(id * 37 % 1009 as double) as score", "cast(id % 7 < 3 as int) as hit")
     positives = scored.groupBy("label").agg(F.sum("hit").alias("n_positive"))
