@@ -17,7 +17,7 @@ from framelake.operators import ranking as R
 from framelake.operators import space as P
 from framelake.operators import trajectory as J
 from framelake.operators.sequences import median_smooth
-from framelake.plans import registry, tracks, views, vision
+from framelake.plans import ledger, registry, tracks, views, vision
 from framelake.streaming import stateful
 
 DATA = "/root/testdata/sf0.001"
@@ -207,9 +207,15 @@ def test_segments_filled_and_smoothed_together_are_as_each_alone(spark, monkeypa
     assert got["segment"].nunique() == 14 and filled > 30
 
 
+def test_positions_of_events_are_smoothed_in_one_pass(spark):
+    text = plan(ledger.smoothed_trajectory(spark, DATA))
+    assert text.count("MapInArrow") == 1 and "FlatMap" not in text
+
+
 def test_reconstruction_takes_one_pass_without_joins(spark):
     text = plan(tracks.reconstructed_ball(spark, DATA))
-    assert text.count("MapInArrow") == 1 and "Join" not in text and "FlatMap" not in text
+    # Windows: the throws of a customer, twice, and the order of a segment's rows.
+    assert text.count("MapInArrow") == 1 and "Join" not in text and "FlatMap" not in text and text.count("Window [") == 3
 
 
 def test_reconstruction_is_that_of_its_steps(spark):
